@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import ship
+
 _OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -89,6 +92,7 @@ def schema_of(ddl: str) -> StructType:
 def map_columns(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], ddl: str) -> DataFrame:
     """mapInArrow with columns as Python lists: ``fn`` gets and gives an iterator of
     {name: values}; values may be lists or NumPy arrays."""
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema_of(ddl))
 
     def run(batches):
