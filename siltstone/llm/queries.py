@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op8_chat_format
 from .chunking import op5_chunk_fingerprints
 from .decontaminate import op3_decontaminate
+from .lm import op2_lm_scores
 from .packing import op10_best_two_fit
 from .simhash import op1_simhash
 from .token_counts import op4_token_counts
@@ -16,5 +17,5 @@ from .token_shards import op7_token_shards
 from .toxicity import op9_toxicity
 from .warc import op6_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit)}
 SQL: dict[str, str] = {}

@@ -193,8 +193,8 @@ def whiten(landmarks: list[str]) -> np.ndarray:
     return basis[:, keep] / np.sqrt(values[keep])
 
 
-def train(landmarks: list[str], kernels: np.ndarray, labels: np.ndarray, penalty: float = 1e-4, rounds: int = 600) -> Model:
-    """A linear SVM on the whitened kernels (squared hinge, both classes of equal weight, full gradients with momentum), then a logistic curve."""
+def train(landmarks: list[str], kernels: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, rounds: int = 600) -> Model:
+    """A linear SVM on the whitened kernels (squared hinge, full gradients with momentum), then a logistic curve."""
     share = float(labels.mean()) if len(labels) else 0.0
     if not landmarks or share in (0.0, 1.0):
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -202,7 +202,7 @@ def train(landmarks: list[str], kernels: np.ndarray, labels: np.ndarray, penalty
     map_ = whiten(landmarks)
     x = np.hstack([kernels @ map_, np.ones((len(kernels), 1))])
     y = np.where(labels > 0, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    weight = np.full(len(y), 1 / len(y))
     step = 0.5 / (np.linalg.norm(x.T @ (x * weight[:, None]), 2) + penalty)
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(rounds):
