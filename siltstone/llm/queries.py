@@ -18,4 +18,13 @@ from .toxicity import op9_toxicity
 from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 SQL: dict[str, str] = {}
