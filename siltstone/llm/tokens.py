@@ -15,6 +15,8 @@ import re
 import numpy as np
 
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+#: Marks a text's first word, which no blank precedes, among the parts of an even text.
+FIRST = "\t"
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: Pieces remembered by a process; beyond it the memory starts anew. It bounds memory, not results.
 REMEMBER = 1_000_000
@@ -22,6 +24,16 @@ STOPS = ".,"
 SPECIAL_END = 2
 
 
+def _even(t: str) -> bool:
+    """White space is single blanks and line feeds between words."""
+    return not (t[:1] in " \n" or t[-1:] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or ODD_SPACE.search(t))
+
+
+def _piece(part: str) -> str:
+    """The text that a part stands for."""
+    return part[1:] if part[0] == FIRST else part if part[0] in " \n" else " " + part
+
+
 def _parts(p: str) -> tuple[str, str, str]:
     """A leading line feed, the word, a trailing stop: borders between them are
     pre-token borders if the line feed stands alone and the stop follows a letter or digit."""
@@ -67,44 +79,48 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """As encode, with one call of the library for what a group of texts has new."""
-        known, out = self.known, []
-        cut = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            if c:
-                new.update([p for p in c if p not in known])
-        extra = self._learn(new) if new else known
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self._ids([t])[0])
-                continue
-            try:
-                out.append(b"".join([known[p] for p in c]))
-            except KeyError:
-                out.append(b"".join([known[p] if p in known else extra[p] for p in c]))
+        get, cut, new = self.known.get, [], set()
+        for t in texts:
+            if _even(t):  # a part is a word behind a blank, or a line feed and a word
+                parts = t.replace("\n", " \n").split(" ")
+                parts[0] = FIRST + parts[0]
+            else:
+                parts = None if ODD_SPACE.search(t) else PIECE.findall(t)
+                if parts and parts[0][0] not in " \n":
+                    parts[0] = FIRST + parts[0]
+            found, missing = None if parts is None else list(map(get, parts)), []
+            if found and None in found:
+                missing = [i for i, v in enumerate(found) if v is None]
+                new.update([parts[i] for i in missing])
+            cut.append((parts, found, missing))
+        extra = self._learn(new) if new else self.known
+        out = []
+        for t, (parts, found, missing) in zip(texts, cut):
+            for i in missing:
+                found[i] = extra[parts[i]]
+            out.append(self._ids([t])[0] if parts is None else b"".join(found))
         return out
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not known yet. They are remembered while there is room; a
-        piece is put together from its word and its stop where it ends in one."""
-        known = self.known
-        into = known if len(known) < REMEMBER else {}
-        parts = {p: _parts(p) for p in new}
-        words = list({w for _, w, _ in parts.values() if w and w not in known and w not in into})
+        """Ids of parts not known yet, remembered while there is room; a part is put
+        together from its word and its stop where it ends in one."""
+        into = self.known if len(self.known) < REMEMBER else {}
+        pieces = {p: _parts(_piece(p)) for p in new}
+        words = {w for _, w, _ in pieces.values()}
         plain = [w for w in words if "\n" not in w and not w[-1].isspace()]
+        ids_of = {}
         if plain:
             ids = np.frombuffer(self._ids(["\n".join(plain)])[0], dtype="<u4")
             cut = np.flatnonzero(ids == self.line_feed)
             assert len(cut) == len(plain) - 1
             b, at = ids.tobytes(), 0
             for w, end in zip(plain, [*(cut * 4).tolist(), len(b)]):
-                into[w] = b[at:end]
+                ids_of[w] = b[at:end]
                 at = end + 4
-        odd = [w for w in words if w not in into]
-        into.update(zip(odd, self._ids(odd)))
-        for p, (lead, w, stop) in parts.items():
-            if lead or stop:
-                into[p] = (self.known_lead if lead else b"") + (into[w] if w in into else known[w]) + (self.stops[stop] if stop else b"")
+        odd = [w for w in words if w not in ids_of]
+        ids_of.update(zip(odd, self._ids(odd)))
+        for p, (lead, w, stop) in pieces.items():
+            into[p] = (self.known_lead if lead else b"") + ids_of[w] + (self.stops[stop] if stop else b"")
         return into
 
     def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
