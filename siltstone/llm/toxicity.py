@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 GAPS, DECAY, FLOOR = 2, 0.5, 0.4
-LANDMARKS, FIT_TOXIC, FIT_CLEAN = 128, 3000, 6000
+LANDMARKS, FIT_TOXIC, FIT_CLEAN = 128, 2000, 4000
 #: Least log-likelihood ratio of a landmark: rarer words in toxic texts can be chance.
 CERTAIN = 15.0
 WIDTH, REMEMBER = 24, 600_000
@@ -124,6 +124,8 @@ class Landmarks:
         self.row = np.zeros(1 << 18, np.int32)
         self.row[list(rows)] = list(rows.values())
         self.most = self.table.max(axis=1, initial=0)[self.row]
+        alike = np.argsort(np.array(self.words, dtype=str), kind="stable")
+        self.by_group = np.stack([self.table[:, part].max(axis=1, initial=0) for part in np.array_split(alike, 8)], axis=1)
         n = np.arange(WIDTH + 3, dtype=np.float64)
         self.norm = np.sqrt(sum(np.maximum(n - b, 0) * DECAY ** (2 * s) for _, b, s in SHAPES) + 1e-12)
 
@@ -134,12 +136,15 @@ class Landmarks:
         self.__init__(state["words"])
 
     def _learn(self, words: list[str]) -> None:
-        """Only words whose bound on the kernel reaches the floor are looked at one by
-        one: the bound takes each subsequence's largest landmark weight and the least norm."""
+        """Only words whose bound on the kernel reaches the floor are looked at one by one.
+        The bound takes each subsequence's largest weight, in any landmark and then in
+        any of a group of similar ones, and the least norm that a word of its length has."""
         parts = [(w, p) for w in words for p in windows(w)]
         symbols, n = coded([p for _, p in parts])
         bound = sum(self.most[index].sum(axis=1) * weight for index, weight in features(symbols)) / self.norm[n]
-        for k in np.flatnonzero(bound >= FLOOR).tolist():
+        near = np.flatnonzero(bound >= FLOOR)
+        bound = sum(self.by_group[self.row[index]].sum(axis=1) * weight for index, weight in features(symbols[near])) / self.norm[n[near], None]
+        for k in near[bound.max(axis=1) >= FLOOR].tolist():
             w, part = parts[k]
             own = np.zeros(len(self.words), np.float32)
             for i, x in vector(part).items():
