@@ -7,8 +7,8 @@ reader fetches one document by its index entry and refuses another dictionary.
 Defined results: a null text is the empty text (its end id alone); null
 document ids come first; rows with equal ids are all kept, next to each other;
 an empty table gives no rows. The dictionary is trained on a bounded sample
-(``DICT_DOCS`` documents in the order of a hash of their id, those of over
-``DICT_CHARS`` characters aside); everything else covers all rows.
+(about ``DICT_DOCS`` documents by a hash of their id, twice as many at most, those
+of over ``DICT_CHARS`` characters aside); everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MAGIC = b"TOKSHRD1"
 HEADER = struct.Struct("<8s32sB7x")
 FOOTER = struct.Struct("<QQ8s")
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1500, 20_000, 65_536
+#: Documents that are encoded together.
+GROUP = 256
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -123,7 +125,9 @@ class ShardReader:
 
 def sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str) -> bytes:
     """A dictionary of the ids of a bounded sample of whole documents."""
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t").between(1, DICT_CHARS)).orderBy(F.xxhash64("k"), "k").limit(DICT_DOCS).select("t")
+    every = max(1, docs.count() // DICT_DOCS)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
+    chosen = rows.filter(F.length("t").between(1, DICT_CHARS)).select("t").limit(2 * DICT_DOCS)
     ids = shared.map_columns(chosen, _serialized(tokenizer), "ids binary")
     return train_dictionary([bytes(r.ids) for r in ids.collect()])
 
@@ -160,8 +164,8 @@ def write_token_shards(docs: DataFrame, folder: str, key: str = "doc_id", text:
             yield w.head
             b = first
             while b is not None:
-                for at in range(0, len(b["k"]), 64):
-                    for k, ids in zip(b["k"][at : at + 64], e.encode_all([t or "" for t in b["t"][at : at + 64]])):
+                for at in range(0, len(b["k"]), GROUP):
+                    for k, ids in zip(b["k"][at : at + GROUP], e.encode_all([t or "" for t in b["t"][at : at + GROUP]])):
                         yield w.add(k, np.frombuffer(ids + tail, "<u4"))
                 b = next(batches, None)
             yield w.close()
