@@ -1,0 +1,109 @@
+"""Recursive search for instances, level by level over all images at once.
+
+A region is a crop. Each level scores and cuts all open regions in one plan: a Python
+kernel sees one region at a time, and the rule that decides which children go on is
+relational. The frontier is written between levels, so a plan never grows and a lost
+executor costs one level. The budget is counted per level, before it is spent.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators.clustering import label_cells
+from ..operators.graph import written
+
+REGION = "image_id long, region string, parent string, depth int, y0 int, y1 int, x0 int, x1 int, score double"
+FOUND = "image_id long, region string, depth int, score double, y0 int, y1 int, x0 int, x1 int, n int, child array<struct<y0:int,y1:int,x0:int,x1:int,score:double>>"
+Kernel = Callable[[pd.Series], tuple[float, list[tuple[int, int, int, int, float]]]]
+
+
+def colours(categories: int, dim: int = 16, seed: int = 0) -> np.ndarray:
+    """A unit vector for the background (row 0) and each category: a frozen random projection of its colour."""
+    rng = np.random.default_rng(seed)
+    rgb = np.vstack([[0.1, 0.1, 0.1], np.array([[0.86, 0.12, 0.12], [0.12, 0.12, 0.86], [0.12, 0.86, 0.12]])[np.arange(categories) % 3]])
+    x = (rgb - rgb.mean(axis=0)) @ rng.normal(size=(3, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def draw(squares: list[tuple[int, int, int, int, int]], size: int) -> np.ndarray:
+    """A label map of (category, box) squares; later ones lie above."""
+    out = np.zeros((size, size), dtype=int)
+    for c, y0, y1, x0, x1 in squares:
+        out[y0:y1, x0:x1] = c
+    return out
+
+
+def extract(labels: np.ndarray, box: tuple[int, int, int, int], target: int, bank: np.ndarray, grid: int = 16, tau: float = 0.5) -> tuple[float, list[tuple[int, int, int, int, float]]]:
+    """The crop's score (its mean similarity to the target inside the foreground, times the foreground's share) and a box for each
+    component of cells that look like the target, in pixels."""
+    y0, y1, x0, x1 = box
+    ys = np.clip(((np.arange(grid) + 0.5) * (y1 - y0) / grid).astype(int) + y0, y0, y1 - 1)
+    xs = np.clip(((np.arange(grid) + 0.5) * (x1 - x0) / grid).astype(int) + x0, x0, x1 - 1)
+    sims = (bank @ bank[target])[labels[ys[:, None], xs[None, :]]]
+    fg = sims >= tau
+    if not fg.any():
+        return 0.0, []
+    score = float(sims[fg].mean() * fg.mean())
+    parts, out = label_cells(fg, 8), []
+    for k in range(1, parts.max() + 1):
+        r, c = np.nonzero(parts == k)
+        h, w = (y1 - y0) / grid, (x1 - x0) / grid
+        out.append((y0 + int(np.floor(r.min() * h)), min(y1, y0 + int(np.ceil((r.max() + 1) * h))), x0 + int(np.floor(c.min() * w)), min(x1, x0 + int(np.ceil((c.max() + 1) * w))), float((parts == k).mean())))
+    return score, out
+
+
+def search(scenes: DataFrame, target: int, size: int, budget: int = 512, min_side: int = 8, floor: float = 0.3, shrink: float = 0.9, categories: int = 2, levels: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(detections, trace) of ``target`` in images of squares (image_id, category_id, box).
+
+    A region with no component is ``empty``; one whose only component fills ``shrink`` of it, or that is at
+    ``min_side``, is a ``leaf``; with one smaller component it ``zoom``s, with more it is ``split``. Of a region's children go on
+    those that beat its score, or, of several, where the best one does, those that reach ``floor``; if none does, the
+    region itself is emitted (``reid-stop``)."""
+    bank = colours(categories)
+    art = scenes.groupBy("image_id").agg(F.array_sort(F.array_agg(F.struct("ann_id", "category_id", "y0", "y1", "x0", "x1"))).alias("squares"))
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                labels = draw([(q["category_id"], q["y0"], q["y1"], q["x0"], q["x1"]) for q in r.squares], size)
+                score, kids = extract(labels, (r.y0, r.y1, r.x0, r.x1), target, bank)
+                child = []
+                for k in kids:
+                    child.append(dict(zip(("y0", "y1", "x0", "x1"), k[:4])) | {"score": extract(labels, k[:4], target, bank)[0]})
+                rows.append((r.image_id, r.region, r.depth, score, r.y0, r.y1, r.x0, r.x1, len(kids), child))
+            yield pd.DataFrame(rows, columns=["image_id", "region", "depth", "score", "y0", "y1", "x0", "x1", "n", "child"])
+
+    frontier = art.select("image_id", F.lit("0").alias("region"), F.lit(0).alias("depth"), F.lit(0).alias("y0"), F.lit(size).alias("y1"), F.lit(0).alias("x0"), F.lit(size).alias("x1"))
+    frontier, spent, traces = written(frontier, "frontier"), 0, []
+    for level in range(levels + 1):
+        n = frontier.count()
+        if not n:
+            break
+        seen = written(frontier.join(art, "image_id").mapInPandas(cut, FOUND), "regions")
+        spent += n
+        area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+        kid = F.col("child")[0]
+        fills = (F.col("n") == 1) & ((kid["y1"] - kid["y0"]) * (kid["x1"] - kid["x0"]) >= shrink * area)
+        small = (F.col("y1") - F.col("y0") <= min_side) | (F.col("x1") - F.col("x0") <= min_side)
+        best = F.array_max(F.transform("child", lambda c: c["score"]))
+        keep = F.filter("child", lambda c: F.when(F.col("n") == 1, c["score"] > F.col("score")).otherwise((best > F.col("score")) & ((c["score"] > F.col("score")) | (c["score"] >= floor))))
+        stop = F.lit(spent >= budget or level == levels)
+        decision = F.when(F.col("n") == 0, "empty").when(small, "leaf-cap").when(fills, "leaf").when(stop | (F.size(keep) == 0), "reid-stop").when(F.col("n") == 1, "zoom").otherwise("split")
+        decided = written(seen.withColumn("keep", keep).withColumn("decision", decision), "decided")
+        traces.append(decided.select("image_id", "region", "depth", "score", "y0", "y1", "x0", "x1", "n", "decision"))
+        kids = decided.filter(F.col("decision").isin("zoom", "split")).select("image_id", "region", "depth", F.posexplode("keep").alias("k", "c"))
+        frontier = written(kids.select("image_id", F.concat_ws(".", "region", (F.col("k") + 1).cast("string")).alias("region"), (F.col("depth") + 1).alias("depth"), "c.y0", "c.y1", "c.x0", "c.x1"), "frontier")
+    trace = traces[0]
+    for t in traces[1:]:
+        trace = trace.unionByName(t)
+    number = F.row_number().over(W.partitionBy("image_id").orderBy("region")).cast("long")
+    found = trace.filter(F.col("decision").isin("leaf", "leaf-cap", "reid-stop")).withColumn("det_id", number)
+    return found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "depth", "score"), trace

@@ -677,3 +677,14 @@ def _(s, d):
 @query("gmm2_threshold")
 def _(s, d):
     return thresholds.gmm2(_maps(s, d), "image_id")
+
+
+@query("cascade_synthetic")
+def _(s, d):
+    from ..sources import synthetic
+    from . import cascade
+
+    synthetic.enable(s)
+    scenes = s.read.format("synthetic_instances").option("n_images", 24).option("image_size", 128).load()
+    found, _trace = cascade.search(scenes, 1, 128)
+    return found
