@@ -107,11 +107,11 @@ def followed(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     range's first document (``tail`` 1) behind it."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     cuts = sorted({float(x) for x in rows.select(F.col("k").cast("double")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep")
-    null = len(cuts) + 1
-    rows = split.transform(rows.withColumn("d", F.col("k").cast("double"))).drop("d").withColumn("bucket", F.when(F.col("bucket") == null, -1).otherwise(F.col("bucket")).cast("int"))
+    split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep") if cuts else None
+    own = split.transform(rows.withColumn("d", F.col("k").cast("double"))).drop("d") if cuts else rows.withColumn("bucket", F.lit(0.0))
+    rows = own.withColumn("bucket", F.when(F.col("k").isNull(), -1).otherwise(F.col("bucket")).cast("int"))
     heads = rows.groupBy("bucket").agg(F.max("k").alias("k")).collect()  # a row a range
-    heads = sorted((r.bucket, r.k) for r in heads)
+    heads = sorted([(r.bucket, r.k) for r in heads], key=lambda x: x[0])
     above = [(k, heads[(i + 1) % len(heads)][0]) for i, (_, k) in enumerate(heads)]
     to = docs.sparkSession.createDataFrame(above, "hk long, above int")
     own = rows.withColumn("tail", F.lit(0))

@@ -132,6 +132,9 @@ class _Rows:
         return bool(self.cols[0])
 
 
-def crc_mod(column: str, m: int):
-    """crc32 of a key as text, modulo m."""
-    return F.crc32(F.col(column).cast("string")) % F.lit(m)
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that none of ``columns`` clashes with."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -191,6 +191,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """One row of each group: that with its least key; of rows that repeat a key, one of
     them. Rows without a key are kept as one a group that has no key at all."""
     group = near_duplicates(docs, key, text, words, similarity).filter("doc_id <=> component_id").select("doc_id").distinct()
-    own = docs.withColumn("_key", F.col(key).cast("long"))
-    kept = own.join(group.withColumnRenamed("doc_id", "_group"), F.col("_key").eqNullSafe(F.col("_group")), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine, theirs = shared.free_name(docs.columns, "_key"), shared.free_name(docs.columns, "_group")
+    own = docs.withColumn(mine, F.col(key).cast("long"))
+    kept = own.join(group.withColumnRenamed("doc_id", theirs), F.col(mine).eqNullSafe(F.col(theirs)), "left_semi")
+    return kept.dropDuplicates([mine]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -281,7 +281,10 @@ def fold(node: tuple, filters: dict[str, Callable]) -> tuple:
     parts = [fold(n, filters) if isinstance(n, tuple) else n for n in node[1:]]
     folded = (kind, *parts)
     if kind in ("op", "not", "filter", "get") and all(p[0] == "const" for p in parts if isinstance(p, tuple)):
-        return ("const", _value(folded, filters)({}))
+        try:
+            return ("const", _value(folded, filters)({}))
+        except TemplateError:  # it may stand in a branch that is never taken
+            return folded
     return folded
 
 
@@ -302,14 +305,21 @@ def _value(node: tuple, filters: dict[str, Callable]) -> Callable[[dict], Any]:
         return (lambda env: a(env) and b(env)) if kind == "and" else (lambda env: a(env) or b(env))
     if kind == "op":
         f, a, b = _OPS[node[1]], _value(node[2], filters), _value(node[3], filters)
-        return lambda env: f(a(env), b(env))
+        return lambda env: _apply(f, a(env), b(env))
     if kind == "filter":
         f, a = filters[node[1]], _value(node[2], filters)
-        return lambda env: f(a(env))
+        return lambda env: _apply(f, a(env))
     test, a, b = (_value(n, filters) for n in node[1:])
     return lambda env: a(env) if test(env) else b(env)
 
 
+def _apply(f: Callable, *values: Any) -> Any:
+    try:
+        return f(*values)
+    except TypeError as e:
+        raise TemplateError(str(e)) from None
+
+
 def _get(of: Any, key: Any) -> Any:
     if isinstance(of, dict):
         return of.get(key)
