@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +39,7 @@ LANDMARKS, FIT_TOXIC, FIT_CLEAN = 128, 2000, 4000
 #: Least log-likelihood ratio of a landmark: rarer words in toxic texts can be chance.
 CERTAIN = 15.0
 WIDTH, REMEMBER = 24, 600_000
-SPACED = re.compile(r"(?<!\S)(?:\S[^\w\s]?\s+){2,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S[^\w\s]?\s+){2,}\S[^\w\s]*(?!\S)")
 #: Positions of a subsequence's second and third character behind the first, and how many are skipped.
 SHAPES = [(a, b, b - 2) for b in range(2, 3 + GAPS) for a in range(1, b)]
 EDGE = 63
@@ -64,6 +65,14 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def in_context(text: str) -> set[tuple[str, int]]:
+    """A text's words, each with a hash of the words around it."""
+    w = ["", *text.lower().split(), ""]
+    out = {(windows(w[i])[0], zlib.crc32(f"{w[i - 1]} {w[i + 1]}".encode("utf-8", "surrogatepass"))) for i in range(1, len(w) - 1)}
+    out.update(("".join(m[0].split()), m.start()) for m in SPACED.finditer(text.lower()))
+    return out
+
+
 def windows(word: str) -> list[str]:
     """The word without punctuation around it; of a very long one, overlapping parts."""
     w = word.strip(".,;:!?\"'()[]{}<>*_-\0") or word.replace("\0", " ")
@@ -136,23 +145,31 @@ class Landmarks:
         self.__init__(state["words"])
 
     def _learn(self, words: list[str]) -> None:
-        """Only words whose bound on the kernel reaches the floor are looked at one by one.
-        The bound takes each subsequence's largest weight, in any landmark and then in
+        """Only words whose bound on the kernel reaches the floor are compared with
+        every landmark. The bound takes each subsequence's largest weight, in any landmark and then in
         any of a group of similar ones, and the least norm that a word of its length has."""
         parts = [(w, p) for w in words for p in windows(w)]
         symbols, n = coded([p for _, p in parts])
         bound = sum(self.most[index].sum(axis=1) * weight for index, weight in features(symbols)) / self.norm[n]
         near = np.flatnonzero(bound >= FLOOR)
         bound = sum(self.by_group[self.row[index]].sum(axis=1) * weight for index, weight in features(symbols[near])) / self.norm[n[near], None]
-        for k in near[bound.max(axis=1) >= FLOOR].tolist():
-            w, part = parts[k]
-            own = np.zeros(len(self.words), np.float32)
-            for i, x in vector(part).items():
-                if self.row[i]:
-                    own += np.float32(x) * self.table[self.row[i]]
+        near = near[bound.max(axis=1) >= FLOOR]
+        for at in range(0, len(near), 1024):
+            block = near[at : at + 1024]
+            index = np.concatenate([i for i, _ in features(symbols[block])], axis=1)
+            weight = np.repeat([w for _, w in features(symbols[:1])], WIDTH + 2).astype(np.float32)
+            own = sum(self.table[self.row[i]].sum(axis=1) * w for i, w in features(symbols[block]))
+            # a subsequence that a word has twice counts squared: the norm is exact from here on
+            order = np.argsort(index, axis=1, kind="stable")
+            index, weight = np.take_along_axis(index, order, axis=1), np.where(np.take_along_axis(index, order, axis=1) > 0, weight[order], 0)
+            new = np.concatenate([np.ones((len(block), 1), bool), index[:, 1:] != index[:, :-1]], axis=1).ravel()
+            sums = np.add.reduceat(weight.ravel().astype(np.float64), np.flatnonzero(new)) ** 2
+            norm = np.sqrt(np.bincount(np.flatnonzero(new) // index.shape[1], sums, minlength=len(block)))
+            own = (own / norm[:, None]).astype(np.float32)
             own[own < FLOOR] = 0
-            if own.any():
-                self.near[w] = np.maximum(own, self.near.get(w, 0))
+            for k, v in zip(block[own.any(axis=1)].tolist(), own[own.any(axis=1)]):
+                w = parts[k][0]
+                self.near[w] = np.maximum(v, self.near.get(w, 0))
 
     def of(self, texts: list[str | None]) -> np.ndarray:
         """A row a text: its largest kernel with each landmark."""
@@ -241,19 +258,21 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, landmarks: int = L
     if not bad or not good:
         return train([], np.zeros((0, 0)), np.array([float(y) for y, n in sizes.items() if n]))
 
-    def count(batches):
+    def contexts(batches):
         for b in batches:
-            seen: dict[str, list[int]] = {}
-            for t, y in zip(b["text"], b["toxic"]):
-                for w in {windows(w)[0] for w in words_of(t)}:
-                    seen.setdefault(w, [0, 0])[y] += 1
-            yield {"word": list(seen), "good": [x[0] for x in seen.values()], "bad": [x[1] for x in seen.values()]}
-
-    words = shared.map_columns(rows, count, "word string, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    share = bad / (bad + good)
+            seen = {(w, c, y) for t, y in zip(b["text"], b["toxic"]) for w, c in in_context(t)}
+            yield {"word": [x[0] for x in seen], "context": [x[1] for x in seen], "toxic": [x[2] for x in seen]}
+
+    # copies of a text repeat a word in one context, which counts once
+    told = shared.map_columns(rows, contexts, "word string, context long, toxic int").distinct()
+    words = shared.staged(told.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("good"), F.count_if(F.col("toxic") == 1).alias("bad")), "toxic-words")
+    total = words.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    share = (total.bad or 0) / max(1, (total.bad or 0) + (total.good or 0))
+    if not 0 < share < 1:
+        return train([], np.zeros((0, 0)), np.array([float(y) for y, n in sizes.items() if n]))
     n = F.col("bad") + F.col("good")
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0))
-    best = words.filter((F.col("bad") > n * share) & (F.length("word") > 1)).withColumn("gain", gain).filter(F.col("gain") >= CERTAIN).orderBy(F.desc("gain"), "word").limit(landmarks)
+    best = words.filter((F.col("bad") > n * (1 + share) / 2) & (F.length("word") > 1)).withColumn("gain", gain).filter(F.col("gain") >= CERTAIN).orderBy(F.desc("gain"), "word").limit(landmarks)
     chosen = [r.word for r in best.collect()]
 
     def kernels(batches):
