@@ -18,6 +18,8 @@ def by_ranges(df: DataFrame, column: str, name: str, parts: int | None = None) -
     of the ranges before it, so no task sees all rows."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    if not cuts:
+        return df.withColumn(name, F.lit(0.0))
     return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=column, outputCol=name).transform(df)
 
 
