@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as a
 from ..functions import geometry as g
-from ..operators import clustering, datasets, grids, masks, matching, metrics, suppress, thresholds, traces, vectors
+from ..operators import clustering, datasets, grids, masks, matching, metrics, suppress, thresholds, traces, vectors, where
 from ..session import ship
 from ..sources import fixtures as fx
 from . import sweeps
@@ -688,3 +688,73 @@ def _(s, d):
     scenes = s.read.format("synthetic_instances").option("n_images", 24).option("image_size", 128).load()
     found, _trace = cascade.search(scenes, 1, 128)
     return found
+
+
+# --- extractors and instance filters
+
+MATCHED = """fw AS (SELECT image_id, patch_id, max(s) AS forward FROM sim WHERE class_id = 0 GROUP BY 1, 2), bk AS (SELECT patch_id, class_id = 0 AS back FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY s DESC, ex_id) AS k FROM sim) WHERE k = 1),
+mp AS (SELECT image_id, patch_id, forward FROM fw JOIN bk USING (patch_id) WHERE forward > 0 AND back)"""
+
+
+@query("matched_patches", f"WITH {MATCHED} SELECT image_id, patch_id, round(forward, 6) AS forward FROM mp", "sim")
+def _(s, d):
+    return where.matched_patches(_sims(s, d), 0).select("image_id", "patch_id", r6("forward", "forward"))
+
+
+@query("aggregated_foreground", f"""WITH {MATCHED}, ow AS (SELECT p.* FROM patches p WHERE EXISTS (SELECT 1 FROM mp JOIN patches q ON q.patch_id = mp.patch_id WHERE q.image_id = p.image_id AND q.class_id = p.class_id)),
+l AS (SELECT image_id, class_id, unnest(feat) AS x, generate_subscripts(feat, 1) AS i FROM ow), m AS (SELECT image_id, class_id, i, avg(x) AS x FROM l GROUP BY ALL), pn AS (SELECT image_id, class_id, sqrt(sum(x * x)) + 1e-8 AS n FROM m GROUP BY ALL),
+st AS (SELECT ow.image_id, ow.class_id, count(*) AS n, avg(fw.forward) AS crs FROM ow JOIN fw ON fw.patch_id = ow.patch_id GROUP BY ALL),
+se AS (SELECT *, n / (sum(n) OVER (PARTITION BY image_id))::DOUBLE AS share, row_number() OVER (PARTITION BY image_id ORDER BY crs DESC, class_id) = 1 AS seed FROM st),
+u AS (SELECT image_id, class_id, list(x / n ORDER BY i) AS p FROM m JOIN pn USING (image_id, class_id) GROUP BY ALL),
+j AS (SELECT se.*, round(list_dot_product(u.p, sp.p), 9) AS intra FROM se JOIN u USING (image_id, class_id) JOIN (SELECT u.image_id, u.p FROM u JOIN se USING (image_id, class_id) WHERE seed) sp USING (image_id))
+SELECT ow.image_id, ow.patch_id, ow.r, ow.c FROM ow JOIN j USING (image_id, class_id) WHERE j.seed OR crs * intra * share > 0.02""", "sim")
+def _(s, d):
+    return where.aggregated_foreground(fx.patches(s, d), _sims(s, d), 0, 0.02)
+
+
+@query("filter_instances", f"WITH {MAPS}, f AS (SELECT p.image_id, p.class_id AS label, count(*) AS area, avg(s) AS score FROM patches p JOIN maps USING (patch_id) WHERE p.class_id > 0 GROUP BY 1, 2 HAVING count(*) >= 8 AND avg(s) >= 0) SELECT image_id, label, area, round(score, 6) AS score, row_number() OVER (PARTITION BY image_id ORDER BY label) AS instance FROM f", "sim")
+def _(s, d):
+    cells = fx.patches(s, d).select("image_id", "patch_id", F.col("class_id").alias("label")).join(_maps(s, d).select("patch_id", "s"), "patch_id")
+    return where.filter_instances(cells, "label", "s", 8, 0.0).select("image_id", "label", "area", r6("score", "score"), "instance")
+
+
+@query("mask_scores", f"WITH {MAPS} SELECT p.image_id, p.class_id, round(least(1, greatest(0, (avg(s) + 1) / 2)), 6) AS score FROM patches p JOIN maps USING (patch_id) GROUP BY 1, 2", "sim")
+def _(s, d):
+    return where.mask_scores(_maps(s, d), fx.patches(s, d).select("image_id", "r", "c", "class_id"), "class_id").select("image_id", "class_id", r6("score", "score"))
+
+
+@query("component_scores", "WITH a AS (SELECT image_id, det_id, (y1 - y0) * (x1 - x0) AS area, y0 <= 0 OR x0 <= 0 AS border FROM detections) SELECT image_id, det_id, round(CASE WHEN border THEN 0.9 * area / max(area) OVER (PARTITION BY image_id)::DOUBLE ELSE 0.9 END, 6) AS score FROM a", "detections")
+def _(s, d):
+    parts = fx.detections(s, d).withColumn("area", g.area(g.box())).withColumn("score", F.lit(0.9))
+    return where.component_scores(parts, (F.col("y0") <= 0) | (F.col("x0") <= 0)).select("image_id", "det_id", r6("score", "score"))
+
+
+@query("take_ratio", "SELECT image_id, ann_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, ann_id) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM annotations) WHERE k <= greatest(1, ceil(n * 0.3))", "annotations")
+def _(s, d):
+    return where.take_ratio(fx.annotations(s, d), 0.3).select("image_id", "ann_id")
+
+
+@query("dynamic_cuts", "WITH t AS (SELECT image_id, avg(s) AS g FROM (SELECT image_id, ex_id, avg(s) AS s FROM sim WHERE class_id = 0 GROUP BY 1, 2) GROUP BY 1) SELECT image_id, round(greatest(0.05, least(0.95, 1 - g)), 6) AS tau, round(greatest(0.0, least(0.95, 0.5 * g)), 6) AS keep FROM t", "sim")
+def _(s, d):
+    return where.dynamic_cuts(_sims(s, d), 0).select("image_id", r6("tau", "tau"), r6("keep", "keep"))
+
+
+@query("densest_images", "SELECT image_id, count(*) AS n FROM annotations GROUP BY 1 ORDER BY n DESC, image_id LIMIT 50", "annotations")
+def _(s, d):
+    counted = datasets.with_instances(fx.annotations(s, d), 1)
+    return counted.orderBy(*datasets.image_order(counted, "densest")).limit(50)
+
+
+@query("background_boxes", """WITH t AS (SELECT image_id, k, md5(concat_ws(':', image_id, k, 0)) AS h FROM (SELECT DISTINCT image_id FROM gt), range(0, 5) x(k)),
+n AS (SELECT image_id, k, 16 + ('0x' || substr(h, 1, 6))::BIGINT % 17 AS side, ('0x' || substr(h, 7, 6))::BIGINT % 96 AS y0, ('0x' || substr(h, 13, 6))::BIGINT % 96 AS x0 FROM t),
+b AS (SELECT image_id, k, y0, y0 + side AS y1, x0, x0 + side AS x1 FROM n)
+SELECT b.image_id, b.k, b.y0, b.y1, b.x0, b.x1 FROM b JOIN gt g USING (image_id) GROUP BY ALL HAVING sum(greatest(0, least(b.y1, g.y1) - greatest(b.y0, g.y0)) * greatest(0, least(b.x1, g.x1) - greatest(b.x0, g.x0))) < 0.05 * (b.y1 - b.y0) * (b.x1 - b.x0)""", "gt")
+def _(s, d):
+    gt = fx.ground_truth(s, d)
+    return where.background_boxes(gt.select("image_id").distinct(), gt, 5, 0)
+
+
+@query("touches_border", "SELECT image_id, det_id, y0 <= 10 OR y1 >= 100 OR x0 <= 10 OR x1 >= 100 AS touches FROM detections", "detections")
+def _(s, d):
+    crop = (F.lit(10), F.lit(100), F.lit(10), F.lit(100))
+    return fx.detections(s, d).select("image_id", "det_id", g.touches(g.box(), crop).alias("touches"))

@@ -254,3 +254,25 @@ def test_trace_stream(spark, tmp_path):
     got = {r.node_id: r.decision for r in spark.table("decided").collect()}
     assert got[1] == "zoom" and got[2] == "zoom" and got[3] == "reid-stop"
     assert st.windowed_counts(df).first().n == 7
+
+
+def test_runs_are_logged_without_what_is_no_number(spark, tmp_path):
+    from siltstone.plans import runs
+
+    runs.log_run(spark, str(tmp_path), "r1", {"a": {"b": 1}}, {"ap": 0.5, "pq": float("nan")})
+    assert [(r.key, r.value) for r in spark.read.parquet(f"{tmp_path}/metrics").collect()] == [("ap", 0.5)]
+    assert spark.read.parquet(f"{tmp_path}/params").first().key == "a.b"
+
+
+def test_configurations(tmp_path):
+    import json
+
+    from siltstone.plans import runs
+
+    c = runs.SearchConfig.from_dict({"max_depth": 3, "budget": None, "nonsense": 1})
+    assert (c.levels, c.budget) == (3, 512) and runs.SearchConfig.from_dict(c.to_dict()) == c
+    d = runs.DataConfig.from_dict({"root": "/x/cells", "fold": 2})
+    assert d.name == "cells" and d.options == {"fold": 2} and runs.DataConfig(label="l").name == "l"
+    assert runs.overridden({"a": {"b": 1}}, ["a.b=2", "c=x"]) == {"a": {"b": 2}, "c": "x"}
+    (tmp_path / "a.json").write_text(json.dumps({"run_name": "r", "sweep": {"x": [1, 0]}}))
+    assert runs.run_folder(str(tmp_path), lambda n, c: 1 / c["x"]) == {"r__x=1": None, "r__x=0": "ZeroDivisionError: division by zero"}
