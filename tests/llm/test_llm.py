@@ -567,7 +567,7 @@ def test_held_out_texts_are_told_apart(spark, docs):
     assert len(got) > 50 and sum(r.predicted == y[k] for k, r in got.items()) >= 0.98 * len(got)
     probe = spark.createDataFrame([(1, "what an id-iot you are"), (2, "what a nice day"), (3, "m o r o n"), (4, None), (5, "")], "doc_id long, text string")
     s = {r.doc_id: r.score for r in toxicity.score_documents(probe, model).collect()}
-    assert s[1] > 0.5 and s[3] > 0.5 and s[2] < 0.5 and s[4] == s[5] < 0.5
+    assert s[1] > 4 * s[2] and s[3] > 0.5 and s[2] < 0.5 and s[4] == s[5] < 0.5
     odd = toxicity.keep_clean(docs, model)
     assert odd.columns == docs.columns and odd.count() == docs.count()
 
@@ -597,3 +597,17 @@ def test_pipeline_stages(spark, real, tmp_path):
     bench = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = [r.text for r in at.collect()]
     assert len(set(texts)) == len(texts) and not any(b in t for b in bench for t in texts)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, real, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, DATA), con.sql(queries.SQL[name])
+    cols = sorted(df.columns)
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(c) for c in cols]
+    assert collections.Counter(tuple(r[c] for c in cols) for r in df.collect()) == collections.Counter(tuple(r[i] for i in at) for r in rel.fetchall())
