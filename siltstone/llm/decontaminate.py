@@ -204,6 +204,7 @@ def matcher(index: Index):
 
     @F.pandas_udf(MATCH)
     def held(texts: pd.Series) -> pd.Series:
+        shared.begin("decontaminate")
         return pd.Series([index.matches(t) for t in texts], dtype=object)
 
     return held

@@ -15,8 +15,8 @@ from the same weights, and rows of weights are averaged over shards by how often
 they were updated; ``ROUNDS`` rounds, each over its own part of the documents, so
 every training token is used once. Scoring is a forward pass in NumPy batches.
 
-Counts cover all training tokens. The ``KNOWN`` most frequent words travel with
-the model; what else a document holds is joined to the counts in the engine, row
+Counts cover all training tokens. The most frequent words, ``KNOWN`` at most, travel
+with the model; what else a document holds is joined to the counts in the engine, row
 by row, so the vocabulary is never gathered. A word is known by 58 bits of
 XXH64 and its class by the other 6.
 
@@ -65,6 +65,7 @@ class Ids(dict):
 
 
 IDS = Ids()
+shared.remembers(IDS.clear, "lm")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,8 +151,17 @@ class Vocabulary:
 
 
 def vocabulary(table: DataFrame) -> Vocabulary:
-    top = table.orderBy(F.desc("c"), "id").limit(KNOWN).toPandas()
-    ids, c = top["id"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    size = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r.size, r.n) for r in table.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a few hundred
+    least, n = None, 0
+    for own_size, words in sizes:
+        n += words
+        if n > KNOWN:
+            break
+        least = own_size
+    top = table.filter(size >= least).toPandas() if least is not None else table.limit(0).toPandas()
+    order = np.lexsort((top["id"].to_numpy(np.int64), -top["c"].to_numpy(np.int64)))
+    ids, c = top["id"].to_numpy(np.int64)[order], top["c"].to_numpy(np.int64)[order]
     own = ids[:OWN]
     per = table.groupBy(F.col("id").bitwiseAND(F.lit(SUFFIXES - 1)).alias("k")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count("*").alias("words")).toPandas()
     n, once = np.zeros(SUFFIXES), np.zeros(SUFFIXES)

@@ -85,6 +85,22 @@ def open_file(path: str):
     return fs.open_input_file(at)
 
 
+#: What a Python worker remembers between tasks: the modules that use it, and how to forget it.
+_MEMORIES: list[tuple[frozenset[str], Callable[[], None]]] = []
+
+
+def remembers(forget: Callable[[], None], *users: str) -> None:
+    _MEMORIES.append((frozenset(users), forget))
+
+
+def begin(user: str) -> None:
+    """A worker turns to work of module ``user``: what only others use is forgotten, so
+    that operators which follow each other do not add up their memories."""
+    for users, forget in _MEMORIES:
+        if user not in users:
+            forget()
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
@@ -94,8 +110,11 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
     {name: values}; values may be lists or NumPy arrays."""
     ship(df.sparkSession)
     arrow = to_arrow_schema(schema_of(ddl))
+    user = fn.__module__.rpartition(".")[2]
 
     def run(batches):
+        begin(user)
+
         def columns():
             for b in batches:
                 if b.num_rows:

@@ -88,7 +88,9 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     sizes = shared.staged(parts.groupBy("seg", "val").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "simhash-sizes")
 
     width = F.element_at(F.lit([w for _, w in cut]), F.col("seg") + 1)
-    variants = sizes.select("seg", "val", "blocks", F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
+    # dealt anew, for each row becomes as many as its segment has bits
+    parts_ = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = sizes.repartition(parts_).select("seg", "val", "blocks", F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
     bit = F.expr("shiftleft(1L, pos)")
     masked = variants.select("seg", "pos", "blocks", "val", F.col("val").bitwiseAND(F.bitwise_not(bit)).alias("rest"))
     near = (

@@ -14,12 +14,14 @@ import re
 
 import numpy as np
 
+from . import shared
+
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: Marks a text's first word, which no blank precedes, among the parts of an even text.
 FIRST = "\t"
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: Pieces remembered by a process; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBER = 1_000_000
+REMEMBER = 800_000
 STOPS = ".,"
 SPECIAL_END = 2
 
@@ -56,6 +58,9 @@ def encoder(path: str) -> "Encoder":
     return Encoder(path)
 
 
+shared.remembers(encoder.cache_clear, "packing", "token_shards", "token_counts")
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 

@@ -38,7 +38,7 @@ GAPS, DECAY, FLOOR = 2, 0.5, 0.4
 LANDMARKS, FIT_TOXIC, FIT_CLEAN = 128, 2000, 4000
 #: Least log-likelihood ratio of a landmark: rarer words in toxic texts can be chance.
 CERTAIN = 15.0
-WIDTH, REMEMBER = 24, 600_000
+WIDTH, REMEMBER = 24, 400_000
 SPACED = re.compile(r"(?<!\S)(?:\S[^\w\s]?\s+){2,}\S[^\w\s]*(?!\S)")
 #: Positions of a subsequence's second and third character behind the first, and how many are skipped.
 SHAPES = [(a, b, b - 2) for b in range(2, 3 + GAPS) for a in range(1, b)]
@@ -290,11 +290,15 @@ def _landmarks(words: tuple[str, ...]) -> Landmarks:
     return Landmarks(list(words))
 
 
+shared.remembers(_landmarks.cache_clear, "toxicity")
+
+
 def scorer(model: Model):
     """A column function: the score of a text column."""
 
     @F.pandas_udf("double")
     def toxic_score(texts: pd.Series) -> pd.Series:
+        shared.begin("toxicity")
         return pd.Series(model.score(_landmarks(tuple(model.landmarks)).of(texts.tolist())), dtype="float64")
 
     return toxic_score
