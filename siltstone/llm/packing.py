@@ -4,7 +4,8 @@ A piece's length is all that packing needs to know of it, and lengths are whole
 numbers up to the bin's size. So bins are planned on the histogram of lengths
 (at most ``size`` numbers, whatever the corpus): a bin takes the longest piece
 left, is filled greedily by the longest that fits, and then its smallest piece
-gives way to two unpacked ones if these fill the widened gap more tightly. A plan
+gives way to two unpacked ones if these fill the widened gap more tightly. Pieces
+of up to a sixth of a bin are kept for last and go where they fit best. A plan
 that can be repeated is repeated at once. Pieces then take their places by rank
 among those of their length; full pieces need no rank.
 
@@ -42,9 +43,14 @@ def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
     """Bins for ``counts`` pieces of each length: (how many bins, their lengths, longest first)."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    if left and (min(left) < 1 or max(left) > size):
+    counts = {n: c for n, c in counts.items() if c > 0}
+    if counts and (min(counts) < 1 or max(counts) > size):
         raise ValueError("a length is below 1 or above the size of a bin")
+    plans = _two_fit({n: c for n, c in counts.items() if n > size // 6}, size)
+    return _fill(plans, {n: c for n, c in counts.items() if n <= size // 6}, size)
+
+
+def _two_fit(left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
     have = sum(1 << n for n in left)
     plans = []
 
@@ -87,6 +93,39 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]
     return plans
 
 
+def _fill(plans: list[tuple[int, list[int]]], small: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """The small pieces, longest first, each in a bin with the least gap that holds it."""
+    by_gap: dict[int, list[tuple[int, list[int]]]] = {}
+    gaps = 0
+
+    def put(times: int, bin_: list[int]) -> None:
+        nonlocal gaps
+        gap = size - sum(bin_)
+        by_gap.setdefault(gap, []).append((times, bin_))
+        gaps |= 1 << gap
+
+    for times, bin_ in plans:
+        put(times, bin_)
+    for n in sorted(small, reverse=True):
+        c = small[n]
+        while c:
+            fit = gaps >> n
+            if not fit:
+                put(c // (size // n), [n] * (size // n)) if c >= size // n else put(1, [n] * c)
+                c = c % (size // n) if c >= size // n else 0
+                continue
+            gap = n + (fit & -fit).bit_length() - 1
+            times, bin_ = by_gap[gap].pop()
+            if not by_gap[gap]:
+                gaps &= ~(1 << gap)
+            used = min(times, c)
+            if times > used:
+                put(times - used, bin_)
+            put(used, [*bin_, n])
+            c -= used
+    return [p for own in by_gap.values() for p in own]
+
+
 def places(plans: list[tuple[int, list[int]]]) -> np.ndarray:
     """Rows (length, first rank, how many a bin, first bin, offset), sorted: of the
     pieces of a length, those from ``first rank`` on lie in these bins."""
