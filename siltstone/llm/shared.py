@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..session import ship
 
+#: Of an Arrow batch, about so many bytes are Python objects at a time.
+PIECE_BYTES = 8 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -116,8 +118,10 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
         begin(user)
 
         def columns():
-            for b in batches:
-                if b.num_rows:
+            for whole in batches:
+                step = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
                     yield {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}
 
         for out in fn(columns()):

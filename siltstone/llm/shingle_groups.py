@@ -13,13 +13,15 @@ long enough to be selective (README has figures). So this mode of the operator
 
 Hot bands: a band value with many nodes is split into blocks whose pairs are
 separate tasks. A task estimates similarities from the minima and gives the
-edges of a spanning forest, most similar first; these are checked exactly. Then
-every pair that was a candidate and still lies in two groups is checked too, so
-no link is lost to the forest, and no group's pairs are ever listed as a whole.
+edges of a spanning forest, most similar first; these are checked exactly. Groups
+that a candidate pair still joins after that are gathered into clusters, whose
+nodes are compared exactly, all of different groups, in blocks: so no link is
+lost to the forest, and no group's pairs are ever listed.
 
 Defined results: null and empty texts are one group; a text shorter than a
 shingle is one shingle; null keys are grouped by their text and name no group
-while another key does; repeated rows are kept; an empty table gives no rows.
+while another key does; near_duplicates keeps repeated rows, keep_one one of
+them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 3
 BANDS, BAND, MINIMA = 10, 4, 64
 #: Estimates from 64 minima are within this of the truth but for 1 in 500 pairs at the threshold.
 SLACK = 0.15
-BLOCK = 512
+BLOCK = 400
 _RNG = np.random.default_rng(20240229)
 FACTORS = (_RNG.integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -58,21 +60,25 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, words))
 
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("t"))
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """doc_id, node (a digest of the shingle set), fp, sig (minima), bands."""
+    """doc_id, th (a hash of the text), node (a digest of the shingle set), fp, sig (minima), bands."""
 
     def run(batches):
         for b in batches:
-            rows = shared.rows_buffer(["doc_id", "node", "fp", "sig", "bands"])
-            for k, t in zip(b["k"], b["t"]):
+            rows = shared.rows_buffer(["doc_id", "th", "node", "fp", "sig", "bands"])
+            for k, th, t in zip(b["k"], b["th"], b["t"]):
                 h = simhash.shingle_hashes(t, words)
                 own = np.unique(h)
                 m = minima(own)
                 node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                rows.add(k, node, simhash.fingerprint(h), m.tobytes(), bands(m) if len(own) else [])
+                rows.add(k, th, node, simhash.fingerprint(h), m.tobytes(), bands(m) if len(own) else [])
             yield rows.take()
 
-    return shared.map_columns(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, "doc_id long, node long, fp long, sig binary, bands array<long>")
+    return shared.map_columns(_keyed(docs, key, text), run, "doc_id long, th long, node long, fp long, sig binary, bands array<long>")
 
 
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -86,61 +92,108 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray)
     return np.array(kept, np.int64)
 
 
-def candidates(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
+def _block_pairs(members: DataFrame, by: list[str], limit: int, columns: list[str]) -> DataFrame:
+    """x, y: arrays of structs of ``columns``, for every two blocks of about ``limit`` members of a group (``n``
+    members), and for every block by itself (y is NULL)."""
+    blocks = members.withColumn("blocks", F.ceil(F.col("n") / limit).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = shared.staged(blocks.groupBy(*by, "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct(*columns)).alias("m")), "shingle-blocks")
+    own = blocks.select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
+    many = blocks.filter("blocks > 1")
+    pairs = many.filter("block < blocks - 1").select(*by, F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"))
+    left, right = many.select(*by, F.col("block").alias("i"), F.col("m").alias("x")), many.select(*by, F.col("block").alias("j"), F.col("m").alias("y"))
+    return own.unionByName(pairs.join(left, [*by, "i"]).join(right, [*by, "j"]).select("x", "y"))
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes with different ``label`` that share a band and may be similar
-    enough: of each block pair a spanning forest, or every pair."""
+    enough: of each block pair the most similar ones that join its labels (a spanning forest)."""
     entries = nodes.select("node", "label", F.posexplode("bands").alias("band", "value"))
     per = entries.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    per = per.filter("n > 1 AND lo <> hi").select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = entries.join(per, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(nodes.select("node", "sig"), "node")
-    blocks = shared.staged(placed.groupBy("band", "value", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "label", "sig")).alias("m")), "shingle-blocks")
-    one = blocks.filter("blocks = 1").select("band", F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
-    many = blocks.filter("blocks > 1")
-    pairs = many.select("band", "value", F.col("block").alias("i"), "blocks", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")).drop("blocks")
-    two = pairs.join(many.select("band", "value", F.col("block").alias("i"), F.col("m").alias("x")), ["band", "value", "i"]).join(many.select("band", "value", F.col("block").alias("j"), F.col("m").alias("y")), ["band", "value", "j"]).select("band", "x", "y")
+    per = per.filter("n > 1 AND lo <> hi").select("band", "value", "n")
+    placed = entries.join(per, ["band", "value"]).join(nodes.select("node", "sig"), "node")
     least = int(np.ceil((similarity - SLACK) * MINIMA))
 
     def run(batches):
         for b in batches:
             ea, eb = [], []
-            for band, x, y in zip(b["band"], b["x"], b["y"]):
-                m = x if y is None or x[0]["node"] == y[0]["node"] else x + y
+            for x, y in zip(b["x"], b["y"]):
+                m = x + (y or [])
                 node = np.array([v["node"] for v in m], np.int64)
                 label = np.array([v["label"] for v in m], np.int64)
                 sig = np.frombuffer(b"".join([v["sig"] for v in m]), np.uint32).reshape(-1, MINIMA)
                 aa, bb, vv = [], [], []
-                for i in range(len(m) - 1):
-                    same = sig[i + 1 :] == sig[i]
-                    value = same.sum(axis=1)
-                    ok = (value >= least) & (label[i + 1 :] != label[i])
-                    if every and band:  # a pair is told by the first band that it shares
-                        ok &= ~same[:, : band * BAND].reshape(-1, band, BAND).all(axis=2).any(axis=1)
-                    j = np.flatnonzero(ok)
+                for i in range(len(m) - 1 if y is None else len(x)):
+                    first = i + 1 if y is None else len(x)
+                    value = (sig[first:] == sig[i]).sum(axis=1)
+                    j = np.flatnonzero((value >= least) & (label[first:] != label[i]))
                     aa.append(np.full(len(j), i))
-                    bb.append(j + i + 1)
+                    bb.append(j + first)
                     vv.append(value[j])
-                if not aa:
-                    continue
-                aa, bb, vv = np.concatenate(aa), np.concatenate(bb), np.concatenate(vv)
-                keep = slice(None) if every else _forest(label, aa, bb, vv)
-                ea += node[aa[keep]].tolist()
-                eb += node[bb[keep]].tolist()
+                if aa:
+                    aa, bb = np.concatenate(aa), np.concatenate(bb)
+                    keep = _forest(label, aa, bb, np.concatenate(vv))
+                    ea += node[aa[keep]].tolist()
+                    eb += node[bb[keep]].tolist()
             yield {"a": ea, "b": eb}
 
-    found = shared.map_columns(one.unionByName(two), run, "a long, b long")
+    found = shared.map_columns(_block_pairs(placed, ["band", "value"], BLOCK, ["node", "label", "sig"]), run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least the similarity; texts are (node, text)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def exact_links(x: list[dict], y: list[dict] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links (node, node) between x and y, or within x, that join labels: a spanning forest of those
+    whose sets have the similarity."""
+    m = x + (y or [])
+    label = np.unique([v["label"] for v in m], return_inverse=True)[1]
+    sets = [np.frombuffer(v["s"], np.uint64) for v in m]
+    size = np.array([len(v) for v in sets])
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    mark, out = np.zeros(int(at.max(initial=0)) + 1, np.int32), []
+    for i in range(len(m) - 1 if y is None else len(x)):
+        first = i + 1 if y is None else len(x)
+        if (label[first:] == label[i]).all():
+            continue
+        own = at[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[at[starts[first] :]], starts[first:-1] - starts[first])
+        mark[own] = 0
+        alike = np.flatnonzero((common >= similarity * (size[i] + size[first:] - common)) & (label[first:] != label[i])) + first
+        for other in np.unique(label[alike]).tolist():
+            out.append((m[i]["node"], m[int(alike[label[alike] == other][0])]["node"]))
+            label[label == other] = label[i]
+    return out
+
+
+def cluster_links(labelled: DataFrame, edges: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links between the labels that ``edges`` join, directly or through others."""
+    of = labelled.select("node", "label")
+    joined = edges.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    clusters = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")), "shingle-clusters")
+    members = shared.staged(of.join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label"), "shingle-members")
+    n = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = members.join(n, "cluster").join(sets_of(members.select("node")), "node")
+
+    def run(batches):
+        for b in batches:
+            found = [e for x, y in zip(b["x"], b["y"]) for e in exact_links(x, y, similarity)]
+            yield {"a": [e[0] for e in found], "b": [e[1] for e in found]}
+
+    return shared.map_columns(_block_pairs(placed, ["cluster"], BLOCK, ["node", "label", "s"]), run, "a long, b long")
+
 
-    def sets(batches):
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, s): the sorted shingle hashes of each text."""
+
+    def run(batches):
         for b in batches:
             yield {"node": b["node"], "s": [shingle_set(t, words).tobytes() for t in b["text"]]}
 
-    own = shared.staged(shared.map_columns(texts.join(needed, "node", "left_semi").select("node", "text"), sets, "node long, s binary"), "shingle-sets")
+    return shared.staged(shared.map_columns(texts, run, "node long, s binary"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (node, s) have at least the similarity."""
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
 
     def run(batches):
@@ -155,43 +208,51 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return shared.map_columns(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """A row a document: doc_id, component_id, the least doc_id of its group."""
+def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """A row a document: doc_id, th, root (its group)."""
     rows = shared.staged(signatures(docs, key, text, words), "shingle-signatures")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # one text stands for a node: that of the least key (null last), known by key and hash
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
+    nodes = rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = shared.staged(nodes.withColumn("label", F.col("node")), "shingle-nodes")
-    # one text of each node: the document with the node's least key
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = rows.join(nodes.select("node", "first"), "node").filter("doc_id <=> first").select("doc_id", "node").dropDuplicates(["node"])
+    texts = _keyed(docs, key, text)
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return texts.join(named.join(needed, "node", "left_semi"), texts.doc_id.eqNullSafe(named.doc_id)).select("node", "text").dropDuplicates(["node"])
+    def sets_of(needed: DataFrame) -> DataFrame:
+        chosen = nodes.join(needed.distinct(), "node", "left_semi").select("node", "least.doc_id", F.col("least.th").alias("of"))
+        found = texts.join(chosen, texts.k.eqNullSafe(chosen.doc_id) & (texts.th == chosen.of)).select("node", F.col("t").alias("text"))
+        return shingle_sets(found.dropDuplicates(["node"]), words)
 
     near = simhash.links(nodes.select("fp").distinct(), MAX_BITS)
     same = nodes.groupBy("fp").agg(F.min("node").alias("other"))
     by_bits = near.join(same.select(F.col("fp").alias("a"), F.col("other").alias("na")), "a").join(same.select(F.col("fp").alias("b"), F.col("other").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     by_bits = by_bits.unionByName(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     by_bits = by_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared.staged(by_bits.unionByName(candidates(nodes, similarity, every=False)).distinct(), "shingle-pairs")
-    links = shared.staged(verified(pairs, texts_of(pairs), words, similarity), "shingle-links")
-    found = components(links, "shingle-components").select("node", F.col("root"))
+    pairs = shared.staged(by_bits.unionByName(candidates(nodes, similarity)).distinct(), "shingle-pairs")
+    links = shared.staged(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
+    found = components(links, "shingle-components")
     labelled = nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rest = shared.staged(candidates(labelled, similarity, every=True).join(pairs, ["a", "b"], "left_anti"), "shingle-rest")
-    more = verified(rest, texts_of(rest), words, similarity)
-    links = links.unionByName(shared.staged(more, "shingle-more"))
+    labelled = shared.staged(labelled, "shingle-labelled")
+    # a refuted pair of two nodes that are in no group needs no second look
+    joined = found.select("node").distinct()
+    alone = pairs.join(joined.withColumnRenamed("node", "a"), "a", "left_anti").join(joined.withColumnRenamed("node", "b"), "b", "left_anti")
+    rest = shared.staged(candidates(labelled, similarity).join(alone, ["a", "b"], "left_anti"), "shingle-rest")
+    links = links.unionByName(shared.staged(cluster_links(labelled, rest, sets_of, similarity), "shingle-more"))
     found = components(links, "shingle-components")
-    linked = found.join(nodes.select("node", "first"), "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    final = nodes.select("node", "first").join(linked.join(least, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(final, "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """A row a document: doc_id, component_id, the least doc_id of its group."""
+    rows = shared.staged(grouped(docs, key, text, words, similarity), "shingle-groups")
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group: that with its least key; of rows that repeat a key, one of
-    them. Rows without a key are kept as one a group that has no key at all."""
-    group = near_duplicates(docs, key, text, words, similarity).filter("doc_id <=> component_id").select("doc_id").distinct()
-    mine, theirs = shared.free_name(docs.columns, "_key"), shared.free_name(docs.columns, "_group")
-    own = docs.withColumn(mine, F.col(key).cast("long"))
-    kept = own.join(group.withColumnRenamed("doc_id", theirs), F.col(mine).eqNullSafe(F.col(theirs)), "left_semi")
-    return kept.dropDuplicates([mine]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group: that with its least key (null last); of rows that repeat key and text, one."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
+    kept = grouped(docs, key, text, words, similarity).groupBy("root").agg(least.alias("l"))
+    mine, hash_ = (shared.free_name(docs.columns, n) for n in ("_key", "_hash"))
+    kept = shared.staged(kept.select(F.col("l.doc_id").alias("doc_id"), F.col("l.th").alias("th")), "shingle-kept")
+    own = docs.withColumn(mine, F.col(key).cast("long")).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    own = own.join(kept, F.col(mine).eqNullSafe(kept.doc_id) & (F.col(hash_) == kept.th), "left_semi")
+    return own.dropDuplicates([mine, hash_]).select(*[F.col(f"`{c}`") for c in docs.columns])

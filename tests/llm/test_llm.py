@@ -281,6 +281,7 @@ def test_near_copies_are_grouped_and_others_are_not(spark, monkeypatch):
     kept = shingle_groups.keep_one(df.withColumn("node", F.lit(1)).withColumn("_group", F.lit("z")))
     assert kept.columns == ["doc_id", "text", "node", "_group"]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({find(i) for i in sets})
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["lonely"]
     assert shingle_groups.near_duplicates(df.limit(0)).count() == 0
 
 
