@@ -24,9 +24,8 @@ def by_ranges(df: DataFrame, column: str, name: str, parts: int | None = None) -
 
 
 def average_precision(scored: DataFrame, n_gt: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """101-point interpolated AP of detections (by, score, image_id, det_id, tp 0 or 1) pooled over
-    images; ``n_gt`` has one row, n_gt."""
-    scored = by_ranges(scored, "score", "range")
+    """101-point interpolated AP of detections (by, score, image_id, det_id, tp 0 or 1, and the range of
+    the score, see by_ranges) pooled over images; ``n_gt`` has one row, n_gt."""
     per = scored.groupBy(*by, "range").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
     above = W.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
     per = per.select(*by, "range", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("k0"))
@@ -50,7 +49,8 @@ def coco_ap(dets: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS
     pairs = matching.box_pairs(dets, gt).filter(F.col("iou") >= min(thresholds))
     each = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
     won = matching.greedy_match(each, min(thresholds), ("threshold", "image_id")).select("threshold", "image_id", "det_id", F.lit(1).alias("tp"))
-    grid = dets.select("image_id", "det_id", "score").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    ranged = by_ranges(dets.select("image_id", "det_id", "score"), "score", "range")  # before the matches, which are not computed for it
+    grid = ranged.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     scored = grid.join(won, ["threshold", "image_id", "det_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     found = average_precision(scored, gt.agg(F.count("*").alias("n_gt")), ("threshold",))
     all_ = scored.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
