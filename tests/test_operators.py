@@ -276,3 +276,42 @@ def test_configurations(tmp_path):
     assert runs.overridden({"a": {"b": 1}}, ["a.b=2", "c=x"]) == {"a": {"b": 2}, "c": "x"}
     (tmp_path / "a.json").write_text(json.dumps({"run_name": "r", "sweep": {"x": [1, 0]}}))
     assert runs.run_folder(str(tmp_path), lambda n, c: 1 / c["x"]) == {"r__x=1": None, "r__x=0": "ZeroDivisionError: division by zero"}
+
+
+def two_squares():
+    """Red squares at [20:40, 20:40] and [80:100, 80:100], a blue one at [20:40, 80:100]."""
+    image = np.full((128, 128, 3), 120, np.uint8)
+    image[20:40, 20:40] = image[80:100, 80:100] = (220, 30, 30)
+    image[20:40, 80:100] = (30, 30, 220)
+    return image
+
+
+def test_one_pass_finds_both_red_squares(spark):
+    from siltstone.operators.backbone import MockBackbone, embed
+    from siltstone.plans import single_pass
+
+    b, image = MockBackbone(), two_squares()
+    x, cls = b(image)
+    assert x.shape == (16, 16, 32) and np.linalg.norm(cls) == pytest.approx(1)
+    bank = x[3:4, 3]
+    df = spark.createDataFrame([(5, 128, 128, bytearray(image.tobytes()))], "image_id long, height long, width long, pixels binary")
+    rows = single_pass.run(df, bank, b, tau=0.8, least_area=2).collect()
+    boxes = sorted((r.y0, r.y1, r.x0, r.x1) for r in rows)
+    assert len(boxes) == 2 and all(abs(u - v) <= 8 for p, q in zip(boxes, [(20, 40, 20, 40), (80, 100, 80, 100)]) for u, v in zip(p, q))
+    got = {(r.r, r.c): r.feat for r in embed(df, b).collect()}
+    assert len(got) == 256 and np.allclose(got[3, 3], x[3, 3])
+
+
+def test_refinement_narrows_and_stops():
+    from siltstone.plans import single_pass
+
+    image = np.zeros((128, 128), int)
+    image[40:90, 30:80] = 1
+    crops = single_pass.refine(image, lambda crop: crop > 0)
+    assert crops[0] == (0, 128, 0, 128) and crops[1] == (37, 93, 27, 83) and len(crops) >= 2
+    lost = np.zeros((128, 128), bool)
+    lost[0, 0] = True
+    assert len(single_pass.refine(image, lambda crop: crop > 0, [lost])) == 1
+    m = np.eye(2, dtype=bool)
+    assert single_pass.upsample(m, 4, 4)[:2, :2].all() and not single_pass.upsample(m, 4, 4)[:2, 2:].any() and single_pass.upsample(m, 4, 4, True)[0, 0]
+    assert single_pass.foreground_box(np.zeros((2, 2), bool), (0, 4, 0, 4)) is None
