@@ -31,6 +31,8 @@ MAGIC = b"TOKSHRD1"
 HEADER = struct.Struct("<8s32sB7x")
 FOOTER = struct.Struct("<QQ8s")
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 1500, 20_000, 65_536
+#: Pieces of text that a process remembers with their ids.
+REMEMBER = 1_200_000
 #: Documents that are encoded together.
 GROUP = 256
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
@@ -134,7 +136,7 @@ def sample_dictionary(docs: DataFrame, key: str, text: str, tokenizer: str) -> b
 
 def _serialized(tokenizer: str):
     def run(batches):
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, REMEMBER)
         kind = "<u2" if id_width(e.tokenizer.get_vocab_size()) == 2 else "<u4"
         for b in batches:
             yield {"ids": [np.frombuffer(i, "<u4").astype(kind).tobytes() for i in e.encode_all(b["t"])]}
@@ -154,7 +156,7 @@ def write_token_shards(docs: DataFrame, folder: str, key: str = "doc_id", text:
         first = next(batches, None)
         if first is None:
             return
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, REMEMBER)
         shard = TaskContext.get().partitionId()
         w = ShardWriter(dictionary, id_width(max(e.tokenizer.get_vocab_size(), end_id + 1)))
         path = f"{folder}/shard-{shard:06d}.tok"

@@ -20,7 +20,7 @@ PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: Marks a text's first word, which no blank precedes, among the parts of an even text.
 FIRST = "\t"
 ODD_SPACE = re.compile(r"[^\S \n]")
-#: Pieces remembered by a process; beyond it the memory starts anew. It bounds memory, not results.
+#: Pieces remembered by a process; beyond it no more are kept (spans start anew). It bounds memory, not results.
 REMEMBER = 800_000
 STOPS = ".,"
 SPECIAL_END = 2
@@ -54,8 +54,8 @@ def default_tokenizer() -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> "Encoder":
-    return Encoder(path)
+def encoder(path: str, remember: int = REMEMBER) -> "Encoder":
+    return Encoder(path, remember)
 
 
 shared.remembers(encoder.cache_clear, "packing", "token_shards", "token_counts")
@@ -64,13 +64,13 @@ shared.remembers(encoder.cache_clear, "packing", "token_shards", "token_counts")
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.remember, self.known = remember, {}
         self.spans: dict[str, tuple[bytes, bytes]] = {}
         self.known_lead, *stops = self._ids(["\n", *STOPS])
         self.stops = dict(zip(STOPS, stops))
@@ -109,7 +109,7 @@ class Encoder:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of parts not known yet, remembered while there is room; a part is put
         together from its word and its stop where it ends in one."""
-        into = self.known if len(self.known) < REMEMBER else {}
+        into = self.known if len(self.known) < self.remember else {}
         pieces = {p: _parts(_piece(p)) for p in new}
         words = {w for _, w, _ in pieces.values()}
         plain = [w for w in words if "\n" not in w and not w[-1].isspace()]
@@ -139,7 +139,7 @@ class Encoder:
         spans = self.spans
         new = {p for p in pieces if p not in spans}
         if new:
-            if len(spans) > REMEMBER // 2:
+            if len(spans) > self.remember // 2:
                 spans.clear()
                 new = set(pieces)
             self._learn_spans(list(new))
