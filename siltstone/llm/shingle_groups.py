@@ -232,10 +232,13 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     found = components(links, "shingle-components")
     labelled = nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = shared.staged(labelled, "shingle-labelled")
-    # a refuted pair of two nodes that are in no group needs no second look
-    joined = found.select("node").distinct()
+    # a refuted pair needs no second look if it is a whole cluster: both in no group and with no other candidate;
+    # any other stands for pairs that the forest left out
+    rest = shared.staged(candidates(labelled, similarity), "shingle-rest")
+    more = rest.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    joined = shared.staged(found.select("node").unionByName(more).distinct(), "shingle-joined")
     alone = pairs.join(joined.withColumnRenamed("node", "a"), "a", "left_anti").join(joined.withColumnRenamed("node", "b"), "b", "left_anti")
-    rest = shared.staged(candidates(labelled, similarity).join(alone, ["a", "b"], "left_anti"), "shingle-rest")
+    rest = rest.join(alone, ["a", "b"], "left_anti")
     links = links.unionByName(shared.staged(cluster_links(labelled, rest, sets_of, similarity), "shingle-more"))
     found = components(links, "shingle-components")
     return rows.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
