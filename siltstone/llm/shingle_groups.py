@@ -14,9 +14,10 @@ long enough to be selective (README has figures). So this mode of the operator
 Hot bands: a band value with many nodes is split into blocks whose pairs are
 separate tasks. A task estimates similarities from the minima and gives the
 edges of a spanning forest, most similar first; these are checked exactly. Groups
-that a candidate pair still joins after that are gathered into clusters, whose
-nodes are compared exactly, all of different groups, in blocks: so no link is
-lost to the forest, and no group's pairs are ever listed.
+that a shared band still joins after that, whatever the estimate, are gathered
+into clusters, whose nodes are compared exactly, all of different groups, in
+blocks: so no link is lost to the forest or to an estimate, and no group's pairs
+are ever listed.
 
 Defined results: null and empty texts are one group; a text shorter than a
 shingle is one shingle; null keys are grouped by their text and name no group
@@ -36,7 +37,7 @@ from .components import components
 
 WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 3
 BANDS, BAND, MINIMA = 10, 4, 64
-#: Estimates from 64 minima are within this of the truth but for 1 in 500 pairs at the threshold.
+#: Estimates from 64 minima are within this of the truth but for 1 in 500 pairs at the threshold; clusters hold those too.
 SLACK = 0.15
 BLOCK = 400
 _RNG = np.random.default_rng(20240229)
@@ -83,12 +84,14 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Of the edges (a, b), most valued first, those that join two labels."""
-    label, kept = label.copy(), []
+    label, kept, most = label.copy(), [], len(np.unique(label)) - 1
     for e in np.argsort(-value, kind="stable").tolist():
         x, y = label[a[e]], label[b[e]]
         if x != y:
             label[label == max(x, y)] = min(x, y)
             kept.append(e)
+            if len(kept) == most:
+                break
     return np.array(kept, np.int64)
 
 
@@ -104,14 +107,12 @@ def _block_pairs(members: DataFrame, by: list[str], limit: int, columns: list[st
     return own.unionByName(pairs.join(left, [*by, "i"]).join(right, [*by, "j"]).select("x", "y"))
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes with different ``label`` that share a band and may be similar
-    enough: of each block pair the most similar ones that join its labels (a spanning forest)."""
+def candidates(nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different ``label`` that share a band and at least ``least`` minima: of each block pair the most similar ones that join its labels (a spanning forest)."""
     entries = nodes.select("node", "label", F.posexplode("bands").alias("band", "value"))
     per = entries.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     per = per.filter("n > 1 AND lo <> hi").select("band", "value", "n")
     placed = entries.join(per, ["band", "value"]).join(nodes.select("node", "sig"), "node")
-    least = int(np.ceil((similarity - SLACK) * MINIMA))
 
     def run(batches):
         for b in batches:
@@ -227,14 +228,14 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     by_bits = near.join(same.select(F.col("fp").alias("a"), F.col("other").alias("na")), "a").join(same.select(F.col("fp").alias("b"), F.col("other").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     by_bits = by_bits.unionByName(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     by_bits = by_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared.staged(by_bits.unionByName(candidates(nodes, similarity)).distinct(), "shingle-pairs")
+    pairs = shared.staged(by_bits.unionByName(candidates(nodes, int(np.ceil((similarity - SLACK) * MINIMA)))).distinct(), "shingle-pairs")
     links = shared.staged(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
     found = components(links, "shingle-components")
     labelled = nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = shared.staged(labelled, "shingle-labelled")
     # a refuted pair needs no second look if it is a whole cluster: both in no group and with no other candidate;
     # any other stands for pairs that the forest left out
-    rest = shared.staged(candidates(labelled, similarity), "shingle-rest")
+    rest = shared.staged(candidates(labelled, 0), "shingle-rest")
     more = rest.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     joined = shared.staged(found.select("node").unionByName(more).distinct(), "shingle-joined")
     alone = pairs.join(joined.withColumnRenamed("node", "a"), "a", "left_anti").join(joined.withColumnRenamed("node", "b"), "b", "left_anti")

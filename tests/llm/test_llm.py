@@ -301,6 +301,20 @@ def test_refuted_pairs_hide_no_link(spark):
     assert len(alike) == 40 and {(a, b) for a in got for b in got if a < b and got[a] == got[b]} == alike
 
 
+def test_the_estimate_loses_no_link(spark, monkeypatch):
+    """Pairs that share a band are linked though no estimate reaches what makes a candidate."""
+    monkeypatch.setattr(shingle_groups, "SLACK", -1.0)
+    rng, rows = random.Random(9), []
+    for i in range(30):
+        base = words_text(rng, 200)
+        for k in range(2 + i % 2):
+            t = list(base)
+            t[10 + 40 * k : 16 + 40 * k] = words_text(rng, 6)
+            rows.append((3 * i + k, " ".join(t)))
+    got = {r.doc_id: r.component_id for r in shingle_groups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 3 for k, _ in rows}
+
+
 # --- language model
 
 
