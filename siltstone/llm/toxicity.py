@@ -66,10 +66,10 @@ def words_of(text: str) -> set[str]:
 
 
 def in_context(text: str) -> set[tuple[str, int]]:
-    """A text's words, each with a hash of the words around it."""
+    """A text's words, each with a hash of the words around it; of very long ones, their parts."""
     w = ["", *text.lower().split(), ""]
-    out = {(windows(w[i])[0], zlib.crc32(f"{w[i - 1]} {w[i + 1]}".encode("utf-8", "surrogatepass"))) for i in range(1, len(w) - 1)}
-    out.update(("".join(m[0].split()), m.start()) for m in SPACED.finditer(text.lower()))
+    out = {(p, zlib.crc32(f"{w[i - 1]} {w[i + 1]}".encode("utf-8", "surrogatepass"))) for i in range(1, len(w) - 1) for p in windows(w[i])}
+    out.update((p, m.start()) for m in SPACED.finditer(text.lower()) for p in windows("".join(m[0].split())))
     return out
 
 

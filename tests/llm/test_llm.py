@@ -576,6 +576,15 @@ def test_bounds_lose_no_near_word():
         assert np.abs(want - row).max() < 1e-4
 
 
+def test_long_words_and_letter_runs_are_evidence_in_all_parts():
+    long = "x" * 30 + "worthless"
+    letters = "youworthlessidiotandmoronandscumbag"
+    found = {w for w, _ in toxicity.in_context(f"an {long} be {' '.join(letters)}")}
+    assert set(toxicity.windows(long)) <= found and any("worthless" in w for w in toxicity.windows(long))
+    assert set(toxicity.windows(letters)) <= found and max(map(len, found)) <= toxicity.WIDTH
+    assert all(toxicity.vector(w) for w in found)
+
+
 def toxic_table(spark, n=400):
     rng = random.Random(6)
     filler = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(900)]
