@@ -19,6 +19,7 @@ component's least key; repeated rows are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -33,21 +34,41 @@ SEED = 42
 BLOCK = 2048
 #: Shingles whose bits are summed at once.
 SUMMED = 1 << 16
+#: Bytes of a text whose words are Python objects at once, about.
+SLICE = 1 << 20
+SPACE = re.compile(rb"[ \x09-\x0d]")
+#: Fingerprints that more than one in so many rows share are joined by broadcast: there are fewer than that.
+HOT = 4096
+
+
+def _sliced(data: bytes):
+    """Parts of about SLICE bytes, cut at white space."""
+    at = 0
+    while len(data) - at > SLICE:
+        cut = SPACE.search(data, at + SLICE)
+        if not cut:
+            break
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:] if at else data
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 of every ``words``-word shingle, repeats included; of a shorter text, of the
     whole. A-Z are lower-cased, and ASCII white space separates words."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(w)
-    if len(w) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = list(accumulate(map(len, w), lambda a, n: a + 1 + n))
-    starts = [0, *[e + 1 for e in ends[:-words]]]
-    h = xxhash.xxh64_intdigest
-    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], np.uint64)
+    h, out, w = xxhash.xxh64_intdigest, [], []
+    for part in _sliced((text or "").encode("utf-8", "surrogatepass").lower()):
+        w = w + part.split() if w else part.split()
+        if len(w) < words:
+            continue
+        joined = b" ".join(w)
+        ends = list(accumulate(map(len, w), lambda a, n: a + 1 + n))
+        starts = [0, *[e + 1 for e in ends[:-words]]]
+        out.append(np.array([h(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
+        w = w[len(w) - words + 1 :]
+    if out:
+        return out[0] if len(out) == 1 else np.concatenate(out)
+    return np.array([h(b" ".join(w), SEED)] if w else [], np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -90,14 +111,14 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     width = F.element_at(F.lit([w for _, w in cut]), F.col("seg") + 1)
     # dealt anew, for each row becomes as many as its segment has bits
     parts_ = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = sizes.repartition(parts_).select("seg", "val", "blocks", F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
+    variants = sizes.repartition(parts_).select("seg", "val", F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
     bit = F.expr("shiftleft(1L, pos)")
-    masked = variants.select("seg", "pos", "blocks", "val", F.col("val").bitwiseAND(F.bitwise_not(bit)).alias("rest"))
-    near = (
-        masked.groupBy("seg", "pos", "rest")
-        .agg(F.count("*").alias("k"), F.min("val").alias("va"), F.max("val").alias("vb"), F.min_by("blocks", "val").alias("na"), F.max_by("blocks", "val").alias("nb"))
-        .filter("k > 1")
-    )
+    held = F.when(F.col("val").bitwiseAND(bit) != 0, 2).otherwise(1).cast("byte")
+    masked = variants.select((F.col("seg") * 64 + F.col("pos")).cast("short").alias("code"), F.col("val").bitwiseAND(F.bitwise_not(bit)).alias("rest"), held.alias("held"))
+    # of the two values of a variant, which are there: neighbours are where both are
+    both = masked.groupBy("code", "rest").agg(F.bit_or("held").alias("held")).filter("held = 3")
+    both = both.select((F.col("code") / 64).cast("int").alias("seg"), F.col("rest").alias("va"), F.expr("rest | shiftleft(1L, code % 64)").alias("vb"))
+    near = both.join(sizes.select("seg", F.col("val").alias("va"), F.col("blocks").alias("na")), ["seg", "va"]).join(sizes.select("seg", F.col("val").alias("vb"), F.col("blocks").alias("nb")), ["seg", "vb"])
     across = near.select("seg", "va", "vb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), "nb").select("seg", "va", "vb", "ba", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"))
     inner = sizes.filter("n > 1").select("seg", F.col("val").alias("va"), F.col("val").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ba"), "blocks")
     inner = inner.select("seg", "va", "vb", "ba", F.explode(F.sequence(F.col("ba"), F.col("blocks") - 1)).alias("bb"))
@@ -149,12 +170,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """A row a document: doc_id, fp (signed 64 bits), component_id, the least doc_id
     that links of at most ``max_bits`` bits reach."""
     rows = shared.staged(fingerprints(docs, key, text, words), "simhash-fingerprints")
-    nodes = shared.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = shared.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     found = components(links(nodes.select("fp"), max_bits), "simhash-components")
     linked = found.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    named = nodes.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
+    named = shared.staged(named, "simhash-named")
+    # rows of a hot fingerprint stay where they are
+    hot = (nodes.agg(F.sum("n")).first()[0] or 0) / HOT
+    often = rows.join(F.broadcast(named.filter(F.col("n") > hot).select("fp", "component_id")), "fp", "left")
+    seldom = often.filter("component_id IS NULL").drop("component_id").join(named.filter(F.col("n") <= hot).select("fp", "component_id"), "fp", "left")
+    return often.filter("component_id IS NOT NULL").unionByName(seldom).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
