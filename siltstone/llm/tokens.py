@@ -3,7 +3,9 @@
 Text is cut before runs of blanks and line feeds, which are always borders
 between pre-tokens of such a tokenizer, so a piece encodes alone as it does in
 place. Pieces repeat, so a process keeps their ids; texts with any other white
-space are encoded in one go, because there a cut could split a run of it.
+space are encoded in one go, because there a cut could split a run of it, and so
+are texts that hold one of the tokenizer's added tokens ("<|endoftext|>"). These give
+their own id, as in the library, unless ``control`` is False: then they are plain text.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def default_tokenizer() -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, remember: int = REMEMBER) -> "Encoder":
-    return Encoder(path, remember)
+def encoder(path: str, remember: int = REMEMBER, control: bool = True) -> "Encoder":
+    return Encoder(path, remember, control)
 
 
 shared.remembers(encoder.cache_clear, "packing", "token_shards", "token_counts")
@@ -64,12 +66,16 @@ shared.remembers(encoder.cache_clear, "packing", "token_shards", "token_counts")
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str, remember: int = REMEMBER, control: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not control
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if control or not t.special]
+        self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        if any(re.search(r"\s", t.content) or t.normalized and not t.special for t in added):
+            self.added = re.compile("")  # such a token could lie across pieces: all texts are encoded whole
         self.remember, self.known = remember, {}
         self.spans: dict[str, tuple[bytes, bytes]] = {}
         self.known_lead, *stops = self._ids(["\n", *STOPS])
@@ -86,7 +92,9 @@ class Encoder:
         """As encode, with one call of the library for what a group of texts has new."""
         get, cut, new = self.known.get, [], set()
         for t in texts:
-            if _even(t):  # a part is a word behind a blank, or a line feed and a word
+            if self.added and self.added.search(t):
+                parts = None
+            elif _even(t):  # a part is a word behind a blank, or a line feed and a word
                 parts = t.replace("\n", " \n").split(" ")
                 parts[0] = FIRST + parts[0]
             else:
@@ -131,7 +139,7 @@ class Encoder:
     def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and where each token starts and ends in ``text``, in characters. A
         token that holds part of a character's bytes spans that whole character."""
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.added and self.added.search(text):
             e = self.tokenizer.encode(text, add_special_tokens=False)
             at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
             return np.array(e.ids, dtype=np.uint32), at[:, 0], at[:, 1]
