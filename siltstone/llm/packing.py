@@ -4,14 +4,15 @@ A piece's length is all that packing needs to know of it, and lengths are whole
 numbers up to the bin's size. So bins are planned on the histogram of lengths
 (at most ``size`` numbers, whatever the corpus): a bin takes the longest piece
 left, is filled greedily by the longest that fits, and then its smallest piece
-gives way to two unpacked ones if these fill the widened gap more tightly. Pieces
-of up to a sixth of a bin are kept for last and go where they fit best. A plan
-that can be repeated is repeated at once. Pieces then take their places by rank
-among those of their length; full pieces need no rank.
+gives way to two unpacked ones if these fill the widened gap more tightly. This is
+done twice, first with the pieces longer than a sixth of a bin, then with the others,
+which go into the gaps that are left (narrowest first) and then into bins of their
+own. A plan that can be repeated is repeated at once. Pieces then take their places
+by rank among those of their length; full pieces need no rank.
 
 Defined results: a null text is empty (its end id alone); null keys are kept;
 rows with equal keys are packed each on its own (``row`` tells them apart);
-an empty table gives no rows. No piece is dropped and none is cut
+``pack`` replaces columns called sequence_id and offset; an empty table gives no rows. No piece is dropped and none is cut
 but those of documents longer than a bin.
 """
 
@@ -29,8 +30,10 @@ from . import shared
 from .tokens import SPECIAL_END, default_tokenizer, encoder
 
 SIZE = 1024
+#: Pieces of up to this part of a bin come second.
+SMALL = 6
 #: Pieces of one length and salt that are ranked together, about.
-RANKED = 50_000
+RANKED = 2_000
 
 
 def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
@@ -46,12 +49,14 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]
     counts = {n: c for n, c in counts.items() if c > 0}
     if counts and (min(counts) < 1 or max(counts) > size):
         raise ValueError("a length is below 1 or above the size of a bin")
-    plans = _two_fit({n: c for n, c in counts.items() if n > size // 6}, size)
-    return _fill(plans, {n: c for n, c in counts.items() if n <= size // 6}, size)
+    begun = _two_fit([], {n: c for n, c in counts.items() if n > size // SMALL}, size)
+    return _two_fit(begun, {n: c for n, c in counts.items() if n <= size // SMALL}, size)
 
 
-def _two_fit(left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+def _two_fit(begun: list[tuple[int, list[int]]], left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """Puts the pieces ``left`` into the bins ``begun``, those with the narrowest gap first, and into new ones."""
     have = sum(1 << n for n in left)
+    begun = sorted(begun, key=lambda p: (sum(p[1]), p[1]))
     plans = []
 
     def longest(limit: int) -> int:
@@ -64,13 +69,14 @@ def _two_fit(left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
         have = have | (1 << n) if left[n] else have & ~(1 << n)
 
     while have:
-        bin_, gap = [], size
+        times, old = begun.pop() if begun else (0, [])
+        new, gap = [], size - sum(old)
         while n := longest(gap):
             take(n)
-            bin_.append(n)
+            new.append(n)
             gap -= n
-        if gap and len(bin_) > 1:
-            small = bin_[-1]
+        if gap and new and len(old) + len(new) > 1:
+            small = new[-1]
             room, best = gap + small, (small, 0, 0)
             a = longest(room - 1)
             while a and 2 * a > best[0] and best[0] < room:
@@ -83,47 +89,16 @@ def _two_fit(left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
                 take(small, -1)
                 take(best[1])
                 take(best[2])
-                bin_ = [*bin_[:-1], best[1], best[2]]
-        need = Counter(bin_)
-        more = min(left[n] // k for n, k in need.items())
+                new = [*new[:-1], best[1], best[2]]
+        need = Counter(new)
+        more = min([left[n] // k for n, k in need.items()] + ([times - 1] if times else [])) if new else times - 1
         for n, k in need.items():
             if more:
                 take(n, k * more)
-        plans.append((1 + more, sorted(bin_, reverse=True)))
-    return plans
-
-
-def _fill(plans: list[tuple[int, list[int]]], small: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """The small pieces, longest first, each in a bin with the least gap that holds it."""
-    by_gap: dict[int, list[tuple[int, list[int]]]] = {}
-    gaps = 0
-
-    def put(times: int, bin_: list[int]) -> None:
-        nonlocal gaps
-        gap = size - sum(bin_)
-        by_gap.setdefault(gap, []).append((times, bin_))
-        gaps |= 1 << gap
-
-    for times, bin_ in plans:
-        put(times, bin_)
-    for n in sorted(small, reverse=True):
-        c = small[n]
-        while c:
-            fit = gaps >> n
-            if not fit:
-                put(c // (size // n), [n] * (size // n)) if c >= size // n else put(1, [n] * c)
-                c = c % (size // n) if c >= size // n else 0
-                continue
-            gap = n + (fit & -fit).bit_length() - 1
-            times, bin_ = by_gap[gap].pop()
-            if not by_gap[gap]:
-                gaps &= ~(1 << gap)
-            used = min(times, c)
-            if times > used:
-                put(times - used, bin_)
-            put(used, [*bin_, n])
-            c -= used
-    return [p for own in by_gap.values() for p in own]
+        plans.append((1 + more, sorted([*old, *new], reverse=True)))
+        if times > 1 + more:
+            begun.append((times - 1 - more, old))
+    return plans + begun
 
 
 def places(plans: list[tuple[int, list[int]]]) -> np.ndarray:
@@ -162,32 +137,33 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to rows with ``row``, ``piece`` and ``length`` (1 to ``size``)."""
-    pieces = shared.staged(pieces, "pieces")
+    pieces = shared.staged(pieces.drop("sequence_id", "offset"), "pieces")
     counts = {int(r.length): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     full = counts.pop(size, 0)
     runs = places(best_two_fit(counts, size))
     whole = pieces.filter(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.filter(F.col("length") < size)
     if not counts:
         return whole
-    salts = max(1, max(counts.values()) // RANKED)
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    starts = rest.groupBy("length", "salt").agg(F.count("*").alias("n")).select(F.col("length"), F.col("salt"), F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("row", "piece")) - 1
-    ranked = rest.withColumn("rank", rank.cast("long")).join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "salt")
+    rest = pieces.filter(F.col("length") < size)
+    salt, nth_, before = (shared.free_name(pieces.columns, n) for n in ("salt", "rank", "before"))
+    salts = F.element_at(F.lit([-(-counts.get(n, 1) // RANKED) for n in range(size)]), F.col("length").cast("int") + 1)
+    rest = rest.withColumn(salt, F.pmod(F.xxhash64("row", "piece"), salts))
+    ahead = F.sum("n").over(W.partitionBy("length").orderBy(salt).rowsBetween(W.unboundedPreceding, -1))
+    starts = rest.groupBy("length", salt).agg(F.count("*").alias("n")).select("length", salt, F.coalesce(ahead, F.lit(0)).alias(before))
+    rank = F.row_number().over(W.partitionBy("length", salt).orderBy("row", "piece")) - 1
+    ranked = rest.withColumn(nth_, rank.cast("long")).join(starts, ["length", salt]).withColumn(nth_, F.col(nth_) + F.col(before)).drop(before, salt)
     names = [*pieces.columns]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     index = runs[:, 0] * (1 << 44) + runs[:, 1]
 
     def run(batches):
         for b in batches:
-            n, rank = np.array(b["length"], dtype=np.int64), np.array(b["rank"], dtype=np.int64)
+            n, rank = np.array(b["length"], dtype=np.int64), np.array(b[nth_], dtype=np.int64)
             r = runs[np.searchsorted(index, n * (1 << 44) + rank, side="right") - 1]
             nth = rank - r[:, 1]
             yield {c: b[c] for c in names} | {"sequence_id": r[:, 3] + nth // r[:, 2], "offset": r[:, 4] + nth % r[:, 2] * n}
 
-    placed = shared.map_columns(ranked.select(*names, "rank"), run, f"{kinds}, sequence_id long, offset long")
+    placed = shared.map_columns(ranked.select(*names, nth_), run, f"{kinds}, sequence_id long, offset long")
     return placed.unionByName(whole) if full else placed
 
 
