@@ -7,6 +7,7 @@ names, because it is the only place that the driver and all executors see.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a folder of our own."""
+    """The cluster's checkpoint folder; where none is set (tests), a folder of our own, which only a local master can use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="siltstone-")
             spark.sparkContext.setCheckpointDir(_OWN[app])
@@ -54,6 +57,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that more than one in so many rows have are joined by broadcast: there are fewer than that.
+HOT = 4096
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has every ``key`` once and in ``n`` how many
+    of the rows have it. Rows of a hot key stay where they are."""
+    hot = (table.agg(F.sum(n)).first()[0] or 0) / HOT
+    mark = free_name([*rows.columns, *table.columns], "hot")
+    often = rows.join(F.broadcast(table.filter(F.col(n) > hot).drop(n).withColumn(mark, F.lit(True))), key, "left")
+    seldom = often.filter(F.col(mark).isNull()).select(*rows.columns).join(table.filter(F.col(n) <= hot).drop(n), key, "left")
+    return often.filter(F.col(mark)).drop(mark).unionByName(seldom)
+
+
 def is_local(path: str) -> bool:
     return "://" not in path and not path.startswith("file:")
 

@@ -8,16 +8,18 @@ long enough to be selective (README has figures). So this mode of the operator
 1. takes texts with equal shingle sets as one node;
 2. links nodes by SimHash within ``MAX_BITS`` bits (deletion variants, ``simhash``),
    and as candidates also nodes that share one of ``BANDS`` bands of ``BAND`` minima
-   of shingle hashes; at a similarity of 0.8, 99.5 % share one;
+   of shingle hashes; at a similarity of 0.8, all but 1 in 38,000 pairs share one;
 3. keeps the candidates whose exact similarity reaches the threshold.
 
-Hot bands: a band value with many nodes is split into blocks whose pairs are
-separate tasks. A task estimates similarities from the minima and gives the
-edges of a spanning forest, most similar first; these are checked exactly. Groups
-that a shared band still joins after that, whatever the estimate, are gathered
-into clusters, whose nodes are compared exactly, all of different groups, in
-blocks: so no link is lost to the forest or to an estimate, and no group's pairs
-are ever listed.
+Hot bands: a band value with many nodes is dealt into blocks. First each block is
+looked at by itself, dealt anew ``ROUNDS`` times: similarities are estimated from the
+minima, and the edges of a spanning forest, most similar first, are checked exactly,
+which takes work in proportion to the nodes and joins nearly all of a family of
+copies. What then still has different groups in one band value, whatever the
+estimate, is gathered into clusters, whose nodes are compared exactly, all of
+different groups and fitting sizes, in pairs of blocks: so no link is lost to the
+forest or to an estimate, no group's pairs are ever listed, and nodes of one group
+are not compared with each other.
 
 Defined results: null and empty texts are one group; a text shorter than a
 shingle is one shingle; null keys are grouped by their text and name no group
@@ -36,21 +38,22 @@ from . import shared, simhash
 from .components import components
 
 WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 3
-BANDS, BAND, MINIMA = 10, 4, 64
-#: Estimates from 64 minima are within this of the truth but for 1 in 500 pairs at the threshold; clusters hold those too.
+BANDS, BAND, MINIMA = 20, 4, 80
+#: Estimates from the minima are within this of the truth but for 1 in 1,000 pairs at the threshold; clusters hold those too.
 SLACK = 0.15
-BLOCK = 400
+BLOCK, ROUNDS = 400, 3
+#: Shingles of one unit of weight of a block.
+UNIT = 512
 _RNG = np.random.default_rng(20240229)
 FACTORS = (_RNG.integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least of each of MINIMA hashes (of the shingle hashes), 32 bits."""
-    out = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        out = np.minimum(out, ((part[None, :] * FACTORS[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1))
-    return out
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        out = np.minimum(out, (hashes[None, at : at + 2048] * FACTORS[:, None]).min(axis=1))
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def bands(m: np.ndarray) -> list[int]:
@@ -66,20 +69,20 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """doc_id, th (a hash of the text), node (a digest of the shingle set), fp, sig (minima), bands."""
+    """doc_id, th (a hash of the text), node (a digest of the shingle set), size (of that), fp, sig (minima), bands."""
 
     def run(batches):
         for b in batches:
-            rows = shared.rows_buffer(["doc_id", "th", "node", "fp", "sig", "bands"])
+            rows = shared.rows_buffer(["doc_id", "th", "node", "size", "fp", "sig", "bands"])
             for k, th, t in zip(b["k"], b["th"], b["t"]):
                 h = simhash.shingle_hashes(t, words)
                 own = np.unique(h)
                 m = minima(own)
                 node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                rows.add(k, th, node, simhash.fingerprint(h), m.tobytes(), bands(m) if len(own) else [])
+                rows.add(k, th, node, len(own), simhash.fingerprint(h), m.tobytes(), bands(m) if len(own) else [])
             yield rows.take()
 
-    return shared.map_columns(_keyed(docs, key, text), run, "doc_id long, th long, node long, fp long, sig binary, bands array<long>")
+    return shared.map_columns(_keyed(docs, key, text), run, "doc_id long, th long, node long, size int, fp long, sig binary, bands array<long>")
 
 
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -95,23 +98,39 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray)
     return np.array(kept, np.int64)
 
 
-def _block_pairs(members: DataFrame, by: list[str], limit: int, columns: list[str]) -> DataFrame:
-    """x, y: arrays of structs of ``columns``, for every two blocks of about ``limit`` members of a group (``n``
-    members), and for every block by itself (y is NULL)."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / limit).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = shared.staged(blocks.groupBy(*by, "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct(*columns)).alias("m")), "shingle-blocks")
-    own = blocks.select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
-    many = blocks.filter("blocks > 1")
-    pairs = many.filter("block < blocks - 1").select(*by, F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"))
-    left, right = many.select(*by, F.col("block").alias("i"), F.col("m").alias("x")), many.select(*by, F.col("block").alias("j"), F.col("m").alias("y"))
-    return own.unionByName(pairs.join(left, [*by, "i"]).join(right, [*by, "j"]).select("x", "y"))
-
-
-def candidates(nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes with different ``label`` that share a band and at least ``least`` minima: of each block pair the most similar ones that join its labels (a spanning forest)."""
-    entries = nodes.select("node", "label", F.posexplode("bands").alias("band", "value"))
-    per = entries.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    per = per.filter("n > 1 AND lo <> hi").select("band", "value", "n")
+def _block_pairs(members: DataFrame, by: list[str], limit: int, columns: list[str], salt: int | None = None) -> DataFrame:
+    """x, y: arrays of structs of ``columns``, for every block of about ``limit`` units of ``weight`` of the members
+    of a group with more than one label (y is NULL), and for every two blocks of a group that can hold members of different
+    labels and of sizes within a quarter. With a ``salt``, blocks are dealt by it and come by themselves only."""
+    own = members.groupBy(*by, "label").agg(F.sum("weight").alias("own")).withColumn("big", F.col("own") > limit)
+    rest = F.sum(F.when(F.col("big"), 0).otherwise(F.col("own")))
+    group = own.groupBy(*by).agg(F.sum("own").alias("all"), rest.alias("rest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    many = F.col("all") > limit
+    if salt is None:
+        placed = members.join(own.join(group, by), [*by, "label"])
+        tag, kind = F.when(F.col("big"), F.col("label")), F.when(many, F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1.25)))).otherwise(0)
+        weight = F.when(F.col("big"), F.col("own")).otherwise(F.col("rest"))
+    else:
+        placed = members.join(group.filter(many) if salt else group, by)
+        tag, kind, weight = F.lit(None).cast("long"), F.lit(0), F.col("all")
+    block = F.pmod(F.xxhash64("node", F.lit(salt or 0)), F.ceil(weight / limit)).cast("int")
+    blocks = placed.withColumn("tag", tag).withColumn("kind", kind.cast("int")).withColumn("block", block)
+    blocks = blocks.groupBy(*by, "tag", "kind", "block").agg(F.first(many).alias("many"), F.collect_list(F.struct(*columns)).alias("m"))
+    blocks = shared.staged(blocks.withColumn("id", F.monotonically_increasing_id()), "shingle-blocks")
+    alone = blocks.filter("tag IS NULL").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
+    if salt is not None:
+        return alone
+    ids = blocks.filter("many").select(*by, "tag", "kind", "id")
+    pairs = ids.join(ids.select(*by, F.col("tag").alias("tag2"), F.col("kind").alias("kind2"), F.col("id").alias("id2")), by)
+    pairs = pairs.filter("id < id2 AND abs(kind - kind2) <= 1 AND (tag IS NULL OR tag2 IS NULL OR tag <> tag2)").select("id", "id2")
+    return alone.unionByName(pairs.join(blocks.select("id", F.col("m").alias("x")), "id").join(blocks.select(F.col("id").alias("id2"), F.col("m").alias("y")), "id2").select("x", "y"))
+
+
+def candidates(nodes: DataFrame, least: int, salt: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes with different ``label`` that share a band and at least ``least`` minima: of each block or pair of blocks the most similar ones that join its labels (a spanning forest)."""
+    entries = nodes.select("node", "label", "size", F.lit(1).alias("weight"), F.posexplode("bands").alias("band", "value"))
+    per = entries.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    per = per.filter("lo <> hi").select("band", "value")
     placed = entries.join(per, ["band", "value"]).join(nodes.select("node", "sig"), "node")
 
     def run(batches):
@@ -137,7 +156,7 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
                     eb += node[bb[keep]].tolist()
             yield {"a": ea, "b": eb}
 
-    found = shared.map_columns(_block_pairs(placed, ["band", "value"], BLOCK, ["node", "label", "sig"]), run, "a long, b long")
+    found = shared.map_columns(_block_pairs(placed, ["band", "value"], BLOCK, ["node", "label", "sig"], salt), run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -168,12 +187,11 @@ def exact_links(x: list[dict], y: list[dict] | None, similarity: float) -> list[
 
 def cluster_links(labelled: DataFrame, edges: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Links between the labels that ``edges`` join, directly or through others."""
-    of = labelled.select("node", "label")
+    of = labelled.select("node", "label", "size")
     joined = edges.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
     clusters = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")), "shingle-clusters")
     members = shared.staged(of.join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label"), "shingle-members")
-    n = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    placed = members.join(n, "cluster").join(sets_of(members.select("node")), "node")
+    placed = members.withColumn("weight", F.greatest(F.lit(1), (F.col("size") / UNIT).cast("int"))).join(sets_of(members.select("node")), "node")
 
     def run(batches):
         for b in batches:
@@ -214,7 +232,8 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     rows = shared.staged(signatures(docs, key, text, words), "shingle-signatures")
     # one text stands for a node: that of the least key (null last), known by key and hash
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
-    nodes = rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    first = [F.first(c).alias(c) for c in ("size", "sig", "bands")]
+    nodes = rows.groupBy("node").agg(least.alias("least"), F.count("*").alias("n"), F.min("fp").alias("fp"), *first)
     nodes = shared.staged(nodes.withColumn("label", F.col("node")), "shingle-nodes")
     texts = _keyed(docs, key, text)
 
@@ -228,11 +247,17 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     by_bits = near.join(same.select(F.col("fp").alias("a"), F.col("other").alias("na")), "a").join(same.select(F.col("fp").alias("b"), F.col("other").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     by_bits = by_bits.unionByName(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     by_bits = by_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared.staged(by_bits.unionByName(candidates(nodes, int(np.ceil((similarity - SLACK) * MINIMA)))).distinct(), "shingle-pairs")
-    links = shared.staged(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
-    found = components(links, "shingle-components")
-    labelled = nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    labelled = shared.staged(labelled, "shingle-labelled")
+    least_ = int(np.ceil((similarity - SLACK) * MINIMA))
+    pairs, links, labelled = by_bits, None, nodes
+    for salt in range(ROUNDS):
+        new = candidates(labelled, least_, salt)
+        new = shared.staged(pairs.unionByName(new).distinct() if not salt else new, "shingle-pairs")
+        if salt and new.isEmpty():
+            break
+        good = shared.staged(verified(new, sets_of(new.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
+        pairs, links = (pairs.unionByName(new), links.unionByName(good)) if salt else (new, good)
+        found = components(links, "shingle-components")
+        labelled = shared.staged(nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "shingle-labelled")
     # a refuted pair needs no second look if it is a whole cluster: both in no group and with no other candidate;
     # any other stands for pairs that the forest left out
     rest = shared.staged(candidates(labelled, 0), "shingle-rest")
@@ -242,7 +267,8 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     rest = rest.join(alone, ["a", "b"], "left_anti")
     links = links.unionByName(shared.staged(cluster_links(labelled, rest, sets_of, similarity), "shingle-more"))
     found = components(links, "shingle-components")
-    return rows.select("doc_id", "th", "node").join(found, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    roots = shared.staged(nodes.select("node", "n").join(found, "node", "left"), "shingle-roots")
+    return shared.looked_up(rows.select("doc_id", "th", "node"), roots, "node", "n").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -37,8 +37,6 @@ SUMMED = 1 << 16
 #: Bytes of a text whose words are Python objects at once, about.
 SLICE = 1 << 20
 SPACE = re.compile(rb"[ \x09-\x0d]")
-#: Fingerprints that more than one in so many rows share are joined by broadcast: there are fewer than that.
-HOT = 4096
 
 
 def _sliced(data: bytes):
@@ -176,11 +174,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     named = nodes.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
     named = shared.staged(named, "simhash-named")
-    # rows of a hot fingerprint stay where they are
-    hot = (nodes.agg(F.sum("n")).first()[0] or 0) / HOT
-    often = rows.join(F.broadcast(named.filter(F.col("n") > hot).select("fp", "component_id")), "fp", "left")
-    seldom = often.filter("component_id IS NULL").drop("component_id").join(named.filter(F.col("n") <= hot).select("fp", "component_id"), "fp", "left")
-    return often.filter("component_id IS NOT NULL").unionByName(seldom).select("doc_id", "fp", "component_id")
+    return shared.looked_up(rows, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,13 @@ import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.llm import chat, chunking, decontaminate, lm, packing, queries, shared, shingle_groups, simhash, templates, token_counts, token_shards, tokens, toxicity, warc
 from siltstone.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
-ODD = ["", None, "a", " ", "\n\n \t", "Über  die Straße\r\n\r\nnach 中文 🙂", "x" * 5000, "the same text twice", "the same text twice", "</s>[INST] ok [/INST] <|end|> \\ \\\\"]
+ODD = ["", None, "a", " ", "\n\n \t", "Über  die Straße\r\n\r\nnach 中文 🙂", "x" * 5000, "the same text twice", "the same text twice", "</s>[INST] ok [/INST] <|end|> \\ \\\\", "one<|endoftext|> two <|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +42,11 @@ def real(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
+LIBRARY = Tokenizer.from_file(tokens.default_tokenizer())
+
+
 def library_ids(text):
-    e = tokens.encoder(tokens.default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False)
-    return np.array([*e.ids, 2], "<u4")
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 # --- tokens
@@ -54,10 +57,13 @@ def test_pieces_encode_as_whole_texts_do():
     alphabet = ["a", "b", " ", " ", "\n", ".", ",", "'s", "é", "\t", "\xa0", "1", "中", "  ", "\x1c", "<|endoftext|>", "\r\n", "don't"]
     for _ in range(3000):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
-        want = e.tokenizer.encode(t, add_special_tokens=False)
+        want = LIBRARY.encode(t, add_special_tokens=False)
         ids, starts, ends = e.encode_spans(t)
         assert np.array(want.ids, "<u4").tobytes() == e.encode(t) == ids.astype("<u4").tobytes()
         assert list(zip(starts.tolist(), ends.tolist())) == want.offsets
+    end = LIBRARY.token_to_id("<|endoftext|>")
+    assert e.encode("a <|endoftext|> b") != tokens.Encoder(tokens.default_tokenizer(), control=False).encode("a <|endoftext|> b")
+    assert end in np.frombuffer(e.encode("a <|endoftext|> b"), "<u4") and end not in np.frombuffer(tokens.Encoder(tokens.default_tokenizer(), control=False).encode("<|endoftext|>"), "<u4")
 
 
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
@@ -90,10 +96,9 @@ def test_sections_share_out_all_tokens(spark, docs, empty):
 
 
 def test_section_counts_by_brute_force(spark, real):
-    e = tokens.encoder(tokens.default_tokenizer()).tokenizer
     got = {r.doc_id: r for r in token_counts.count_sections(real).collect()}
     for r in real.collect():
-        spans = e.encode(r.text, add_special_tokens=False).offsets
+        spans = LIBRARY.encode(r.text, add_special_tokens=False).offsets
         ends = [m.end() for m in re.finditer("\n+", r.text)]
         ends += [len(r.text)] if not ends or ends[-1] < len(r.text) else []
         want = [0] * len(ends)
@@ -224,6 +229,21 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, bits, block):
     assert all((found.get(x, x) == found.get(y, y)) == (want[x] == want[y]) for x in signed for y in signed)
 
 
+def test_slices_of_a_long_text_do_not_show(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", "é", " ", "\n", "\t"]) for _ in range(n)) for n in (0, 1, 5, 40, 300, 300)]
+    want = [[simhash.shingle_hashes(t, w).tolist() for t in texts] for w in (1, 3, 5)]
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert want == [[simhash.shingle_hashes(t, w).tolist() for t in texts] for w in (1, 3, 5)]
+
+
+def test_hot_fingerprints_are_joined_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "same words here and there") for i in range(40)] + [(i, f"other text {i} of its own") for i in range(40, 60)] + [(None, "only null")], "doc_id long, text string")
+    want = sorted(simhash.near_duplicates(df).collect(), key=str)
+    monkeypatch.setattr(shared, "HOT", 2)
+    assert sorted(simhash.near_duplicates(df).collect(), key=str) == want and len(want) == 61
+
+
 def test_simhash_of_odd_rows(spark, docs, empty):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and all(r.fp == 0 for r in rows if r.doc_id in (0, 1, 3, 4, 50))
