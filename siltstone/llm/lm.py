@@ -17,12 +17,17 @@ every training token is used once. Scoring is a forward pass in NumPy batches.
 
 Counts cover all training tokens. The most frequent words, ``KNOWN`` at most, travel
 with the model; what else a document holds is joined to the counts in the engine, row
-by row, so the vocabulary is never gathered. A word is known by 58 bits of
-XXH64 and its class by the other 6.
+by row, so the vocabulary is never gathered. In the engine a word is known by 128 bits
+(58 of a first and 64 of a second hash, and 6 that are its class); the first 64 find it
+among the words that travel.
+
+The tables of weights have 2^``LEAST_BITS`` rows a feature, and more where the training
+tokens hold more distinct words, up to 2^``MOST_BITS`` (100 MB of weights in a process).
 
 Defined results: a null or empty text is its end token alone; null ids count as
 the empty string for the fold; repeated rows are scored each; an empty training
-part leaves every word unknown; an empty table gives no rows.
+part leaves every word unknown; an empty table gives no rows; columns of the input that
+are called like a result are replaced.
 """
 
 from __future__ import annotations
@@ -42,14 +47,20 @@ from . import shared
 
 OWN, KNOWN, SUFFIXES = 192, 65_536, 64
 GROUP = 16
-BITS = 15
-ROWS = 1 << BITS
+LEAST_BITS, MOST_BITS = 15, 18
+#: Distinct words up to which the least tables serve.
+WORDS = 1 << 24
+#: Weights of so many shards are averaged together.
+FAN = 64
 ROUNDS, RATE, MOST = 2, 0.1, 20.0
 BATCH = 8192
 REMEMBER, GATHERED = 600_000, 500_000
 CHUNK = 4096
+RESULTS = ("n_tokens", "n_known", "base_score", "score")
 ONES = np.ones(GROUP, np.float32)
 END, BEGIN = (-1 << 6), (-2 << 6)
+#: Stands for a text's end; no word holds white space.
+NO_WORD = b" "
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -57,6 +68,8 @@ class Ids(dict):
     """Word to id: 58 bits of XXH64, then 6 of its last two bytes."""
 
     def __missing__(self, w: bytes) -> int:
+        if w is NO_WORD:
+            return END
         x = (xxhash.xxh64_intdigest(w) & ~(SUFFIXES - 1)) | (zlib.crc32(w[-2:]) % SUFFIXES)
         x = x - (1 << 64) if x >> 63 else x
         if len(self) < REMEMBER:
@@ -68,19 +81,23 @@ IDS = Ids()
 shared.remembers(IDS.clear, "lm")
 
 
+def second_hash(w: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def counts(docs: DataFrame, training: Column) -> DataFrame:
-    """(id, c) of every token of the training documents."""
+    """(id, other, c) of every token of the training documents: its hashes and count."""
 
     def run(batches):
         seen: Counter = Counter()
         docs_ = 0
 
         def out():
-            return {"id": [END, *(Ids.__missing__(_NONE, w) for w in seen)], "c": [docs_, *seen.values()]}
+            return {"id": [END, *(Ids.__missing__(_NONE, w) for w in seen)], "other": [0, *map(second_hash, seen)], "c": [docs_, *seen.values()]}
 
         for b in batches:
             for t in b["text"]:
@@ -93,7 +110,7 @@ def counts(docs: DataFrame, training: Column) -> DataFrame:
         if docs_:
             yield out()
 
-    return shared.map_columns(docs.filter(training).select("text"), run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    return shared.map_columns(docs.filter(training).select("text"), run, "id long, other long, c long").groupBy("id", "other").agg(F.sum("c").alias("c"))
 
 
 class _Nothing(Ids):
@@ -131,6 +148,11 @@ class Vocabulary:
     def __getstate__(self):
         return [self.ids, self.c, self.tokens, self.distinct, self.class_tokens, self.class_once]
 
+    @property
+    def bits(self) -> int:
+        """Of a row of the weights' tables: one more where there are four times as many words."""
+        return int(min(MOST_BITS, max(LEAST_BITS, LEAST_BITS + np.ceil(np.log2(max(1, self.distinct) / WORDS) / 2))))
+
     def __setstate__(self, state):
         self.__init__(*state)
 
@@ -177,14 +199,15 @@ def fold(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Model:
-    """Weights, as (3 features, ROWS, GROUP) for groups and for classes, and fixed biases."""
+    """Weights, as (3 features, rows, GROUP) for groups and for classes, and fixed biases."""
 
-    def __init__(self, groups: np.ndarray | None = None, classes: np.ndarray | None = None, bias: np.ndarray | None = None):
-        shape = (3, ROWS, GROUP)
+    def __init__(self, groups: np.ndarray | None = None, classes: np.ndarray | None = None, bias: np.ndarray | None = None, bits: int = LEAST_BITS):
+        self.bits = bits if groups is None else int(groups.shape[1]).bit_length() - 1
+        shape = (3, 1 << self.bits, GROUP)
         self.groups = np.zeros(shape, np.float32) if groups is None else groups
         self.classes = np.zeros(shape, np.float32) if classes is None else classes
         self.bias = np.zeros((GROUP + 1, GROUP), np.float32) if bias is None else bias
-        self.seen = np.zeros((2, 3, ROWS), np.float32)
+        self.seen = np.zeros((2, 3, 1 << self.bits), np.float32)
 
     @classmethod
     def untrained(cls, vocab: "Vocabulary") -> "Model":
@@ -195,14 +218,13 @@ class Model:
         n[OWN:] = vocab.class_tokens
         n = (n + 0.5).reshape(GROUP, GROUP)
         bias = np.vstack([np.log(n / n.sum(axis=1, keepdims=True)), np.log(n.sum(axis=1) / n.sum())[None]])
-        return cls(bias=bias.astype(np.float32))
+        return cls(bias=bias.astype(np.float32), bits=vocab.bits)
 
-    @staticmethod
-    def features(before: np.ndarray, second: np.ndarray, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def features(self, before: np.ndarray, second: np.ndarray, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Rows of the group tables and of the class tables, by feature."""
         a, b = before.view(np.uint64), second.view(np.uint64)
         full = [fold(a, 0), fold(fold(b, 1) + a, 2), fold(b, 3)]
-        shift = np.uint64(64 - BITS)
+        shift = np.uint64(64 - self.bits)
         more = group.astype(np.uint64) * SALTS[1]
         return [(f >> shift).astype(np.intp) for f in full], [(fold(f + more, 2) >> shift).astype(np.intp) for f in full]
 
@@ -237,7 +259,7 @@ class Model:
 
     def _step(self, which: int, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
         """Each row moves by its gradients' sum over the root of their number."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if self.bits <= 16 else rows, kind="stable")
         rows = rows.take(order)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         n = np.diff(np.append(first, len(rows))).astype(np.float32)
@@ -251,15 +273,14 @@ class Model:
 
 
 def histories(texts: list[str | None], vocab: Vocabulary):
-    """For the tokens of all texts: document, id, rank, class, the two ids before."""
-    ids, length = [], []
-    get = IDS.__getitem__
+    """For the tokens of all texts: document, id, rank, class, the two ids before; and the words."""
+    flat, length = [], []
     for t in texts:
         w = words_of(t)
-        ids += map(get, w)
-        ids.append(END)
-        length.append(len(w) + 1)
-    ids, n = np.array(ids, np.int64), np.array(length)
+        w.append(NO_WORD)
+        flat += w
+        length.append(len(w))
+    ids, n = np.fromiter(map(IDS.__getitem__, flat), np.int64, len(flat)), np.array(length)
     doc = np.repeat(np.arange(len(n)), n)
     first = np.cumsum(n) - n
     before, second = np.empty_like(ids), np.empty_like(ids)
@@ -268,7 +289,7 @@ def histories(texts: list[str | None], vocab: Vocabulary):
     second[np.minimum(first + 1, len(ids) - 1)] = BEGIN
     rank = vocab.ranks(ids)
     cls = np.where((rank >= 0) & (rank < OWN), rank, OWN + (ids & (SUFFIXES - 1)))
-    return doc, ids, rank, cls, before, second
+    return doc, ids, rank, cls, before, second, flat
 
 
 def groups_of(batches, name: str = "text", size: int = 1 << 18):
@@ -286,20 +307,21 @@ def groups_of(batches, name: str = "text", size: int = 1 << 18):
 
 def train(docs: DataFrame, training: Column, key: str, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     model = Model.untrained(vocab)
-    parts = max(1, docs.rdd.getNumPartitions() // 2)
+    # larger tables, fewer shards: what they send stays in proportion to the input
+    parts = max(1, docs.rdd.getNumPartitions() // (2 << (vocab.bits - LEAST_BITS)))
     for r in range(rounds):
-        model = _round(docs.filter(training & (F.pmod(F.xxhash64(key, "text"), F.lit(rounds)) == r)).select("text").coalesce(parts), vocab, model)
+        model = _round(docs.filter(training & (F.pmod(F.xxhash64(key, "text"), F.lit(rounds)) == r)).select("text").coalesce(parts), vocab, model, parts)
     return model
 
 
-def _round(docs: DataFrame, vocab: Vocabulary, start: Model) -> Model:
-    weights = (start.groups, start.classes, start.bias)
+def _round(docs: DataFrame, vocab: Vocabulary, start: Model, parts: int) -> Model:
+    weights, rows = (start.groups, start.classes, start.bias), 1 << start.bits
 
     def run(batches):
         m = Model(*(x.copy() for x in weights))
         any_ = False
         for b in groups_of(batches):
-            _, _, _, cls, before, second = histories(b["text"], vocab)
+            _, _, _, cls, before, second, _ = histories(b["text"], vocab)
             for at in range(0, len(cls), BATCH):
                 x = slice(at, at + BATCH)
                 m.learn(before[x], second[x], cls[x])
@@ -308,16 +330,17 @@ def _round(docs: DataFrame, vocab: Vocabulary, start: Model) -> Model:
             shard = TaskContext.get().partitionId()
             for which, table in enumerate((m.groups, m.classes)):
                 for k in range(3):
-                    for at in range(0, ROWS, CHUNK):
-                        yield _row((which * 3 + k) * (ROWS // CHUNK) + at // CHUNK, shard, table[k, at : at + CHUNK], m.seen[which, k, at : at + CHUNK])
+                    for at in range(0, rows, CHUNK):
+                        yield _row((which * 3 + k) * (rows // CHUNK) + at // CHUNK, shard, table[k, at : at + CHUNK], m.seen[which, k, at : at + CHUNK])
 
     ddl = "chunk int, salt int, w binary, n binary"
     sent = shared.map_columns(docs, run, ddl)
-    for keys in (["chunk", "salt"], ["chunk"]):
-        sent = sent.groupBy(*keys).applyInPandas(_averaged, ddl)
+    while parts > 1:  # at most FAN shards, or averages of them, meet in a task
+        parts = -(-parts // FAN)
+        sent = sent.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("chunk", "salt").applyInPandas(_averaged, ddl)
     for r in sent.toLocalIterator():
         w = np.frombuffer(r.w, np.float16).astype(np.float32).reshape(-1, GROUP)
-        table, at = divmod(r.chunk, ROWS // CHUNK)
+        table, at = divmod(r.chunk, rows // CHUNK)
         own = start.groups if table < 3 else start.classes
         live = np.frombuffer(r.n, np.float32) > 0
         own[table % 3, at * CHUNK : (at + 1) * CHUNK][live] = w[live]
@@ -325,7 +348,7 @@ def _round(docs: DataFrame, vocab: Vocabulary, start: Model) -> Model:
 
 
 def _row(chunk: int, shard: int, w: np.ndarray, n: np.ndarray) -> dict:
-    return {"chunk": [chunk], "salt": [shard % 32], "w": [w.astype(np.float16).tobytes()], "n": [n.astype(np.float32).tobytes()]}
+    return {"chunk": [chunk], "salt": [shard], "w": [w.astype(np.float16).tobytes()], "n": [n.astype(np.float32).tobytes()]}
 
 
 def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
@@ -336,19 +359,21 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
         w = np.frombuffer(w, np.float16).astype(np.float64).reshape(len(k), GROUP) * k[:, None]
         total, n = (w, k) if total is None else (total + w, n + k)
     mean = total / np.maximum(n, 1)[:, None]
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [0], "w": [mean.astype(np.float16).tobytes()], "n": [n.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [rows["salt"].iloc[0]], "w": [mean.astype(np.float16).tobytes()], "n": [n.astype(np.float32).tobytes()]})
 
 
 def score(docs: DataFrame, key: str, table: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     """Per row: its columns but ``text``, n_tokens, n_known, base_score, score."""
-    keep = [c for c in docs.columns if c != "text"]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    keep = [c for c in docs.columns if c not in ("text", *RESULTS)]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], "text")
+    own = docs.columns[:-1]
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     weights = (model.groups, model.classes, model.bias)
 
     def run(batches):
         m = Model(*weights)
         for b in groups_of(batches):
-            doc, ids, rank, cls, before, second = histories(b["text"], vocab)
+            doc, ids, rank, cls, before, second, flat = histories(b["text"], vocab)
             logs = np.concatenate([m.log10(before[at : at + BATCH], second[at : at + BATCH], cls[at : at + BATCH]) for at in range(0, len(cls), BATCH)])
             known = rank >= 0
             c = vocab.c[rank[known]] if known.any() else np.zeros(0)
@@ -356,24 +381,26 @@ def score(docs: DataFrame, key: str, table: DataFrame, vocab: Vocabulary, model:
             logs[known] += np.where(k < 0, 0.0, np.log10(np.maximum(vocab.share[np.maximum(k, 0)] * c, 1e-300)))
             n = len(b["text"])
             base = np.bincount(doc[known], vocab.base(c), minlength=n)
-            cut = np.searchsorted(doc[~known], np.arange(1, n))
-            rest = np.split(ids[~known], cut)
-            yield {x: b[x] for x in keep} | {
+            rest = np.flatnonzero(~known)
+            cut = np.searchsorted(doc[rest], np.arange(1, n))
+            other = np.fromiter((second_hash(flat[i]) if flat[i] is not NO_WORD else 0 for i in rest.tolist()), np.int64, len(rest))
+            yield {x: b[x] for x in own} | {
                 "n_tokens": np.bincount(doc, minlength=n), "known": np.bincount(doc[known], minlength=n), "base": base,
-                "model": np.bincount(doc, logs, minlength=n), "rest": rest,
+                "model": np.bincount(doc, logs, minlength=n), "rest": np.split(ids[rest], cut), "others": np.split(other, cut),
             }
 
-    first = shared.map_columns(docs, run, f"{kinds}n_tokens long, known long, base double, model double, rest array<long>")
+    first = shared.map_columns(docs, run, f"{kinds}n_tokens long, known long, base double, model double, rest array<long>, others array<long>")
     first = shared.staged(first.withColumn("row", F.monotonically_increasing_id()), "lm-first")
     suffix = F.col("id").bitwiseAND(F.lit(SUFFIXES - 1)).cast("int") + 1
     c = F.coalesce("c", F.lit(0))
     within = F.when(c > 0, F.log10(F.element_at(F.lit(vocab.share.tolist()), suffix) * c)).otherwise(F.log10(F.element_at(F.lit(vocab.unseen.tolist()), suffix)))
     base = F.log10((c + 0.5) / F.lit(vocab.tokens + 0.5 * (vocab.distinct + 1)))
-    tokens = first.select("row", F.explode("rest").alias("id"))
-    sums = tokens.join(table, "id", "left").select("row", (c > 0).cast("long").alias("k"), base.alias("b"), within.alias("w")).groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("w").alias("w"))
-    joined = first.drop("rest").join(sums, "row", "left")
-    added = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero))).alias
-    return joined.select(*keep, "n_tokens", added("known", "k", 0)("n_known"), added("base", "b", 0.0)("base_score"), added("model", "w", 0.0)("score"))
+    tokens = first.select("row", F.explode(F.arrays_zip("rest", "others")).alias("t")).select("row", F.col("t.rest").alias("id"), F.col("t.others").alias("other"))
+    sums = tokens.join(table, ["id", "other"], "left").select("row", (c > 0).cast("long").alias("k"), base.alias("b"), within.alias("w")).groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("w").alias("w"))
+    joined = first.drop("rest", "others").join(sums, "row", "left")
+    added = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    results = [F.col("n_tokens"), added("known", "k", 0), added("base", "b", 0.0), added("model", "w", 0.0)]
+    return joined.select(*[F.col(x).alias(name) for x, name in zip(own, keep)], *[r.alias(name) for r, name in zip(results, RESULTS)])
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,6 +371,70 @@ def test_the_model_is_a_distribution():
     assert v.ranks(ids).tolist() == list(range(len(ids))) and v.ranks(np.array([5])).tolist() == [-1]
 
 
+def test_model_scores_by_brute_force(spark, real):
+    """The model's score of a text, token by token and without hashes of words or arrays of tokens."""
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    own = real.select("doc_id", "text")
+    table = shared.staged(lm.counts(own, train), "c")
+    vocab = lm.vocabulary(table)
+    model = lm.train(own, train, "doc_id", vocab)
+    got = {r.doc_id: r.score for r in lm.score(own, "doc_id", table, vocab, model).collect()}
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in real.collect()}
+    c = collections.Counter(w for k, t in texts.items() if zlib.crc32(str(k).encode()) % 5 != 1 for w in t)
+
+    def ident(w):
+        x = -64 if w is None else xxhash.xxh64_intdigest(w) // 64 * 64 + zlib.crc32(w[-2:]) % 64
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    own_class = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], ident(w)))[:192])}
+    rest = collections.defaultdict(list)
+    for w in c:
+        if w not in own_class:
+            rest[ident(w) % 64].append(c[w])
+    unseen = {k: min(max(sum(x == 1 for x in v) / sum(v), 0.5 / (sum(v) + 1)), 0.5) for k, v in rest.items()}
+    mask, salts = (1 << 64) - 1, [int(x) for x in lm.SALTS]
+
+    def fold(x, i):
+        y = x * salts[i] & mask
+        return y ^ y >> 29
+
+    def softmax(tables, rows, bias):
+        z = [float(sum(tables[k][rows[k]][j] for k in range(3)) + bias[j]) for j in range(16)]
+        return [math.exp(x) / sum(map(math.exp, z)) for x in z]
+
+    def spelled(t):
+        total, before, second = 0.0, -128 & mask, -128 & mask
+        for w in t:
+            cls = own_class.get(w, 192 + ident(w) % 64)
+            full = [fold(before, 0), fold((fold(second, 1) + before) & mask, 2), fold(second, 3)]
+            more = cls // 16 * salts[1] & mask
+            p = softmax(model.groups, [x >> 49 for x in full], model.bias[16])[cls // 16]
+            q = softmax(model.classes, [fold((x + more) & mask, 2) >> 49 for x in full], model.bias[cls // 16])[cls % 16]
+            k = cls - 192
+            share = 1.0 if k < 0 else (1 - unseen[k]) * c[w] / sum(rest[k]) if w in c else unseen.get(k, 1.0)
+            total += math.log10(p * q * share)
+            before, second = ident(w) & mask, before
+        return total
+
+    for k in sorted(texts)[:40]:
+        assert got[k] == pytest.approx(spelled(texts[k]), rel=2e-4), k
+
+
+def test_lm_averages_in_a_tree_and_grows(spark, real, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "WORDS", 256)
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    own = real.select("doc_id", "text").repartition(40)
+    table = shared.staged(lm.counts(own, train), "c")
+    vocab = lm.vocabulary(table)
+    assert vocab.bits > lm.LEAST_BITS
+    clashing = own.withColumn("n_tokens", F.lit("x")).withColumn("row", F.lit(1)).withColumn("rest", F.lit(2)).withColumn("base", F.lit(3)).withColumn("id", F.lit(4))
+    out = lm.score(clashing, "doc_id", table, vocab, lm.train(own, train, "doc_id", vocab))
+    assert out.columns == ["doc_id", "row", "rest", "base", "id", *lm.RESULTS]
+    rows = out.collect()
+    assert all(r.row == 1 and r.rest == 2 and r.base == 3 for r in rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_lm_of_odd_rows(spark, docs, empty):
     for df in (docs, empty):
         train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
