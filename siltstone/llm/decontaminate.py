@@ -14,8 +14,10 @@ diagonals that differ by at most e. So, for each document:
 The budget is ``RATE`` of an item's characters, less where the lemma would
 allow no filter; items shorter than a q-gram must occur as whole words. The
 q-grams are of characters' low bytes, which can only add hits; alignment
-compares characters. Items are used in blocks of ``BLOCK_CHARS`` characters, so
-what is sent to a task is bounded whatever the benchmark's size.
+compares characters. Items are used in blocks of about ``BLOCK_CHARS`` characters, one pass over
+the documents a block, whose matches are written before the next block is gathered: so what
+the driver holds and a task is sent is bounded whatever the benchmark's size. Hits are counted
+``COUNTED`` at a time, however many items share a q-gram.
 
 Defined results: null and empty texts have no matches; items that are null or hold
 no letter or digit match nothing; repeated items and rows each match; of
@@ -24,18 +26,23 @@ several places of an item the one with fewest edits, the first of these, is told
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
 Q, RATE = 8, 0.08
 BLOCK_CHARS = 4_000_000
+COUNTED = 1 << 20
+#: Codes of (item, band of diagonals): bands of texts of up to 2^40 characters.
+BAND_BITS, BAND_ZERO = 42, 1 << 41
 OTHER = re.compile(r"[\W_]+")
 STEP = 16
 TABLE_BITS = 20
@@ -156,6 +163,29 @@ class Index:
         at = at[at < len(hit)]
         return at[hit[at]]
 
+    def _counted(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) codes and their hits, for text places ``at`` that hold the q-grams ``k``."""
+        # a q-gram with more places than COUNTED comes in slices of them
+        slices = -(-self.many[k] // COUNTED)
+        nth = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
+        at, k = np.repeat(at, slices), np.repeat(k, slices)
+        first, many = self.first[k] + nth * COUNTED, np.minimum(self.many[k] - nth * COUNTED, COUNTED)
+        parts = np.flatnonzero(np.diff(np.cumsum(many) // COUNTED, prepend=0)) + 1
+        bands, hits = np.empty(0, np.int64), np.empty(0, np.int64)
+        for lo, hi in zip([0, *parts.tolist()], [*parts.tolist(), len(at)]):
+            n = many[lo:hi]
+            if not len(n):
+                continue
+            which = np.repeat(first[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, diagonal = self.item[which], np.repeat(at[lo:hi], n) - self.place[which]
+            code = item * (1 << BAND_BITS) + np.floor_divide(diagonal, self.edits[item] + 1) + BAND_ZERO
+            found, count = np.unique(np.concatenate([code, code + 1]), return_counts=True)
+            if len(bands):
+                found, back = np.unique(np.concatenate([bands, found]), return_inverse=True)
+                count = np.bincount(back, np.concatenate([hits, count])).astype(np.int64)
+            bands, hits = found, count
+        return bands, hits
+
     def matches(self, text: str | None) -> list[dict]:
         norm = normalise(text) if text else ""
         found: dict[int, tuple[int, int]] = {}
@@ -166,14 +196,8 @@ class Index:
                 k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
                 same = self.keys[k] == g[at]
                 at, k = at[same], k[same]
-                many = self.many[k]
-                which = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                item, diagonal = self.item[which], np.repeat(at, many) - self.place[which]
-                wide = self.edits[item] + 1
-                band = np.floor_divide(diagonal, wide)
-                both = np.concatenate([item * (1 << 40) + band + (1 << 20), item * (1 << 40) + band + 1 + (1 << 20)])
-                bands, hits = np.unique(both, return_counts=True)
-                item, band = bands >> 40, (bands & ((1 << 40) - 1)) - (1 << 20)
+                bands, hits = self._counted(at, k)
+                item, band = bands >> BAND_BITS, (bands & ((1 << BAND_BITS) - 1)) - BAND_ZERO
                 for i, j in zip(item[hits >= self.bound[item]].tolist(), band[hits >= self.bound[item]].tolist()):
                     e, t = int(self.edits[i]), self.long[i][1]
                     low, high = (j - 1) * (e + 1), (j + 1) * (e + 1)
@@ -190,13 +214,13 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", rate: float = RATE) -> list[Index]:
-    """The benchmark in blocks of about BLOCK_CHARS characters."""
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", rate: float = RATE) -> tuple[int, Iterator[Index]]:
+    """How many blocks of about BLOCK_CHARS characters the benchmark has, and these one by one."""
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-size // BLOCK_CHARS)
     part = F.pmod(F.xxhash64("k", "t"), F.lit(max(1, n)))
-    return [Index(sorted(((r.k, r.t) for r in rows.filter(part == i).collect()), key=lambda x: (x[0] is None, x)), rate) for i in range(n)]
+    return n, (Index(sorted(((r.k, r.t) for r in rows.filter(part == i).collect()), key=lambda x: (x[0] is None, x)), rate) for i in range(n))
 
 
 def matcher(index: Index):
@@ -210,20 +234,25 @@ def matcher(index: Index):
     return held
 
 
-def _all_matches(index: list[Index], text: Column) -> Column:
-    found = [matcher(i)(text) for i in index]
-    return F.concat(*found) if found else F.array().cast(MATCH)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """A row for each item that a document holds: doc_id, item_id, start (in the normalised text), edits."""
-    found = docs.select(F.col(key).alias("doc_id"), _all_matches(indexes(benchmark, rate=rate), F.col(text)).alias("m"))
-    return found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.item_id", "m.start", "m.edits")
+    n, blocks = indexes(benchmark, rate=rate)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    found = []
+    for index in blocks:
+        part = rows.select("doc_id", F.explode(matcher(index)(F.col("text"))).alias("m")).select("doc_id", "m.item_id", "m.start", "m.edits")
+        found.append(shared.staged(part, "matches") if n > 1 else part)
+    none = rows.select("doc_id", F.explode(F.array().cast(MATCH)).alias("m")).select("doc_id", "m.item_id", "m.start", "m.edits")
+    return functools.reduce(DataFrame.unionByName, found) if found else none
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns."""
-    return docs.filter(F.size(_all_matches(indexes(benchmark, rate=rate), F.col(text))) == 0)
+    n, blocks = indexes(benchmark, rate=rate)
+    for i, index in enumerate(blocks):
+        docs = docs.filter(F.size(matcher(index)(F.col(text))) == 0)
+        docs = shared.staged(docs, "uncontaminated") if i + 1 < n else docs
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
