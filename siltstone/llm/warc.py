@@ -2,7 +2,8 @@
 from the archive's records and kept in a leading skippable frame.
 
 Of records with equal payloads, one is a response and the others are revisits
-that name it. Equal payloads are found by SHA-1 in the engine; a task then writes
+that name it. Equal payloads are found by SHA-1 in the engine; pages of a payload
+that many share are written where they are read. A task writes
 one file: it gathers records up to ``GATHERED`` bytes, trains the dictionary on
 an even choice of them (at most ``SAMPLED`` bytes), writes them and streams the
 rest. Files are written under a name of their own and renamed, so a task that
@@ -122,8 +123,8 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """Adds sha1 and keep: the largest page_id of the rows with an equal payload of at least ``least`` bytes, if there are others."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    again = rows.filter(F.octet_length("html") >= least).groupBy("sha1").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("sha1", "keep")
-    return rows.join(again, "sha1", "left")
+    again = rows.filter(F.octet_length("html") >= least).groupBy("sha1").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    return shared.looked_up(rows, shared.staged(again, "warc-again"), "sha1", "n")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -185,10 +186,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """Follows refers_id: a revisit's size is that of the response it names."""
     records = shared.staged(records, "warc-records")
+    times = records.filter("record_type = 'revisit'").groupBy("refers_id").agg(F.count("*").alias("n"))
     named = records.filter("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("size")).withColumnRenamed("record_id", "refers_id")
+    named = shared.staged(times.join(named, "refers_id"), "warc-named")
     own = records.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = records.filter("record_type = 'revisit'").join(named, "refers_id", "left").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    return own.unionByName(again)
+    again = shared.looked_up(records.filter("record_type = 'revisit'"), named, "refers_id", "n")
+    return own.unionByName(again.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
