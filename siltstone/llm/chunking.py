@@ -30,6 +30,8 @@ from . import shared
 
 WINDOW, SLICE = 16, 1 << 20
 LEAST, USUAL, MOST = 16, 48, 192
+#: Bytes of text of a range of keys, keys looked at to cut one, and the most ranges.
+RANGE, LOOKED, RANGES = 16 << 20, 40, 50_000
 STRICT, LOOSE = np.uint32(0b111111 << 10), np.uint32(0b1111 << 12)
 DIGEST_BITS = 40
 
@@ -101,12 +103,17 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
     return sum([a[d] for d in a.keys() & b.keys()]) / sum(a.values())
 
 
-def followed(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
+def followed(docs: DataFrame, key: str, text: str, parts: int | None) -> DataFrame:
     """Rows k, t, bucket, tail, dealt so that a task reads each document followed by
     the next one in descending order of its key: ranges of keys, each with the next
     range's first document (``tail`` 1) behind it."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    cuts = sorted({float(x) for x in rows.select(F.col("k").cast("double")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)})
+    size = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count("k").alias("n")).first()
+    parts = parts or min(RANGES, 1 + (size.bytes or 0) // RANGE)
+    # keys by which only the ranges are cut: every row falls into one
+    keys = rows.filter("k IS NOT NULL").select(F.col("k").cast("double")).sample(min(1.0, LOOKED * parts / max(1, size.n)), 1) if parts > 1 else None
+    keys = np.sort(keys.toPandas()["k"].to_numpy()) if keys else np.empty(0)
+    cuts = np.unique(keys[[len(keys) * i // parts for i in range(1, parts)]]).tolist() if len(keys) else []
     split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep") if cuts else None
     own = split.transform(rows.withColumn("d", F.col("k").cast("double"))).drop("d") if cuts else rows.withColumn("bucket", F.lit(0.0))
     rows = own.withColumn("bucket", F.when(F.col("k").isNull(), -1).otherwise(F.col("bucket")).cast("int"))
@@ -130,7 +137,6 @@ def edited(text: str, other: str) -> str:
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited form (its last half replaced by the next document's beginning)."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         before, rows = None, shared.rows_buffer(NAMES, 512)

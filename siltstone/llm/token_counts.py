@@ -11,7 +11,8 @@ crosses a border goes where ``rule`` says:
 
 Sections tile the text. Defined results: a null or empty text has one empty
 section and no tokens; null keys and repeated rows are kept, a row each; other
-columns of the input are not looked at; an empty table gives no rows.
+columns of the input are not looked at; a key called like a result gets an underscore
+behind its name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def count_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", sep
             yield rows.take()
 
     out = shared.map_columns(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, SCHEMA)
-    return out.withColumnRenamed("key", key)
+    return out.withColumnRenamed("key", shared.free_name(NAMES[1:], key))
 
 
 def count_fields(rows: DataFrame, key: str, fields: list[str], joiner: str = "\n", rule: str = "first", tokenizer: str | None = None) -> DataFrame:
@@ -100,7 +101,7 @@ def count_fields(rows: DataFrame, key: str, fields: list[str], joiner: str = "\n
             yield out.take()
 
     chosen = rows.select(F.col(key).cast("long").alias("k"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)))
-    return shared.map_columns(chosen, run, SCHEMA).withColumnRenamed("key", key)
+    return shared.map_columns(chosen, run, SCHEMA).withColumnRenamed("key", shared.free_name(NAMES[1:], key))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -498,9 +499,69 @@ def test_benchmark_blocks_find_the_same(spark, real, monkeypatch):
     assert {(r.doc_id, i) for r in real.collect() for i, t in texts.items() if t in r.text} <= {x[:2] for x in whole}
 
 
+def test_shared_grams_are_counted_in_slices(monkeypatch):
+    """Items with one common passage, in a text that repeats it: the same with slices of a few hits."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = " ".join(word() for _ in range(12))
+    items = [(i, f"{common} {word()} {word()} {common}") for i in range(60)] + [(99, "abababab" * 40)]
+    index = decontaminate.Index(items)
+    text = " ".join([word(), items[7][1], word(), common, items[33][1].replace("a", "b", 1), word(), "abababab" * 60])
+    want = index.matches(text)
+    assert {7, 33, 99} <= {m["item_id"] for m in want}
+    for counted in (1, 7, 100, 5000):
+        monkeypatch.setattr(decontaminate, "COUNTED", counted)
+        assert index.matches(text) == want
+
+
+def test_blocks_keep_the_same_clean_rows(spark, real, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    clean = lambda: sorted(r.doc_id for r in decontaminate.keep_clean(real, bench).collect())
+    whole = clean()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 40_000)
+    assert clean() == whole and 0 < len(whole) < real.count()
+    assert decontaminate.keep_clean(real, bench.limit(0)).count() == real.count() and decontaminate.contamination(real, bench.limit(0)).count() == 0
+
+
 # --- chunking
 
 
+def spelled_gear():
+    """256 numbers of SplitMix64 from seed 0, their low 32 bits."""
+    out, mask = [], (1 << 64) - 1
+    for i in range(1, 257):
+        z = i * 0x9E3779B97F4A7C15 & mask
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+        out.append((z ^ z >> 31) & 0xFFFFFFFF)
+    return out
+
+
+SPELLED_GEAR = spelled_gear()
+
+
+@functools.lru_cache(maxsize=None)
+def spelled_chunks(text):
+    """(digest, length) of a text's distinct chunks, byte by byte."""
+    data, start, ends = text.encode(), 0, []
+    rolled = [sum(SPELLED_GEAR[data[c - 1 - j]] << j for j in range(min(16, c))) & 0xFFFFFFFF for c in range(1, len(data) + 1)]
+    while len(data) - start > 16:
+        for c in range(start + 16, len(data)):
+            strict, loose = not rolled[c - 1] & 0xFC00, not rolled[c - 1] & 0xF000
+            if c - start <= 48 and strict or c - start >= 48 and loose or c - start == 192:
+                break
+        else:
+            break
+        ends.append(c)
+        start = c
+    ends += [len(data)] if data else []
+    return {xxhash.xxh3_64_intdigest(data[a:b]) >> 24: b - a for a, b in zip([0, *ends], ends)}
+
+
+def spelled_share(a, b):
+    return sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else float(not b)
+
+
 def test_fingerprints_by_definition(spark, real):
     got = {r.doc_id: r for r in queries.QUERIES["op5_chunk_fingerprints"](spark, DATA).collect()}
     rows = sorted(((r.doc_id, r.text) for r in real.collect()), reverse=True)
@@ -510,9 +571,10 @@ def test_fingerprints_by_definition(spark, real):
         nxt, r, h = rows[(i + 1) % len(rows)][1], got[k], len(t) // 2
         e = t[: len(t) - h] + nxt[:h]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        a, b, c = (chunking.chunk_set(x) for x in (t, e, nxt))
-        assert (r.fingerprint, r.edited_fingerprint) == (chunking.as_text(a), chunking.as_text(b))
-        assert (r.near_edited, r.near_next) == (chunking.containment(a, b), chunking.containment(a, c)) and 0 <= r.near_edited <= 1
+        a, b, c = (spelled_chunks(x) for x in (t, e, nxt))
+        as_text = lambda x: "".join(f"{d:010x}{n:02x}" for d, n in sorted(x.items()))
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(a), as_text(b))
+        assert (r.near_edited, r.near_next) == (spelled_share(a, b), spelled_share(a, c)) and 0 <= r.near_edited <= 1
         by_text[t].add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values())
 
@@ -537,6 +599,7 @@ def test_slices_do_not_show(monkeypatch):
 
 def test_next_documents_of_odd_rows(spark, docs, empty):
     rows = chunking.compare_edited(docs, parts=3).collect()
+    assert sorted(map(str, chunking.compare_edited(docs).collect())) == sorted(map(str, rows))
     assert len(rows) == docs.count() and {r.fingerprint for r in rows if r.n_chars == 0} == {""}
     order = sorted([(r.doc_id is None, -(r.doc_id or 0), r.text or "") for r in docs.collect()])
     texts = [t for _, _, t in order]
@@ -549,8 +612,9 @@ def test_next_documents_of_odd_rows(spark, docs, empty):
 # --- WARC
 
 
-@pytest.mark.parametrize("least", [0, 4])
-def test_archives_round_trip(spark, least):
+@pytest.mark.parametrize("least, hot", [(0, 4096), (4, 4096), (0, 3)])
+def test_archives_round_trip(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(shared, "HOT", hot)
     pages = [(1, "http://a/ b", "same"), (2, "http://b", "same"), (9, None, "same"), (3, "u", ""), (4, "u", None), (5, "u", "ü" * 3000), (6, "u", "abc"), (7, "u", "abc"), (None, "n", "alone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
     manifest = warc.write_archives(df.select("page_id", "url", "html"), shared.fresh_path(spark, "w"), least)
