@@ -3,16 +3,22 @@
 The kernel counts shared subsequences of three characters that lie within five
 (``GAPS`` more than three), each weighted by ``DECAY`` for every character it skips,
 normalised to 1 for equal words. It tolerates characters left out of or put into
-a word; a run of single letters ("i d i o t") is read as one word too. A text's
-kernel with a landmark is the largest over its words, and counts as 0 below
-``FLOOR``. Landmarks are the words of labelled texts that best tell toxic ones from
-others; the kernel among them whitens the features (Nyström) on which a linear
-SVM is trained, and a logistic curve over its margin gives the score.
-
-Labels mark whole documents, so a document's sentences are pooled by the maximum
-before the machine sees them. It is fitted on at most ``FIT_TOXIC`` toxic and
-``FIT_CLEAN`` other labelled rows, in the order of a hash of their id; scoring
-covers every word of every text.
+a word; a run of single letters ("i d i o t") is read as one word too. A sentence's
+kernel with a landmark is the largest over its words, taken up two ramps (``RAMPS``):
+one tells words that are alike, broken insults among them, the other those that are
+nearly equal. Landmarks are the words of labelled texts that best tell toxic ones
+from others; the kernel among them whitens the features of either ramp (Nyström) on
+which a linear SVM is trained. A text's margin is the largest of its sentences'
+(a sentence without words like a landmark is always taken to be there), and a
+logistic curve over it gives the score.
+
+Labels mark whole documents. So all sentences of documents that are not toxic are
+clean examples, and of a toxic document the sentence with the largest margin is the
+toxic example, chosen anew ``CHOICES`` times. ``COPIES`` sentences of one landmark are
+toxic examples too, most of them broken by a character put in. The machine is fitted on
+at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` other labelled rows of at most
+``FIT_CHARS`` characters, in the order of a hash of their id; scoring covers every word
+of every text.
 
 Defined results: a null or empty text has no words and gets the score of none; of
 rows that repeat a labelled id, any toxic one counts; null labels are left out;
@@ -23,6 +29,7 @@ a null id counts as the empty string for the held-out fold.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -34,10 +41,16 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-GAPS, DECAY, FLOOR = 2, 0.5, 0.4
-LANDMARKS, FIT_TOXIC, FIT_CLEAN = 128, 2000, 4000
-#: Least log-likelihood ratio of a landmark: rarer words in toxic texts can be chance.
-CERTAIN = 15.0
+GAPS, DECAY = 2, 0.5
+#: Kernels at which a word begins to count as alike, and counts in full; and as nearly equal.
+RAMPS = ((0.55, 0.65), (0.7, 1.0))
+FLOOR = RAMPS[0][0]
+LANDMARKS, FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 128, 2000, 4000, 200_000
+COPIES, INTACT, CHOICES = 4000, 0.25, 3
+BREAKS = "-*._"
+#: A sentence of clean documents that occurs more often counts so many times.
+OFTEN = 50
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WIDTH, REMEMBER = 24, 400_000
 SPACED = re.compile(r"(?<!\S)(?:\S[^\w\s]?\s+){2,}\S[^\w\s]*(?!\S)")
 #: Positions of a subsequence's second and third character behind the first, and how many are skipped.
@@ -171,19 +184,29 @@ class Landmarks:
                 w = parts[k][0]
                 self.near[w] = np.maximum(v, self.near.get(w, 0))
 
-    def of(self, texts: list[str | None]) -> np.ndarray:
-        """A row a text: its largest kernel with each landmark."""
-        out = np.zeros((len(texts), len(self.words)), np.float32)
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """A text's sentences with words like a landmark, a row each: the largest kernel with each landmark.
+        Near words in no sentence (letters with stops between them) are one of their own."""
+        none, out = np.zeros((0, len(self.words)), np.float32), []
         if not self.words:
-            return out
+            return [none] * len(texts)
         for at in range(0, len(texts), 256):
             own = [words_of(t) if t else set() for t in texts[at : at + 256]]
             new = [w for w in set().union(*own) if w not in self.seen and w not in self.near]
             for k in range(0, len(new), 1 << 15):
                 self._learn(new[k : k + (1 << 15)])
-            for i, words in enumerate(own):
-                for w in words & self.near.keys():
-                    np.maximum(out[at + i], self.near[w], out=out[at + i])
+            for t, words in zip(texts[at : at + 256], own):
+                left = words & self.near.keys()
+                if not left:
+                    out.append(none)
+                    continue
+                groups, every = [], set(left)
+                for sentence in SENTENCE.split(t):
+                    if hit := words_of(sentence) & every:
+                        groups.append(hit)
+                        left -= hit
+                groups += [left] if left else []
+                out.append(np.stack([np.maximum.reduce([self.near[w] for w in g]) for g in groups]))
             if len(self.seen) + len(new) > REMEMBER:
                 self.seen.clear()
             self.seen.update(new)
@@ -193,6 +216,21 @@ class Landmarks:
         return out
 
 
+def ramps(kernels: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.clip((kernels - a) / (b - a), 0, 1) for a, b in RAMPS], axis=-1)
+
+
+def largest(sentences: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Of each text's sentences the largest margin above that of a sentence without near words, 0 at least."""
+    n = np.array([len(x) for x in sentences], np.int64)
+    out = np.zeros(len(n))
+    if n.sum():
+        own = ramps(np.concatenate([x for x in sentences if len(x)]).astype(np.float64)) @ weights
+        full = np.flatnonzero(n)
+        out[full] = np.maximum(0, np.maximum.reduceat(own, (np.cumsum(n) - n)[full]))
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -201,8 +239,8 @@ class Model:
     slope: float
     shift: float
 
-    def score(self, kernels: np.ndarray) -> np.ndarray:
-        margin = kernels @ self.weights + self.bias if len(self.landmarks) else np.full(len(kernels), self.bias)
+    def score(self, sentences: list[np.ndarray]) -> np.ndarray:
+        margin = largest(sentences, self.weights) + self.bias if len(self.landmarks) else np.full(len(sentences), self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
@@ -215,16 +253,9 @@ def whiten(landmarks: list[str]) -> np.ndarray:
     return basis[:, keep] / np.sqrt(values[keep])
 
 
-def train(landmarks: list[str], kernels: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, rounds: int = 600) -> Model:
-    """A linear SVM on the whitened kernels (squared hinge, full gradients with momentum), then a logistic curve."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    if not landmarks or share in (0.0, 1.0):
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model([], np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
-    map_ = whiten(landmarks)
-    x = np.hstack([kernels @ map_, np.ones((len(kernels), 1))])
-    y = np.where(labels > 0, 1.0, -1.0)
-    weight = np.full(len(y), 1 / len(y))
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
+    """A linear SVM (squared hinge, full gradients with momentum); the last weight is the bias."""
+    x, weight = np.hstack([x, np.ones((len(x), 1))]), weight / weight.sum()
     step = 0.5 / (np.linalg.norm(x.T @ (x * weight[:, None]), 2) + penalty)
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -232,14 +263,62 @@ def train(landmarks: list[str], kernels: np.ndarray, labels: np.ndarray, penalty
         slack = np.maximum(0, 1 - y * (x @ ahead))
         speed = 0.9 * speed - step * (penalty * ahead - 2 * x.T @ (weight * slack * y))
         w = w + speed
-    margin = x @ w
+    return w
+
+
+def curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve."""
     goal = np.where(y > 0, (np.sum(y > 0) + 1) / (np.sum(y > 0) + 2), 1 / (np.sum(y < 0) + 2))
-    a, b = 1.0, 0.0
-    for _ in range(500):
+    a, b, weight = 1.0, 0.0, weight / weight.sum()
+    for _ in range(1000):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
         e = weight * (p - goal)
         a, b = a - 2 * float(e @ margin), b - 2 * float(e.sum())
-    return Model(landmarks, map_ @ w[:-1], float(w[-1]), a, b)
+    return a, b
+
+
+def broken(word: str, rng: np.random.Generator) -> str:
+    """The word with a character put in, or one doubled."""
+    i = int(rng.integers(1, len(word)))
+    return word[:i] + [*BREAKS, word[i]][int(rng.integers(len(BREAKS) + 1))] + word[i:]
+
+
+def constant(share: float) -> Model:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return Model([], np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
+
+
+def train(landmarks: list[str], sentences: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, rounds: int = 1500) -> Model:
+    """From each labelled text's sentences (kernels with the landmarks, a row each)."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    if not landmarks or share in (0.0, 1.0):
+        return constant(share)
+    none, rng = np.zeros((1, len(landmarks))), np.random.default_rng(1)
+    bad = [x if len(x) else none for x, y in zip(sentences, labels) if y > 0]
+    clean = np.concatenate([none, *[x for x, y in zip(sentences, labels) if y <= 0]])
+    times = np.ones(len(clean))
+    times[0] += sum(not len(x) for x, y in zip(sentences, labels) if y <= 0)
+    clean, back = np.unique(np.round(clean, 3), axis=0, return_inverse=True)
+    times = np.minimum(np.bincount(back.ravel(), times), OFTEN)
+    # copies: a landmark is drawn as often as toxic texts hold it
+    held = np.sum([(x > 0.999).any(axis=0) for x in bad], axis=0).astype(float)
+    copies = []
+    if held.any():
+        drawn = [landmarks[j] for j in rng.choice(len(landmarks), COPIES, p=held / held.sum())]
+        copies = Landmarks(landmarks).of([w if rng.random() < INTACT else broken(w, rng) for w in drawn])
+    more = ramps(np.concatenate([x if len(x) else none for x in copies])) if copies else np.zeros((0, len(RAMPS) * len(landmarks)))
+    map_ = np.kron(np.eye(len(RAMPS)), whiten(landmarks))
+    weight = np.concatenate([times, np.ones(len(bad)), np.full(len(more), len(bad) / max(1, len(more)))])
+    y = np.concatenate([-np.ones(len(clean)), np.ones(len(bad) + len(more))])
+    chosen = np.stack([x[np.argmax(x.max(axis=1))] for x in bad])
+    for _ in range(CHOICES):
+        w = machine(np.vstack([ramps(clean), ramps(chosen), more]) @ map_, y, weight, penalty, rounds)
+        own = map_ @ w[:-1]
+        chosen = np.stack([x[np.argmax(ramps(x) @ own)] for x in bad])
+    margin = np.concatenate([largest(sentences, own), np.maximum(0, more @ own)]) + w[-1]
+    of_rows = np.concatenate([np.ones(len(labels)), np.full(len(more), len(bad) / max(1, len(more)))])
+    a, b = curve(margin, np.concatenate([np.where(labels > 0, 1, -1), np.ones(len(more))]), of_rows)
+    return Model(landmarks, own, float(w[-1]), a, b)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
@@ -247,7 +326,7 @@ def labelled(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.filter("toxic = 1").orderBy(*order).limit(FIT_TOXIC).unionByName(marks.filter("toxic = 0").orderBy(*order).limit(FIT_CLEAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= FIT_CHARS)
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
@@ -256,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, landmarks: int = L
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
-        return train([], np.zeros((0, 0)), np.array([float(y) for y, n in sizes.items() if n]))
+        return constant(float(bad > 0))
 
     def contexts(batches):
         for b in batches:
@@ -266,23 +345,25 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, landmarks: int = L
     # copies of a text repeat a word in one context, which counts once
     told = shared.map_columns(rows, contexts, "word string, context long, toxic int").distinct()
     words = shared.staged(told.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("good"), F.count_if(F.col("toxic") == 1).alias("bad")), "toxic-words")
-    total = words.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    total = words.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("words")).first()
     share = (total.bad or 0) / max(1, (total.bad or 0) + (total.good or 0))
     if not 0 < share < 1:
-        return train([], np.zeros((0, 0)), np.array([float(y) for y, n in sizes.items() if n]))
+        return constant(bad / (bad + good))
+    # what the best of so many words reaches by chance
+    certain = 2 * math.log(max(2, total.words))
     n = F.col("bad") + F.col("good")
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0))
-    best = words.filter((F.col("bad") > n * (1 + share) / 2) & (F.length("word") > 1)).withColumn("gain", gain).filter(F.col("gain") >= CERTAIN).orderBy(F.desc("gain"), "word").limit(landmarks)
+    best = words.filter((F.col("bad") > n * (1 + share) / 2) & (F.length("word") > 1)).withColumn("gain", gain).filter(F.col("gain") >= certain).orderBy(F.desc("gain"), "word").limit(landmarks)
     chosen = [r.word for r in best.collect()]
 
     def kernels(batches):
         marks = Landmarks(chosen)
         for b in batches:
-            yield {"k": marks.of(b["text"]).tolist(), "toxic": b["toxic"]}
+            yield {"k": [x.astype(np.float16).tobytes() for x in marks.of(b["text"])], "toxic": b["toxic"]}
 
-    got = shared.map_columns(rows, kernels, "k array<float>, toxic int").toPandas()
-    x = np.array(got["k"].tolist(), dtype=np.float64).reshape(len(got), len(chosen))
-    return train(chosen, x, got["toxic"].to_numpy(dtype=np.float64))
+    got = shared.map_columns(rows, kernels, "k binary, toxic int").toPandas()
+    sentences = [np.frombuffer(x, np.float16).reshape(-1, max(1, len(chosen))).astype(np.float64) for x in got["k"]]
+    return train(chosen, sentences, got["toxic"].to_numpy(dtype=np.float64))
 
 
 @functools.lru_cache(maxsize=2)

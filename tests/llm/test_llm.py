@@ -718,7 +718,8 @@ def test_bounds_lose_no_near_word():
     marks = toxicity.Landmarks(["idiot", "moron", "worthless", "dreckskerl"])
     words = ["".join(rng.choice("idotmrnwhlesck") for _ in range(rng.randint(1, 12))) for _ in range(400)] + ["idi0t", "mo-ron", "x" * 60 + "moron"]
     got = marks.of(words)
-    for w, row in zip(words, got):
+    for w, rows in zip(words, got):
+        row = rows[0] if len(rows) else np.zeros(len(marks.words))
         want = np.max([[toxicity.kernel(p, m) for m in marks.words] for p in toxicity.windows(w)], axis=0)
         want[want < toxicity.FLOOR] = 0
         assert np.abs(want - row).max() < 1e-4
@@ -760,6 +761,63 @@ def test_held_out_texts_are_told_apart(spark, docs):
     assert odd.columns == docs.columns and odd.count() == docs.count()
 
 
+def spelled_score(text, model):
+    """Every word of every sentence against every landmark, with the definition of the kernel."""
+    marks, seen = [toxicity.vector(m) for m in model.landmarks], {}
+
+    def near(word):
+        if word not in seen:
+            parts = [toxicity.vector(p) for p in toxicity.windows(word)]
+            k = [max(sum(x * m.get(i, 0.0) for i, x in v.items()) for v in parts) for m in marks]
+            seen[word] = [x if x >= toxicity.FLOOR else 0.0 for x in k]
+        return seen[word]
+
+    low = (text or "").lower()
+    runs = ["".join(m[0].split()) for m in toxicity.SPACED.finditer(low)]
+    groups = [[*s.split(), *("".join(m[0].split()) for m in toxicity.SPACED.finditer(s.lower()))] for s in re.split(r"(?<=[.!?])\s+|\n+", low)]
+    groups.append([w for w in [*low.split(), *runs] if not any(w in g for g in groups)])
+    best = 0.0
+    for g in groups:
+        k = [max(column) for column in zip(*map(near, g))] if g else [0.0] * len(marks)
+        x = [min(max((v - a) / (b - a), 0), 1) for a, b in toxicity.RAMPS for v in k]
+        best = max(best, sum(p * q for p, q in zip(x, model.weights)))
+    return 1 / (1 + math.exp(-(model.slope * (best + model.bias) + model.shift)))
+
+
+def test_toxic_scores_by_brute_force(spark, real):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit(real, labels, toxicity.fold(5) != 0)
+    table, marks = toxic_table(spark, 200)
+    other = toxicity.fit(table, marks, toxicity.fold(5) != 0)
+    assert len(model.landmarks) > 3 and len(other.landmarks) == 3
+    for m, rows in ((model, real.limit(60)), (other, table.unionByName(spark.createDataFrame([(900, "A m-oron. An i d i o t\nor s.c.u.m b a g"), (901, None), (902, "an idiott.")], "doc_id long, text string")))):
+        texts = {r.doc_id: r.text for r in rows.collect()}
+        got = {r.doc_id: r for r in toxicity.score_documents(rows, m).collect()}
+        for k, t in texts.items():
+            assert got[k].score == pytest.approx(spelled_score(t, m), abs=1e-4) and got[k].predicted == (got[k].score >= 0.5)
+
+
+def test_broken_insults_in_clean_sentences_are_found(spark):
+    table, labels = toxic_table(spark)
+    model = toxicity.fit(table, labels, toxicity.fold(5) != 0)
+    clean = [r.text for r in table.join(labels, "doc_id").filter((toxicity.fold(5) == 0) & (F.col("toxic") == 0)).collect()]
+    rng, marks = random.Random(5), toxicity.Landmarks(model.landmarks)
+
+    def found(change):
+        out = []
+        for t in clean:
+            w = t.split(" ")
+            w.insert(rng.randrange(len(w) + 1), change(rng.choice(["idiot", "moron", "scumbag"])))
+            out.append(" ".join(w))
+        return (model.score(marks.of(out)) >= 0.5).mean()
+
+    def put(c):
+        return lambda w: (lambda i: w[:i] + (c or w[i]) + w[i:])(rng.randrange(1, len(w)))
+
+    assert found(lambda w: w) > 0.98 and min(found(put(c)) for c in ("-", "*", "x", "")) >= 0.8
+    assert (model.score(marks.of(clean)) >= 0.5).mean() <= 0.01
+
+
 def test_labels_of_one_kind_or_none(spark, docs):
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     for l in (labels, labels.limit(0)):
@@ -787,6 +845,28 @@ def test_pipeline_stages(spark, real, tmp_path):
     assert len(set(texts)) == len(texts) and not any(b in t for b in bench for t in texts)
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, docs, real, tmp_path):
+    import corpus_pipeline
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    names = ["node", "label", "root", "_key", "hot", "length", "row", "salt", "sequence_id"]
+    odd = docs.drop("score", "fp").select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    odd = odd.unionByName(spark.read.parquet(f"{DATA}/benchmark.parquet").limit(1).select(F.lit(70).cast("long").alias("doc_id"), "text", *[F.lit(i).alias(n) for i, n in enumerate(names)]))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {0, 2, 5, 6, 7, 9, 10, None}  # the least key of each text: null, empty and blank ones are one group
+    assert {r.doc_id for r in rows} == want and sum(r.length for r in rows if r.doc_id == 10) == len(library_ids(ODD[10]))
+    odd.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_conversations_may_hold_the_added_key(spark, tmp_path):
+    spark.createDataFrame([(-7, 5, "user", "more"), (1, 0, "user", None), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = {r.conv_id: r for r in queries.QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {-7, 1} and rows[-7].n_turns == 3 and rows[1].n_turns == 2 and rows[1].loss_chars == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, real, name):
     import duckdb
