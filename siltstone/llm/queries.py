@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import pathlib
 import re
 from collections.abc import Callable
 
@@ -22,9 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    """``corpus_pipeline.run`` of the file at the repository's top, whatever the working folder is."""
+    top = pathlib.Path(__file__).resolve().parents[2] / "corpus_pipeline.py"
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", top)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module.run(spark, sf_dir)
 
 
 QUERIES["pipeline"] = pipeline

@@ -73,15 +73,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not control
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if control or not t.special]
-        self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        self.added = [t.content for t in added]
         if any(re.search(r"\s", t.content) or t.normalized and not t.special for t in added):
-            self.added = re.compile("")  # such a token could lie across pieces: all texts are encoded whole
+            self.added = [""]  # such a token could lie across pieces: all texts are encoded whole
         self.remember, self.known = remember, {}
         self.spans: dict[str, tuple[bytes, bytes]] = {}
         self.known_lead, *stops = self._ids(["\n", *STOPS])
         self.stops = dict(zip(STOPS, stops))
         self.line_feed = int(np.frombuffer(self.known_lead, dtype="<u4")[0])
 
+    def _whole(self, text: str) -> bool:
+        for a in self.added:
+            if a in text:
+                return True
+        return False
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -92,7 +98,7 @@ class Encoder:
         """As encode, with one call of the library for what a group of texts has new."""
         get, cut, new = self.known.get, [], set()
         for t in texts:
-            if self.added and self.added.search(t):
+            if self._whole(t):
                 parts = None
             elif _even(t):  # a part is a word behind a blank, or a line feed and a word
                 parts = t.replace("\n", " \n").split(" ")
@@ -139,7 +145,7 @@ class Encoder:
     def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and where each token starts and ends in ``text``, in characters. A
         token that holds part of a character's bytes spans that whole character."""
-        if ODD_SPACE.search(text) or self.added and self.added.search(text):
+        if ODD_SPACE.search(text) or self._whole(text):
             e = self.tokenizer.encode(text, add_special_tokens=False)
             at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
             return np.array(e.ids, dtype=np.uint32), at[:, 0], at[:, 1]
