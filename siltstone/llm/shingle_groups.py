@@ -12,10 +12,10 @@ long enough to be selective (README has figures). So this mode of the operator
 3. keeps the candidates whose exact similarity reaches the threshold.
 
 Hot bands: a band value with many nodes is dealt into blocks. First each block is
-looked at by itself, dealt anew ``ROUNDS`` times: similarities are estimated from the
-minima, and the edges of a spanning forest, most similar first, are checked exactly,
-which takes work in proportion to the nodes and joins nearly all of a family of
-copies. What then still has different groups in one band value, whatever the
+looked at by itself, in ``ROUNDS`` ways to deal them: similarities are estimated from
+the minima, and the edges of a spanning forest, most similar first, are checked
+exactly, which takes work in proportion to the nodes and joins nearly all of a family
+of copies. What then still has different groups in one band value, whatever the
 estimate, is gathered into clusters, whose nodes are compared exactly, all of
 different groups and fitting sizes, in pairs of blocks: so no link is lost to the
 forest or to an estimate, no group's pairs are ever listed, and nodes of one group
@@ -57,7 +57,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(m: np.ndarray) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(m[i * BAND : (i + 1) * BAND].tobytes()) - (1 << 63) for i in range(BANDS)]
+    return [xxhash.xxh3_64_intdigest(m[i * BAND : (i + 1) * BAND].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """doc_id, th (a hash of the text), node (a digest of the shingle set), size (of that), fp, sig (minima), bands."""
+    """doc_id, th (a hash of the text), node (a digest of the shingle set), size (of that), fp, sig (a byte of each minimum), bands."""
 
     def run(batches):
         for b in batches:
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 own = np.unique(h)
                 m = minima(own)
                 node = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
-                rows.add(k, th, node, len(own), simhash.fingerprint(h), m.tobytes(), bands(m) if len(own) else [])
+                rows.add(k, th, node, len(own), simhash.fingerprint(h), m.astype(np.uint8).tobytes(), bands(m) if len(own) else [])
             yield rows.take()
 
     return shared.map_columns(_keyed(docs, key, text), run, "doc_id long, th long, node long, size int, fp long, sig binary, bands array<long>")
@@ -98,40 +98,52 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray)
     return np.array(kept, np.int64)
 
 
-def _block_pairs(members: DataFrame, by: list[str], limit: int, columns: list[str], salt: int | None = None) -> DataFrame:
+def _block_pairs(members: DataFrame, by: str, limit: int, columns: list[str], salts: int = 0) -> DataFrame:
     """x, y: arrays of structs of ``columns``, for every block of about ``limit`` units of ``weight`` of the members
     of a group with more than one label (y is NULL), and for every two blocks of a group that can hold members of different
-    labels and of sizes within a quarter. With a ``salt``, blocks are dealt by it and come by themselves only."""
-    own = members.groupBy(*by, "label").agg(F.sum("weight").alias("own")).withColumn("big", F.col("own") > limit)
-    rest = F.sum(F.when(F.col("big"), 0).otherwise(F.col("own")))
-    group = own.groupBy(*by).agg(F.sum("own").alias("all"), rest.alias("rest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    many = F.col("all") > limit
-    if salt is None:
-        placed = members.join(own.join(group, by), [*by, "label"])
-        tag, kind = F.when(F.col("big"), F.col("label")), F.when(many, F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1.25)))).otherwise(0)
-        weight = F.when(F.col("big"), F.col("own")).otherwise(F.col("rest"))
+    labels and of sizes within a quarter. With ``salts``, blocks come by themselves only, larger groups dealt in so many ways."""
+    own = shared.staged(members.groupBy(by, "label").agg(F.sum("weight").alias("own")), "shingle-labels")
+    big = F.col("own") > limit
+    rest = F.sum(F.when(big, 0).otherwise(F.col("own")))
+    group = own.groupBy(by).agg(F.sum("own").alias("all"), rest.alias("rest"), F.count("*").alias("labels")).filter("labels > 1")
+    group = shared.staged(group.select(by, "all", "rest", F.col("all").alias("n")), "shingle-sizes")
+    placed = shared.looked_up(members, group, by, "n").filter(F.col("all").isNotNull())
+    few, many = placed.filter(F.col("all") <= limit), placed.filter(F.col("all") > limit)
+    few = few.select(by, F.lit(None).cast("long").alias("tag"), F.lit(0).alias("kind"), F.lit(0).alias("block"), *columns)
+    if salts:
+        deal = F.pmod(F.xxhash64("node", "kind"), F.ceil(F.col("all") / limit)).cast("int")
+        many = many.withColumn("kind", F.explode(F.sequence(F.lit(1), F.lit(salts)))).select(by, F.lit(None).cast("long").alias("tag"), "kind", deal.alias("block"), *columns)
     else:
-        placed = members.join(group.filter(many) if salt else group, by)
-        tag, kind, weight = F.lit(None).cast("long"), F.lit(0), F.col("all")
-    block = F.pmod(F.xxhash64("node", F.lit(salt or 0)), F.ceil(weight / limit)).cast("int")
-    blocks = placed.withColumn("tag", tag).withColumn("kind", kind.cast("int")).withColumn("block", block)
-    blocks = blocks.groupBy(*by, "tag", "kind", "block").agg(F.first(many).alias("many"), F.collect_list(F.struct(*columns)).alias("m"))
+        many = many.join(own.filter(big), [by, "label"], "left")
+        kind = F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1.25))).cast("int")
+        deal = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("own", "rest") / limit)).cast("int")
+        many = many.select(by, F.when(F.col("own").isNotNull(), F.col("label")).alias("tag"), kind.alias("kind"), deal.alias("block"), *columns)
+    m = F.collect_list(F.struct(*columns)).alias("m")
+    blocks = few.withColumn("many", F.lit(False)).unionByName(many.withColumn("many", F.lit(True))).groupBy(by, "tag", "kind", "block", "many").agg(m)
     blocks = shared.staged(blocks.withColumn("id", F.monotonically_increasing_id()), "shingle-blocks")
     alone = blocks.filter("tag IS NULL").select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
-    if salt is not None:
+    if salts:
         return alone
-    ids = blocks.filter("many").select(*by, "tag", "kind", "id")
-    pairs = ids.join(ids.select(*by, F.col("tag").alias("tag2"), F.col("kind").alias("kind2"), F.col("id").alias("id2")), by)
+    ids = blocks.filter("many").select(by, "tag", "kind", "id")
+    pairs = ids.join(ids.select(by, F.col("tag").alias("tag2"), F.col("kind").alias("kind2"), F.col("id").alias("id2")), by)
     pairs = pairs.filter("id < id2 AND abs(kind - kind2) <= 1 AND (tag IS NULL OR tag2 IS NULL OR tag <> tag2)").select("id", "id2")
     return alone.unionByName(pairs.join(blocks.select("id", F.col("m").alias("x")), "id").join(blocks.select(F.col("id").alias("id2"), F.col("m").alias("y")), "id2").select("x", "y"))
 
 
-def candidates(nodes: DataFrame, least: int, salt: int | None = None) -> DataFrame:
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(bucket, node) of the bands that several nodes have."""
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    found = shared.looked_up(entries, shared.staged(several.withColumn("several", F.lit(True)), "shingle-buckets"), "bucket", "n")
+    return shared.staged(found.filter("several").select("bucket", "node"), "shingle-bands")
+
+
+def candidates(entries: DataFrame, nodes: DataFrame, least: int, salts: int = 0) -> DataFrame:
     """Pairs (a, b) of nodes with different ``label`` that share a band and at least ``least`` minima: of each block or pair of blocks the most similar ones that join its labels (a spanning forest)."""
-    entries = nodes.select("node", "label", "size", F.lit(1).alias("weight"), F.posexplode("bands").alias("band", "value"))
-    per = entries.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    per = per.filter("lo <> hi").select("band", "value")
-    placed = entries.join(per, ["band", "value"]).join(nodes.select("node", "sig"), "node")
+    placed = entries.join(nodes.select("node", "label", "size", "sig"), "node").withColumn("weight", F.lit(1))
+    differ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    placed = placed if salts else placed.join(differ, "bucket", "left_semi")
+    placed = shared.staged(placed, "shingle-placed")
 
     def run(batches):
         for b in batches:
@@ -140,7 +152,7 @@ def candidates(nodes: DataFrame, least: int, salt: int | None = None) -> DataFra
                 m = x + (y or [])
                 node = np.array([v["node"] for v in m], np.int64)
                 label = np.array([v["label"] for v in m], np.int64)
-                sig = np.frombuffer(b"".join([v["sig"] for v in m]), np.uint32).reshape(-1, MINIMA)
+                sig = np.frombuffer(b"".join([v["sig"] for v in m]), np.uint8).reshape(-1, MINIMA)
                 aa, bb, vv = [], [], []
                 for i in range(len(m) - 1 if y is None else len(x)):
                     first = i + 1 if y is None else len(x)
@@ -156,7 +168,7 @@ def candidates(nodes: DataFrame, least: int, salt: int | None = None) -> DataFra
                     eb += node[bb[keep]].tolist()
             yield {"a": ea, "b": eb}
 
-    found = shared.map_columns(_block_pairs(placed, ["band", "value"], BLOCK, ["node", "label", "sig"], salt), run, "a long, b long")
+    found = shared.map_columns(_block_pairs(placed, "bucket", BLOCK, ["node", "label", "sig"], salts), run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -192,13 +204,14 @@ def cluster_links(labelled: DataFrame, edges: DataFrame, sets_of, similarity: fl
     clusters = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")), "shingle-clusters")
     members = shared.staged(of.join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label"), "shingle-members")
     placed = members.withColumn("weight", F.greatest(F.lit(1), (F.col("size") / UNIT).cast("int"))).join(sets_of(members.select("node")), "node")
+    placed = shared.staged(placed, "shingle-placed")
 
     def run(batches):
         for b in batches:
             found = [e for x, y in zip(b["x"], b["y"]) for e in exact_links(x, y, similarity)]
             yield {"a": [e[0] for e in found], "b": [e[1] for e in found]}
 
-    return shared.map_columns(_block_pairs(placed, ["cluster"], BLOCK, ["node", "label", "s"]), run, "a long, b long")
+    return shared.map_columns(_block_pairs(placed, "cluster", BLOCK, ["node", "label", "s"]), run, "a long, b long")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -247,20 +260,16 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     by_bits = near.join(same.select(F.col("fp").alias("a"), F.col("other").alias("na")), "a").join(same.select(F.col("fp").alias("b"), F.col("other").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     by_bits = by_bits.unionByName(nodes.join(same, "fp").select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     by_bits = by_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    least_ = int(np.ceil((similarity - SLACK) * MINIMA))
-    pairs, links, labelled = by_bits, None, nodes
-    for salt in range(ROUNDS):
-        new = candidates(labelled, least_, salt)
-        new = shared.staged(pairs.unionByName(new).distinct() if not salt else new, "shingle-pairs")
-        if salt and new.isEmpty():
-            break
-        good = shared.staged(verified(new, sets_of(new.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
-        pairs, links = (pairs.unionByName(new), links.unionByName(good)) if salt else (new, good)
-        found = components(links, "shingle-components")
-        labelled = shared.staged(nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "shingle-labelled")
+    entries = shared_bands(nodes)
+    pairs = by_bits.unionByName(candidates(entries, nodes, int(np.ceil((similarity - SLACK) * MINIMA)), ROUNDS))
+    pairs = shared.staged(pairs.distinct(), "shingle-pairs")
+    links = shared.staged(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "shingle-links")
+    found = components(links, "shingle-components")
+    labelled = nodes.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    labelled = shared.staged(labelled, "shingle-labelled")
     # a refuted pair needs no second look if it is a whole cluster: both in no group and with no other candidate;
     # any other stands for pairs that the forest left out
-    rest = shared.staged(candidates(labelled, 0), "shingle-rest")
+    rest = shared.staged(candidates(entries, labelled, 0), "shingle-rest")
     more = rest.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     joined = shared.staged(found.select("node").unionByName(more).distinct(), "shingle-joined")
     alone = pairs.join(joined.withColumnRenamed("node", "a"), "a", "left_anti").join(joined.withColumnRenamed("node", "b"), "b", "left_anti")
