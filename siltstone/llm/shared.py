@@ -6,6 +6,8 @@ names, because it is the only place that the driver and all executors see.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -112,12 +114,23 @@ def remembers(forget: Callable[[], None], *users: str) -> None:
     _MEMORIES.append((frozenset(users), forget))
 
 
+_TURNED: list[str] = []
+
+
 def begin(user: str) -> None:
-    """A worker turns to work of module ``user``: what only others use is forgotten, so
-    that operators which follow each other do not add up their memories."""
+    """A worker turns to work of module ``user``: what only others use is forgotten and
+    given back, so that operators which follow each other do not add up their memories."""
+    if _TURNED == [user]:
+        return
     for users, forget in _MEMORIES:
         if user not in users:
             forget()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+    _TURNED[:] = [user]
 
 
 def schema_of(ddl: str) -> StructType:
