@@ -51,15 +51,14 @@ def padded(b: Box, pad: float, height: Column, width: Column) -> Box:
 
 
 def child_box(cells: Box, parent: Box, grid: int, pad: float, dilate: float = 0.0) -> Box:
-    """Pixels of a box of grid cells within its parent: rounded outwards, widened by
-    ``dilate`` of its extent, padded by the rounded ``pad`` of it, clipped to the parent."""
+    """Pixels of a box of grid cells within its parent: widened by ``dilate`` cells within the grid,
+    rounded outwards, padded by the rounded ``pad`` of its extent, clipped to the parent."""
     out = []
     for lo, hi, p0, p1 in ((cells[0], cells[1], parent[0], parent[1]), (cells[2], cells[3], parent[2], parent[3])):
+        if dilate:
+            lo, hi = F.greatest(F.lit(0.0), lo - dilate), F.least(F.lit(float(grid)), hi + dilate)
         size = (p1 - p0).cast("double") / grid
         a, b = p0 + F.floor(lo * size), p0 + F.ceil(hi * size)
-        if dilate:
-            grow = (b - a) * (dilate / 2)
-            a, b = F.floor(a - grow), F.ceil(b + grow)
         extra = F.bround((b - a) * F.lit(pad), 0).cast("long")
         out += [F.greatest(p0, a - extra), F.least(p1, b + extra)]
     return tuple(out)  # type: ignore[return-value]

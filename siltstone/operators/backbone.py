@@ -3,10 +3,14 @@ learned one (features by patch, and one for the image), so a learned one can tak
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear, by pixel centres."""
@@ -36,17 +40,41 @@ class MockBackbone:
         self.image_size, self.patch_size, self.grid = image_size, patch_size, image_size // patch_size
         self.projection = np.random.default_rng(seed).normal(size=(3, dim))
 
-    def __call__(self, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(grid, grid, dim) unit features of an RGB image of bytes, and their unit mean."""
-        x = pool(resize(image / 255.0, self.image_size, self.image_size) - 0.5, self.grid) @ self.projection
-        x = x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-8)
-        mean = x.reshape(-1, x.shape[-1]).mean(axis=0)
-        return x, mean / (np.linalg.norm(mean) + 1e-8)
+    def features(self, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(grid, grid, dim) projected mean colours of an RGB image of bytes, and their mean."""
+        x = pool(resize(image / 255.0, self.image_size, self.image_size), self.grid) @ self.projection
+        return x, x.reshape(-1, x.shape[-1]).mean(axis=0)
+
+    def __call__(self, image: np.ndarray, standardize: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Unit features, each dimension first less its mean over its sample deviation unless told otherwise, and the unit mean."""
+        x, mean = self.features(image)
+        if standardize:
+            flat = x.reshape(-1, x.shape[-1])
+            x = (x - flat.mean(axis=0)) / (flat.std(axis=0, ddof=1) + 1e-8)
+        return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-8), mean / (np.linalg.norm(mean) + 1e-8)
+
+
+class Remembered:
+    """A backbone that keeps what it has seen of each image, the last ``most`` of them: for exemplars used many times."""
+
+    def __init__(self, backbone, most: int = 64):
+        self.backbone, self.most, self.known = backbone, most, {}
+        self.grid = backbone.grid
+
+    def __call__(self, image: np.ndarray, **options) -> tuple[np.ndarray, np.ndarray]:
+        key = (image.shape, hashlib.sha1(np.ascontiguousarray(image).tobytes()).digest(), *sorted(options.items()))
+        if key not in self.known:
+            while len(self.known) >= self.most:
+                self.known.pop(next(iter(self.known)))
+            self.known[key] = self.backbone(image, **options)
+        return self.known[key]
 
 
 def embed(images: DataFrame, backbone: MockBackbone) -> DataFrame:
     """Patches (image_id, r, c, patch_id, feat) of images (image_id, height, width, pixels: RGB bytes). One image of a batch is
     unpacked at a time."""
+    ship(images.sparkSession)
+
     def run(batches):
         for b in batches:
             for i, h, w, px in zip(b["image_id"], b["height"], b["width"], b["pixels"]):

@@ -7,6 +7,8 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -172,16 +174,123 @@ def watershed(elevation: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> n
     return out
 
 
-def individuate(mask: np.ndarray, boundary: np.ndarray, alpha: float = 0.5, beta: float = 0.5, sigma: float = 0.0) -> np.ndarray:
-    """Instances of a foreground: a watershed of feature border and distance from the edge, from the peaks of distance."""
+def oversegment(features: np.ndarray, cells: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels from 1 on of the set cells of a grid (h, w, dim): neighbours joined by average linkage; 0 elsewhere."""
+    out = np.zeros(cells.shape, dtype=int)
+    r, c = np.nonzero(cells)
+    out[r, c] = average_linkage(features[r, c], threshold, touching(r, c)) if len(r) else 0
+    return out
+
+
+def feature_border(features: np.ndarray) -> np.ndarray:
+    """1 less the mean similarity to four neighbours, at least 0, over its largest."""
+    total, n = np.zeros(features.shape[:2]), np.zeros(features.shape[:2])
+    for axis in (0, 1):
+        size = features.shape[axis]
+        s = (np.take(features, range(1, size), axis) * np.take(features, range(size - 1), axis)).sum(axis=-1)
+        for part in (slice(1, None), slice(None, -1)):
+            at = (part, slice(None)) if axis == 0 else (slice(None), part)
+            total[at] += s
+            n[at] += 1
+    out = np.maximum(0, 1 - total / np.maximum(n, 1))
+    return out / out.max() if out.max() > 1e-12 else out
+
+
+def markers(mask: np.ndarray, distance: np.ndarray, atoms: np.ndarray | None, mode: str, least: int) -> np.ndarray:
+    """Seeds of a watershed: peaks of the distance from the edge (geometric), one at the centre of each atom, or at its first cell
+    where the centre is outside (feature), or both (hybrid); without any, the farthest cell."""
+    if mode not in ("geometric", "feature", "hybrid"):
+        raise ValueError(f"markers {mode!r} are none of geometric, feature, hybrid")
+    seeds = np.zeros(mask.shape, bool)
+    if mode != "feature":
+        seeds |= peaks(distance, max(1, least)) & mask
+    if mode != "geometric" and atoms is not None:
+        for k in np.unique(atoms[atoms > 0]):
+            r, c = np.nonzero(atoms == k)
+            y, x = int(round(r.mean())), int(round(c.mean()))
+            seeds[(y, x) if mask[y, x] else (r[0], c[0])] = True
+    if not seeds.any():
+        seeds.flat[int(np.argmax(distance))] = True
+    return label_cells(seeds, 4)
+
+
+def individuate(mask: np.ndarray, boundary: np.ndarray, alpha: float = 0.5, beta: float = 0.5, sigma: float = 0.0, atoms: np.ndarray | None = None, mode: str = "geometric", least: int = 1) -> np.ndarray:
+    """Instances of a foreground: a watershed of feature border and distance from the edge, from the seeds of ``markers``."""
     if not mask.any():
         return np.zeros(mask.shape, dtype=int)
     d = distance_transform(np.pad(mask, 1))[1:-1, 1:-1]
-    elevation = gaussian(alpha * boundary + beta * (1 - d / max(d.max(), 1e-12)), sigma)
-    top = peaks(d) & mask
-    if not top.any():
-        top.flat[int(np.argmax(d))] = True
-    return watershed(elevation, label_cells(top), mask)
+    smooth = gaussian(d, sigma)
+    elevation = alpha * gaussian(boundary, sigma) + beta * (1 - d / max(d.max(), 1e-12))
+    return watershed(elevation, markers(mask, d, atoms, mode, least) if sigma <= 0 else markers(mask, smooth, atoms, mode, least), mask)
+
+
+def merge_basins(features: np.ndarray, labels: np.ndarray, border: np.ndarray, similarity: float, weak: float) -> np.ndarray:
+    """Neighbouring basins whose prototypes are alike and whose common border is weak become one; numbered densely."""
+    ids = [int(k) for k in np.unique(labels) if k]
+    proto = {k: unit(features[labels == k].mean(axis=0, keepdims=True))[0] for k in ids}
+    root = {k: k for k in ids}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    met: dict[tuple[int, int], list[float]] = {}
+    for a, b, u, v in ((labels[1:], labels[:-1], border[1:], border[:-1]), (labels[:, 1:], labels[:, :-1], border[:, 1:], border[:, :-1])):
+        for y, x in zip(*np.nonzero((a != b) & (a > 0) & (b > 0))):
+            met.setdefault((min(a[y, x], b[y, x]), max(a[y, x], b[y, x])), []).append((u[y, x] + v[y, x]) / 2)
+    for (a, b), strength in sorted(met.items()):
+        if proto[a] @ proto[b] >= similarity and np.mean(strength) <= weak:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    dense = {r: i + 1 for i, r in enumerate(sorted({find(k) for k in ids}))}
+    out = np.zeros(labels.shape, dtype=int)
+    for k in ids:
+        out[labels == k] = dense[find(k)]
+    return out
+
+
+def reduced(patches: list[np.ndarray], reduction: str = "all", budget: int = 64, least: int = 1, per: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, the exemplar each is of or -1) of exemplars' patches: ``mean`` one an exemplar; ``cluster`` up to ``per`` centres an
+    exemplar; ``all``, or, beyond ``budget``, the patches farthest from each other; ``kmeans`` at least ``least`` centres an
+    exemplar and centres of all patches up to ``budget``."""
+    pooled, of = np.concatenate(patches), np.repeat(np.arange(len(patches)), [len(p) for p in patches])
+    if reduction == "mean":
+        return np.stack([unit(p.mean(axis=0, keepdims=True))[0] for p in patches]), np.arange(len(patches))
+    if reduction == "cluster":
+        parts = [spherical_kmeans(p, per) for p in patches]
+        return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    if reduction == "all":
+        if len(pooled) <= budget:
+            return pooled, of
+        return pooled[farthest_points(pooled, budget)], np.full(budget, -1)
+    if reduction != "kmeans":
+        raise ValueError(f"reduction {reduction!r} is none of all, cluster, kmeans, mean")
+    parts = [spherical_kmeans(p, least) for p in patches] if least > 0 else []
+    own = [np.full(len(p), i) for i, p in enumerate(parts)]
+    left = max(0, budget - sum(map(len, parts)))
+    if left:
+        more = spherical_kmeans(pooled, left) if len(pooled) > left else pooled
+        parts.append(more)
+        own.append(np.full(len(more), -1) if len(pooled) > left else of)
+    return np.concatenate(parts), np.concatenate(own)
+
+
+def bank(rows: DataFrame, reduction: str = "all", budget: int = 64, least: int = 1, per: int = 4) -> DataFrame:
+    """class_id, place, ex_id (-1 of none), feat: each class's bank, from its exemplars' patches (class_id, ex_id, patch_id, feat).
+    One class's exemplar patches are one task's; means are the engine's."""
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["ex_id", "patch_id"])
+        ids = own["ex_id"].unique()
+        vectors, of = reduced([np.stack(own.loc[own["ex_id"] == e, "feat"].to_numpy()) for e in ids], reduction, budget, least, per)
+        return pd.DataFrame({"class_id": own["class_id"].iloc[0], "place": np.arange(len(vectors)), "ex_id": [int(ids[k]) if k >= 0 else -1 for k in of], "feat": list(vectors)})
+
+    if reduction == "mean":
+        from .vectors import prototypes
+
+        place = F.row_number().over(W.partitionBy("class_id").orderBy("ex_id")) - 1
+        return prototypes(rows, ["class_id", "ex_id"]).select("class_id", place.cast("long").alias("place"), "ex_id", F.col("proto").alias("feat"))
+    return rows.select("class_id", "ex_id", "patch_id", "feat").groupBy("class_id").applyInPandas(run, "class_id long, place long, ex_id long, feat array<double>")
 
 
 def per_image(patches: DataFrame, kernel, name: str) -> DataFrame:

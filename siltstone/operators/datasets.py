@@ -36,11 +36,23 @@ def of_categories(annotations: DataFrame, ids: list[int]) -> DataFrame:
     return annotations.join(F.broadcast(remap), "category_id")
 
 
+def filtered(images: DataFrame, annotations: DataFrame, ids: list[int]) -> DataFrame:
+    """All images, each with its annotations of the categories (class_id from 1 on); images without any stay."""
+    return images.join(of_categories(annotations, ids), "image_id", "left")
+
+
 def with_instances(annotations: DataFrame, least: int) -> DataFrame:
     """image_id, n of images with at least ``least`` annotations."""
     return annotations.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def some(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, or an error if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what} is left")
+    return rows
+
+
 def pair_stats(images: DataFrame, annotations: DataFrame, image_size: int = 768, patch: int = 16) -> DataFrame:
     """Per image and category: n, and the square root of the median area in patches of the resized image."""
     own = annotations.groupBy("image_id", "category_id").agg(F.count("*").alias("n"), F.median("area").alias("m"))
@@ -66,9 +78,10 @@ def image_order(images: DataFrame, strategy: str, seed: int = 0) -> list[Column]
     raise ValueError(f"strategy {strategy!r} is none of densest, first, random")
 
 
-def global_rank(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``rank`` from 1 by a string column, by ranges of its first digits: a range's size plus those before it."""
-    own = df.withColumn("range", F.substring(order, 1, 3))
+def global_rank(df: DataFrame, order: str, digits: int = 3) -> DataFrame:
+    """Adds ``rank`` from 1 by a column of hexadecimal text, by ranges of its first ``digits`` (four bits a digit: more for tables
+    beyond some hundred million rows): a range's size plus those before it."""
+    own = df.withColumn("range", F.substring(order, 1, digits))
     per = own.groupBy("range").agg(F.count("*").alias("n"))
     before = per.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("range").orderBy(order, "image_id"))
@@ -76,7 +89,11 @@ def global_rank(df: DataFrame, order: str) -> DataFrame:
 
 
 def pools(counted: DataFrame, n_train: int, n_inter: int, seed: int = 0) -> DataFrame:
-    """image_id, pool: the first n_train of a shuffle are train, the next n_inter inter (-1: all that are left)."""
+    """image_id, pool: the first n_train of a shuffle are train, the next n_inter inter (-1: all that are left). Asking for more
+    images than there are is an error."""
+    asked = max(0, n_train) + max(0, n_inter)
+    if asked and (there := counted.count()) < asked:
+        raise ValueError(f"{asked} images are asked for, there are {there}")
     ranked = global_rank(counted.withColumn("key", shuffled(seed, "image_id")), "key")
     last = F.lit(True) if n_inter < 0 else F.col("rank") <= n_train + n_inter
     pool = F.when(F.lit(n_train < 0) | (F.col("rank") <= n_train), "train").when(last, "inter")
@@ -118,8 +135,8 @@ def support_best(known: DataFrame, shots: int) -> DataFrame:
 
 def intra_items(annotations: DataFrame, split: DataFrame, most: int) -> DataFrame:
     """Per image the category most common among its known instances (the least of equals), its exemplars (at most
-    ``most``) and all its instances, prompts included."""
-    own = annotations.join(split, ["image_id", "ann_id"])
+    ``most``) and all its instances, prompts included. What the split does not name is unknown."""
+    own = annotations.join(split, ["image_id", "ann_id"], "left")
     per = own.groupBy("image_id", "category_id").agg(F.count_if(F.col("part") == "known").alias("k"), F.count("*").alias("n_gt"))
     best = per.filter("k > 0").groupBy("image_id").agg(F.max_by(F.struct("category_id", "k", "n_gt"), F.struct("k", -F.col("category_id"))).alias("b"))
     return best.select("image_id", "b.category_id", F.least(F.col("b.k"), F.lit(most)).alias("n_exemplars"), "b.n_gt")
@@ -132,3 +149,25 @@ def inter_items(annotations: DataFrame, support: DataFrame) -> DataFrame:
     ok = per.join(has, "category_id").filter("image_id <> support_image_id")
     best = ok.groupBy("image_id").agg(F.max_by(F.struct("category_id", "support_image_id", "n_gt"), F.struct("n_gt", -F.col("category_id"))).alias("b"))
     return best.select("image_id", "b.category_id", "b.support_image_id", "b.n_gt")
+
+
+def largest_exemplar(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """Per category the image of largest area (the least id of equals) that holds it, and its largest instance there."""
+    best = F.max_by(F.struct("image_id", "ann_id"), F.struct("pixels", -F.col("image_id"), "area", -F.col("ann_id")))
+    own = annotations.join(images.select("image_id", (F.col("height") * F.col("width")).alias("pixels")), "image_id")
+    return own.groupBy("category_id").agg(best.alias("b")).select("category_id", "b.image_id", "b.ann_id")
+
+
+def slice_summary(pairs: DataFrame) -> DataFrame:
+    """Of a slice (image_id, category_id, n): images, instances, the fewest and most an image, classes."""
+    return pairs.agg(F.countDistinct("image_id").alias("n_images"), F.sum("n").alias("n_instances"), F.min("n").alias("least"), F.max("n").alias("most"), F.countDistinct("category_id").alias("n_classes"))
+
+
+def samples(images: DataFrame, annotations: DataFrame, split: DataFrame) -> DataFrame:
+    """One row an image: its instances as an array (ann_id, category_id, known), and how many are known and unknown. An instance that the
+    split does not name is unknown; images without instances have an empty array."""
+    part = F.coalesce(F.col("part") == "known", F.lit(False))
+    own = annotations.join(split, ["image_id", "ann_id"], "left").groupBy("image_id").agg(F.array_sort(F.array_agg(F.struct("ann_id", "category_id", part.alias("known")))).alias("instances"))
+    out = images.join(own, "image_id", "left").withColumn("instances", F.coalesce("instances", F.array().cast("array<struct<ann_id:bigint,category_id:bigint,known:boolean>>")))
+    known = F.size(F.filter("instances", lambda i: i["known"]))
+    return out.withColumn("n_known", known.cast("long")).withColumn("n_unknown", (F.size("instances") - known).cast("long"))

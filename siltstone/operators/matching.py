@@ -21,18 +21,25 @@ def box_pairs(dets: DataFrame, gt: DataFrame, how: str = "inner") -> DataFrame:
     return joined.select("d.image_id", "d.det_id", "d.score", "g.gt_id", g.intersection(g.box("d."), g.box("g.")).alias("inter"), g.iou(g.box("d."), g.box("g.")).alias("iou"))
 
 
-def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 32) -> DataFrame:
-    """Overlapping pairs only, by an equality join on the tiles that boxes touch: for
-    images with so many boxes that all pairs are too many."""
-    def tiles(df: DataFrame) -> DataFrame:
-        ty = F.explode(F.sequence(F.floor(F.col("y0") / tile), F.floor((F.col("y1") - 1) / tile))).alias("ty")
-        return df.select("*", ty).select("*", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor((F.col("x1") - 1) / tile))).alias("tx"))
+def tiled_overlaps(left: DataFrame, right: DataFrame, a: str, b: str, tile: int = 32) -> DataFrame:
+    """Rows image_id, a, b and the boxes ``l`` and ``r`` (structs) of boxes that share area, by an equality join on
+    the tiles that boxes touch; each pair comes from one tile."""
+    def tiles(df: DataFrame, key: str, name: str) -> DataFrame:
+        own = df.select("image_id", key, F.struct("y0", "y1", "x0", "x1").alias(name), F.explode(F.sequence(F.floor(F.col("y0") / tile), F.floor((F.col("y1") - 1) / tile))).alias("ty"))
+        return own.select("*", F.explode(F.sequence(F.floor(F.col(f"{name}.x0") / tile), F.floor((F.col(f"{name}.x1") - 1) / tile))).alias("tx"))
+
+    full = lambda df: df.filter("y1 > y0 AND x1 > x0")
+    first = (F.col("ty") == F.floor(F.greatest("l.y0", "r.y0") / tile)) & (F.col("tx") == F.floor(F.greatest("l.x0", "r.x0") / tile))
+    both = tiles(full(left), a, "l").join(tiles(full(right), b, "r"), ["image_id", "ty", "tx"])
+    return both.filter(g.overlap(g.box("l."), g.box("r.")) & first).select("image_id", a, b, "l", "r")
 
-    a, b = tiles(dets).alias("d"), tiles(gt).alias("g")
-    on = [F.col(f"d.{k}") == F.col(f"g.{k}") for k in ("image_id", "ty", "tx")]
-    first = (F.col("d.ty") == F.floor(F.greatest("d.y0", "g.y0") / tile)) & (F.col("d.tx") == F.floor(F.greatest("d.x0", "g.x0") / tile))
-    both = a.join(b, on).filter(g.overlap(g.box("d."), g.box("g.")) & first)
-    return both.select("d.image_id", "d.det_id", "d.score", "g.gt_id", g.intersection(g.box("d."), g.box("g.")).alias("inter"), g.iou(g.box("d."), g.box("g.")).alias("iou"))
+
+def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 32) -> DataFrame:
+    """As box_pairs, of overlapping pairs only: no image's boxes are paired that share no tile."""
+    own = dets.withColumn("det", F.struct("det_id", "score"))
+    both = tiled_overlaps(own, gt, "det", "gt_id", tile)
+    x, y = g.box("l."), g.box("r.")
+    return both.select("image_id", "det.det_id", "det.score", "gt_id", g.intersection(x, y).alias("inter"), g.iou(x, y).alias("iou"))
 
 
 def _in_order(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -69,7 +76,7 @@ def prediction_outcomes(dets: DataFrame, pairs: DataFrame, threshold: float = 0.
 def miss_outcomes(gt: DataFrame, after: DataFrame, before: DataFrame, visited: DataFrame, threshold: float = 0.5, seen: float = 0.9) -> DataFrame:
     """Each ground truth's first outcome of: detected (a pair of ``after`` reaches the threshold),
     suppressed (one of ``before`` does), not_emitted (one of ``visited`` does), never_framed; and whether
-    ``seen`` of its area lies in one visited box. The three are box_pairs tables."""
+    ``seen`` of its area lies in one visited box. The three are tables of box_pairs or tiled_pairs."""
     def reached(pairs: DataFrame, name: str) -> DataFrame:
         return pairs.groupBy("image_id", "gt_id").agg((F.max("iou") >= threshold).alias(name))
 

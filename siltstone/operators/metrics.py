@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import matching
+from .graph import written
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
@@ -44,9 +45,9 @@ def average_precision(scored: DataFrame, n_gt: DataFrame, by: tuple[str, ...] =
     return rises.groupBy(*by).agg((F.sum(levels * F.col("envelope")) / 101).alias("ap"))
 
 
-def coco_ap(dets: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """threshold, ap."""
-    pairs = matching.box_pairs(dets, gt).filter(F.col("iou") >= min(thresholds))
+def coco_ap(dets: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS, pairs: DataFrame | None = None) -> DataFrame:
+    """threshold, ap. ``pairs`` (image_id, det_id, score, gt_id, iou) are those of boxes unless given."""
+    pairs = (matching.tiled_pairs(dets, gt) if pairs is None else pairs).filter(F.col("iou") >= min(thresholds))
     each = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
     won = matching.greedy_match(each, min(thresholds), ("threshold", "image_id")).select("threshold", "image_id", "det_id", F.lit(1).alias("tp"))
     ranged = by_ranges(dets.select("image_id", "det_id", "score"), "score", "range")  # before the matches, which are not computed for it
@@ -62,10 +63,10 @@ def summarize(ap: DataFrame) -> DataFrame:
     return ap.agg(F.avg("ap").alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"))
 
 
-def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
     """One row: tp, fp, fn, pq, sq, rq, count_abs, count_rel, recovery. A true positive counts with its
     detection's largest IoU over all ground truths, not the matched one's."""
-    pairs = matching.box_pairs(dets, gt)
+    pairs = matching.tiled_pairs(dets, gt) if pairs is None else pairs
     won = matching.greedy_match(pairs, threshold).select("image_id", "det_id")
     best = pairs.groupBy("image_id", "det_id").agg(F.max("iou").alias("best"))
     hits = won.join(best, ["image_id", "det_id"]).agg(F.count("*").alias("tp"), F.coalesce(F.sum("best"), F.lit(0.0)).alias("s"))
@@ -79,15 +80,69 @@ def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFram
     return all_.select("tp", "fp", "fn", (F.col("s") / whole).alias("pq"), F.when(F.col("tp") > 0, F.col("s") / F.col("tp")).otherwise(0.0).alias("sq"), (F.col("tp") / whole).alias("rq"), "count_abs", "count_rel", "recovery")
 
 
+def evaluate(dets: DataFrame, gt: DataFrame, det_runs: DataFrame | None = None, gt_runs: DataFrame | None = None, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """One row of all metrics: box_ap, box_ap50, box_ap75, box_ap_<threshold>, pq, sq, rq, mean_iou, count_error, count_error_rel,
+    n_pred, n_gt, and with masks (runs by det_id and gt_id) ap, ap50, ap75 and ap_<threshold>; pq is of the masks where there are any."""
+    masked = None
+    if det_runs is not None:
+        from . import masks
+
+        masked = masks.overlaps(det_runs, gt_runs, "det_id", "gt_id").join(dets.select("image_id", "det_id", "score"), ["image_id", "det_id"])
+
+    def wide(prefix: str, pairs: DataFrame | None) -> DataFrame:
+        per = coco_ap(dets, gt, thresholds, pairs)
+        at = [F.max(F.when(F.col("threshold") == t, F.col("ap"))) for t in thresholds]
+        own = [F.avg("ap").alias(f"{prefix}ap"), *[a.alias(f"{prefix}ap_{t:.2f}") for t, a in zip(thresholds, at)]]
+        own += [a.alias(f"{prefix}ap{round(100 * t)}") for t, a in zip(thresholds, at) if t in (0.5, 0.75)]
+        return per.agg(*own)
+
+    p = panoptic(dets, gt, 0.5, masked)
+    n = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    out = p.select("pq", "sq", "rq", F.col("sq").alias("mean_iou"), F.col("count_abs").alias("count_error"), F.col("count_rel").alias("count_error_rel"), n[0].alias("n_pred"), n[1].alias("n_gt"))
+    out = out.crossJoin(wide("box_", None))
+    return out if masked is None else out.crossJoin(wide("", masked))
+
+
+def to_rows(metrics: DataFrame) -> DataFrame:
+    """The columns of a row of metrics as rows (metric, value)."""
+    return metrics.select(F.explode(F.create_map(*[x for c in metrics.columns for x in (F.lit(c), F.col(f"`{c}`").cast("double"))])).alias("metric", "value"))
+
+
+def exemplar_recovery(pairs: DataFrame, exemplars: DataFrame) -> DataFrame:
+    """Mean over exemplars (image_id, gt_id) of the largest IoU that any detection has with one."""
+    best = pairs.groupBy("image_id", "gt_id").agg(F.max("iou").alias("m"))
+    return exemplars.join(best, ["image_id", "gt_id"], "left").agg(F.avg(F.coalesce("m", F.lit(0.0))).alias("recovery"))
+
+
 def auroc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, positive): the Mann-Whitney statistic by average ranks, from
-    counts per distinct score, so that only distinct scores are ranked. NULL if a side is empty."""
+    counts per distinct score; those are ranked by ranges, so no task sees all. NULL if a side is empty."""
     per = scores.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = per.withColumn("won", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    per = by_ranges(written(per, "scores"), "score", "range")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    ranges = per.groupBy("range").agg(F.sum("n").alias("own")).select("range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = per.withColumn("below", own).join(ranges, "range").withColumn("won", F.col("p") * (F.col("below") + F.col("before") + F.col("n") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / F.col("p") / F.col("n")).alias("auroc"))
 
 
+def exact_percentile(values: DataFrame, by: str, column: str, share: float) -> DataFrame:
+    """by, value: the percentile of each group by linear interpolation. The two ranks it lies between are looked for by
+    counts of distinct values in ranges, so a hot group is never in one task."""
+    per = values.filter(F.col(column).isNotNull()).groupBy(by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    per = by_ranges(written(per, "values"), "v", "range")
+    size = per.groupBy(by, "range").agg(F.sum("n").alias("own"))
+    size = size.select(by, "range", (F.sum("own").over(W.partitionBy(by).orderBy("range")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy(by)).alias("all"), "own")
+    at = (F.col("all") - 1) * F.lit(share)
+    wanted = size.filter((F.col("before") <= F.ceil(at)) & (F.col("before") + F.col("own") > F.floor(at)))
+    reach = F.sum("n").over(W.partitionBy(by, "range").orderBy("v")) + F.col("before")
+    rows = per.join(wanted, [by, "range"]).withColumn("reach", reach)
+    lo = F.min(F.when(F.col("reach") > F.floor(at), F.col("v")))
+    hi = F.min(F.when(F.col("reach") > F.ceil(at), F.col("v")))
+    found = rows.groupBy(by).agg(lo.alias("lo"), hi.alias("hi"), F.first(at - F.floor(at)).alias("part"))
+    return found.select(by, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
+
+
 def runtime_summary(times: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
     return times.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.sum(x).alias("total"), (F.count(x) / F.sum(x)).alias("throughput"))

@@ -1,75 +1,106 @@
-"""Suppression of repeated detections: hard, soft and directional, and what is clipped.
+"""Suppression of repeated detections: hard, soft and directional, what is clipped, and fragments.
 
-Greedy suppression is a fold over an image's boxes in order; it is quadratic in the boxes of an
-image and local to it. ``merge_detections`` strings the rules together.
+Which detections overlap is found first, as a table of pairs: of boxes by tiles they share, of masks
+by runs they share (``box_overlaps``, ``mask_overlaps``). Greedy suppression is then a fold over an
+image's detections in order, each of which carries the ids of those before it that could rule it out.
+So a fold's length is the number of detections and overlaps of an image, not their product.
+``merge_detections`` strings the rules together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import masks
+from .graph import components
+from .matching import tiled_overlaps
 
 _BOX = ["y0", "y1", "x0", "x1"]
 
 
-def _struct_box(s: Column) -> g.Box:
-    return tuple(s[n] for n in _BOX)  # type: ignore[return-value]
+def box_overlaps(dets: DataFrame) -> DataFrame:
+    """image_id, det_id, other, inter, iou, containment, own (share of det_id's area) of overlapping boxes, both ways round."""
+    a = dets.select("image_id", "det_id", *_BOX)
+    pairs = tiled_overlaps(a, a.withColumnRenamed("det_id", "other"), "det_id", "other").filter("det_id <> other")
+    x, y = g.box("l."), g.box("r.")
+    inter = g.intersection(x, y)
+    return pairs.select("image_id", "det_id", "other", inter.alias("inter"), g.iou(x, y).alias("iou"), g.containment(x, y).alias("containment"), (inter / (g.area(x) + 1e-6)).alias("own"))
 
 
-def _ordered(dets: DataFrame) -> DataFrame:
-    rows = F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", *_BOX)))
-    return dets.groupBy("image_id").agg(rows.alias("d"))
+def mask_overlaps(runs: DataFrame) -> DataFrame:
+    """As box_overlaps, of masks given as runs (image_id, det_id, y, xs, xe)."""
+    pairs = masks.overlaps(runs, runs.withColumnRenamed("det_id", "other"), "det_id", "other").filter("det_id <> other")
+    sized = pairs.join(masks.areas(runs, "det_id"), ["image_id", "det_id"])
+    return sized.select("image_id", "det_id", "other", "inter", "iou", "containment", (F.col("inter") / (F.col("area") + 1e-6)).alias("own"))
 
 
-def nms(dets: DataFrame, iou: float = 0.5, contain: float = 0.8) -> DataFrame:
-    """Kept detections (image_id, det_id): by falling score, then det_id, those that no kept one overlaps by
-    at least ``iou``, or contains (or lies in) by at least ``contain`` of the smaller. 1 and 1 keep all but copies."""
-    def same(a: g.Box, b: g.Box) -> Column:
-        return g.overlap(a, b) & ((g.iou(a, b) >= iou) | (g.containment(a, b) >= contain))
+def _ordered(dets: DataFrame, pairs: DataFrame, what: Column) -> DataFrame:
+    """Per image its detections by falling score, then det_id, each with ``n``: ``what`` of those before it in its pairs."""
+    rank = dets.select("image_id", "det_id", "score", F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("score"), "det_id")).alias("rank"))
+    ahead = rank.select("image_id", F.col("det_id").alias("other"), F.col("rank").alias("other_rank"))
+    before = pairs.join(rank.select("image_id", "det_id", "rank"), ["image_id", "det_id"]).join(ahead, ["image_id", "other"]).filter("other_rank < rank")
+    near = before.groupBy("image_id", "det_id").agg(F.array_agg(what).alias("n"))
+    rows = F.array_sort(F.array_agg(F.struct("rank", "det_id", "score", "n")))
+    return rank.join(near, ["image_id", "det_id"], "left").groupBy("image_id").agg(rows.alias("d"))
+
 
+def _greedy(dets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """image_id, kept: det_ids of which no kept one is in a pair with an earlier kept one."""
     def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: same(_struct_box(x), _struct_box(k))), kept).otherwise(F.array_append(kept, x))
+        return F.when(F.coalesce(F.arrays_overlap(x["n"], kept), F.lit(False)), kept).otherwise(F.array_append(kept, x["det_id"]))
 
-    kept = _ordered(dets).select("image_id", F.explode(F.aggregate("d", F.slice("d", 1, 0), step)).alias("k"))
-    return kept.select("image_id", "k.det_id")
+    none = F.slice(F.transform("d", lambda x: x["det_id"]), 1, 0)
+    return _ordered(dets, pairs, F.col("other")).select("image_id", F.aggregate("d", none, step).alias("kept"))
 
 
-def suppress_directional(dets: DataFrame, iou: float = 0.5, contain: float = 0.8) -> DataFrame:
-    """As nms with strict bounds, containment by the detection's own area, and empty boxes dropped;
-    ``rank`` is the place by score among the kept."""
-    def same(x: g.Box, k: g.Box) -> Column:
-        inter = g.intersection(x, k)
-        return (g.iou(x, k) > iou) | (inter / (g.area(x) + 1e-6) > contain)
+def nms(dets: DataFrame, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
+    """Kept detections (image_id, det_id): by falling score, then det_id, those that no kept one overlaps by
+    at least ``iou``, or contains (or lies in) by at least ``contain`` of the smaller. 1 and 1 keep all but copies.
+    Overlaps are those of boxes unless ``pairs`` gives others."""
+    same = (box_overlaps(dets) if pairs is None else pairs).filter((F.col("iou") >= iou) | (F.col("containment") >= contain))
+    return _greedy(dets, same).select("image_id", F.explode("kept").alias("det_id"))
 
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: same(_struct_box(x), _struct_box(k))), kept).otherwise(F.array_append(kept, x))
 
-    full = dets.filter(g.area(g.box()) > 0)
-    kept = _ordered(full).select("image_id", F.posexplode(F.aggregate("d", F.slice("d", 1, 0), step)).alias("rank", "k"))
-    return kept.select("image_id", F.col("rank").cast("long").alias("rank"), "k.det_id")
+def suppress_directional(dets: DataFrame, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
+    """As nms with strict bounds, containment by the detection's own area, and empty boxes dropped;
+    ``rank`` is the place by score among the kept."""
+    same = (box_overlaps(dets) if pairs is None else pairs).filter((F.col("iou") > iou) | (F.col("own") > contain))
+    kept = _greedy(dets.filter(g.area(g.box()) > 0), same).select("image_id", F.posexplode("kept").alias("rank", "det_id"))
+    return kept.select("image_id", F.col("rank").cast("long").alias("rank"), "det_id")
 
 
-def soft_nms(dets: DataFrame, sigma: float = 0.5, floor: float = 0.0, contain: float = 0.9) -> DataFrame:
+def soft_nms(dets: DataFrame, sigma: float = 0.5, floor: float = 0.0, contain: float = 0.9, pairs: DataFrame | None = None) -> DataFrame:
     """(image_id, det_id, score): a detection's score is multiplied by exp(-o^2 / sigma) for each kept one that it
     overlaps by o, the larger of IoU and containment; one contained by ``contain`` gets 0; kept are those that
     reach ``floor``. The order is that of the first scores."""
-    def decayed(kept: Column, x: Column) -> Column:
-        def by(s: Column, k: Column) -> Column:
-            a, b = _struct_box(x), _struct_box(k)
-            c = F.when(g.overlap(a, b), g.containment(a, b)).otherwise(0.0)
-            o = F.greatest(F.when(g.overlap(a, b), g.iou(a, b)).otherwise(0.0), c)
-            return F.when(c >= contain, 0.0).when(o > 0, s * F.exp(-(o * o) / max(sigma, 1e-9))).otherwise(s)
-
-        return F.aggregate(kept, -x["s"], by)
+    o = F.greatest("iou", "containment")
+    factor = F.when(F.col("containment") >= contain, 0.0).otherwise(F.exp(-(o * o) / max(sigma, 1e-9)))
+    near = (box_overlaps(dets) if pairs is None else pairs).withColumn("factor", factor)
 
     def step(kept: Column, x: Column) -> Column:
-        s = decayed(kept, x)
-        return F.when(s >= floor, F.array_append(kept, F.struct((-s).alias("s"), x["det_id"].alias("det_id"), *[x[n].alias(n) for n in _BOX]))).otherwise(kept)
+        hit = F.filter(F.coalesce(x["n"], F.array()), lambda n: F.exists(kept, lambda k: k["det_id"] == n["other"]))
+        s = F.aggregate(hit, x["score"].cast("double"), lambda a, n: a * n["factor"])
+        return F.when(s >= floor, F.array_append(kept, F.struct(x["det_id"].alias("det_id"), s.alias("score")))).otherwise(kept)
 
-    kept = _ordered(dets).select("image_id", F.explode(F.aggregate("d", F.slice("d", 1, 0), step)).alias("k"))
-    return kept.select("image_id", "k.det_id", (-F.col("k.s")).alias("score"))
+    none = F.slice(F.transform("d", lambda x: F.struct(x["det_id"].alias("det_id"), x["score"].cast("double").alias("score"))), 1, 0)
+    kept = _ordered(dets, near, F.struct("other", "factor")).select("image_id", F.explode(F.aggregate("d", none, step)).alias("k"))
+    return kept.select("image_id", "k.det_id", "k.score")
+
+
+def mask_edges(runs: DataFrame, dets: DataFrame, within_image: bool) -> DataFrame:
+    """image_id, det_id of masks (runs) that reach an edge of their crop; with ``within_image`` only edges that are none
+    of the image. dets: image_id, det_id, crop (a struct of a box), height, width."""
+    t = masks.tight_boxes(runs, "det_id").join(dets.select("image_id", "det_id", "crop", "height", "width"), ["image_id", "det_id"])
+    hit = g.clipped(g.box(), g.box("crop."), F.col("height"), F.col("width")) if within_image else g.touches(g.box(), g.box("crop."))
+    return t.filter(hit).select("image_id", "det_id")
+
+
+def drop_clipped_masks(dets: DataFrame, runs: DataFrame) -> DataFrame:
+    """As drop_clipped, by what the masks reach."""
+    return dets.join(mask_edges(runs, dets, True), ["image_id", "det_id"], "left_anti")
 
 
 def drop_clipped(dets: DataFrame) -> DataFrame:
@@ -85,14 +116,34 @@ def fragment_pairs(dets: DataFrame, gap: int) -> DataFrame:
     return a.join(b, on).select("a.image_id", F.col("a.det_id").alias("a"), F.col("b.det_id").alias("b"))
 
 
-def merge_fragments(dets: DataFrame, groups: DataFrame) -> DataFrame:
-    """One detection a group (image_id, node, root): the union's box, the largest score, and the best one's det_id; others stay."""
-    own = dets.join(groups.withColumnRenamed("node", "det_id"), ["image_id", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
+def mask_fragment_pairs(runs: DataFrame, partial: DataFrame, gap: int) -> DataFrame:
+    """Pairs (image_id, a, b) of masks (runs) with pixels within ``gap`` of each other in either direction, of which one
+    at least is in ``partial`` (image_id, det_id)."""
+    wide = runs.select("image_id", "det_id", F.explode(F.sequence(F.col("y") - gap, F.col("y") + gap)).alias("y"), (F.col("xs") - gap).alias("xs"), (F.col("xe") + gap).alias("xe"))
+    l, r = wide.join(partial, ["image_id", "det_id"], "left_semi").alias("l"), runs.alias("r")
+    on = (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.y") == F.col("r.y")) & (F.col("l.xs") < F.col("r.xe")) & (F.col("r.xs") < F.col("l.xe")) & (F.col("l.det_id") != F.col("r.det_id"))
+    return l.join(r, on).select("l.image_id", F.least("l.det_id", "r.det_id").alias("a"), F.greatest("l.det_id", "r.det_id").alias("b")).distinct()
+
+
+def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One detection a group that ``pairs`` (image_id, a, b) join: the best one's det_id (the first of equals) and the largest score, and
+    the union's box, which is that of the masks where ``runs`` are given; others stay."""
+    groups = components(pairs).withColumnRenamed("node", "det_id")
+    own = dets.join(groups, ["image_id", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
+    if runs is not None:
+        own = own.drop(*_BOX).join(masks.tight_boxes(runs, "det_id"), ["image_id", "det_id"])
     best = F.max_by("det_id", F.struct("score", -F.col("det_id")))
-    return own.groupBy("image_id", "root").agg(best.alias("det_id"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("score").alias("score")).drop("root")
+    size = F.count("*").alias("pieces")
+    return own.groupBy("image_id", "root").agg(best.alias("det_id"), size, F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("score").alias("score")).drop("root")
+
+
+def fragments(dets: DataFrame, gap: int = 1, iou: float = 0.5, contain: float = 0.8) -> DataFrame:
+    """Fragments (``partial``) made one, then nms."""
+    merged = merge_fragments(dets, fragment_pairs(dets, gap))
+    return nms(merged, iou, contain)
 
 
-RULES = {"none": lambda d, **_: d.select("image_id", "det_id"), "nms": nms, "soft": soft_nms, "directional": suppress_directional}
+RULES = {"none": lambda d, **_: d.select("image_id", "det_id"), "nms": nms, "soft": soft_nms, "directional": suppress_directional, "fragments": fragments}
 
 
 def merge_detections(dets: DataFrame, rule: str = "nms", **options) -> DataFrame:

@@ -53,8 +53,8 @@ def foreground(scores: DataFrame, taus: DataFrame, by: list[str], column: str =
 
 
 def gmm2_threshold(x: np.ndarray, rounds: int = 50) -> float:
-    """Where the upper of two normal components, fitted by EM from the quartiles, first is the likelier one
-    on a grid of 256 points; the mean if it never is."""
+    """Where the upper of two normal components, fitted by EM from the quartiles, first is the likelier one on a grid
+    of 256 points between their means; the middle of these if it never is."""
     if len(x) == 0 or x.max() - x.min() < 1e-9:
         return float(x.min()) if len(x) else float("nan")
     mean, var, share = np.percentile(x, [25, 75]), np.full(2, x.var() + 1e-6), np.full(2, 0.5)
@@ -69,10 +69,10 @@ def gmm2_threshold(x: np.ndarray, rounds: int = 50) -> float:
         mean = (r * x[:, None]).sum(axis=0) / n
         var = (r * (x[:, None] - mean) ** 2).sum(axis=0) / n + 1e-6
         share = n / len(x)
-    grid = np.linspace(x.min(), x.max(), 256)
+    grid = np.linspace(mean.min(), mean.max(), 256)
     d, high = density(grid), int(np.argmax(mean))
-    wins = np.flatnonzero((d[:, high] >= d[:, 1 - high]) & (grid >= mean.min()))
-    return float(grid[wins[0]]) if len(wins) else float(x.mean())
+    wins = np.flatnonzero(d[:, high] >= d[:, 1 - high])
+    return float(grid[wins[0]]) if len(wins) else float(mean.mean())
 
 
 def gmm2(scores: DataFrame, by: str, column: str = "s") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as a
+from ..session import ship
 
 #: An exemplar bank of at most so many numbers is sent to every task; a larger one is joined in blocks of rows.
 BANK_NUMBERS = 4_000_000
@@ -31,14 +32,32 @@ def similarities(patches: DataFrame, exemplars: DataFrame, digits: int = 9) -> D
     return both.select("image_id", "patch_id", "r", "c", "class_id", "ex_id", s)
 
 
-def matrix_similarities(patches: DataFrame, bank: np.ndarray, ids: list[int]) -> DataFrame:
-    """As similarities with a NumPy bank: a matrix product per Arrow batch (image_id, patch_id, s by exemplar)."""
+def nearest_exemplars(patches: DataFrame, bank: np.ndarray, ids: list[int], k: int, digits: int = 9) -> DataFrame:
+    """patch_id, ex_id, s, rank of each patch's k most similar exemplars (the lower id of equals): a matrix product a batch, so that
+    the n x m similarities are never rows. The bank (a row an exemplar, ids rising) must be of at most ``BANK_NUMBERS`` numbers."""
+    if bank.size > BANK_NUMBERS:
+        raise ValueError("the bank is too large to be sent to all tasks")
+    ship(patches.sparkSession)
+    most, of = min(max(1, k), len(ids)), np.array(ids)
+
     def run(batches):
         for b in batches:
-            x = np.stack(b["feat"].to_numpy()) if len(b) else np.zeros((0, bank.shape[1]))
-            yield pd.DataFrame({"image_id": b["image_id"], "patch_id": b["patch_id"], "ex_ids": [ids] * len(b), "s": list(x @ bank.T)})
-
-    return patches.select("image_id", "patch_id", "feat").mapInPandas(run, "image_id long, patch_id long, ex_ids array<long>, s array<double>")
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
+                s = np.round(np.stack(part["feat"].to_numpy()) @ bank.T, digits)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                yield pd.DataFrame({"patch_id": np.repeat(part["patch_id"].to_numpy(), most), "ex_id": of[order].ravel(), "s": np.take_along_axis(s, order, axis=1).ravel(), "rank": np.tile(np.arange(1, most + 1), len(part))})
+
+    return patches.select("patch_id", "feat").mapInPandas(run, "patch_id long, ex_id long, s double, rank long")
+
+
+def top_k(patches: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
+    """As top_exemplars of all similarities; with a bank of at most ``BANK_NUMBERS`` numbers without ever listing them."""
+    size = exemplars.select(F.sum(F.size("feat")).alias("d")).first().d or 0
+    if not size or size > BANK_NUMBERS:
+        return top_exemplars(similarities(patches, exemplars), k)
+    rows = exemplars.orderBy("ex_id").collect()
+    return nearest_exemplars(patches, np.array([r.feat for r in rows]), [r.ex_id for r in rows], k)
 
 
 def dimension_means(rows: DataFrame, by: list[str], column: str = "feat") -> DataFrame:

@@ -44,7 +44,7 @@ def r6(c, name: str | None = None):
 
 
 def _pairs(s, d):
-    return matching.box_pairs(fx.detections(s, d), fx.ground_truth(s, d))
+    return matching.tiled_pairs(fx.detections(s, d), fx.ground_truth(s, d))
 
 
 def _sims(s, d):
@@ -116,6 +116,23 @@ def _(s, d):
     return p.select("tp", "fp", "fn", *[r6(c, c) for c in ("pq", "sq", "rq", "count_abs", "count_rel", "recovery")])
 
 
+@query("evaluation", f"""WITH {ALL_T}, {MATCH.format(gt='gt_id', pairs='p')}, {AP},
+b AS (SELECT image_id, det_id, max(iou) AS best FROM iou GROUP BY ALL), h AS (SELECT count(*) AS tp, coalesce(sum(best), 0)::DOUBLE AS s FROM won JOIN b USING (image_id, det_id) WHERE t = 0.5),
+per AS (SELECT coalesce(p, 0) AS p, coalesce(g, 0) AS g FROM (SELECT image_id, count(*) AS p FROM detections GROUP BY 1) FULL JOIN (SELECT image_id, count(*) AS g FROM gt GROUP BY 1) USING (image_id)),
+nn AS (SELECT sum(p)::DOUBLE AS np, sum(g)::DOUBLE AS ng, avg(abs(p - g)) AS ca, avg(abs(p - g) / greatest(g, 1)::DOUBLE) AS cr FROM per),
+v AS (SELECT s / ((np + ng) / 2) AS pq, s / tp AS sq, tp / ((np + ng) / 2) AS rq, ca, cr, np, ng FROM h, nn),
+o AS (SELECT unnest(['pq', 'sq', 'rq', 'mean_iou', 'count_error', 'count_error_rel', 'n_pred', 'n_gt']) AS metric, unnest([pq, sq, rq, sq, ca, cr, np, ng]) AS value FROM v
+  UNION ALL SELECT 'box_ap', avg(ap) FROM ap UNION ALL SELECT 'box_ap' || (threshold * 100)::INT, ap FROM ap WHERE threshold IN (0.5, 0.75) UNION ALL SELECT 'box_ap_' || printf('%.2f', threshold::DOUBLE), ap FROM ap)
+SELECT metric, round(value, 6)::DOUBLE AS value FROM o""", "iou", recursive=True)
+def _(s, d):
+    return metrics.to_rows(metrics.evaluate(fx.detections(s, d), fx.ground_truth(s, d))).select("metric", r6("value", "value"))
+
+
+@query("exemplar_recovery", "SELECT round(avg(coalesce(x, 0)), 6) AS recovery FROM gt LEFT JOIN (SELECT image_id, gt_id, max(iou) AS x FROM iou GROUP BY ALL) USING (image_id, gt_id) WHERE gt_id <= 2", "iou")
+def _(s, d):
+    return metrics.exemplar_recovery(_pairs(s, d), fx.ground_truth(s, d).filter("gt_id <= 2")).select(r6("recovery", "recovery"))
+
+
 @query("pred_taxonomy", f"""WITH {AT_HALF}, {MATCH.format(gt='-gt_id', pairs='p')}, b AS (SELECT image_id, det_id, max(iou) AS best FROM iou GROUP BY ALL)
 SELECT CASE WHEN won.det_id IS NOT NULL THEN 'matched' WHEN best >= 0.5 THEN 'duplicate' WHEN best > 0 THEN 'partial' ELSE 'background' END AS outcome, count(*) AS n
 FROM detections d LEFT JOIN b USING (image_id, det_id) LEFT JOIN won USING (image_id, det_id) GROUP BY 1""", "iou", recursive=True)
@@ -144,8 +161,8 @@ SELECT CASE WHEN a >= 0.5 THEN 'detected' WHEN b >= 0.5 THEN 'suppressed' WHEN v
 FROM gt LEFT JOIN vm USING (image_id, gt_id) LEFT JOIN bm USING (image_id, gt_id) GROUP BY 1, 2""", "iou")
 def _(s, d):
     dets, gt = fx.detections(s, d), fx.ground_truth(s, d)
-    before = matching.box_pairs(dets, gt)
-    out = matching.miss_outcomes(gt, before.filter("det_id % 2 = 0"), before, matching.box_pairs(_visited(dets), gt))
+    before = matching.tiled_pairs(dets, gt)
+    out = matching.miss_outcomes(gt, before.filter("det_id % 2 = 0"), before, matching.tiled_pairs(_visited(dets), gt))
     return out.groupBy("outcome", "seen").agg(F.count("*").alias("n"))
 
 
@@ -188,6 +205,25 @@ def _(s, d):
     return suppress.soft_nms(fx.detections(s, d), 0.5, 1000.0, 0.9).select("image_id", "det_id", F.round("score", 4).alias("score"))
 
 
+def _det_runs(s, d):
+    return masks.box_runs(fx.detections(s, d), "det_id")
+
+
+@query("nms_mask", SQL["nms_box"])
+def _(s, d):
+    return suppress.nms(fx.detections(s, d), 0.5, 0.8, suppress.mask_overlaps(_det_runs(s, d)))
+
+
+@query("nms_strict_mask", SQL["nms_strict"])
+def _(s, d):
+    return suppress.suppress_directional(fx.detections(s, d), 0.5, 0.8, suppress.mask_overlaps(_det_runs(s, d)))
+
+
+@query("soft_nms_mask", SQL["soft_nms"])
+def _(s, d):
+    return suppress.soft_nms(fx.detections(s, d), 0.5, 1000.0, 0.9, suppress.mask_overlaps(_det_runs(s, d))).select("image_id", "det_id", F.round("score", 4).alias("score"))
+
+
 def _cropped(dets: DataFrame) -> DataFrame:
     crop = F.struct(F.lit(20).alias("y0"), F.lit(90).alias("y1"), F.lit(0).alias("x0"), F.lit(100).alias("x1"))
     return dets.withColumns({"crop": crop, "height": F.lit(135), "width": F.lit(127)})
@@ -198,6 +234,11 @@ def _(s, d):
     return suppress.drop_clipped(_cropped(fx.detections(s, d))).select("image_id", "det_id")
 
 
+@query("drop_clipped_mask", SQL["drop_clipped"])
+def _(s, d):
+    return suppress.drop_clipped_masks(_cropped(fx.detections(s, d)), _det_runs(s, d)).select("image_id", "det_id")
+
+
 REACH = """UNION SELECT reach.image_id, reach.a, e.b FROM reach JOIN e ON e.image_id = reach.image_id AND e.a = reach.b)"""
 
 
@@ -214,6 +255,13 @@ def _(s, d):
     return own.groupBy("image_id", "root").agg(F.count("*").alias("n"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
+@query("fragment_merge_mask", SQL["fragment_groups"].replace("SELECT d.image_id, coalesce(root, det_id) AS root, count(*) AS n,", "SELECT d.image_id, arg_max(det_id, (score, -det_id)) AS det_id, count(*) AS pieces, round(max(score), 4) AS score,").replace("GROUP BY 1, 2", "GROUP BY d.image_id, coalesce(root, det_id)"))
+def _(s, d):
+    dets, runs = fx.detections(s, d), _det_runs(s, d)
+    merged = suppress.merge_fragments(dets, suppress.mask_fragment_pairs(runs, dets.filter("score < 5000").select("image_id", "det_id"), 1), runs)
+    return merged.withColumn("score", F.round("score", 4))
+
+
 # --- masks
 
 RUNS = "dr AS (SELECT image_id, det_id, unnest(range(y0, y1)) AS y, x0 AS xs, x1 AS xe FROM detections), gr AS (SELECT image_id, gt_id, unnest(range(y0, y1)) AS y, x0 AS xs, x1 AS xe FROM gt)"
@@ -286,15 +334,27 @@ def _(s, d):
     return p.select("class_id", F.posexplode("proto").alias("i", "x")).select("class_id", (F.col("i") + 1).cast("long").alias("i"), r6("x", "x"))
 
 
+@query("bank_mean", f"WITH {PROTO.format(by='class_id, image_id')}, f AS (SELECT class_id, image_id AS ex_id, x / n AS x FROM m JOIN pn USING (class_id, image_id) WHERE i = 1) SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY ex_id) - 1 AS place, ex_id, round(x, 6) AS first FROM f", "patches")
+def _(s, d):
+    b = clustering.bank(fx.patches(s, d).withColumnRenamed("image_id", "ex_id"), "mean")
+    return b.select("class_id", "place", "ex_id", r6(F.element_at("feat", 1), "first"))
+
+
 @query("standardize", """WITH l AS (SELECT image_id, patch_id, unnest(feat) AS x, generate_subscripts(feat, 1) AS i FROM patches), st AS (SELECT image_id, i, avg(x) AS m, coalesce(stddev_samp(x), 0) AS d FROM l GROUP BY ALL),
 z AS (SELECT image_id, patch_id, i, (x - m) / (d + 1e-8) AS z FROM l JOIN st USING (image_id, i)) SELECT patch_id, round(max(CASE WHEN i = 1 THEN z END) / (sqrt(sum(z * z)) + 1e-8), 6) AS first FROM z GROUP BY 1""", "patches")
 def _(s, d):
     return vectors.standardized(fx.patches(s, d)).select("patch_id", r6(F.element_at("feat", 1), "first"))
 
 
+@query("bank_all", "SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY image_id, patch_id) - 1 AS place, image_id AS ex_id, round(feat[1], 6) AS first FROM patches", "patches")
+def _(s, d):
+    b = clustering.bank(fx.patches(s, d).withColumnRenamed("image_id", "ex_id"), "all", 1 << 30)
+    return b.select("class_id", "place", "ex_id", r6(F.element_at("feat", 1), "first"))
+
+
 @query("cosine_topk", "SELECT patch_id, ex_id, round(s, 6) AS s, rank FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY s DESC, ex_id) AS rank FROM sim) WHERE rank <= 5", "sim")
 def _(s, d):
-    return vectors.top_exemplars(_sims(s, d), 5).select("patch_id", "ex_id", r6("s", "s"), "rank")
+    return vectors.top_k(fx.patches(s, d), fx.exemplars(s, d), 5).select("patch_id", "ex_id", r6("s", "s"), "rank")
 
 
 @query("backward_nn", "SELECT image_id, patch_id, ex_id, class_id, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY s DESC, ex_id) AS k FROM sim) WHERE k = 1", "sim")
@@ -394,8 +454,11 @@ def _(s, d):
 
 @query("gate_percentiles", "SELECT class_id, round(quantile_cont(s, 0.1), 6) AS p10, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.99), 6) AS p99, round(avg(s), 6) AS mean, round(max(s), 6) AS max, round(avg((s < 0.3)::INT), 6) AS below FROM sim GROUP BY 1", "sim")
 def _(s, d):
-    p = lambda x, n: r6(F.percentile("s", x), n)
-    return _sims(s, d).groupBy("class_id").agg(p(0.1, "p10"), p(0.5, "p50"), p(0.99, "p99"), r6(F.avg("s"), "mean"), r6(F.max("s"), "max"), r6(F.avg((F.col("s") < 0.3).cast("double")), "below"))
+    sims = _sims(s, d).select("class_id", "s")
+    out = sims.groupBy("class_id").agg(r6(F.avg("s"), "mean"), r6(F.max("s"), "max"), r6(F.avg((F.col("s") < 0.3).cast("double")), "below"))
+    for share, name in ((0.1, "p10"), (0.5, "p50"), (0.99, "p99")):
+        out = out.join(metrics.exact_percentile(sims, "class_id", "s", share).select("class_id", r6("value", name)), "class_id")
+    return out
 
 
 MINMAX = f"{MAPS}, mm AS (SELECT image_id, patch_id, r, c, (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) AS s FROM maps WINDOW w AS (PARTITION BY image_id))"
@@ -480,6 +543,16 @@ def _(s, d):
     return datasets.of_categories(fx.annotations(s, d), [7, 2, 9]).select("image_id", "ann_id", "class_id")
 
 
+@query("filtered_images", "SELECT image_id, count(ann_id) AS n FROM images LEFT JOIN (SELECT * FROM annotations WHERE category_id IN (7, 2)) USING (image_id) GROUP BY 1", "images", "annotations")
+def _(s, d):
+    return datasets.filtered(fx.images(s, d), fx.annotations(s, d), [7, 2]).groupBy("image_id").agg(F.count("ann_id").alias("n"))
+
+
+@query("largest_exemplar", "SELECT category_id, image_id, ann_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY height * width DESC, image_id, area DESC, ann_id) AS k FROM annotations JOIN images USING (image_id)) WHERE k = 1", "images", "annotations")
+def _(s, d):
+    return datasets.largest_exemplar(fx.annotations(s, d), fx.images(s, d))
+
+
 @query("min_instance_filter", "SELECT image_id, count(*) AS n FROM annotations GROUP BY 1 HAVING count(*) >= 5", "annotations")
 def _(s, d):
     return datasets.with_instances(fx.annotations(s, d), 5)
@@ -499,6 +572,11 @@ def _(s, d):
     return datasets.slice_pairs(datasets.pair_stats(fx.images(s, d), fx.annotations(s, d)), 100, 2, 3.0)
 
 
+@query("slice_summary", f"WITH {PAIRS} SELECT count(DISTINCT image_id) AS n_images, sum(n)::BIGINT AS n_instances, min(n) AS least, max(n) AS most, count(DISTINCT category_id) AS n_classes FROM pr WHERE n >= 2", "images", "annotations")
+def _(s, d):
+    return datasets.slice_summary(datasets.pair_stats(fx.images(s, d), fx.annotations(s, d)).filter("n >= 2"))
+
+
 @query("pool_split", """WITH q AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws(':', image_id, 0)), image_id) AS k FROM annotations GROUP BY image_id HAVING count(*) >= 2)
 SELECT image_id, CASE WHEN k <= 500 THEN 'train' ELSE 'inter' END AS pool FROM q WHERE k <= 800""", "annotations")
 def _(s, d):
@@ -515,6 +593,12 @@ def _(s, d):
     return datasets.pu_split(fx.annotations(s, d), 0.5)
 
 
+@query("image_samples", f"WITH {SPLIT.format(i=0)} SELECT image_id, count(*) FILTER (part = 'known') AS n_known, count(*) FILTER (part = 'unknown') AS n_unknown FROM images LEFT JOIN split0 USING (image_id) GROUP BY 1", "images", "annotations")
+def _(s, d):
+    ann = fx.annotations(s, d)
+    return datasets.samples(fx.images(s, d), ann, datasets.pu_split(ann, 0.5)).select("image_id", "n_known", "n_unknown")
+
+
 @query("split_collisions", f"WITH {SPLIT.format(i=0)}, {SPLIT.format(i=1)}, {SPLIT.format(i=2)}, x AS (SELECT image_id, seed, list(ann_id ORDER BY ann_id)::VARCHAR AS l FROM (FROM split0 UNION ALL FROM split1 UNION ALL FROM split2) WHERE part = 'known' GROUP BY 1, 2) SELECT image_id, count(*) AS n_splits, count(DISTINCT l) AS n_distinct FROM x GROUP BY 1", "annotations")
 def _(s, d):
     ann = fx.annotations(s, d)
@@ -624,7 +708,8 @@ def _(s, d):
 @query("runtime_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def _(s, d):
     e = fx.table(s, d, "events")
-    return e.groupBy("event_type").agg(F.count("value").alias("n"), r6(F.avg("value"), "mean"), r6(F.median("value"), "median"), r6(F.stddev_pop("value"), "std"), F.round(F.sum("value"), 4).alias("total"))
+    own = e.groupBy("event_type").agg(F.count("value").alias("n"), r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "std"), F.round(F.sum("value"), 4).alias("total"))
+    return own.join(metrics.exact_percentile(e, "event_type", "value", 0.5).select("event_type", r6("value", "median")), "event_type")
 
 
 @query("sweep_grid", "SELECT concat_ws('_', 'base__stop.tau=' || a, 'merge.rule=' || b, 'seed=' || c) AS run_name, a AS tau, b AS rule, c AS seed FROM (VALUES ('0.5'), ('0.6')) x(a), (VALUES ('nms'), ('soft'), ('none')) y(b), (VALUES ('0')) z(c)")
@@ -679,15 +764,25 @@ def _(s, d):
     return thresholds.gmm2(_maps(s, d), "image_id")
 
 
-@query("cascade_synthetic")
+def _scenes(s, d):
+    """Each image's ground-truth boxes as squares of two colours."""
+    gt = fx.ground_truth(s, d)
+    return gt.select("image_id", F.lit(128).alias("height"), F.lit(128).alias("width"), F.col("gt_id").alias("ann_id"), (1 + F.col("gt_id") % 2).alias("category_id"), "y0", "y1", "x0", "x1")
+
+
+@query("cascade_search")
 def _(s, d):
-    from ..sources import synthetic
     from . import cascade
 
-    synthetic.enable(s)
-    scenes = s.read.format("synthetic_instances").option("n_images", 24).option("image_size", 128).load()
-    found, _trace = cascade.search(scenes, 1, 128)
-    return found
+    return cascade.search_squares(_scenes(s, d), 1)[0].drop("cells")
+
+
+@query("cascade_oracle")
+def _(s, d):
+    from . import cascade, strategies
+
+    found, trace = cascade.search_squares(_scenes(s, d), 1, settings=strategies.Settings(extractor="oracle", stop="oracle"))
+    return cascade.stats(trace, found).withColumn("level_sizes", F.concat_ws(",", F.col("level_sizes").cast("array<string>")))
 
 
 # --- extractors and instance filters

@@ -12,31 +12,37 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .strategies import Settings, build_method
 from .sweeps import configs, flatten, set_dotted
 
 
 @dataclass
 class SearchConfig:
-    """Settings of a search. Unknown keys are left out, None keeps the default, and old names still work."""
+    """Settings of a search of squares: what is looked for, and all knobs of ``strategies.Settings``. Unknown keys are left out,
+    None keeps the default, and old names still work."""
 
     target: int = 1
-    size: int = 128
-    budget: int = 512
-    min_side: int = 8
-    floor: float = 0.3
-    shrink: float = 0.9
-    levels: int = 12
+    categories: int = 2
+    settings: Settings = field(default_factory=lambda: Settings(where="bank", grouping="cc"))
 
-    ALIASES = {"max_depth": "levels", "embed_budget": "budget", "min_crop": "min_side", "crop_sim_floor": "floor", "shrink_stop": "shrink"}
+    ALIASES = {
+        "embed_budget": "budget", "max_total_embeds": "budget", "min_crop": "min_side", "crop_sim_floor": "floor", "shrink_stop": "shrink", "foreground_extractor": "where",
+        "instance_extractor": "grouping", "split_mode": "grouping", "stop_rule": "stop", "merge_rule": "merge", "pad_frac": "pad", "crop_dilate": "dilate", "marker_mode": "markers",
+        "elevation_alpha": "alpha", "elevation_beta": "beta", "marker_min_distance": "marker_distance", "boundary_smooth_sigma": "sigma", "cluster_tau": "cluster",
+        "extract_connectivity": "connectivity", "merge_boundary": "merge_border", "oracle_coverage": "coverage", "oracle_isolation": "isolation",
+        "oracle_isolation_select": "isolation_select", "cascade_min_instance_area": "least_area", "stop_fixed_point_iou": "fixed",
+    }
 
     @classmethod
     def from_dict(cls, values: dict[str, Any]) -> SearchConfig:
-        known = {f.name for f in fields(cls)}
         named = {cls.ALIASES.get(k, k): v for k, v in values.items() if v is not None}
-        return cls(**{k: v for k, v in named.items() if k in known})
+        knobs = {f.name for f in fields(Settings)}
+        own = cls(**{k: named[k] for k in ("target", "categories") if k in named})
+        own.settings = own.settings.with_(**{k: v for k, v in named.items() if k in knobs})
+        return own
 
     def to_dict(self) -> dict[str, Any]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {"target": self.target, "categories": self.categories} | {f.name: getattr(self.settings, f.name) for f in fields(Settings)}
 
 
 @dataclass
@@ -77,11 +83,23 @@ def overridden(config: dict, overrides: list[str]) -> dict:
     return own
 
 
+def read_config(path: Path) -> dict:
+    """A JSON or YAML file (the latter where a YAML package is there)."""
+    text = path.read_text()
+    if path.suffix == ".json":
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{path}: reading YAML needs a YAML package") from e
+    return yaml.safe_load(text) or {}
+
+
 def run_folder(folder: str, run: Callable[[str, dict], Any], overrides: list[str] = ()) -> dict[str, str | None]:  # type: ignore[assignment]
     """Every configuration below a folder, in the order of its path, each with its sweep; a failed run does not stop the others. Name to error, or None."""
     out: dict[str, str | None] = {}
-    for path in sorted(Path(folder).rglob("*.json")):
-        base = overridden(json.loads(path.read_text()), list(overrides))
+    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix in (".json", ".yaml", ".yml")):
+        base = overridden(read_config(path), list(overrides))
         for name, config in configs(base, base.pop("sweep", {}), base.get("run_name", path.stem)):
             try:
                 run(name, config)
@@ -91,6 +109,19 @@ def run_folder(folder: str, run: Callable[[str, dict], Any], overrides: list[str
     return out
 
 
+def run_experiment(spark: SparkSession, folder: str, name: str, config: dict, images: DataFrame, gt: DataFrame) -> DataFrame:
+    """One experiment: the method that ``config`` names, on ``images``, against boxes of ``gt`` (image_id, gt_id, box). Its detections,
+    parameters and metrics go to ``folder``; the metrics are given as rows."""
+    from ..operators import metrics
+    from ..operators.graph import written
+
+    found = written(build_method(config)(images), "detections")
+    write_predictions(found, folder, name, config.get("protocol", "intra"))
+    rows = metrics.to_rows(metrics.evaluate(found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score"), gt)).collect()
+    log_run(spark, folder, name, config, {r.metric: r.value for r in rows})
+    return spark.createDataFrame([(r.metric, r.value) for r in rows], "metric string, value double")
+
+
 def log_run(spark: SparkSession, folder: str, name: str, params: dict[str, Any], metrics: dict[str, float]) -> None:
     """Appends to the tables params and metrics, a partition a run; metrics that are no number are left out."""
     p = [(name, k, str(v)) for k, v in flatten(params).items()]

@@ -1,5 +1,5 @@
-"""One pass over an image without recursion: features, foreground, atoms, watershed, merging, filtering; and the
-crop-and-embed-again refinement of a foreground."""
+"""One pass over an image without recursion: features, foreground, atoms, watershed from hybrid markers, merging of
+basins, filtering; and the crop-and-embed-again refinement of a foreground."""
 
 from __future__ import annotations
 
@@ -12,32 +12,24 @@ from pyspark.sql import DataFrame
 from ..operators import clustering
 from ..operators.backbone import MockBackbone, resize
 from ..operators.thresholds import gmm2_threshold
+from ..session import ship
+from . import strategies as st
 
 FOUND = "image_id long, det_id long, y0 long, y1 long, x0 long, x1 long, area long, score double"
 
 
-def boundary(x: np.ndarray) -> np.ndarray:
-    """1 less the mean similarity to four neighbours, at least 0, over its largest."""
-    total, n = np.zeros(x.shape[:2]), np.zeros(x.shape[:2])
-    for axis in (0, 1):
-        s = (np.take(x, range(1, x.shape[axis]), axis) * np.take(x, range(x.shape[axis] - 1), axis)).sum(axis=-1)
-        a, b = [slice(None)] * 2, [slice(None)] * 2
-        a[axis], b[axis] = slice(1, None), slice(None, -1)
-        for k in (tuple(a), tuple(b)):
-            total[k] += s
-            n[k] += 1
-    out = np.maximum(0, 1 - total / np.maximum(n, 1))
-    return out / out.max() if out.max() > 1e-12 else out
-
-
-def instances(x: np.ndarray, bank: np.ndarray, tau: float | None = None, least_area: int = 1, least_score: float = 0.0) -> list[tuple[np.ndarray, float]]:
-    """(cells, mean score) of each instance: similarity to the bank is cut at ``tau`` (by two normal components without it),
-    and the foreground split where features or shape part it."""
+def instances(x: np.ndarray, bank: np.ndarray, tau: float | None = None, least_area: int = 1, least_score: float = 0.0, settings: st.Settings = st.Settings()) -> list[tuple[np.ndarray, float]]:
+    """(cells, mean score) of each instance: similarity to the bank is cut at ``tau`` (by two normal components without it), the
+    foreground over-segmented into atoms, flooded from their centres and the peaks of distance, and basins that are alike
+    joined again."""
     s = (x @ bank.T).max(axis=-1)
     fg = s >= (gmm2_threshold(s.ravel()) if tau is None else tau)
-    parts = clustering.individuate(fg, boundary(x))
+    atoms = clustering.oversegment(x, fg, settings.cluster)
+    border = clustering.feature_border(x) * fg
+    parts = clustering.individuate(fg, border, settings.alpha, settings.beta, settings.sigma, atoms, settings.markers, settings.marker_distance)
+    parts = clustering.merge_basins(x, parts, border, settings.merge_similarity, settings.merge_border)
     out = []
-    for k in range(1, parts.max() + 1):
+    for k in range(1, parts.max(initial=0) + 1):
         m = parts == k
         if m.sum() >= least_area and s[m].mean() >= least_score:
             out.append((m, float(s[m].mean())))
@@ -46,6 +38,8 @@ def instances(x: np.ndarray, bank: np.ndarray, tau: float | None = None, least_a
 
 def run(images: DataFrame, bank: np.ndarray, backbone: MockBackbone, tau: float | None = None, least_area: int = 1) -> DataFrame:
     """Detections of images (image_id, height, width, pixels); boxes are the cells' pixels."""
+    ship(images.sparkSession)
+
     def find(batches):
         for b in batches:
             rows = []
@@ -75,15 +69,15 @@ def foreground_box(fg: np.ndarray, box: tuple[int, int, int, int], pad: float =
 
 
 def refine(image: np.ndarray, foreground: Callable[[np.ndarray], np.ndarray], exemplars: list[np.ndarray] = (), rounds: int = 4, least_side: int = 24, trivial: float = 0.98) -> list[tuple[int, int, int, int]]:  # type: ignore[assignment]
-    """The crops of a refinement, the whole image first: each is the box of the foreground found in the one before. It ends when the
-    box is nearly all of its crop, or small, or loses one of the exemplars (masks), or after ``rounds``."""
+    """The crops that are embedded, the whole image first, ``rounds`` at most: each is the box of the foreground found in the one
+    before. It ends when the box is nearly all of its crop on both sides, or small, or loses one of the exemplars (masks)."""
     crops = [(0, image.shape[0], 0, image.shape[1])]
-    for _ in range(rounds):
+    while len(crops) < rounds:
         y0, y1, x0, x1 = crops[-1]
         box = foreground_box(foreground(image[y0:y1, x0:x1]), crops[-1])
         if box is None or min(box[1] - box[0], box[3] - box[2]) < least_side:
             break
-        if (box[1] - box[0]) * (box[3] - box[2]) >= trivial * (y1 - y0) * (x1 - x0):
+        if box[1] - box[0] >= trivial * (y1 - y0) and box[3] - box[2] >= trivial * (x1 - x0):
             break
         if any(not m[box[0] : box[1], box[2] : box[3]].any() for m in exemplars):
             break
@@ -96,3 +90,15 @@ def upsample(mask: np.ndarray, height: int, width: int, smooth: bool = False) ->
     if smooth:
         return resize(mask[..., None].astype(float), height, width)[..., 0] >= 0.5
     return mask[(np.arange(height) * mask.shape[0] // height)[:, None], (np.arange(width) * mask.shape[1] // width)[None, :]]
+
+
+@st.register(st.METHODS, "components")
+def components_method(backbone: dict | None = None, bank: list | None = None, tau: float | None = None, **settings):
+    """images of pixels -> detections: connected components of the foreground, without recursion."""
+    encoder, vectors = st.build_backbone(backbone), np.array(bank if bank is not None else [], float)
+    own = st.Settings(**{"markers": "geometric"} | settings)
+
+    def run_(images: DataFrame) -> DataFrame:
+        return run(images, vectors, encoder, tau, own.least_area)
+
+    return run_

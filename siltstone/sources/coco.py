@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.datasets import file_name
+from ..session import ship
 
 _IMAGE = "struct<id:long,height:int,width:int,file_name:string,coco_url:string,flickr_url:string,not_exhaustive_category_ids:array<long>>"
 _ANNOTATION = "struct<id:long,image_id:long,category_id:long,area:double,iscrowd:int,bbox:array<double>,segmentation:string>"
@@ -76,10 +77,39 @@ def rle_runs(counts: list[int], height: int, width: int) -> list[tuple[int, int,
     return list(zip(ys.tolist(), xs.tolist(), xe.tolist()))
 
 
+def rle_counts(text: str) -> list[int]:
+    """The run lengths of the compressed form: numbers of five bits a character (from 48 on), the sixth bit for more to
+    come, the last one's fifth bit a sign; from the fourth number on each is less the one two before."""
+    out, at = [], 0
+    while at < len(text):
+        x, shift, more = 0, 0, True
+        while more:
+            c = ord(text[at]) - 48
+            x |= (c & 31) << shift
+            more, shift, at = bool(c & 32), shift + 5, at + 1
+            if not more and c & 16:
+                x -= 1 << shift
+        out.append(x + (out[-2] if len(out) > 2 else 0))
+    return out
+
+
+def instances(doc: DataFrame) -> DataFrame:
+    """image_id, file_name, height, width, ann_id, bbox, area, segmentation of instances with polygons, no crowds."""
+    own = annotations(doc).filter(F.substring(F.ltrim("segmentation"), 1, 1) == "[")
+    return own.join(images(doc).drop("order", "not_exhaustive"), "image_id").select("image_id", "file_name", "height", "width", "ann_id", "bbox", "area", "segmentation")
+
+
+def class_names(doc: DataFrame) -> DataFrame:
+    """category_id, class_name."""
+    return doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("class_name"))
+
+
 def masks(annotations_: DataFrame, images_: DataFrame) -> DataFrame:
     """image_id, ann_id, y, xs, xe. Without a segmentation the rounded, clipped box is the mask; polygons are merged."""
     import json
 
+    ship(annotations_.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = []
@@ -91,8 +121,9 @@ def masks(annotations_: DataFrame, images_: DataFrame) -> DataFrame:
                     runs = [(yy, x0, x1) for yy in range(y0, y1)] if x1 > x0 else []
                 elif isinstance(seg, list):
                     runs = [u for poly in seg for u in polygon_runs(poly, r.height, r.width)]
-                elif isinstance(seg, dict) and isinstance(seg.get("counts"), list):
-                    runs = rle_runs(seg["counts"], r.height, r.width)
+                elif isinstance(seg, dict) and isinstance(seg.get("counts"), (list, str)):
+                    counts = seg["counts"]
+                    runs = rle_runs(rle_counts(counts) if isinstance(counts, str) else counts, r.height, r.width)
                 else:
                     raise ValueError(f"annotation {r.ann_id} has a segmentation of an unknown kind")
                 rows += [(r.image_id, r.ann_id, *u) for u in runs]

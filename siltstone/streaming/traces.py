@@ -1,7 +1,8 @@
-"""Trace events as a stream: each region's final decision, from events that arrive in order per image.
+"""Trace events as a stream: each region's final decision, from events in any order.
 
-A region's children decide it: until they are known it is pending. The state of an image
-holds its pending regions only; what the stream ends with is flushed by ``timeout``.
+A region's event says how many children it has; when they have all been seen it is decided. A
+child that comes before its parent waits for it. The state of an image holds its open regions only;
+what the stream ends with is decided by ``timeout`` from the children seen so far.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "image_id long, node_id long, parent_id long, kind string, reid_score double, ts timestamp"
+from ..session import ship
+
+EVENT = "image_id long, node_id long, parent_id long, n_children int, kind string, reid_score double, ts timestamp"
 FINAL = "image_id long, node_id long, decision string, best_child double"
 
 
@@ -21,33 +24,42 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def decision(children: int, score: float, best: float | None) -> str:
+    return "leaf" if not children else "zoom" if best is not None and best > score else "reid-stop"
+
+
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending: dict[int, list] = {n: [s, b] for n, s, b in zip(*state.get)} if state.exists else {}
+    # node to [score (None until its event came), children (-1 until then), children seen, best of these]
+    held = {n: [s if c >= 0 else None, c, k, b if k else None] for n, s, c, k, b in zip(*state.get)} if state.exists else {}
     out = []
     if state.hasTimedOut:
-        out = [(key[0], n, "leaf" if b is None or b != b else "zoom" if b > s else "reid-stop", b) for n, (s, b) in pending.items()]
+        out = [(key[0], n, decision(c, s, b), b) for n, (s, c, k, b) in held.items() if c >= 0]
         state.remove()
     else:
         for rows in batches:
-            for r in rows.sort_values("node_id").itertuples(index=False):
-                pending[int(r.node_id)] = [float(r.reid_score), None]
-                if not pd.isna(r.parent_id) and int(r.parent_id) in pending:
-                    p = pending[int(r.parent_id)]
-                    p[1] = float(r.reid_score) if p[1] is None else max(p[1], float(r.reid_score))
-        last = max(pending, default=0)
-        done = [n for n in pending if 2 * n + 1 <= last]  # both children have been seen
-        for n in done:
-            s, b = pending.pop(n)
-            out.append((key[0], n, "zoom" if b is not None and b > s else "reid-stop", b))
-        names = list(pending)
-        state.update((names, [pending[n][0] for n in names], [pending[n][1] for n in names]))
-        state.setTimeoutDuration(1000)
+            for r in rows.itertuples(index=False):
+                own = held.setdefault(int(r.node_id), [None, -1, 0, None])
+                own[0], own[1] = float(r.reid_score), int(r.n_children)
+                if not pd.isna(r.parent_id):
+                    p = held.setdefault(int(r.parent_id), [None, -1, 0, None])
+                    p[2], p[3] = p[2] + 1, float(r.reid_score) if p[3] is None else max(p[3], float(r.reid_score))
+        for n in [n for n, (s, c, k, b) in held.items() if c >= 0 and k >= c]:
+            s, c, _, b = held.pop(n)
+            out.append((key[0], n, decision(c, s, b), b))
+        rows = [(n, -1.0 if s is None else s, c, k, 0.0 if b is None else b) for n, (s, c, k, b) in held.items()]
+        if rows:
+            state.update(tuple(list(x) for x in zip(*rows)))
+            state.setTimeoutDuration(1000)
+        elif state.exists:
+            state.remove()
     yield pd.DataFrame(out, columns=["image_id", "node_id", "decision", "best_child"])
 
 
 def decisions(events: DataFrame) -> DataFrame:
-    """One row a region of a binary trace whose children have both been seen: zoom if one beats it, else reid-stop."""
-    return events.groupBy("image_id").applyInPandasWithState(_decide, FINAL, "nodes array<long>, scores array<double>, best array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """One row a region of a trace whose children have all been seen: zoom if one beats it, else reid-stop; leaf without any."""
+    ship(events.sparkSession)
+    held = "nodes array<long>, scores array<double>, children array<int>, seen array<int>, best array<double>"
+    return events.groupBy("image_id").applyInPandasWithState(_decide, FINAL, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
