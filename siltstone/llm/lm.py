@@ -64,12 +64,17 @@ NO_WORD = b" "
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
+def ids_of(words: list[bytes]) -> np.ndarray:
+    """58 bits of XXH64, then 6 of the last two bytes, of each word; END for NO_WORD."""
+    x = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64) & ~np.uint64(SUFFIXES - 1)
+    x |= np.array(list(map(zlib.crc32, [w[-2:] for w in words])), np.uint64) % np.uint64(SUFFIXES)
+    return np.array([END if w == NO_WORD else i for w, i in zip(words, x.view(np.int64).tolist())], np.int64) if NO_WORD in words else x.view(np.int64)
+
+
 class Ids(dict):
-    """Word to id: 58 bits of XXH64, then 6 of its last two bytes."""
+    """Word to id, remembered."""
 
     def __missing__(self, w: bytes) -> int:
-        if w is NO_WORD:
-            return END
         x = (xxhash.xxh64_intdigest(w) & ~(SUFFIXES - 1)) | (zlib.crc32(w[-2:]) % SUFFIXES)
         x = x - (1 << 64) if x >> 63 else x
         if len(self) < REMEMBER:
@@ -81,8 +86,8 @@ IDS = Ids()
 shared.remembers(IDS.clear, "lm")
 
 
-def second_hash(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+def second_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).view(np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,7 +102,8 @@ def counts(docs: DataFrame, training: Column) -> DataFrame:
         docs_ = 0
 
         def out():
-            return {"id": [END, *(Ids.__missing__(_NONE, w) for w in seen)], "other": [0, *map(second_hash, seen)], "c": [docs_, *seen.values()]}
+            words = [NO_WORD, *seen]
+            return {"id": ids_of(words), "other": second_hashes(words), "c": [docs_, *seen.values()]}
 
         for b in batches:
             for t in b["text"]:
@@ -113,14 +119,6 @@ def counts(docs: DataFrame, training: Column) -> DataFrame:
     return shared.map_columns(docs.filter(training).select("text"), run, "id long, other long, c long").groupBy("id", "other").agg(F.sum("c").alias("c"))
 
 
-class _Nothing(Ids):
-    def __len__(self) -> int:
-        return REMEMBER
-
-
-_NONE = _Nothing()
-
-
 @dataclass
 class Vocabulary:
     """The most frequent words, by falling count, and what is known of all words."""
@@ -272,15 +270,19 @@ class Model:
         self.seen[which, k, rows] += n
 
 
-def histories(texts: list[str | None], vocab: Vocabulary):
-    """For the tokens of all texts: document, id, rank, class, the two ids before; and the words."""
-    flat, length = [], []
+def histories(texts: list[str | None], vocab: Vocabulary, flat: list[bytes] | None = None):
+    """For the tokens of all texts: document, id, rank, class, the two ids before; the words are added to ``flat``."""
+    ids, length = [], []
+    get = IDS.__getitem__
     for t in texts:
         w = words_of(t)
-        w.append(NO_WORD)
-        flat += w
-        length.append(len(w))
-    ids, n = np.fromiter(map(IDS.__getitem__, flat), np.int64, len(flat)), np.array(length)
+        ids += map(get, w)
+        ids.append(END)
+        length.append(len(w) + 1)
+        if flat is not None:
+            flat += w
+            flat.append(NO_WORD)
+    ids, n = np.array(ids, np.int64), np.array(length)
     doc = np.repeat(np.arange(len(n)), n)
     first = np.cumsum(n) - n
     before, second = np.empty_like(ids), np.empty_like(ids)
@@ -289,7 +291,7 @@ def histories(texts: list[str | None], vocab: Vocabulary):
     second[np.minimum(first + 1, len(ids) - 1)] = BEGIN
     rank = vocab.ranks(ids)
     cls = np.where((rank >= 0) & (rank < OWN), rank, OWN + (ids & (SUFFIXES - 1)))
-    return doc, ids, rank, cls, before, second, flat
+    return doc, ids, rank, cls, before, second
 
 
 def groups_of(batches, name: str = "text", size: int = 1 << 18):
@@ -321,7 +323,7 @@ def _round(docs: DataFrame, vocab: Vocabulary, start: Model, parts: int) -> Mode
         m = Model(*(x.copy() for x in weights))
         any_ = False
         for b in groups_of(batches):
-            _, _, _, cls, before, second, _ = histories(b["text"], vocab)
+            _, _, _, cls, before, second = histories(b["text"], vocab)
             for at in range(0, len(cls), BATCH):
                 x = slice(at, at + BATCH)
                 m.learn(before[x], second[x], cls[x])
@@ -373,7 +375,8 @@ def score(docs: DataFrame, key: str, table: DataFrame, vocab: Vocabulary, model:
     def run(batches):
         m = Model(*weights)
         for b in groups_of(batches):
-            doc, ids, rank, cls, before, second, flat = histories(b["text"], vocab)
+            flat: list[bytes] = []
+            doc, ids, rank, cls, before, second = histories(b["text"], vocab, flat)
             logs = np.concatenate([m.log10(before[at : at + BATCH], second[at : at + BATCH], cls[at : at + BATCH]) for at in range(0, len(cls), BATCH)])
             known = rank >= 0
             c = vocab.c[rank[known]] if known.any() else np.zeros(0)
@@ -383,7 +386,7 @@ def score(docs: DataFrame, key: str, table: DataFrame, vocab: Vocabulary, model:
             base = np.bincount(doc[known], vocab.base(c), minlength=n)
             rest = np.flatnonzero(~known)
             cut = np.searchsorted(doc[rest], np.arange(1, n))
-            other = np.fromiter((second_hash(flat[i]) if flat[i] is not NO_WORD else 0 for i in rest.tolist()), np.int64, len(rest))
+            other = second_hashes([flat[i] for i in rest.tolist()])
             yield {x: b[x] for x in own} | {
                 "n_tokens": np.bincount(doc, minlength=n), "known": np.bincount(doc[known], minlength=n), "base": base,
                 "model": np.bincount(doc, logs, minlength=n), "rest": np.split(ids[rest], cut), "others": np.split(other, cut),
