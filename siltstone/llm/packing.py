@@ -30,6 +30,8 @@ from . import shared
 from .tokens import SPECIAL_END, default_tokenizer, encoder
 
 SIZE = 1024
+#: Documents encoded together, and pieces of text that a process remembers the ids of.
+TOGETHER, REMEMBER = 256, 1_200_000
 #: Pieces of up to this part of a bin come second.
 SMALL = 6
 #: Pieces of one length and salt that are ranked together, about.
@@ -121,11 +123,12 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        e, tail = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        e, tail = encoder(tokenizer, REMEMBER), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = shared.rows_buffer(names)
-            for at in range(0, len(b["k"]), 64):
-                for k, r, ids in zip(b["k"][at : at + 64], b["r"][at : at + 64], e.encode_all([t or "" for t in b["t"][at : at + 64]])):
+            for at in range(0, len(b["k"]), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                for k, r, ids in zip(b["k"][part], b["r"][part], e.encode_all([t or "" for t in b["t"][part]])):
                     ids += tail
                     for p, (s, n) in enumerate(cut_pieces(len(ids) // 4, size)):
                         rows.add(k, r, p, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]))
