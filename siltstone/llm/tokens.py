@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
@@ -21,16 +22,31 @@ from . import shared
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: Marks a text's first word, which no blank precedes, among the parts of an even text.
 FIRST = "\t"
-ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space other than blanks and line feeds; looking for each is faster than a pattern.
+ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Pieces remembered by a process; beyond it no more are kept (spans start anew). It bounds memory, not results.
 REMEMBER = 800_000
 STOPS = ".,"
 SPECIAL_END = 2
 
 
+def _odd_space(t: str) -> bool:
+    for c in ODD_SPACES[:8] if t.isascii() else ODD_SPACES:
+        if c in t:
+            return True
+    return False
+
+
 def _even(t: str) -> bool:
     """White space is single blanks and line feeds between words."""
-    return not (t[:1] in " \n" or t[-1:] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or ODD_SPACE.search(t))
+    return not (t[:1] in " \n" or t[-1:] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or _odd_space(t))
+
+
+class _Known(dict):
+    """Ids by part; None of an unknown one."""
+
+    def __missing__(self, part: str) -> None:
+        return None
 
 
 def _piece(part: str) -> str:
@@ -76,7 +92,7 @@ class Encoder:
         self.added = [t.content for t in added]
         if any(re.search(r"\s", t.content) or t.normalized and not t.special for t in added):
             self.added = [""]  # such a token could lie across pieces: all texts are encoded whole
-        self.remember, self.known = remember, {}
+        self.remember, self.known = remember, _Known()
         self.spans: dict[str, tuple[bytes, bytes]] = {}
         self.known_lead, *stops = self._ids(["\n", *STOPS])
         self.stops = dict(zip(STOPS, stops))
@@ -96,7 +112,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """As encode, with one call of the library for what a group of texts has new."""
-        get, cut, new = self.known.get, [], set()
+        known, cut, new = self.known, [], set()
         for t in texts:
             if self._whole(t):
                 parts = None
@@ -104,11 +120,12 @@ class Encoder:
                 parts = t.replace("\n", " \n").split(" ")
                 parts[0] = FIRST + parts[0]
             else:
-                parts = None if ODD_SPACE.search(t) else PIECE.findall(t)
+                parts = None if _odd_space(t) else PIECE.findall(t)
                 if parts and parts[0][0] not in " \n":
                     parts[0] = FIRST + parts[0]
-            found, missing = None if parts is None else list(map(get, parts)), []
+            found, missing = None if parts is None else itemgetter(*parts)(known) if len(parts) > 1 else tuple(map(known.get, parts)), []
             if found and None in found:
+                found = list(found)
                 missing = [i for i, v in enumerate(found) if v is None]
                 new.update([parts[i] for i in missing])
             cut.append((parts, found, missing))
@@ -124,7 +141,14 @@ class Encoder:
         """Ids of parts not known yet, remembered while there is room; a part is put
         together from its word and its stop where it ends in one."""
         into = self.known if len(self.known) < self.remember else {}
-        pieces = {p: _parts(_piece(p)) for p in new}
+        pieces = {}
+        for p in new:
+            if p[0] in "\n\t " or len(p) == 1:
+                pieces[p] = _parts(_piece(p))
+            elif p[-1] in STOPS and p[-2].isalnum():
+                pieces[p] = "", " " + p[:-1], p[-1]
+            else:
+                pieces[p] = "", " " + p, ""
         words = {w for _, w, _ in pieces.values()}
         plain = [w for w in words if "\n" not in w and not w[-1].isspace()]
         ids_of = {}
@@ -145,7 +169,7 @@ class Encoder:
     def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and where each token starts and ends in ``text``, in characters. A
         token that holds part of a character's bytes spans that whole character."""
-        if ODD_SPACE.search(text) or self._whole(text):
+        if _odd_space(text) or self._whole(text):
             e = self.tokenizer.encode(text, add_special_tokens=False)
             at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
             return np.array(e.ids, dtype=np.uint32), at[:, 0], at[:, 1]
