@@ -30,8 +30,8 @@ from . import shared
 
 WINDOW, SLICE = 16, 1 << 20
 LEAST, USUAL, MOST = 16, 48, 192
-#: Bytes of text of a range of keys, keys looked at to cut one, and the most ranges.
-RANGE, LOOKED, RANGES = 16 << 20, 40, 50_000
+#: Bytes of text of a range of keys, ranges dealt to a task, keys looked at to cut one, and the most ranges.
+RANGE, DEALT, LOOKED, RANGES = 4 << 20, 4, 40, 50_000
 STRICT, LOOSE = np.uint32(0b111111 << 10), np.uint32(0b1111 << 12)
 DIGEST_BITS = 40
 
@@ -109,7 +109,8 @@ def followed(docs: DataFrame, key: str, text: str, parts: int | None) -> DataFra
     range's first document (``tail`` 1) behind it."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count("k").alias("n")).first()
-    parts = parts or min(RANGES, 1 + (size.bytes or 0) // RANGE)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(tasks, min(RANGES, 1 + (size.bytes or 0) // RANGE))
     # keys by which only the ranges are cut: every row falls into one
     keys = rows.filter("k IS NOT NULL").select(F.col("k").cast("double")).sample(min(1.0, LOOKED * parts / max(1, size.n)), 1) if parts > 1 else None
     keys = np.sort(keys.toPandas()["k"].to_numpy()) if keys else np.empty(0)
@@ -123,7 +124,7 @@ def followed(docs: DataFrame, key: str, text: str, parts: int | None) -> DataFra
     to = docs.sparkSession.createDataFrame(above, "hk long, above int")
     own = rows.withColumn("tail", F.lit(0))
     first = rows.join(F.broadcast(to), F.col("k").eqNullSafe(F.col("hk"))).select("k", "t", F.col("above").alias("bucket"), F.lit(1).alias("tail"))
-    return own.unionByName(first).repartition(parts, "bucket").sortWithinPartitions(F.desc("bucket"), "tail", F.desc_nulls_last("k"), "t")
+    return own.unionByName(first).repartition(max(tasks, parts // DEALT), "bucket").sortWithinPartitions(F.desc("bucket"), "tail", F.desc_nulls_last("k"), "t")
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
