@@ -21,13 +21,33 @@ def tight_boxes(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy("image_id", key).agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("xs").alias("x0"), F.max("xe").alias("x1"))
 
 
+def shared_runs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """image_id, a, b, shared: the pixels that a run of one mask and a run of another have in common. Masks are paired by their
+    tight boxes first (on tiles), so a crowded row does not pair all of its runs."""
+    from .matching import tiled_overlaps
+
+    near = tiled_overlaps(tight_boxes(left, a), tight_boxes(right, b), a, b).select("image_id", a, b, F.greatest("l_y0", "r_y0").alias("top"), F.least("l_y1", "r_y1").alias("end"))
+    own = left.select("image_id", a, "y", F.col("xs").alias("xs_a"), F.col("xe").alias("xe_a")).join(near, ["image_id", a]).filter("y >= top AND y < end")
+    both = own.join(right.select("image_id", b, "y", "xs", "xe"), ["image_id", b, "y"]).filter("xs_a < xe AND xs < xe_a")
+    return both.select("image_id", a, b, (F.least("xe_a", "xe") - F.greatest("xs_a", "xs")).alias("shared"))
+
+
 def overlaps(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """image_id, a, b, inter, iou, containment of the mask pairs that share a pixel."""
-    both = left.alias("l").join(right.alias("r"), (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.y") == F.col("r.y")) & (F.col("l.xs") < F.col("r.xe")) & (F.col("r.xs") < F.col("l.xe")))
-    shared = F.least("l.xe", "r.xe") - F.greatest("l.xs", "r.xs")
-    inter = both.groupBy(F.col("l.image_id").alias("image_id"), F.col(f"l.{a}").alias(a), F.col(f"r.{b}").alias(b)).agg(F.sum(shared).alias("inter"))
+    """image_id, a, b, inter, area_a, area_b, iou, containment of the mask pairs that share a pixel."""
+    inter = shared_runs(left, right, a, b).groupBy("image_id", a, b).agg(F.sum("shared").alias("inter"))
+    return _measured(inter, left, right, a, b)
+
+
+def _measured(inter: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     sized = inter.join(areas(left, a).withColumnRenamed("area", "area_a"), ["image_id", a]).join(areas(right, b).withColumnRenamed("area", "area_b"), ["image_id", b])
-    return sized.select("image_id", a, b, "inter", g.ratio(F.col("inter"), F.col("area_a") + F.col("area_b") - F.col("inter")).alias("iou"), g.ratio(F.col("inter"), F.least("area_a", "area_b")).alias("containment"))
+    return sized.select("image_id", a, b, "inter", "area_a", "area_b", g.ratio(F.col("inter"), F.col("area_a") + F.col("area_b") - F.col("inter")).alias("iou"), g.ratio(F.col("inter"), F.least("area_a", "area_b")).alias("containment"))
+
+
+def self_overlaps(runs: DataFrame, key: str) -> DataFrame:
+    """As overlaps, of the masks of one table with each other: image_id, a, b with a < b, each pair once."""
+    left, right = runs.withColumnRenamed(key, "a"), runs.withColumnRenamed(key, "b")
+    inter = shared_runs(left, right, "a", "b").filter("a < b").groupBy("image_id", "a", "b").agg(F.sum("shared").alias("inter"))
+    return _measured(inter, left, right, "a", "b")
 
 
 def union(runs: DataFrame) -> DataFrame:

@@ -14,32 +14,34 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 
-def box_pairs(dets: DataFrame, gt: DataFrame, how: str = "inner") -> DataFrame:
-    """image_id, det_id, score, gt_id, inter, iou, of all pairs of an image."""
-    a, b = dets.alias("d"), gt.alias("g")
-    joined = a.join(b, F.col("d.image_id") == F.col("g.image_id"), how)
-    return joined.select("d.image_id", "d.det_id", "d.score", "g.gt_id", g.intersection(g.box("d."), g.box("g.")).alias("inter"), g.iou(g.box("d."), g.box("g.")).alias("iou"))
+SIDES = ["y0", "y1", "x0", "x1"]
 
 
-def tiled_overlaps(left: DataFrame, right: DataFrame, a: str, b: str, tile: int = 32) -> DataFrame:
-    """Rows image_id, a, b and the boxes ``l`` and ``r`` (structs) of boxes that share area, by an equality join on
-    the tiles that boxes touch; each pair comes from one tile."""
-    def tiles(df: DataFrame, key: str, name: str) -> DataFrame:
-        own = df.select("image_id", key, F.struct("y0", "y1", "x0", "x1").alias(name), F.explode(F.sequence(F.floor(F.col("y0") / tile), F.floor((F.col("y1") - 1) / tile))).alias("ty"))
-        return own.select("*", F.explode(F.sequence(F.floor(F.col(f"{name}.x0") / tile), F.floor((F.col(f"{name}.x1") - 1) / tile))).alias("tx"))
+def tiled_overlaps(left: DataFrame, right: DataFrame, a: str, b: str, tile: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows image_id, a, b, the columns ``carry`` of ``left`` and the boxes l_y0 ... and r_y0 ... of boxes that share area, by
+    an equality join on the tiles that boxes touch; each pair comes from one tile. Everything is flat: the boxes of a pair are
+    read a dozen times, and a field of a struct costs far more to reach than a column."""
+    def tiles(df: DataFrame, key: str, side: str, more: tuple[str, ...]) -> DataFrame:
+        own = df.filter("y1 > y0 AND x1 > x0").select("image_id", key, *more, *[F.col(c).alias(f"{side}_{c}") for c in SIDES])
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"{side}_{lo}") / tile), F.floor((F.col(f"{side}_{hi}") - 1) / tile)))
+        return own.select("*", span("y0", "y1").alias("ty")).select("*", span("x0", "x1").alias("tx"))
 
-    full = lambda df: df.filter("y1 > y0 AND x1 > x0")
-    first = (F.col("ty") == F.floor(F.greatest("l.y0", "r.y0") / tile)) & (F.col("tx") == F.floor(F.greatest("l.x0", "r.x0") / tile))
-    both = tiles(full(left), a, "l").join(tiles(full(right), b, "r"), ["image_id", "ty", "tx"])
-    return both.filter(g.overlap(g.box("l."), g.box("r.")) & first).select("image_id", a, b, "l", "r")
+    first = (F.col("ty") == F.floor(F.greatest("l_y0", "r_y0") / tile)) & (F.col("tx") == F.floor(F.greatest("l_x0", "r_x0") / tile))
+    both = tiles(left, a, "l", carry).join(tiles(right, b, "r", ()), ["image_id", "ty", "tx"])
+    return both.filter(g.overlap(g.box("l_"), g.box("r_")) & first).drop("ty", "tx")
 
 
-def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 32) -> DataFrame:
-    """As box_pairs, of overlapping pairs only: no image's boxes are paired that share no tile."""
-    own = dets.withColumn("det", F.struct("det_id", "score"))
-    both = tiled_overlaps(own, gt, "det", "gt_id", tile)
-    x, y = g.box("l."), g.box("r.")
-    return both.select("image_id", "det.det_id", "det.score", "gt_id", g.intersection(x, y).alias("inter"), g.iou(x, y).alias("iou"))
+def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 64, least: float = 0.0) -> DataFrame:
+    """image_id, det_id, score, gt_id, inter, iou of the overlapping boxes of an image whose IoU is ``least`` or more: no boxes are
+    paired that share no tile. A pair of which one box is too small for ``least`` is left out before its IoU is computed."""
+    both = tiled_overlaps(dets, gt, "det_id", "gt_id", tile, ("score",))
+    x, y = g.box("l_"), g.box("r_")
+    sized = both.select("image_id", "det_id", "score", "gt_id", g.intersection(x, y).alias("inter"), (g.area(x) + g.area(y)).alias("both"))
+    iou = F.col("inter").cast("double") / (F.col("both") - F.col("inter")).cast("double")
+    if least > 0:  # inter / (both - inter) >= least, with a hair's breadth for the division
+        sized = sized.filter(F.col("inter") * (1 + least) >= F.col("both") * (least * (1 - 1e-9)))
+    pairs = sized.select("image_id", "det_id", "score", "gt_id", "inter", iou.alias("iou"))
+    return pairs.filter(F.col("iou") >= least) if least > 0 else pairs
 
 
 def _in_order(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -76,7 +78,7 @@ def prediction_outcomes(dets: DataFrame, pairs: DataFrame, threshold: float = 0.
 def miss_outcomes(gt: DataFrame, after: DataFrame, before: DataFrame, visited: DataFrame, threshold: float = 0.5, seen: float = 0.9) -> DataFrame:
     """Each ground truth's first outcome of: detected (a pair of ``after`` reaches the threshold),
     suppressed (one of ``before`` does), not_emitted (one of ``visited`` does), never_framed; and whether
-    ``seen`` of its area lies in one visited box. The three are tables of box_pairs or tiled_pairs."""
+    ``seen`` of its area lies in one visited box. The three are tables of tiled_pairs."""
     def reached(pairs: DataFrame, name: str) -> DataFrame:
         return pairs.groupBy("image_id", "gt_id").agg((F.max("iou") >= threshold).alias(name))
 

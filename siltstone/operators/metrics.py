@@ -47,7 +47,7 @@ def average_precision(scored: DataFrame, n_gt: DataFrame, by: tuple[str, ...] =
 
 def coco_ap(dets: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS, pairs: DataFrame | None = None) -> DataFrame:
     """threshold, ap. ``pairs`` (image_id, det_id, score, gt_id, iou) are those of boxes unless given."""
-    pairs = (matching.tiled_pairs(dets, gt) if pairs is None else pairs).filter(F.col("iou") >= min(thresholds))
+    pairs = matching.tiled_pairs(dets, gt, least=min(thresholds)) if pairs is None else pairs.filter(F.col("iou") >= min(thresholds))
     each = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
     won = matching.greedy_match(each, min(thresholds), ("threshold", "image_id")).select("threshold", "image_id", "det_id", F.lit(1).alias("tp"))
     ranged = by_ranges(dets.select("image_id", "det_id", "score"), "score", "range")  # before the matches, which are not computed for it
@@ -66,7 +66,7 @@ def summarize(ap: DataFrame) -> DataFrame:
 def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
     """One row: tp, fp, fn, pq, sq, rq, count_abs, count_rel, recovery. A true positive counts with its
     detection's largest IoU over all ground truths, not the matched one's."""
-    pairs = matching.tiled_pairs(dets, gt) if pairs is None else pairs
+    pairs = written(matching.tiled_pairs(dets, gt), "pairs") if pairs is None else pairs  # read three times
     won = matching.greedy_match(pairs, threshold).select("image_id", "det_id")
     best = pairs.groupBy("image_id", "det_id").agg(F.max("iou").alias("best"))
     hits = won.join(best, ["image_id", "det_id"]).agg(F.count("*").alias("tp"), F.coalesce(F.sum("best"), F.lit(0.0)).alias("s"))
@@ -87,19 +87,20 @@ def evaluate(dets: DataFrame, gt: DataFrame, det_runs: DataFrame | None = None,
     if det_runs is not None:
         from . import masks
 
-        masked = masks.overlaps(det_runs, gt_runs, "det_id", "gt_id").join(dets.select("image_id", "det_id", "score"), ["image_id", "det_id"])
+        masked = written(masks.overlaps(det_runs, gt_runs, "det_id", "gt_id").join(dets.select("image_id", "det_id", "score"), ["image_id", "det_id"]), "pairs")
+    boxed = written(matching.tiled_pairs(dets, gt), "pairs")
 
-    def wide(prefix: str, pairs: DataFrame | None) -> DataFrame:
+    def wide(prefix: str, pairs: DataFrame) -> DataFrame:
         per = coco_ap(dets, gt, thresholds, pairs)
         at = [F.max(F.when(F.col("threshold") == t, F.col("ap"))) for t in thresholds]
         own = [F.avg("ap").alias(f"{prefix}ap"), *[a.alias(f"{prefix}ap_{t:.2f}") for t, a in zip(thresholds, at)]]
         own += [a.alias(f"{prefix}ap{round(100 * t)}") for t, a in zip(thresholds, at) if t in (0.5, 0.75)]
         return per.agg(*own)
 
-    p = panoptic(dets, gt, 0.5, masked)
+    p = panoptic(dets, gt, 0.5, boxed if masked is None else masked)
     n = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
     out = p.select("pq", "sq", "rq", F.col("sq").alias("mean_iou"), F.col("count_abs").alias("count_error"), F.col("count_rel").alias("count_error_rel"), n[0].alias("n_pred"), n[1].alias("n_gt"))
-    out = out.crossJoin(wide("box_", None))
+    out = out.crossJoin(wide("box_", boxed))
     return out if masked is None else out.crossJoin(wide("", masked))
 
 

@@ -21,30 +21,35 @@ from .matching import tiled_overlaps
 _BOX = ["y0", "y1", "x0", "x1"]
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """image_id, det_id, other, inter, iou, containment, own of pairs (a, b, ..., area_a, area_b) that are there one way round."""
+    own = lambda area: (F.col("inter") / (F.col(area) + 1e-6)).alias("own")
+    ways = [F.struct(F.col(x).alias("det_id"), F.col(y).alias("other"), own(area)) for x, y, area in (("a", "b", "area_a"), ("b", "a", "area_b"))]
+    return pairs.select("image_id", "inter", "iou", "containment", F.explode(F.array(*ways)).alias("w")).select("image_id", "w.det_id", "w.other", "inter", "iou", "containment", "w.own")
+
+
 def box_overlaps(dets: DataFrame) -> DataFrame:
-    """image_id, det_id, other, inter, iou, containment, own (share of det_id's area) of overlapping boxes, both ways round."""
-    a = dets.select("image_id", "det_id", *_BOX)
-    pairs = tiled_overlaps(a, a.withColumnRenamed("det_id", "other"), "det_id", "other").filter("det_id <> other")
-    x, y = g.box("l."), g.box("r.")
-    inter = g.intersection(x, y)
-    return pairs.select("image_id", "det_id", "other", inter.alias("inter"), g.iou(x, y).alias("iou"), g.containment(x, y).alias("containment"), (inter / (g.area(x) + 1e-6)).alias("own"))
+    """image_id, det_id, other, inter, iou, containment, own (share of det_id's area) of overlapping boxes, both ways round.
+    A pair is joined and measured once."""
+    a = dets.select("image_id", F.col("det_id").alias("a"), *_BOX)
+    pairs = tiled_overlaps(a, a.withColumnRenamed("a", "b"), "a", "b").filter("a < b")
+    x, y = g.box("l_"), g.box("r_")
+    sized = pairs.select("image_id", "a", "b", g.intersection(x, y).alias("inter"), g.area(x).alias("area_a"), g.area(y).alias("area_b"))
+    inter = F.col("inter")
+    return _both_ways(sized.select("*", g.ratio(inter, F.col("area_a") + F.col("area_b") - inter).alias("iou"), g.ratio(inter, F.least("area_a", "area_b")).alias("containment")))
 
 
 def mask_overlaps(runs: DataFrame) -> DataFrame:
     """As box_overlaps, of masks given as runs (image_id, det_id, y, xs, xe)."""
-    pairs = masks.overlaps(runs, runs.withColumnRenamed("det_id", "other"), "det_id", "other").filter("det_id <> other")
-    sized = pairs.join(masks.areas(runs, "det_id"), ["image_id", "det_id"])
-    return sized.select("image_id", "det_id", "other", "inter", "iou", "containment", (F.col("inter") / (F.col("area") + 1e-6)).alias("own"))
+    return _both_ways(masks.self_overlaps(runs, "det_id"))
 
 
 def _ordered(dets: DataFrame, pairs: DataFrame, what: Column) -> DataFrame:
-    """Per image its detections by falling score, then det_id, each with ``n``: ``what`` of those before it in its pairs."""
-    rank = dets.select("image_id", "det_id", "score", F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("score"), "det_id")).alias("rank"))
-    ahead = rank.select("image_id", F.col("det_id").alias("other"), F.col("rank").alias("other_rank"))
-    before = pairs.join(rank.select("image_id", "det_id", "rank"), ["image_id", "det_id"]).join(ahead, ["image_id", "other"]).filter("other_rank < rank")
-    near = before.groupBy("image_id", "det_id").agg(F.array_agg(what).alias("n"))
-    rows = F.array_sort(F.array_agg(F.struct("rank", "det_id", "score", "n")))
-    return rank.join(near, ["image_id", "det_id"], "left").groupBy("image_id").agg(rows.alias("d"))
+    """Per image its detections by falling score, then det_id, each with ``n``: ``what`` of all in its pairs. A fold in that
+    order knows of earlier ones only, so pairs need not be turned by rank."""
+    near = pairs.groupBy("image_id", "det_id").agg(F.array_agg(what).alias("n"))
+    rows = F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", "score", "n")))
+    return dets.select("image_id", "det_id", "score").join(near, ["image_id", "det_id"], "left").groupBy("image_id").agg(rows.alias("d"))
 
 
 def _greedy(dets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -109,20 +114,21 @@ def drop_clipped(dets: DataFrame) -> DataFrame:
 
 
 def fragment_pairs(dets: DataFrame, gap: int) -> DataFrame:
-    """Pairs (image_id, a, b) of which one at least is ``partial`` and whose boxes lie within ``gap`` pixels in either direction."""
-    a, b = dets.alias("a"), dets.alias("b")
-    near = (F.col("a.y0") < F.col("b.y1") + gap) & (F.col("b.y0") < F.col("a.y1") + gap) & (F.col("a.x0") < F.col("b.x1") + gap) & (F.col("b.x0") < F.col("a.x1") + gap)
-    on = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.det_id") < F.col("b.det_id")) & (F.col("a.partial") | F.col("b.partial")) & near
-    return a.join(b, on).select("a.image_id", F.col("a.det_id").alias("a"), F.col("b.det_id").alias("b"))
+    """Pairs (image_id, a, b) of which one at least is ``partial`` and whose boxes lie within ``gap`` pixels in either direction:
+    boxes that share area once one of the two is widened by the gap."""
+    wide = dets.select("image_id", F.col("det_id").alias("a"), F.col("partial").alias("pa"), (F.col("y0") - gap).alias("y0"), (F.col("y1") + gap).alias("y1"), (F.col("x0") - gap).alias("x0"), (F.col("x1") + gap).alias("x1"))
+    own = dets.select("image_id", F.col("det_id").alias("b"), *_BOX)
+    pairs = tiled_overlaps(wide, own, "a", "b", carry=("pa",)).filter("a <> b AND pa")
+    return pairs.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def mask_fragment_pairs(runs: DataFrame, partial: DataFrame, gap: int) -> DataFrame:
     """Pairs (image_id, a, b) of masks (runs) with pixels within ``gap`` of each other in either direction, of which one
     at least is in ``partial`` (image_id, det_id)."""
-    wide = runs.select("image_id", "det_id", F.explode(F.sequence(F.col("y") - gap, F.col("y") + gap)).alias("y"), (F.col("xs") - gap).alias("xs"), (F.col("xe") + gap).alias("xe"))
-    l, r = wide.join(partial, ["image_id", "det_id"], "left_semi").alias("l"), runs.alias("r")
-    on = (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.y") == F.col("r.y")) & (F.col("l.xs") < F.col("r.xe")) & (F.col("r.xs") < F.col("l.xe")) & (F.col("l.det_id") != F.col("r.det_id"))
-    return l.join(r, on).select("l.image_id", F.least("l.det_id", "r.det_id").alias("a"), F.greatest("l.det_id", "r.det_id").alias("b")).distinct()
+    own = runs.join(partial.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_semi")
+    wide = own.select("image_id", "det_id", F.explode(F.sequence(F.col("y") - gap, F.col("y") + gap)).alias("y"), (F.col("xs") - gap).alias("xs"), (F.col("xe") + gap).alias("xe"))
+    near = masks.shared_runs(wide.withColumnRenamed("det_id", "a"), runs.withColumnRenamed("det_id", "b"), "a", "b").filter("a <> b")
+    return near.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None = None) -> DataFrame:

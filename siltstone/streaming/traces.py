@@ -1,8 +1,17 @@
 """Trace events as a stream: each region's final decision, from events in any order.
 
-A region's event says how many children it has; when they have all been seen it is decided. A
-child that comes before its parent waits for it. The state of an image holds its open regions only;
-what the stream ends with is decided by ``timeout`` from the children seen so far.
+A region's event says how many children it has and how deep it lies. A region and its children are a family, which
+is decided once all of it has come: which children are worth pursuing and so what becomes of their parent. What a
+stream leaves open is decided when the watermark passes ``patience`` behind a family's last event, from what has come;
+timers are in event time, so a stream without new data comes to rest.
+
+State is kept by image and a share of its families (``SHARES``), so an image with very many regions is in many groups,
+and it holds open families only. Each region gets one decision: regions with children ``zoom`` or ``reid-stop``, others
+``leaf`` (worth pursuing, or a root), ``below-floor`` (a sibling is) or ``reid-worse`` (none is). ``level`` and ``phase`` order
+them as the search reports them: what a level's families decide (0) comes before the ends of its survivors (1).
+
+A NULL image or region is no event. An event that comes twice counts once. A family whose parent never came calls its
+childless members leaves. Events later than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -16,50 +25,104 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
 
-EVENT = "image_id long, node_id long, parent_id long, n_children int, kind string, reid_score double, ts timestamp"
-FINAL = "image_id long, node_id long, decision string, best_child double"
+EVENT = "image_id long, node_id long, parent_id long, n_children int, depth int, kind string, reid_score double, ts timestamp"
+FINAL = "image_id long, node_id long, decision string, best_child double, level int, phase int"
+#: A family's parts as they lie in the state: one entry an event and role.
+STATE = "family array<long>, node array<long>, score array<double>, children array<int>, depth array<int>, last array<long>"
+SHARES = 16
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def decision(children: int, score: float, best: float | None) -> str:
-    return "leaf" if not children else "zoom" if best is not None and best > score else "reid-stop"
-
-
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # node to [score (None until its event came), children (-1 until then), children seen, best of these]
-    held = {n: [s if c >= 0 else None, c, k, b if k else None] for n, s, c, k, b in zip(*state.get)} if state.exists else {}
-    out = []
-    if state.hasTimedOut:
-        out = [(key[0], n, decision(c, s, b), b) for n, (s, c, k, b) in held.items() if c >= 0]
-        state.remove()
-    else:
-        for rows in batches:
+class Family:
+    """A region (``own``: score, children, depth; None until it comes) and the children that have come."""
+
+    __slots__ = ("own", "kids", "last")
+
+    def __init__(self):
+        self.own, self.kids, self.last = None, {}, 0
+
+    def add(self, family: int, node: int, score: float, children: int, depth: int, last: int) -> None:
+        if node == family:
+            self.own = score, children, depth
+        else:
+            self.kids[node] = score, children, depth
+        self.last = max(self.last, last)
+
+    def whole(self) -> bool:
+        return self.own is not None and len(self.kids) >= self.own[1]
+
+    def decided(self, family: int, floor: float) -> Iterator[tuple]:
+        """(node, decision, best child's score or None, level, phase) in the order of the search."""
+        scores = {n: s for n, (s, _, _) in self.kids.items()}
+        best = max(scores.values(), default=None)
+        if self.own is None:
+            alive = set(scores)
+        elif len(scores) <= 1 or best <= self.own[0]:
+            alive = {n for n, s in scores.items() if s > self.own[0]}
+        else:
+            alive = {n for n, s in scores.items() if s > self.own[0] or s >= floor}
+        ends = sorted(n for n, (_, c, _) in self.kids.items() if not c)
+        for n in ends:
+            if n not in alive:
+                yield n, "below-floor" if alive else "reid-worse", None, self.kids[n][2], 0
+        if self.own is not None:
+            _, children, depth = self.own
+            if children:
+                yield family, "zoom" if alive else "reid-stop", best, depth + 1, 0
+            elif not depth:  # a lone root
+                yield family, "leaf", None, depth, 1
+        for n in ends:
+            if n in alive:
+                yield n, "leaf", None, self.kids[n][2], 1
+
+
+def _step(floor: float, patience_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, Family] = {}
+        for row in zip(*state.get) if state.exists else ():
+            held.setdefault(row[0], Family()).add(*row)
+        for rows in () if state.hasTimedOut else batches:
             for r in rows.itertuples(index=False):
-                own = held.setdefault(int(r.node_id), [None, -1, 0, None])
-                own[0], own[1] = float(r.reid_score), int(r.n_children)
-                if not pd.isna(r.parent_id):
-                    p = held.setdefault(int(r.parent_id), [None, -1, 0, None])
-                    p[2], p[3] = p[2] + 1, float(r.reid_score) if p[3] is None else max(p[3], float(r.reid_score))
-        for n in [n for n, (s, c, k, b) in held.items() if c >= 0 and k >= c]:
-            s, c, _, b = held.pop(n)
-            out.append((key[0], n, decision(c, s, b), b))
-        rows = [(n, -1.0 if s is None else s, c, k, 0.0 if b is None else b) for n, (s, c, k, b) in held.items()]
-        if rows:
-            state.update(tuple(list(x) for x in zip(*rows)))
-            state.setTimeoutDuration(1000)
+                held.setdefault(int(r.family), Family()).add(int(r.family), int(r.node_id), float(r.reid_score), int(r.n_children), int(r.depth), int(r.ms))
+        now = state.getCurrentWatermarkMs()
+        out = []
+        for f in [f for f, x in held.items() if x.whole() or x.last + patience_ms <= now]:
+            out += [(key[0], *d) for d in held.pop(f).decided(f, floor)]
+        kept = []
+        for f, x in held.items():
+            own = [] if x.own is None else [(f, *x.own)]
+            kept += [(f, n, s, c, d, x.last) for n, s, c, d in own + [(n, *k) for n, k in x.kids.items()]]
+        if kept:
+            state.update(tuple(list(c) for c in zip(*kept)))
+            state.setTimeoutTimestamp(max(min(x.last for x in held.values()) + patience_ms, now + 1))
         elif state.exists:
             state.remove()
-    yield pd.DataFrame(out, columns=["image_id", "node_id", "decision", "best_child"])
+        yield pd.DataFrame(out, columns=["image_id", "node_id", "decision", "best_child", "level", "phase"])
+
+    return run
 
 
-def decisions(events: DataFrame) -> DataFrame:
-    """One row a region of a trace whose children have all been seen: zoom if one beats it, else reid-stop; leaf without any."""
+def decisions(events: DataFrame, floor: float = 0.5, late: str = "1 minute", patience_ms: int = 60_000) -> DataFrame:
+    """One row a region, see above. A child is worth pursuing if it beats its parent; of several the best must, and then
+    those that reach ``floor`` are as well. ``late`` is the watermark's delay."""
     ship(events.sparkSession)
-    held = "nodes array<long>, scores array<double>, children array<int>, seen array<int>, best array<double>"
-    return events.groupBy("image_id").applyInPandasWithState(_decide, FINAL, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = events.filter("image_id IS NOT NULL AND node_id IS NOT NULL").withWatermark("ts", late)
+    # a region takes part in its own family, if that has other members or it is a root, and in its parent's
+    roles = F.array(F.when((F.col("n_children") > 0) | F.col("parent_id").isNull(), F.col("node_id")), F.col("parent_id"))
+    parts = own.select("image_id", "node_id", "reid_score", "n_children", "depth", "ts", F.unix_millis("ts").alias("ms"), F.explode(F.array_compact(roles)).alias("family"))
+    shares = parts.withColumn("share", F.pmod(F.xxhash64("family"), F.lit(SHARES)))
+    return shares.groupBy("image_id", "share").applyInPandasWithState(_step(floor, patience_ms), FINAL, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs ``stream`` over all that has come so far, into a file sink under ``folder``, and reads what is there. A second run
+    goes on from the first one's checkpoint: each row is written once, whatever was lost between."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -34,18 +34,18 @@ def test_perfect_detections_score_one(spark):
 
 def test_a_loose_box_has_iou_a_quarter_and_no_ap(spark):
     d, t = dets(spark, (0, 20, 0, 20, 0.9)), truths(spark, (0, 10, 0, 10))
-    assert matching.box_pairs(d, t).first().iou == 0.25
+    assert matching.tiled_pairs(d, t).first().iou == 0.25
     assert metrics.coco_ap(d, t, [0.5]).first().ap == 0.0
 
 
 def test_ties_of_iou_go_to_the_last_truth(spark):
     d, t = dets(spark, (0, 10, 0, 10, 0.9)), truths(spark, (0, 10, 0, 10), (0, 10, 0, 10))
-    assert matching.greedy_match(matching.box_pairs(d, t)).first().gt_id == 1
+    assert matching.greedy_match(matching.tiled_pairs(d, t)).first().gt_id == 1
 
 
 def test_outcomes_of_predictions(spark):
     d = dets(spark, (10, 30, 10, 30, 0.9), (10, 30, 10, 28, 0.8), (10, 18, 10, 18, 0.7), (0, 5, 0, 5, 0.6))
-    out = matching.prediction_outcomes(d, matching.box_pairs(d, truths(spark, (10, 30, 10, 30))))
+    out = matching.prediction_outcomes(d, matching.tiled_pairs(d, truths(spark, (10, 30, 10, 30))))
     assert [r.outcome for r in out.orderBy("det_id").collect()] == ["matched", "duplicate", "partial", "background"]
 
 
@@ -65,8 +65,17 @@ def test_tiled_pairs_are_all_overlapping_pairs(spark):
     rng = np.random.default_rng(1)
     box = lambda: (lambda y, x, h, w: (y, y + h, x, x + w))(*(int(v) for v in rng.integers(1, 60, 4)))
     d, t = dets(spark, *[(*box(), 0.5) for _ in range(60)]), truths(spark, *[box() for _ in range(40)])
-    key = lambda df: sorted((r.det_id, r.gt_id, r.inter) for r in df.filter("inter > 0").collect())
-    assert key(matching.tiled_pairs(d, t, 16)) == key(matching.box_pairs(d, t))
+    side = lambda p, q, i: max(0, min(p[i + 1], q[i + 1]) - max(p[i], q[i]))
+    area = lambda p: (p[1] - p[0]) * (p[3] - p[2])
+    want = {}
+    for p in d.collect():
+        for q in t.collect():
+            inter = side(p[2:6], q[2:6], 0) * side(p[2:6], q[2:6], 2)
+            if inter:
+                want[p.det_id, q.gt_id] = inter, pytest.approx(inter / (area(p[2:6]) + area(q[2:6]) - inter))
+    for tile in (16, 64):
+        assert {(r.det_id, r.gt_id): (r.inter, r.iou) for r in matching.tiled_pairs(d, t, tile).collect()} == want
+    assert {(r.det_id, r.gt_id) for r in matching.tiled_pairs(d, t, least=0.25).collect()} == {k for k, (_, v) in want.items() if v.expected >= 0.25}
 
 
 def test_mask_and_box_overlaps_agree_on_rectangles(spark):
@@ -479,6 +488,18 @@ def test_compressed_run_lengths():
         assert coco.rle_counts(text(counts)) == counts
 
 
+def test_paths_of_any_depth(spark):
+    n = 10_000
+    chain = spark.range(n, numPartitions=4).selectExpr("1L AS image_id", "id AS node_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "id / 10 AS reid_score")
+    tail = traces.leaf_paths(chain).selectExpr("node_id", "depth", "path = sequence(0L, 9999L) AS same", "scores[77] AS s").collect()
+    assert [tuple(r) for r in tail] == [(n - 1, n - 1, True, 7.7)]
+    rows = [(1, 1, None, 0.1), (1, 2, 1, 0.2), (1, 3, 2, 0.3), (1, 9, 8, 0.4), (2, 1, None, 0.5)]
+    tree = spark.createDataFrame(rows, "image_id long, node_id long, parent_id long, reid_score double")
+    assert sorted((r.image_id, r.depth, r.path) for r in traces.paths(tree).collect()) == [(1, 0, [1]), (1, 1, [1, 2]), (1, 2, [1, 2, 3]), (2, 0, [1])]
+    with pytest.raises(ValueError):
+        traces.paths(spark.createDataFrame([(1, 1, 2, 0.1), (1, 2, 1, 0.2)], tree.schema))
+
+
 def test_parents_by_box(spark):
     rows = [(1, 1, None, 0, 10, 0, 10), (1, 2, (0, 10, 0, 10), 0, 5, 0, 5), (1, 3, (0, 10, 0, 10), 0, 10, 0, 10), (1, 4, (0, 5, 0, 5), 1, 2, 1, 2)]
     df = spark.createDataFrame(rows, "image_id long, node_id long, parent_box struct<y0:long,y1:long,x0:long,x1:long>, y0 long, y1 long, x0 long, x1 long")
@@ -491,20 +512,35 @@ def test_sweeps():
     assert [n for n, _ in runs] == ["r__a.b=1_c=x", "r__a.b=2_c=x"] and runs[1][1] == {"a": {"b": 2}, "c": "x"} and base == {"a": {"b": 1}}
 
 
+def stream_rows(spark, rows):
+    rows = [(1, n, p, k, d, "zoom", s, f"2024-01-01 00:00:0{i}") for i, (n, p, k, d, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "image_id long, node_id long, parent_id long, n_children int, depth int, kind string, reid_score double, t string")
+    return df.withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+
+
 def test_trace_stream(spark, tmp_path):
-    """Children may come before their parents and be any number; a region that never gets all of them is decided at the end."""
+    """Children may come before their parents and be any number; the stream comes to rest; a restart goes on where it was;
+    a family that never is whole is decided when the watermark has passed it."""
     from siltstone.streaming import traces as stream
 
-    rows = [(5, 2, 0, 0.1), (4, 2, 0, 0.9), (2, 1, 2, 0.6), (1, None, 3, 0.5), (3, 1, 0, 0.4), (6, 1, 1, 0.2), (7, 6, 0, 0.1), (8, 6, 0, 0.15)]
-    rows = [(1, n, p, k, "zoom", s, f"2024-01-01 00:00:0{i}") for i, (n, p, k, s) in enumerate(rows)]
-    df = spark.createDataFrame(rows, "image_id long, node_id long, parent_id long, n_children int, kind string, reid_score double, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
-    for i, part in enumerate(("node_id IN (5, 4, 2)", "node_id IN (1, 3)", "node_id > 5")):
+    df = stream_rows(spark, [(5, 2, 0, 2, 0.1), (4, 2, 0, 2, 0.9), (2, 1, 2, 1, 0.6), (1, None, 3, 0, 0.5), (3, 1, 0, 1, 0.4), (6, 1, 3, 1, 0.2), (7, 6, 0, 2, 0.1), (8, 6, 0, 2, 0.15)])
+    for part in ("node_id IN (5, 4, 2)", "node_id IN (1, 3)", "node_id > 5"):
         df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = stream.decisions(stream.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r.node_id: (r.decision, r.best_child) for r in spark.table("decided").collect()}
-    assert got[2] == ("zoom", 0.9) and got[1] == ("zoom", 0.6) and got[6][0] == "reid-stop" and {got[n][0] for n in (3, 4, 5, 7, 8)} == {"leaf"}
+    found = stream.decisions(stream.read_events(spark, str(tmp_path / "in")))
+    q = found.writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = {1: ("zoom", 0.6, 1, 0), 2: ("zoom", 0.9, 2, 0), 3: ("below-floor", None, 1, 0), 4: ("leaf", None, 2, 1), 5: ("below-floor", None, 2, 0)}
+    assert {r.node_id: tuple(r)[2:] for r in spark.table("decided").collect()} == want
+    assert sorted(r.node_id for r in stream.drained(found, str(tmp_path / "out")).collect()) == sorted(want)
+    late = df.filter("node_id = 1").withColumn("image_id", F.lit(2).cast("long")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = [tuple(r) for r in stream.drained(found, str(tmp_path / "out")).filter("image_id = 1").collect()]
+    want |= {6: ("reid-stop", 0.15, 2, 0), 7: ("reid-worse", None, 2, 0), 8: ("reid-worse", None, 2, 0)}
+    assert sorted(again, key=lambda r: r[1]) == [(1, n, *want[n]) for n in sorted(want)]
     assert stream.windowed_counts(df).first().n == 8
 
 
