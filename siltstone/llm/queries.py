@@ -9,18 +9,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ranking
+from .alignment import op12_token_alignment
 from .chat import BEGIN, CONTROL, END, HEAD, op8_chat_format
 from .chunking import op5_chunk_fingerprints
 from .decontaminate import op3_decontaminate
 from .lm import op2_lm_scores
 from .packing import op10_best_two_fit
+from .ranking import op11_ranked_search
 from .simhash import op1_simhash
 from .token_counts import op4_token_counts
 from .token_shards import op7_token_shards
 from .toxicity import op9_toxicity
 from .warc import op6_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit, op11_ranked_search, op12_token_alignment)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,7 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' |
 _CONTROL = "|".join(re.escape(c).replace("'", "''") for c in CONTROL)
 
 SQL: dict[str, str] = {
+    "op11_ranked_search": ranking.SQL,
     "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), k AS (SELECT h, max(page_id) AS keep FROM p GROUP BY h)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM p JOIN k USING (h)""",
     "op8_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
