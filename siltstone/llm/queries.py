@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ranking
 from .alignment import op12_token_alignment
+from .boilerplate import op13_main_text
 from .chat import BEGIN, CONTROL, END, HEAD, op8_chat_format
 from .chunking import op5_chunk_fingerprints
 from .decontaminate import op3_decontaminate
@@ -23,7 +24,7 @@ from .token_shards import op7_token_shards
 from .toxicity import op9_toxicity
 from .warc import op6_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit, op11_ranked_search, op12_token_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_decontaminate, op4_token_counts, op5_chunk_fingerprints, op6_warc, op7_token_shards, op8_chat_format, op9_toxicity, op10_best_two_fit, op11_ranked_search, op12_token_alignment, op13_main_text)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
