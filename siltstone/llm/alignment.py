@@ -36,9 +36,9 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string,
 SHARD = "path string, n long, first long, last long, b array<int>, most array<long>"
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 LOW = np.int64(0xFFFFFFFF)
-#: Pieces that a process remembers, documents that are encoded together, distinct pairs that a partition holds before it
-#: gives them out as partial counts, and partial counts a shard. All of them bound memory, none the result.
-REMEMBER, GROUP, PARTIAL, SHARD_ROWS = 600_000, 256, 2_000_000, 4_000_000
+#: Pieces that a process remembers, characters of documents that are encoded together, distinct pairs that a partition holds
+#: before it gives them out as partial counts, and partial counts a shard. All of them bound memory, none the result.
+REMEMBER, GROUP, PARTIAL, SHARD_ROWS = 250_000, 1_000_000, 1_000_000, 4_000_000
 
 
 def default_pieces() -> str:
@@ -161,6 +161,24 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 shared.remembers(aligner.cache_clear, "alignment")
 
 
+def forget() -> None:
+    """Gives back what encoding remembered, once a worker turns to counting."""
+    if aligner.cache_info().currsize:
+        aligner.cache_clear()
+        shared.give_back()
+
+
+def grouped(texts: list[str | None], most: int = GROUP) -> list[tuple[int, int]]:
+    """Stretches of texts of about ``most`` characters."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most or i + 1 == len(texts):
+            out.append((start, i + 1))
+            start, size = i + 1, 0
+    return out
+
+
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, key: str = "doc_id", text: str = "text", groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256, links (packed pairs as little-endian integers of 64 bits) and, if asked for, the groups themselves."""
     path_a, path_b = path_a or default_tokenizer(), path_b or default_pieces()
@@ -168,8 +186,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     def run(batches):
         al = aligner(path_a, path_b)
         for b in batches:
-            for at in range(0, len(b["k"]), GROUP):
-                keys, got = b["k"][at : at + GROUP], al.aligned(b["t"][at : at + GROUP])
+            for at, to in grouped(b["t"]):
+                keys, got = b["k"][at:to], al.aligned(b["t"][at:to])
                 none = 0, 0, 0, "", b""
                 na, nb, ng, text_, links = zip(*[g or none for g in got])
                 out = {"doc_id": keys, "n_a": na, "n_b": nb, "n_groups": ng, "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in text_], "links": links}
@@ -189,6 +207,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _partial(batches):
     """np.unique of the pairs seen so far, given out whenever they are many."""
+    forget()
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for b in batches:
         k, n = np.unique(np.frombuffer(b"".join(b["links"]), "<i8"), return_counts=True)
@@ -297,6 +316,7 @@ def count_links(aligned: DataFrame, shards: DataFrame) -> DataFrame:
         most[r.b] = r.n
 
     def run(batches):
+        forget()
         table = CountShards(listed)
         for b in batches:
             ends = np.cumsum([len(x) // 8 for x in b["links"]])

@@ -125,12 +125,17 @@ def begin(user: str) -> None:
     for users, forget in _MEMORIES:
         if user not in users:
             forget()
+    give_back()
+    _TURNED[:] = [user]
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system."""
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps what it has
         pass
-    _TURNED[:] = [user]
 
 
 def schema_of(ddl: str) -> StructType:
