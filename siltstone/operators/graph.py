@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read back: cuts the lineage for good."""
-    spark: SparkSession = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         app = spark.sparkContext.applicationId
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="siltstone-"))
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the session's checkpoint folder and read back: cuts the lineage for good."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, by: str = "image_id") -> DataFrame:

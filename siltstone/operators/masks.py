@@ -50,13 +50,19 @@ def self_overlaps(runs: DataFrame, key: str) -> DataFrame:
     return _measured(inter, left, right, "a", "b")
 
 
-def union(runs: DataFrame) -> DataFrame:
-    """The runs of each image's union: gaps and islands along each row."""
-    row = W.partitionBy("image_id", "y").orderBy("xs", "xe")
+def union(runs: DataFrame, *by: str) -> DataFrame:
+    """The runs of each image's union, or of each of an image's ``by``: gaps and islands along each row."""
+    row = W.partitionBy("image_id", *by, "y").orderBy("xs", "xe")
     reach = F.max("xe").over(row.rowsBetween(W.unboundedPreceding, -1))
     marked = runs.withColumn("new", F.when(reach.isNull() | (F.col("xs") > reach), 1).otherwise(0))
     island = marked.withColumn("k", F.sum("new").over(row.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return island.groupBy("image_id", "y", "k").agg(F.min("xs").alias("xs"), F.max("xe").alias("xe")).drop("k")
+    return island.groupBy("image_id", *by, "y", "k").agg(F.min("xs").alias("xs"), F.max("xe").alias("xe")).drop("k")
+
+
+def covered(runs: DataFrame, region: DataFrame, key: str) -> DataFrame:
+    """image_id, key, covered: the pixels of each mask that lie in its image's region (disjoint runs image_id, y, xs, xe); masks with none are left out."""
+    both = runs.select("image_id", key, "y", F.col("xs").alias("a"), F.col("xe").alias("b")).join(region.select("image_id", "y", "xs", "xe"), ["image_id", "y"]).filter("a < xe AND xs < b")
+    return both.groupBy("image_id", key).agg(F.sum(F.least("b", "xe") - F.greatest("a", "xs")).alias("covered"))
 
 
 def union_iou(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import masks
-from .graph import components
+from .graph import components, written
 from .matching import tiled_overlaps
 
 _BOX = ["y0", "y1", "x0", "x1"]
@@ -143,16 +143,69 @@ def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None =
     return own.groupBy("image_id", "root").agg(best.alias("det_id"), size, F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("score").alias("score")).drop("root")
 
 
-def fragments(dets: DataFrame, gap: int = 1, iou: float = 0.5, contain: float = 0.8) -> DataFrame:
+def joined_fragments(dets: DataFrame, gap: int = 1, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Detections with fragments made one, and their masks: those that reach an edge of their crop (``partial``, a column, or of masks
+    what they reach) and lie by another are pieces of one object. dets need crop, height and width where masks are given."""
+    if runs is None:
+        return merge_fragments(dets, fragment_pairs(dets, gap)), None
+    runs = runs.join(dets.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+    pairs = written(mask_fragment_pairs(runs, mask_edges(runs, dets, False), gap), "fragment-pairs")
+    merged = written(merge_fragments(dets, pairs, runs), "merged")
+    roots = components(pairs).withColumnRenamed("node", "det_id")
+    heads = dets.join(roots, ["image_id", "det_id"]).groupBy("image_id", "root").agg(F.max_by("det_id", F.struct("score", -F.col("det_id"))).alias("head"))
+    named = runs.join(roots.join(heads, ["image_id", "root"]).select("image_id", "det_id", "head"), ["image_id", "det_id"], "left")
+    return merged, masks.union(named.select("image_id", F.coalesce("head", "det_id").alias("det_id"), "y", "xs", "xe"), "det_id")
+
+
+def fragments(dets: DataFrame, gap: int = 1, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
     """Fragments (``partial``) made one, then nms."""
-    merged = merge_fragments(dets, fragment_pairs(dets, gap))
-    return nms(merged, iou, contain)
+    merged, _ = joined_fragments(dets, gap)
+    return nms(merged, iou, contain, pairs)
+
+
+def oracle(dets: DataFrame, gt: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """The detection of largest IoU of each ground truth among those whose own best it is: what any rule could reach at most.
+    ``pairs`` (image_id, det_id, gt_id, iou) are those of boxes with ``gt`` unless given."""
+    from .matching import oracle_merge, tiled_pairs
+
+    if gt is None and pairs is None:
+        raise ValueError("the oracle needs ground truth")
+    return oracle_merge(tiled_pairs(dets, gt) if pairs is None else pairs).select("image_id", "det_id")
 
 
-RULES = {"none": lambda d, **_: d.select("image_id", "det_id"), "nms": nms, "soft": soft_nms, "directional": suppress_directional, "fragments": fragments}
+RULES = {"none": lambda d, **_: d.select("image_id", "det_id"), "nms": nms, "soft": soft_nms, "directional": suppress_directional, "fragments": fragments, "oracle": oracle}
 
 
 def merge_detections(dets: DataFrame, rule: str = "nms", **options) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} is none of {sorted(RULES)}")
     return RULES[rule](dets, **options)
+
+
+def merge_chain(dets: DataFrame, rule: str = "nms", drop: bool = False, join: bool = False, gap: int = 1, runs: DataFrame | None = None, gt: DataFrame | None = None, gt_runs: DataFrame | None = None, **options) -> DataFrame:
+    """What a search emits, made final: provably partial detections go (``drop``), what is left of fragments is joined (``join``), and
+    ``rule`` decides over one table of overlaps, of masks where ``runs`` are given, else of boxes. ``none`` skips all of it. nms with
+    bounds of 1 and more suppresses nothing. image_id, det_id, y0, y1, x0, x1, score (the rule's, if it gives one)."""
+    if rule not in RULES:
+        raise ValueError(f"rule {rule!r} is none of {sorted(RULES)}")
+    kept = ["image_id", "det_id", *_BOX, "score"]
+    if rule == "none":
+        return dets.select(*kept)
+    if drop:
+        dets = written(drop_clipped(dets) if runs is None else drop_clipped_masks(dets, runs), "whole")
+    if join or rule == "fragments":
+        own = dets if runs is not None or "partial" in dets.columns else dets.withColumn("partial", g.touches(g.box(), g.box("crop.")))
+        dets, runs = joined_fragments(own, gap, runs)
+    elif runs is not None:
+        runs = runs.join(dets.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+    rule = "nms" if rule == "fragments" else rule
+    if rule == "nms" and min(options.get("iou", 0.5), options.get("contain", 0.8)) >= 1:
+        return dets.select(*kept)
+    if rule == "oracle":
+        pairs = None if gt_runs is None or runs is None else masks.overlaps(runs, gt_runs, "det_id", "gt_id")
+        left = oracle(dets, gt, pairs)
+    else:
+        left = RULES[rule](dets, pairs=box_overlaps(dets) if runs is None else mask_overlaps(runs), **options)
+    if "score" in left.columns:
+        dets = dets.drop("score")
+    return dets.join(left, ["image_id", "det_id"]).select(*kept)

@@ -129,8 +129,42 @@ def cluster_aggregate(patches: DataFrame, sims: DataFrame, keep: float) -> DataF
     return scored.select("image_id", "class_id", "share", "cross", "intra", "combined", "seed", ((F.col("combined") > keep) | F.col("seed")).alias("kept"))
 
 
-def positional_basis(noise: np.ndarray, size: int) -> list[list[float]]:
-    """The first right singular vectors of centred noise features, from their D x D Gram matrix."""
-    x = noise - noise.mean(axis=0)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    return vectors[:, np.argsort(values)[::-1][:size]].T.tolist()
+def gram(rows: DataFrame, column: str = "feat", centred: bool = True) -> DataFrame:
+    """i, j (from 1), value: the sums of products of all pairs of dimensions, of vectors less their mean if ``centred``. A partition adds
+    up its vectors' outer products, so D * D numbers leave it whatever it holds; a 1 behind each vector gives the sums and their number."""
+    ship(rows.sparkSession)
+
+    def outer(batches):
+        total = None
+        for b in batches:
+            for at in range(0, len(b), 8192):
+                x = np.stack(b["x"].iloc[at : at + 8192].to_numpy()).astype(float)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"d": [len(total) - 1], "s": [total.ravel()]})
+
+    parts = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("x")).mapInPandas(outer, "d int, s array<double>")
+    cells = parts.select("d", F.posexplode("s").alias("at", "s")).groupBy("d", "at").agg(F.sum("s").alias("s"))
+    i, j = F.expr("at div (d + 1)"), F.col("at") % (F.col("d") + 1)
+    cells = cells.select("d", (i + 1).alias("i"), (j + 1).cast("long").alias("j"), "s")
+    own = cells.filter("i <= d AND j <= d")
+    if not centred:
+        return own.select("i", "j", F.col("s").alias("value"))
+    sums = cells.filter("j = d + 1 AND i <= d").select(F.col("i").alias("k"), F.col("s").alias("sum"))  # a row a dimension
+    n = cells.filter("i = d + 1 AND j = d + 1").select(F.col("s").alias("n"))
+    both = own.join(F.broadcast(sums.toDF("i", "si")), "i").join(F.broadcast(sums.toDF("j", "sj")), "j").crossJoin(F.broadcast(n))
+    return both.select("i", "j", (F.col("s") - F.col("si") * F.col("sj") / F.col("n")).alias("value"))
+
+
+def positional_basis(noise: DataFrame, size: int, column: str = "feat") -> list[list[float]]:
+    """The first right singular vectors of centred features, from their Gram matrix (D * D numbers, whatever the rows): what
+    patches of noise have in common is their place. Each vector's largest part is positive."""
+    cells = gram(noise, column).collect()
+    d = max((r.i for r in cells), default=0)
+    g = np.zeros((d, d))
+    for r in cells:
+        g[r.i - 1, r.j - 1] = r.value
+    values, found = np.linalg.eigh((g + g.T) / 2)
+    top = found[:, np.argsort(-values, kind="stable")[:size]].T
+    return [(v * np.sign(v[np.argmax(np.abs(v))])).tolist() for v in top]

@@ -30,13 +30,13 @@ SEEN = f"image_id long, region string, score double, signal double, n int, small
 
 
 def packed(cells: np.ndarray) -> bytes:
-    """A grid mask in bytes: its sides, then its bits."""
-    return bytes(cells.shape) + np.packbits(cells).tobytes()
+    """A grid mask in bytes: its sides (of four bytes each), then its bits."""
+    return np.array(cells.shape, "<u4").tobytes() + np.packbits(cells).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    h, w = data[0], data[1]
-    return np.unpackbits(np.frombuffer(data, np.uint8, offset=2), count=h * w).reshape(h, w).astype(bool)
+    h, w = np.frombuffer(data, "<u4", 2).tolist()
+    return np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=h * w).reshape(h, w).astype(bool)
 
 
 def pixels(cells: np.ndarray, box: st.Box) -> np.ndarray:

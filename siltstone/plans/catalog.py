@@ -853,3 +853,6 @@ def _(s, d):
 def _(s, d):
     crop = (F.lit(10), F.lit(100), F.lit(10), F.lit(100))
     return fx.detections(s, d).select("image_id", "det_id", g.touches(g.box(), crop).alias("touches"))
+
+
+from . import matchers  # noqa: E402,F401  registers its queries

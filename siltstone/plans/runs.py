@@ -109,15 +109,21 @@ def run_folder(folder: str, run: Callable[[str, dict], Any], overrides: list[str
     return out
 
 
-def run_experiment(spark: SparkSession, folder: str, name: str, config: dict, images: DataFrame, gt: DataFrame) -> DataFrame:
-    """One experiment: the method that ``config`` names, on ``images``, against boxes of ``gt`` (image_id, gt_id, box). Its detections,
-    parameters and metrics go to ``folder``; the metrics are given as rows."""
-    from ..operators import metrics
+def run_experiment(spark: SparkSession, folder: str, name: str, config: dict, images: DataFrame, gt: DataFrame, gt_runs: DataFrame | None = None) -> DataFrame:
+    """One experiment: the method that ``config`` names, on ``images``, against boxes of ``gt`` (image_id, gt_id, box) and, where the method gives
+    masks (cells), its masks too, against ``gt_runs`` (the boxes' pixels unless given). Its detections, parameters and metrics go
+    to ``folder``; the metrics are given as rows."""
+    from ..operators import masks, metrics
     from ..operators.graph import written
+    from . import cascade
 
     found = written(build_method(config)(images), "detections")
     write_predictions(found, folder, name, config.get("protocol", "intra"))
-    rows = metrics.to_rows(metrics.evaluate(found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score"), gt)).collect()
+    own, runs = found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score"), None
+    if "cells" in found.columns:
+        runs = written(cascade.mask_runs(found), "mask-runs")
+        gt_runs = masks.box_runs(gt, "gt_id") if gt_runs is None else gt_runs
+    rows = metrics.to_rows(metrics.evaluate(own, gt, runs, gt_runs if runs is not None else None)).collect()
     log_run(spark, folder, name, config, {r.metric: r.value for r in rows})
     return spark.createDataFrame([(r.metric, r.value) for r in rows], "metric string, value double")
 
@@ -138,3 +144,66 @@ def write_slice(pairs: DataFrame, folder: str) -> None:
     """A slice as JSON lines, and its image ids as text."""
     pairs.write.mode("overwrite").json(f"{folder}/pairs")
     pairs.select(F.col("image_id").cast("string")).distinct().write.mode("overwrite").text(f"{folder}/ids")
+
+
+# --- dataset files
+
+
+@dataclass
+class DatasetFile:
+    """A dataset in one file: where it comes from, which images and categories it covers, which instances of an image are known, and how its
+    images are prepared. ``split`` has an image's parts (train, val, unlabelled) as lists of places among its instances."""
+
+    root: str
+    category_ids: list[int]
+    image_ids: list[str]
+    type: str = "coco"
+    annotation_file: str | None = None
+    images_dir: str | None = None
+    split: dict[str, dict[str, list[int]]] = field(default_factory=dict)
+    target_size: tuple[int, int] | None = None
+    channels: int = 3
+
+    @classmethod
+    def read(cls, path: str | Path) -> DatasetFile:
+        doc = read_config(Path(path))
+        own, pre = doc["dataset"], doc.get("preprocessing") or {}
+        side = pre.get("target_size")
+        split = {str(i): {part: list(places) for part, places in parts.items()} for i, parts in (doc.get("pu_split") or {}).items()}
+        return cls(
+            own["root"], list(own["category_ids"]), [str(i) for i in doc["image_ids"]], own.get("type", "coco"), own.get("annotation_file"), own.get("images_dir"), split,
+            None if side is None else (int(side[0]), int(side[1])), int(pre.get("image_channels", 3)),
+        )
+
+    def write(self, path: str | Path) -> None:
+        own = {"type": self.type, "root": self.root, "annotation_file": self.annotation_file, "images_dir": self.images_dir, "category_ids": self.category_ids}
+        doc = {"dataset": {k: v for k, v in own.items() if v is not None}, "image_ids": self.image_ids, "pu_split": self.split}
+        doc["preprocessing"] = {"target_size": None if self.target_size is None else list(self.target_size), "image_channels": self.channels}
+        if Path(path).suffix == ".json":
+            Path(path).write_text(json.dumps(doc, indent=1))
+        else:
+            import yaml
+
+            Path(path).write_text(yaml.safe_dump(doc, sort_keys=False))
+
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """images (order: their place in the file), annotations (class_id from 1 on, known, place among the image's) and classes. An instance that
+        the split does not name is unlabelled, and so is every one of an image that it leaves out."""
+        from ..operators import datasets
+        from ..sources import coco_split
+        from pyspark.sql import Window as W
+
+        path = self.annotation_file or f"{self.root}/annotations.json"
+        planned = coco_split.plan(spark, path if "/" in path else f"{self.root}/{path}")
+        wanted = spark.createDataFrame([(i, k) for k, i in enumerate(self.image_ids)], "image_id string, order long")
+        images = coco_split.images(spark, path, planned).drop("order").join(F.broadcast(wanted), "image_id")
+        if self.target_size is not None:
+            scale = F.least(F.lit(float(self.target_size[0])) / F.col("height"), F.lit(float(self.target_size[1])) / F.col("width"))
+            images = images.withColumn("scale", scale)
+        ann = datasets.of_categories(coco_split.annotations(spark, path, planned), self.category_ids).join(wanted.select("image_id"), "image_id", "left_semi")
+        ann = ann.withColumn("place", (F.row_number().over(W.partitionBy("image_id").orderBy("ann_id")) - 1).cast("int"))
+        parts = [(i, p, part) for i, own in self.split.items() for part, places in own.items() for p in places]
+        named = spark.createDataFrame(parts, "image_id string, place int, part string")
+        ann = ann.join(named, ["image_id", "place"], "left").withColumn("part", F.coalesce("part", F.lit("unlabelled")))
+        classes = coco_split.class_names(spark, path, planned)
+        return {"images": images, "annotations": ann.join(classes, "category_id", "left"), "classes": classes}

@@ -36,22 +36,24 @@ def instances(x: np.ndarray, bank: np.ndarray, tau: float | None = None, least_a
     return out
 
 
-def run(images: DataFrame, bank: np.ndarray, backbone: MockBackbone, tau: float | None = None, least_area: int = 1) -> DataFrame:
-    """Detections of images (image_id, height, width, pixels); boxes are the cells' pixels."""
+def run(images: DataFrame, bank: np.ndarray, backbone: MockBackbone, tau: float | None = None, least_area: int = 1, find: Callable | None = None) -> DataFrame:
+    """Detections of images (image_id, height, width, pixels); boxes are the cells' pixels. ``find`` gives (cells, score) of an image's
+    features (``instances`` unless given)."""
     ship(images.sparkSession)
+    find = find or (lambda x: instances(x, bank, tau, least_area))
 
-    def find(batches):
+    def detect(batches):
         for b in batches:
             rows = []
             for i, h, w, px in zip(b["image_id"], b["height"], b["width"], b["pixels"]):
                 x, _ = backbone(np.frombuffer(px, np.uint8).reshape(h, w, 3))
                 n = backbone.grid
-                for k, (m, score) in enumerate(instances(x, bank, tau, least_area)):
+                for k, (m, score) in enumerate(find(x)):
                     r, c = np.nonzero(m)
                     rows.append((i, k + 1, r.min() * h // n, -(-(r.max() + 1) * h // n), c.min() * w // n, -(-(c.max() + 1) * w // n), int(m.sum()), score))
             yield pd.DataFrame(rows, columns=["image_id", "det_id", "y0", "y1", "x0", "x1", "area", "score"])
 
-    return images.select("image_id", "height", "width", "pixels").mapInPandas(find, FOUND)
+    return images.select("image_id", "height", "width", "pixels").mapInPandas(detect, FOUND)
 
 
 def foreground_box(fg: np.ndarray, box: tuple[int, int, int, int], pad: float = 0.06) -> tuple[int, int, int, int] | None:
@@ -92,13 +94,28 @@ def upsample(mask: np.ndarray, height: int, width: int, smooth: bool = False) ->
     return mask[(np.arange(height) * mask.shape[0] // height)[:, None], (np.arange(width) * mask.shape[1] // width)[None, :]]
 
 
+def parts(x: np.ndarray, bank: np.ndarray, settings: st.Settings, mean: bool = True) -> list[tuple[np.ndarray, float]]:
+    """(cells, score) of the connected components of the foreground: ``where`` of the settings cuts it out (what reaches ``tau``), components
+    by ``connectivity`` of at least ``least_area`` cells count, with the mean of their cells' confidence as score, or 1."""
+    crop = st.Crop(x, (0, x.shape[0], 0, x.shape[1]))
+    region, score = st.chosen(st.WHERE, settings.where, "where")(crop, st.Bank.of_target(bank), settings)
+    found = st.chosen(st.GROUPING, "cc", "grouping")(crop, region, settings)
+    return [(m, float(score[m].mean()) if mean else 1.0) for m in found if m.sum() >= max(1, settings.least_area)]
+
+
 @st.register(st.METHODS, "components")
-def components_method(backbone: dict | None = None, bank: list | None = None, tau: float | None = None, **settings):
-    """images of pixels -> detections: connected components of the foreground, without recursion."""
+def components_method(backbone: dict | None = None, bank: list | None = None, score: str = "mean", **settings):
+    """images of pixels -> detections: connected components of the foreground, without recursion. ``score`` is mean or one."""
+    if score not in ("mean", "one"):
+        raise ValueError(f"score {score!r} is neither mean nor one")
     encoder, vectors = st.build_backbone(backbone), np.array(bank if bank is not None else [], float)
-    own = st.Settings(**{"markers": "geometric"} | settings)
+    own = st.Settings(**{"where": "bank"} | settings)
+    return lambda images: run(images, vectors, encoder, find=lambda x: parts(x, vectors, own, score == "mean"))
 
-    def run_(images: DataFrame) -> DataFrame:
-        return run(images, vectors, encoder, tau, own.least_area)
 
-    return run_
+@st.register(st.METHODS, "basins")
+def basins_method(backbone: dict | None = None, bank: list | None = None, tau: float | None = None, least_score: float = 0.0, **settings):
+    """images of pixels -> detections: atoms, watershed and merging (see ``instances``), without recursion."""
+    encoder, vectors = st.build_backbone(backbone), np.array(bank if bank is not None else [], float)
+    own = st.Settings(**{"markers": "geometric"} | settings)
+    return lambda images: run(images, vectors, encoder, find=lambda x: instances(x, vectors, tau, own.least_area, least_score, own))

@@ -345,15 +345,36 @@ def composite(settings: Settings) -> Callable[[Crop, Bank], Extraction]:
     return extract
 
 
+def cell_labels(labels: np.ndarray, shape: tuple[int, int], coverage: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (cell number, label) of a label map on a grid: the label at each cell's centre, or, with ``any``, of every
+    pixel that a cell holds a part of. Sorted by label, then cell; background is left out."""
+    if coverage == "center":
+        lines = [np.minimum(((np.arange(n) + 0.5) * m / n).astype(int), max(m - 1, 0)) for n, m in zip(shape, labels.shape)]
+        cells = [np.arange(n) for n in shape]
+    elif coverage == "any":
+        spans = [(np.arange(n) * m // n, -(-(np.arange(n) + 1) * m // n)) for n, m in zip(shape, labels.shape)]
+        lines = [np.concatenate([np.arange(a, b) for a, b in zip(*s)]) for s in spans]
+        cells = [np.repeat(np.arange(len(a)), b - a) for a, b in spans]
+    else:
+        raise ValueError(f"coverage {coverage!r} is neither any nor center")
+    if not labels.size:
+        return np.empty(0, int), np.empty(0, int)
+    cell = cells[0][:, None] * shape[1] + cells[1][None, :]
+    label = labels[np.ix_(*lines)]
+    pairs = np.unique(label[label > 0].astype(np.int64) * (shape[0] * shape[1]) + cell[label > 0])
+    return pairs % (shape[0] * shape[1]), pairs // (shape[0] * shape[1])
+
+
 def by_instance(crop: Crop, region: np.ndarray, coverage: str) -> list[np.ndarray]:
     """A grid for each ground-truth instance that meets the region; the region itself if none does."""
-    truth = crop.truth()
-    if coverage == "any":
-        parts = [region & on_grid(truth == k, crop.shape, "any") for k in np.unique(truth) if k]
-    else:
-        g = labels_on_grid(truth, crop.shape)
-        parts = [region & (g == k) for k in np.unique(g[region]) if k]
-    return [p for p in parts if p.any()] or ([region] if region.any() else [])
+    cell, label = cell_labels(crop.truth(), crop.shape, coverage)
+    met = region.ravel()[cell]
+    names, place = np.unique(label[met], return_inverse=True)
+    if not len(names):
+        return [region] if region.any() else []
+    out = np.zeros((len(names), region.size), bool)
+    out[place, cell[met]] = True
+    return list(out.reshape(len(names), *crop.shape))
 
 
 @register(EXTRACT, "oracle")
@@ -406,31 +427,38 @@ def follow_score(crop: Crop, score: float, settings: Settings) -> float:
 STOP["reid"] = StopRule(follow_score)
 
 
+def instance_boxes(labels: np.ndarray) -> np.ndarray:
+    """(y0, y1, x0, x1, pixels) of each label of a map that occurs, in one pass over its pixels."""
+    r, c = np.nonzero(labels)
+    names, place, pixels = np.unique(labels[r, c], return_inverse=True, return_counts=True)
+    out = np.empty((len(names), 5), np.int64)
+    for column, at, least in ((0, r, True), (1, r, False), (2, c, True), (3, c, False)):
+        edge = np.full(len(names), labels.size if least else -1)
+        (np.minimum if least else np.maximum).at(edge, place, at)
+        out[:, column] = edge + (not least)
+    out[:, 4] = pixels
+    return out
+
+
 def isolation(crop: Crop, labels: np.ndarray, settings: Settings) -> float:
     """How nearly the crop frames one ground-truth instance: the IoU of its box with an instance's box (or, by ``isolation`` mask,
     mask), the largest or that of the visible one nearest the crop's centre."""
-    n = int(labels.max(initial=0))
-    if not n:
+    b = instance_boxes(labels)
+    if not len(b):
         return 0.0
     y0, y1, x0, x1 = crop.box
     if settings.isolation == "mask":
-        part = labels[y0:y1, x0:x1]
-        inter = np.bincount(part.ravel(), minlength=n + 1)[1:].astype(float)
-        union = part.size + np.bincount(labels.ravel(), minlength=n + 1)[1:] - inter
-        return float((inter / np.maximum(union, 1)).max())
-    best = []
-    for k in range(1, n + 1):
-        r, c = np.nonzero(labels == k)
-        if not len(r):
-            continue
-        b = r.min(), r.max() + 1, c.min(), c.max() + 1
-        inter = max(0, min(b[1], y1) - max(b[0], y0)) * max(0, min(b[3], x1) - max(b[2], x0))
-        far = ((b[0] + b[1]) / 2 - (y0 + y1) / 2) ** 2 + ((b[2] + b[3]) / 2 - (x0 + x1) / 2) ** 2
-        best.append((inter / max(size(crop.box) + size(b) - inter, 1), far, inter))
-    if settings.isolation_select == "center":
-        near = [(far, v) for v, far, inter in best if inter]
-        return float(min(near)[1]) if near else 0.0
-    return float(max(v for v, _, _ in best))
+        names, seen = np.unique(labels[y0:y1, x0:x1], return_counts=True)
+        inter = np.zeros(len(b))
+        inter[np.searchsorted(np.unique(labels[labels > 0]), names[names > 0])] = seen[names > 0]
+        return float((inter / np.maximum(seen.sum() + b[:, 4] - inter, 1)).max())
+    inter = np.clip(np.minimum(b[:, 1], y1) - np.maximum(b[:, 0], y0), 0, None) * np.clip(np.minimum(b[:, 3], x1) - np.maximum(b[:, 2], x0), 0, None)
+    iou = inter / np.maximum(size(crop.box) + (b[:, 1] - b[:, 0]) * (b[:, 3] - b[:, 2]) - inter, 1)
+    if settings.isolation_select != "center":
+        return float(iou.max())
+    away = (b[:, 0] + b[:, 1] - y0 - y1) ** 2 + (b[:, 2] + b[:, 3] - x0 - x1) ** 2
+    visible = np.flatnonzero(inter)
+    return float(iou[visible[np.lexsort((iou[visible], away[visible]))[0]]]) if len(visible) else 0.0
 
 
 def follow_isolation(crop: Crop, score: float, settings: Settings) -> float:

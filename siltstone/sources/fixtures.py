@@ -39,6 +39,12 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of the detections that are no rectangles: each row begins up to three pixels late and ends up to two early."""
+    rows = detections(spark, sf_dir).select("image_id", "det_id", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "y0", "x0", "x1")
+    return rows.select("image_id", "det_id", "y", (F.col("x0") + (F.col("y") - F.col("y0")) % 4).alias("xs"), (F.col("x1") - F.col("y") % 3).alias("xe"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS image_id", "480 + o_custkey % 160 AS height", "640 + o_custkey % 200 AS width")
 
@@ -76,6 +82,7 @@ SQL = {
         l_partkey % 80 AS y0, l_partkey % 80 + 5 + CAST(l_quantity AS BIGINT) AS y1, l_suppkey % 80 AS x0, l_suppkey % 80 + 5 + 6 * l_linenumber::BIGINT AS x1, l_extendedprice AS score FROM lineitem""",
     "gt": """SELECT o_orderkey // 10 AS image_id, row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) AS gt_id, o_custkey % 80 AS y0, o_custkey % 80 + 10 + o_orderkey % 40 AS y1,
         (7 * o_custkey) % 80 AS x0, (7 * o_custkey) % 80 + 10 + o_orderkey % 30 AS x1 FROM orders""",
+    "shapes": "SELECT image_id, det_id, y, x0 + (y - y0) % 4 AS xs, x1 - y % 3 AS xe FROM (SELECT *, unnest(range(y0, y1)) AS y FROM detections)",
     "images": "SELECT o_orderkey AS image_id, 480 + o_custkey % 160 AS height, 640 + o_custkey % 200 AS width FROM orders",
     "annotations": """SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey) AS ann_id,
         1 + l_suppkey % 10 AS category_id, l_quantity * l_quantity AS area FROM lineitem""",
@@ -86,7 +93,7 @@ SQL = {
     "iou": """SELECT d.image_id, d.det_id, d.score, g.gt_id, inter, inter / ((d.y1 - d.y0) * (d.x1 - d.x0) + (g.y1 - g.y0) * (g.x1 - g.x0) - inter)::DOUBLE AS iou FROM detections d JOIN gt g USING (image_id),
         LATERAL (SELECT greatest(0, least(d.y1, g.y1) - greatest(d.y0, g.y0)) * greatest(0, least(d.x1, g.x1) - greatest(d.x0, g.x0)) AS inter)""",
 }
-_NEEDS = {"sim": ["patches", "exemplars"], "iou": ["detections", "gt"]}
+_NEEDS = {"shapes": ["detections"], "sim": ["patches", "exemplars"], "iou": ["detections", "gt"]}
 
 
 def with_views(body: str, *names: str, recursive: bool = False) -> str:

@@ -100,7 +100,8 @@ def _step(floor: float, patience_ms: int):
             state.setTimeoutTimestamp(max(min(x.last for x in held.values()) + patience_ms, now + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["image_id", "node_id", "decision", "best_child", "level", "phase"])
+        if out:
+            yield pd.DataFrame(out, columns=["image_id", "node_id", "decision", "best_child", "level", "phase"]).astype({"best_child": "float64"})
 
     return run
 
