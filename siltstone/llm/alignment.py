@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import PIECE, _even, _odd_space, default_tokenizer
+from .tokens import PIECE, Encoder, _even, _odd_space, byte_of_char, default_tokenizer
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 SHARD = "path string, n long, first long, last long, b array<int>, most array<long>"
@@ -47,13 +47,6 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_of_char() -> dict[str, int]:
-    """The characters that a byte-level vocabulary writes bytes as: printable ones as themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def cut_groups(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[str, list[int]]:
     """The groups of two lists of ids that spell the same bytes, as text, and the linked pairs, packed."""
     out, links = [], []
@@ -78,10 +71,9 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, remember: int = REMEMBER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.encoder = Encoder(path_a, 0, control=False)  # special tokens' strings are plain text
+        self.a = self.encoder.tokenizer
         chars = byte_of_char()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
@@ -115,11 +107,14 @@ class Aligner:
     def _learn(self, keys: list[str]) -> dict:
         into = self.known if len(self.known) < self.remember else {}
         pieces = [k if k[0] in " \n" else " " + k for k in keys]
-        of_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
+        of_a: list = [self.encoder.word_ids(k) for k in keys]
+        slow = [i for i, x in enumerate(of_a) if x is None]
+        for i, e in zip(slow, self.a.encode_batch_fast([pieces[i] for i in slow], add_special_tokens=False)):
+            of_a[i] = e.ids
         cut = [self._ids_b(p) for p in pieces]
         of_b = self.b.encode([t for t, _ in cut], num_threads=1)
         for k, p, x, y, (t, drop) in zip(keys, pieces, of_a, of_b, cut):
-            into[k] = self._pair(p, x.ids, y[drop:] if t else [self.blank])
+            into[k] = self._pair(p, np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x, y[drop:] if t else [self.blank])
         return into
 
     def _parts(self, text: str) -> list[str] | None:
