@@ -4,7 +4,7 @@ The kernel counts shared subsequences of three characters that lie within five
 (``GAPS`` more than three), each weighted by ``DECAY`` for every character it skips,
 normalised to 1 for equal words. It tolerates characters left out of or put into
 a word; a run of single letters ("i d i o t") is read as one word too. A sentence's
-kernel with a landmark is the largest over its words, taken up two ramps (``RAMPS``):
+kernel with a landmark is the largest over its words, taken up two ramps (one of ``RAMPS``):
 one tells words that are alike, broken insults among them, the other those that are
 nearly equal. Landmarks are the words of labelled texts that best tell toxic ones
 from others; the kernel among them whitens the features of either ramp (Nyström) on
@@ -15,7 +15,7 @@ logistic curve over it gives the score.
 Labels mark whole documents. So all sentences of documents that are not toxic are
 clean examples, and of a toxic document the sentence with the largest margin is the
 toxic example, chosen anew ``CHOICES`` times. ``COPIES`` sentences of one landmark are
-toxic examples too, most of them broken by a character put in. The machine is fitted on
+toxic examples too, most of them broken by a character put in, doubled or left out. The machine is fitted on
 at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` other labelled rows of at most
 ``FIT_CHARS`` characters, in the order of a hash of their id; scoring covers every word
 of every text.
@@ -42,11 +42,15 @@ from pyspark.sql import functions as F
 from . import shared
 
 GAPS, DECAY = 2, 0.5
-#: Kernels at which a word begins to count as alike, and counts in full; and as nearly equal.
-RAMPS = ((0.55, 0.65), (0.7, 1.0))
-FLOOR = RAMPS[0][0]
+#: Kernels at which a word begins to count as alike, and counts in full; and as nearly equal. Which of these is used is found by
+#: cross-validation over the rows that are learned from: the one that finds most while it calls at most ``FALSE`` more of the clean texts toxic
+#: than the narrowest does (which labels that are wrong make it do).
+Ramps = tuple[tuple[float, float], tuple[float, float]]
+RAMPS: tuple[Ramps, ...] = (((0.5, 0.6), (0.7, 1.0)), ((0.52, 0.65), (0.7, 1.0)), ((0.55, 0.65), (0.7, 1.0)), ((0.7, 0.85), (0.8, 1.0)))
+FOLDS, FALSE = 3, 0.002
+FLOOR = min(r[0][0] for r in RAMPS)
 LANDMARKS, FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 128, 2000, 4000, 200_000
-COPIES, INTACT, CHOICES = 4000, 0.25, 3
+COPIES, INTACT, OMITTED, CHOICES = 4000, 0.25, 0.35, 3
 BREAKS = "-*._"
 #: A sentence of clean documents that occurs more often counts so many times.
 OFTEN = 50
@@ -216,16 +220,16 @@ class Landmarks:
         return out
 
 
-def ramps(kernels: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.clip((kernels - a) / (b - a), 0, 1) for a, b in RAMPS], axis=-1)
+def climbed(kernels: np.ndarray, ramps: Ramps) -> np.ndarray:
+    return np.concatenate([np.clip((kernels - a) / (b - a), 0, 1) for a, b in ramps], axis=-1)
 
 
-def largest(sentences: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+def largest(sentences: list[np.ndarray], weights: np.ndarray, ramps: Ramps) -> np.ndarray:
     """Of each text's sentences the largest margin above that of a sentence without near words, 0 at least."""
     n = np.array([len(x) for x in sentences], np.int64)
     out = np.zeros(len(n))
     if n.sum():
-        own = ramps(np.concatenate([x for x in sentences if len(x)]).astype(np.float64)) @ weights
+        own = climbed(np.concatenate([x for x in sentences if len(x)]).astype(np.float64), ramps) @ weights
         full = np.flatnonzero(n)
         out[full] = np.maximum(0, np.maximum.reduceat(own, (np.cumsum(n) - n)[full]))
     return out
@@ -238,9 +242,10 @@ class Model:
     bias: float
     slope: float
     shift: float
+    ramps: Ramps = RAMPS[0]
 
     def score(self, sentences: list[np.ndarray]) -> np.ndarray:
-        margin = largest(sentences, self.weights) + self.bias if len(self.landmarks) else np.full(len(sentences), self.bias)
+        margin = largest(sentences, self.weights, self.ramps) + self.bias if len(self.landmarks) else np.full(len(sentences), self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
 
 
@@ -278,8 +283,11 @@ def curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def broken(word: str, rng: np.random.Generator) -> str:
-    """The word with a character put in, or one doubled."""
+    """The word with a character put in, one doubled, or one left out."""
     i = int(rng.integers(1, len(word)))
+    if len(word) > 3 and rng.random() < OMITTED:
+        i = int(rng.integers(1, len(word) - 1))
+        return word[:i] + word[i + 1 :]
     return word[:i] + [*BREAKS, word[i]][int(rng.integers(len(BREAKS) + 1))] + word[i:]
 
 
@@ -288,37 +296,69 @@ def constant(share: float) -> Model:
     return Model([], np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
 
 
-def train(landmarks: list[str], sentences: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, rounds: int = 1500) -> Model:
-    """From each labelled text's sentences (kernels with the landmarks, a row each)."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    if not landmarks or share in (0.0, 1.0):
-        return constant(share)
-    none, rng = np.zeros((1, len(landmarks))), np.random.default_rng(1)
+def copied(landmarks: list[str], bad: list[np.ndarray], n: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Sentences of one landmark, most of them broken; a landmark is drawn as often as toxic texts hold it."""
+    held = np.sum([(x > 0.999).any(axis=0) for x in bad], axis=0).astype(float) if bad else np.zeros(len(landmarks))
+    if not held.any():
+        return []
+    drawn = [landmarks[j] for j in rng.choice(len(landmarks), n, p=held / held.sum())]
+    none = np.zeros((1, len(landmarks)))
+    return [x if len(x) else none for x in Landmarks(landmarks).of([w if rng.random() < INTACT else broken(w, rng) for w in drawn])]
+
+
+def fitted(landmarks: list[str], sentences: list[np.ndarray], labels: np.ndarray, copies: list[np.ndarray], ramps: Ramps, penalty: float, rounds: int, choices: int) -> Model:
+    none = np.zeros((1, len(landmarks)))
     bad = [x if len(x) else none for x, y in zip(sentences, labels) if y > 0]
     clean = np.concatenate([none, *[x for x, y in zip(sentences, labels) if y <= 0]])
     times = np.ones(len(clean))
     times[0] += sum(not len(x) for x, y in zip(sentences, labels) if y <= 0)
     clean, back = np.unique(np.round(clean, 3), axis=0, return_inverse=True)
     times = np.minimum(np.bincount(back.ravel(), times), OFTEN)
-    # copies: a landmark is drawn as often as toxic texts hold it
-    held = np.sum([(x > 0.999).any(axis=0) for x in bad], axis=0).astype(float)
-    copies = []
-    if held.any():
-        drawn = [landmarks[j] for j in rng.choice(len(landmarks), COPIES, p=held / held.sum())]
-        copies = Landmarks(landmarks).of([w if rng.random() < INTACT else broken(w, rng) for w in drawn])
-    more = ramps(np.concatenate([x if len(x) else none for x in copies])) if copies else np.zeros((0, len(RAMPS) * len(landmarks)))
-    map_ = np.kron(np.eye(len(RAMPS)), whiten(landmarks))
+    more = climbed(np.concatenate(copies), ramps) if copies else np.zeros((0, len(ramps) * len(landmarks)))
+    map_ = np.kron(np.eye(len(ramps)), whiten(landmarks))
     weight = np.concatenate([times, np.ones(len(bad)), np.full(len(more), len(bad) / max(1, len(more)))])
     y = np.concatenate([-np.ones(len(clean)), np.ones(len(bad) + len(more))])
     chosen = np.stack([x[np.argmax(x.max(axis=1))] for x in bad])
-    for _ in range(CHOICES):
-        w = machine(np.vstack([ramps(clean), ramps(chosen), more]) @ map_, y, weight, penalty, rounds)
+    for _ in range(choices):
+        w = machine(np.vstack([climbed(clean, ramps), climbed(chosen, ramps), more]) @ map_, y, weight, penalty, rounds)
         own = map_ @ w[:-1]
-        chosen = np.stack([x[np.argmax(ramps(x) @ own)] for x in bad])
-    margin = np.concatenate([largest(sentences, own), np.maximum(0, more @ own)]) + w[-1]
+        chosen = np.stack([x[np.argmax(climbed(x, ramps) @ own)] for x in bad])
+    margin = np.concatenate([largest(sentences, own, ramps), np.maximum(0, more @ own)]) + w[-1]
     of_rows = np.concatenate([np.ones(len(labels)), np.full(len(more), len(bad) / max(1, len(more)))])
     a, b = curve(margin, np.concatenate([np.where(labels > 0, 1, -1), np.ones(len(more))]), of_rows)
-    return Model(landmarks, own, float(w[-1]), a, b)
+    return Model(landmarks, own, float(w[-1]), a, b, ramps)
+
+
+def best_ramps(landmarks: list[str], sentences: list[np.ndarray], labels: np.ndarray, copies: list[np.ndarray], penalty: float) -> Ramps:
+    """By cross-validation over the labelled rows (folds by their kernels, so that copies of a text are in one) and the copies: of the
+    ramps that call at most ``FALSE`` more of clean rows toxic than the last does, that which misses least."""
+    fold = np.array([zlib.crc32(np.ascontiguousarray(x).tobytes()) % FOLDS if len(x) else k % FOLDS for k, x in enumerate(sentences)])
+    found = []
+    for ramps in RAMPS:
+        false = missed = 0
+        for f in range(FOLDS):
+            rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if not 0 < labels[rest].mean() < 1:
+                continue
+            model = fitted(landmarks, [sentences[i] for i in rest], labels[rest], [c for k, c in enumerate(copies) if k % FOLDS != f], ramps, penalty, 300, 1)
+            called = model.score([sentences[i] for i in own]) >= 0.5
+            false += int((called & (labels[own] <= 0)).sum())
+            some = copies[f::FOLDS]
+            missed += int((~called & (labels[own] > 0)).sum()) + (float((model.score(some) < 0.5).mean()) * (labels > 0).sum() / FOLDS if some else 0)
+        found.append((false / max(1, (labels <= 0).sum()), missed))
+    allowed = [(missed, k) for k, (false, missed) in enumerate(found) if false <= found[-1][0] + FALSE]
+    return RAMPS[min(allowed)[1]]
+
+
+def train(landmarks: list[str], sentences: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, rounds: int = 1500) -> Model:
+    """From each labelled text's sentences (kernels with the landmarks, a row each)."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    if not landmarks or share in (0.0, 1.0):
+        return constant(share)
+    rng = np.random.default_rng(1)
+    copies = copied(landmarks, [x for x, y in zip(sentences, labels) if y > 0 and len(x)], COPIES, rng)
+    ramps = best_ramps(landmarks, sentences, labels, copies, penalty)
+    return fitted(landmarks, sentences, labels, copies, ramps, penalty, rounds, CHOICES)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:

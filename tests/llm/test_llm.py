@@ -779,7 +779,7 @@ def spelled_score(text, model):
     best = 0.0
     for g in groups:
         k = [max(column) for column in zip(*map(near, g))] if g else [0.0] * len(marks)
-        x = [min(max((v - a) / (b - a), 0), 1) for a, b in toxicity.RAMPS for v in k]
+        x = [min(max((v - a) / (b - a), 0), 1) for a, b in model.ramps for v in k]
         best = max(best, sum(p * q for p, q in zip(x, model.weights)))
     return 1 / (1 + math.exp(-(model.slope * (best + model.bias) + model.shift)))
 
