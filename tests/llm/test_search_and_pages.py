@@ -195,6 +195,7 @@ def text_of(html):
         ("<script>var t='</p>';</script><style>p{}</style><title>t</title><p>a<!-- b --></p><script>", "a"), ("<article>a</article><p>b", "a"), ("<main>m<nav>n</nav></main><p>b", "m"),
         ("<ul><li>one<li>two</ul>", "one\n\ntwo"), ("<p>a</p><footer>f</footer><aside>s</aside><form>x</form>", "a"), ("<div class='post-sidebar'>s</div><div class=content>a</div>", "a"),
         ("<article><header><h1>T</h1></header><p>a</p><div id=comments><article class=comment>c</article></div></article>", "T\n\na"), ("<body class=has-sidebar><p>a", "a"),
+        ("<div class='content-with-sidebar'><p>a</p><div class=sidebar>s</div></div>", "a"), ("<article><header class='entry-header'><h1>T</h1></header><p class=notice>n</p>a</article>", "T\n\na"), ("<div class=promo><article>a<nav>n</nav></article></div>", "a"),
         ("<p title='>'>a</p><p title=\">b", ""), ("<div hidden>h</div><div style='display: none'>i</div>v", "v"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"), ("<p>a</p", "a"),
     ],
 )
