@@ -151,6 +151,12 @@ def inter_items(annotations: DataFrame, support: DataFrame) -> DataFrame:
     return best.select("image_id", "b.category_id", "b.support_image_id", "b.n_gt")
 
 
+def named(items: DataFrame, classes: DataFrame) -> DataFrame:
+    """Items with their category's class_name (from category_id, class_name); the id as text where it has none. Categories are few: a row a class."""
+    names = classes.groupBy("category_id").agg(F.min("class_name").alias("class_name"))
+    return items.join(names, "category_id", "left").withColumn("class_name", F.coalesce("class_name", F.col("category_id").cast("string")))
+
+
 def largest_exemplar(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """Per category the image of largest area (the least id of equals) that holds it, and its largest instance there."""
     best = F.max_by(F.struct("image_id", "ann_id"), F.struct("pixels", -F.col("image_id"), "area", -F.col("ann_id")))

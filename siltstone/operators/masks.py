@@ -65,6 +65,16 @@ def covered(runs: DataFrame, region: DataFrame, key: str) -> DataFrame:
     return both.groupBy("image_id", key).agg(F.sum(F.least("b", "xe") - F.greatest("a", "xs")).alias("covered"))
 
 
+def on_grid(runs: DataFrame, key: str, images: DataFrame, rows: int, cols: int) -> DataFrame:
+    """image_id, key, r, c: the cells of a grid over each image (image_id, height, width) whose centre's pixel a mask holds. A grid row meets
+    the runs of one pixel row, by equality."""
+    at = lambda i, side, n: F.least(F.floor((i + 0.5) * F.col(side) / n), F.col(side) - 1)
+    lines = images.select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).withColumn("y", at(F.col("r"), "height", rows))
+    met = runs.select("image_id", key, "y", "xs", "xe").join(lines, ["image_id", "y"])
+    cells = met.select("image_id", key, "r", "xs", "xe", "width", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c")).withColumn("x", at(F.col("c"), "width", cols)).filter("x >= xs AND x < xe")
+    return cells.select("image_id", key, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
+
+
 def union_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     """image_id, iou of the two unions."""
     a, b = union(left), union(right)

@@ -80,6 +80,11 @@ def standardized(patches: DataFrame) -> DataFrame:
     return patches.join(per, "image_id").withColumn("feat", z).withColumn("feat", a.l2_normalize(F.col("feat"))).drop("p")
 
 
+def stacked(patches: DataFrame, cells: DataFrame) -> DataFrame:
+    """The patches (image_id, r, c, ...) that any of the masks' ``cells`` (image_id, r, c) covers, each once however many do."""
+    return patches.join(cells.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_semi")
+
+
 def top_exemplars(sims: DataFrame, k: int) -> DataFrame:
     """Per patch its k most similar exemplars (the lower id of equals), k at least 1: patch_id, ex_id, s, rank."""
     rank = F.row_number().over(W.partitionBy("patch_id").orderBy(F.desc("s"), "ex_id")).cast("long")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import suppress
 from ..operators.graph import written
 from ..session import ship
 from . import strategies as st
@@ -257,13 +258,21 @@ def search_squares(scenes: DataFrame, target: int, categories: int = 2, settings
 
 
 @st.register(st.METHODS, "search")
-def search_method(target: int = 1, categories: int = 2, merge: str = "nms", **settings):
-    """scenes -> detections (image_id, det_id, box, score) after the merge rule."""
+def search_method(target: int = 1, categories: int = 2, merge: str = "nms", by: str = "boxes", drop: bool = False, join: bool = False, gap: int = 1, **settings):
+    """scenes -> detections (image_id, det_id, box, score) after the merge rule, which compares crops, or ``by`` masks what they hold;
+    ``drop`` and ``join`` are those of suppress.merge_chain. Joined ones have their union's box and no cells."""
+    if by not in ("boxes", "masks"):
+        raise ValueError(f"detections are merged by boxes or masks, not {by!r}")
     own = st.Settings(**{"where": "bank", "grouping": "cc"} | settings)
 
     def run(scenes: DataFrame) -> DataFrame:
         found, _ = search_squares(scenes, target, categories, own)
-        kept = st.build_merge(merge)(found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score"))
-        return found.join(kept.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+        if by == "boxes" and not drop and not join:
+            kept = st.build_merge(merge)(found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score"))
+            return found.join(kept.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+        sizes = scenes.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
+        dets = found.select("image_id", "det_id", "y0", "y1", "x0", "x1", "score", F.struct("y0", "y1", "x0", "x1").alias("crop")).join(sizes, "image_id")
+        kept = suppress.merge_chain(dets, merge, drop, join, gap, written(mask_runs(found), "mask-runs") if by == "masks" else None)
+        return kept if join else found.join(kept.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
 
     return run

@@ -734,7 +734,11 @@ def _(s, d):
     return clustering.per_image(fx.patches(s, d), lambda x, r, c: clustering.average_linkage(x, 0.3), "cluster")
 
 
-@query("farthest_points")
+@query("farthest_points", """WITH u AS (SELECT image_id, patch_id, row_number() OVER (PARTITION BY image_id ORDER BY r, c) AS i, feat, sqrt(list_dot_product(feat, feat)) + 1e-8 AS n FROM patches),
+d AS (SELECT a.image_id, a.i AS a, b.i AS b, 1 - list_dot_product(a.feat, b.feat) / (a.n * b.n) AS v FROM u a JOIN u b USING (image_id)),
+w AS (SELECT DISTINCT image_id, 1 AS k, [1::BIGINT] AS chosen FROM u UNION ALL SELECT image_id, k + 1, list_append(chosen, arg_max(i, near)) FROM (
+  SELECT w.image_id, w.k, w.chosen, d.b AS i, min(d.v) AS near FROM w JOIN d ON d.image_id = w.image_id AND list_contains(w.chosen, d.a) WHERE w.k < 10 GROUP BY w.image_id, w.k, w.chosen, d.b) GROUP BY image_id, k, chosen),
+f AS (SELECT image_id, arg_max(chosen, k) AS chosen FROM w GROUP BY image_id) SELECT image_id, patch_id, coalesce(list_position(chosen, i), 0)::BIGINT AS rank FROM u JOIN f USING (image_id)""", "patches", recursive=True)
 def _(s, d):
     def order(x, r, c):
         import numpy as np

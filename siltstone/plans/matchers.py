@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import masks, reid, study, suppress, traces, vectors
+from ..operators import datasets, masks, reid, study, suppress, traces, vectors
 from ..operators.graph import fresh_path
 from ..sources import coco_split
 from ..sources import fixtures as fx
@@ -89,6 +89,14 @@ def _(s, d):
     return rows.select((F.col("i") + 1).cast("long").alias("i"), r6("x", "x"))
 
 
+@query("exemplar_stack", """SELECT DISTINCT p.image_id, p.r, p.c, round(feat[1], 6) AS first FROM patches p JOIN shapes s ON s.image_id = p.image_id AND s.det_id % 4 = 0 AND s.y = least(floor((p.r + 0.5) * 135 / 10)::BIGINT, 134) AND floor((p.c + 0.5) * 127 / 10) >= s.xs AND floor((p.c + 0.5) * 127 / 10) < s.xe""", "patches", "shapes")
+def _(s, d):
+    patches = fx.patches(s, d)
+    images = patches.select("image_id").distinct().select("image_id", F.lit(135).cast("long").alias("height"), F.lit(127).cast("long").alias("width"))
+    cells = masks.on_grid(fx.shapes(s, d).filter("det_id % 4 = 0"), "det_id", images, 10, 10)
+    return vectors.stacked(patches, cells).select("image_id", "r", "c", r6(F.element_at("feat", 1), "first"))
+
+
 _INSIDE = "r BETWEEN 3 AND 6 AND c BETWEEN 3 AND 6"
 
 
@@ -176,6 +184,16 @@ def _(s, d):
 
 # --- sources
 
+@query("named_items", """WITH c AS (SELECT image_id, category_id, count(*) AS n FROM annotations GROUP BY image_id, category_id QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, category_id) = 1)
+SELECT image_id, category_id, n AS n_gt, CASE WHEN category_id <= 5 THEN n_name ELSE category_id::VARCHAR END AS class_name FROM c LEFT JOIN nation ON n_nationkey = category_id""", "annotations")
+def _(s, d):
+    """Each image's most frequent category, by name where it has one: nations stand in for the names of categories up to 5."""
+    classes = fx.table(s, d, "nation").filter("n_nationkey <= 5").select(F.col("n_nationkey").cast("long").alias("category_id"), F.col("n_name").alias("class_name"))
+    per = fx.annotations(s, d).groupBy("image_id", "category_id").agg(F.count("*").alias("n_gt"))
+    best = per.groupBy("image_id").agg(F.max_by(F.struct("category_id", "n_gt"), F.struct("n_gt", -F.col("category_id"))).alias("b")).select("image_id", "b.category_id", "b.n_gt")
+    return datasets.named(best, classes).select("image_id", "category_id", "n_gt", "class_name")
+
+
 @query("coco_split_scan", "SELECT i.image_id::VARCHAR AS image_id, height, width, i.image_id::VARCHAR || '{\"}.jpg' AS file_name, count(ann_id) AS n, sum(area) AS area FROM images i LEFT JOIN annotations USING (image_id) GROUP BY ALL", "images", "annotations")
 def _(s, d):
     """The tables written as COCO-style documents, and read back in pieces of 64 kB."""

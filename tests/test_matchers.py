@@ -253,6 +253,32 @@ def test_dataset_files(spark, tmp_path):
     assert [(r.image_id, r.place, r.part) for r in rows] == [*[("0", k, "unlabelled") for k in range(3)], ("6", 0, "train"), ("6", 1, "val")]
 
 
+def test_a_search_is_merged_by_its_masks(spark):
+    rows = [(1, k, 1, 128, 128, *b) for k, b in enumerate([(20, 40, 20, 40), (80, 110, 70, 100)])]
+    scenes = spark.createDataFrame(rows, "image_id long, ann_id long, category_id long, height long, width long, y0 long, y1 long, x0 long, x1 long")
+    for more, n in (({}, 2), ({"by": "masks"}, 2), ({"by": "masks", "join": True}, 2), ({"by": "masks", "drop": True}, 0)):  # each square reaches the edges of its crop
+        found = st.build_method({"method": {"target": 1, "merge": "nms"} | more})(scenes)
+        assert found.count() == n and ("cells" in found.columns) == ("join" not in more)
+    with pytest.raises(ValueError):
+        st.build_method({"method": {"by": "colour"}})
+
+
+def test_masks_on_cells_give_each_patch_once(spark):
+    art = np.zeros((2, 30, 20), bool)
+    art[0, 3:17, 2:11], art[1, 10:30, 8:20] = True, True
+    rows = [(1, k, int(y), int(x), int(x) + 1) for k in range(2) for y, x in zip(*np.nonzero(art[k]))]
+    images = spark.createDataFrame([(1, 30, 20)], "image_id long, height long, width long")
+    cells = masks.on_grid(spark.createDataFrame(rows, "image_id long, det_id long, y long, xs long, xe long"), "det_id", images, 7, 5)
+    for k in range(2):
+        grid = np.zeros((7, 5), bool)
+        for r in cells.filter(F.col("det_id") == k).collect():
+            grid[r.r, r.c] = True
+        assert (grid == st.on_grid(art[k], (7, 5))).all()
+    patches = spark.createDataFrame([(1, r, c) for r in range(7) for c in range(5)], "image_id long, r long, c long")
+    got = vectors.stacked(patches, cells)
+    assert got.count() == got.distinct().count() == (st.on_grid(art[0], (7, 5)) | st.on_grid(art[1], (7, 5))).sum()
+
+
 def test_grids_of_any_size_are_packed():
     m = np.random.default_rng(0).random((300, 257)) < 0.5
     assert (cascade.unpacked(cascade.packed(m)) == m).all()
