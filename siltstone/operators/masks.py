@@ -1,4 +1,4 @@
-"""Masks as run-length rows: (image_id, <id>, y, xs, xe), half-open. Overlaps are interval joins by row."""
+"""Masks as run-length rows: (image_id, <id>, y, xs, xe), half-open. Overlaps are measured on packed runs (see packs)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import packs
 
 
 def box_runs(boxes: DataFrame, key: str) -> DataFrame:
@@ -21,33 +22,18 @@ def tight_boxes(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy("image_id", key).agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("xs").alias("x0"), F.max("xe").alias("x1"))
 
 
-def shared_runs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """image_id, a, b, shared: the pixels that a run of one mask and a run of another have in common. Masks are paired by their
-    tight boxes first (on tiles), so a crowded row does not pair all of its runs."""
-    from .matching import tiled_overlaps
-
-    near = tiled_overlaps(tight_boxes(left, a), tight_boxes(right, b), a, b).select("image_id", a, b, F.greatest("l_y0", "r_y0").alias("top"), F.least("l_y1", "r_y1").alias("end"))
-    own = left.select("image_id", a, "y", F.col("xs").alias("xs_a"), F.col("xe").alias("xe_a")).join(near, ["image_id", a]).filter("y >= top AND y < end")
-    both = own.join(right.select("image_id", b, "y", "xs", "xe"), ["image_id", b, "y"]).filter("xs_a < xe AND xs < xe_a")
-    return both.select("image_id", a, b, (F.least("xe_a", "xe") - F.greatest("xs_a", "xs")).alias("shared"))
-
-
 def overlaps(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """image_id, a, b, inter, area_a, area_b, iou, containment of the mask pairs that share a pixel."""
-    inter = shared_runs(left, right, a, b).groupBy("image_id", a, b).agg(F.sum("shared").alias("inter"))
-    return _measured(inter, left, right, a, b)
+    return _measured(packs.overlapping(left, right, a, b), a, b)
 
 
-def _measured(inter: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    sized = inter.join(areas(left, a).withColumnRenamed("area", "area_a"), ["image_id", a]).join(areas(right, b).withColumnRenamed("area", "area_b"), ["image_id", b])
-    return sized.select("image_id", a, b, "inter", "area_a", "area_b", g.ratio(F.col("inter"), F.col("area_a") + F.col("area_b") - F.col("inter")).alias("iou"), g.ratio(F.col("inter"), F.least("area_a", "area_b")).alias("containment"))
+def _measured(sized: DataFrame, a: str, b: str) -> DataFrame:
+    return sized.select("image_id", F.col("a").alias(a), F.col("b").alias(b), "inter", "area_a", "area_b", g.ratio(F.col("inter"), F.col("area_a") + F.col("area_b") - F.col("inter")).alias("iou"), g.ratio(F.col("inter"), F.least("area_a", "area_b")).alias("containment"))
 
 
 def self_overlaps(runs: DataFrame, key: str) -> DataFrame:
     """As overlaps, of the masks of one table with each other: image_id, a, b with a < b, each pair once."""
-    left, right = runs.withColumnRenamed(key, "a"), runs.withColumnRenamed(key, "b")
-    inter = shared_runs(left, right, "a", "b").filter("a < b").groupBy("image_id", "a", "b").agg(F.sum("shared").alias("inter"))
-    return _measured(inter, left, right, "a", "b")
+    return _measured(packs.overlapping(runs, None, key), "a", "b")
 
 
 def union(runs: DataFrame, *by: str) -> DataFrame:
@@ -60,9 +46,9 @@ def union(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def covered(runs: DataFrame, region: DataFrame, key: str) -> DataFrame:
-    """image_id, key, covered: the pixels of each mask that lie in its image's region (disjoint runs image_id, y, xs, xe); masks with none are left out."""
-    both = runs.select("image_id", key, "y", F.col("xs").alias("a"), F.col("xe").alias("b")).join(region.select("image_id", "y", "xs", "xe"), ["image_id", "y"]).filter("a < xe AND xs < b")
-    return both.groupBy("image_id", key).agg(F.sum(F.least("b", "xe") - F.greatest("a", "xs")).alias("covered"))
+    """image_id, key, covered: the pixels of each mask that lie in its image's region (the union of the runs image_id, y, xs, xe); masks with none are left out."""
+    whole = region.select("image_id", F.lit(0).cast(dict(runs.dtypes)[key]).alias("none"), "y", "xs", "xe")
+    return packs.overlapping(runs, whole, key, "none", united=True).select("image_id", F.col("a").alias(key), F.col("inter").alias("covered"))
 
 
 def on_grid(runs: DataFrame, key: str, images: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -77,11 +63,8 @@ def on_grid(runs: DataFrame, key: str, images: DataFrame, rows: int, cols: int)
 
 def union_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     """image_id, iou of the two unions."""
-    a, b = union(left), union(right)
-    size = lambda x, n: x.groupBy("image_id").agg(F.sum(F.col("xe") - F.col("xs")).alias(n))
-    both = size(union(left.select("image_id", "y", "xs", "xe").unionByName(right.select("image_id", "y", "xs", "xe"))), "u")
-    sizes = both.join(size(a, "a"), "image_id", "left").join(size(b, "b"), "image_id", "left").na.fill(0)
-    return sizes.select("image_id", g.ratio(F.col("a") + F.col("b") - F.col("u"), F.col("u")).alias("iou"))
+    sizes = packs.union_sizes(left, right)
+    return sizes.select("image_id", g.ratio(F.col("size_a") + F.col("size_b") - F.col("size"), F.col("size")).alias("iou"))
 
 
 def shift_into(runs: DataFrame, key: str, y0: int, x0: int, height: int, width: int, least: int = 1) -> DataFrame:

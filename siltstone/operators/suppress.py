@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import masks
+from . import masks, packs
 from .graph import components, written
 from .matching import tiled_overlaps
 
@@ -127,7 +127,7 @@ def mask_fragment_pairs(runs: DataFrame, partial: DataFrame, gap: int) -> DataFr
     at least is in ``partial`` (image_id, det_id)."""
     own = runs.join(partial.select("image_id", "det_id").distinct(), ["image_id", "det_id"], "left_semi")
     wide = own.select("image_id", "det_id", F.explode(F.sequence(F.col("y") - gap, F.col("y") + gap)).alias("y"), (F.col("xs") - gap).alias("xs"), (F.col("xe") + gap).alias("xe"))
-    near = masks.shared_runs(wide.withColumnRenamed("det_id", "a"), runs.withColumnRenamed("det_id", "b"), "a", "b").filter("a <> b")
+    near = packs.overlapping(wide, runs, "det_id", "det_id").filter("a <> b")
     return near.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -1,10 +1,11 @@
 """Tables that grow with the data: no side of their joins is sent to the driver, and what is shuffled stays small."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import traces
+from siltstone.operators import masks, packs, suppress, traces
 
 
 def broadcasts(df) -> int:
@@ -27,3 +28,66 @@ def test_traces_send_no_table_to_the_driver(spark, tmp_path):
     for df in (traces.paths(t), traces.ended_paths(t), traces.terminal_chains(t), traces.survivors(t, 0.5)):
         assert broadcasts(df) == 0 and df.count() > 0
     assert sorted(len(r.path) for r in traces.leaf_paths(t).collect()) == [5] * 16
+
+
+def scattered_masks(seed):
+    """Masks of up to three runs a line, their rows in no order: {(image, id): set of pixels} and the rows."""
+    rng = random.Random(seed)
+    pixels, rows = {}, []
+    for image in range(4):
+        for mask in range(12):
+            y0, x0 = rng.randrange(-5, 300), rng.randrange(-200, 200)
+            own = []
+            for y in range(y0, y0 + rng.randrange(1, 40)):
+                at = x0
+                for _ in range(rng.choice([1, 1, 1, 0, 3]) if mask % 3 else 1):
+                    at += rng.randrange(0, 150)
+                    end = at + rng.randrange(1, 90)
+                    own.append((image, mask, y, at, end))
+                    at = end
+            if own:
+                pixels[image, mask] = {(y, x) for *_, y, a, b in own for x in range(a, b)}
+                rows += own
+    rng.shuffle(rows)
+    return pixels, rows
+
+
+def test_packed_masks_share_what_pixels_share(spark):
+    pixels, rows = scattered_masks(3)
+    runs = spark.createDataFrame(rows, "image_id long, det_id long, y long, xs long, xe long").repartition(3)
+    got = {(r.image_id, r.a, r.b): (r.inter, r.area_a, r.area_b) for r in packs.overlapping(runs, None, "det_id").collect()}
+    want = {(i, a, b): (len(p & q), len(p), len(q)) for (i, a), p in pixels.items() for (j, b), q in pixels.items() if i == j and a < b and p & q}
+    assert got == want and len(want) > 20
+    odd, even = runs.filter("det_id % 2 = 1"), runs.filter("det_id % 2 = 0")
+    union = lambda image, rest: set().union(*[p for (i, m), p in pixels.items() if i == image and m % 2 == rest])
+    got = {(r.image_id, r.det_id): r.covered for r in masks.covered(odd, even, "det_id").collect()}
+    assert got == {k: len(p & union(k[0], 0)) for k, p in pixels.items() if k[1] % 2 and p & union(k[0], 0)}
+    got = {r.image_id: (r.size_a, r.size_b, r["size"]) for r in packs.union_sizes(odd, even).collect()}
+    assert got == {i: (len(union(i, 1)), len(union(i, 0)), len(union(i, 1) | union(i, 0))) for i in range(4)}
+
+
+def test_packed_masks_in_small_pieces(monkeypatch):
+    """Few images, candidates and lines at a time give the same as all at once."""
+    import pyarrow as pa
+
+    _, rows = scattered_masks(5)
+    rows.sort()
+    cols = [pa.array(c, t) for c, t in zip(([r[0] for r in rows], [0] * len(rows), [r[1] for r in rows], *[[r[i] for r in rows] for i in (2, 3, 4)]), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
+    whole = pa.RecordBatch.from_arrays(cols, ["image_id", "side", "id", "y", "xs", "xe"])
+
+    def found(size):
+        parts = [whole.slice(at, size) for at in range(0, len(rows), size)]
+        return sorted(tuple(r.values()) for b in packs._by_images(packs._pairs(False, False))(packs._pack(iter(parts))) for r in b.to_pylist())
+
+    want = found(len(rows))
+    for name, value in (("TOGETHER", 64), ("CANDIDATES", 3), ("LINES", 5)):
+        monkeypatch.setattr(packs, name, value)
+    assert found(7) == want and len(want) > 10
+
+
+def test_masks_are_shuffled_packed_and_once(spark, tmp_path):
+    boxes = spark.range(40).select((F.col("id") % 4).alias("image_id"), F.col("id").alias("det_id"), F.col("id").alias("y0"), (F.col("id") + 20).alias("y1"), F.lit(3).alias("x0"), F.lit(30).alias("x1"))
+    runs = masks.box_runs(stored(spark, tmp_path, boxes, "boxes"), "det_id")
+    for df in (suppress.mask_overlaps(runs), masks.overlaps(runs, runs.withColumnRenamed("det_id", "gt_id"), "det_id", "gt_id"), masks.union_iou(runs, runs), masks.covered(runs, runs, "det_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert broadcasts(df) == 0 and len(re.findall(r"Exchange hashpartitioning", plan)) == 1
