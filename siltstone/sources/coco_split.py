@@ -3,7 +3,7 @@
 A piece of a JSON text says little alone: it may begin in a string, and at any depth. So files are scanned first, piece by piece and in
 parallel: a piece reports whether it has an odd number of quotation marks, and how it changes the depth if it began outside of a
 string and if within one. Put in a row these few numbers give every piece's true beginning. A second scan finds where the document's
-arrays lie. Then ``CocoReader`` plans a partition a piece: it parses the objects that begin in its piece, and reads on to the
+arrays lie. Then ``CocoReader`` plans tasks of one piece or several small ones: it parses the objects that begin in a piece, and reads on to the
 end of the last one. Only the fields that are asked for are kept.
 """
 
@@ -28,6 +28,8 @@ from ..operators.datasets import file_name
 from ..session import ship
 
 SPLIT_BYTES = 32 << 20
+#: Pieces of fewer bytes share a task.
+TASK_BYTES = 8 << 20
 FIELDS = {
     "images": "id long, height int, width int, file_name string, coco_url string, flickr_url string, not_exhaustive_category_ids array<long>",
     "annotations": "id long, image_id long, category_id long, area double, iscrowd int, bbox array<double>, segmentation string",
@@ -88,6 +90,26 @@ class Piece(InputPartition):
     depth: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """What one task reads, a piece after the other."""
+
+    pieces: list[Piece]
+
+
+def bundled(pieces: list[Piece], least: int) -> list[Pieces]:
+    """Small pieces together, in order: no more tasks than ``least`` and one for every ``TASK_BYTES``."""
+    most = max(1, min(TASK_BYTES, sum(p.end - p.start for p in pieces) // max(1, least)))
+    out, size = [], most
+    for p in pieces:
+        if size >= most:
+            out.append(Pieces([]))
+            size = 0
+        out[-1].pieces.append(p)
+        size += p.end - p.start
+    return out
+
+
 def pieces(path: str, size: int, split: int) -> list[tuple[str, int, int]]:
     return [(path, at, min(size, at + split)) for at in range(0, size, split)]
 
@@ -151,9 +173,12 @@ def plan(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> dict[str,
     known = spark.createDataFrame(placed, "path string, start long, end long, quoted boolean, depth long").repartition(tasks)
     marks = sorted(known.mapInPandas(_arrays, "path string, at long, key string").collect(), key=lambda r: (r.path, r.at))
     out: dict[str, list[Piece]] = {}
+    of: dict[str, list[tuple]] = {}  # a file's pieces, so that an array does not look at those of all files
+    for x in placed:
+        of.setdefault(x[0], []).append(x)
     for begin, end in zip(marks[::2], marks[1::2]):
-        for p, start, stop, quoted, depth in placed:
-            if p == begin.path and start < end.at and stop > begin.at:
+        for p, start, stop, quoted, depth in of[begin.path]:
+            if start < end.at and stop > begin.at:
                 own = start > begin.at
                 out.setdefault(begin.key, []).append(Piece(p, start if own else begin.at, min(stop, end.at), quoted if own else False, depth if own else 2))
     return out
@@ -183,10 +208,10 @@ class CocoReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
 
-    def partitions(self) -> list[Piece]:
-        return [Piece(*p) for p in json.loads(self.options["plan"])]
+    def partitions(self) -> list[Pieces]:
+        return bundled([Piece(*p) for p in json.loads(self.options["plan"])], int(self.options["least"]))
 
-    def read(self, partition: Piece):
+    def read(self, partition: Pieces):
         arrow = to_arrow_schema(self.schema)
         kinds = {f.name: f.type for f in arrow}
 
@@ -199,19 +224,20 @@ class CocoReader(DataSourceReader):
             return float(v) if pa.types.is_floating(kinds[name]) else v
 
         rows = []
-        with open_bytes(partition.path) as f:
-            for text in objects(f, partition):
-                row = json.loads(text)
-                rows.append({n: value(row, n) for n in kinds})
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
+        for piece in partition.pieces:
+            with open_bytes(piece.path) as f:
+                for text in objects(f, piece):
+                    row = json.loads(text)
+                    rows.append({n: value(row, n) for n in kinds})
+                    if len(rows) >= 4096:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
 class CocoSource(DataSource):
-    """Format ``coco``: options table, columns (comma-separated, all without) and plan (see ``read``)."""
+    """Format ``coco``: options table, columns (comma-separated, all without) plan and least (see ``read`` and ``bundled``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -233,7 +259,7 @@ def read(spark: SparkSession, path: str, table: str, columns: list[str] | None =
     found = (plan(spark, path, split) if planned is None else planned).get(table, [])
     spark.dataSource.register(CocoSource)
     parts = json.dumps([[p.path, p.start, p.end, p.quoted, p.depth] for p in found])
-    return spark.read.format("coco").option("table", table).option("columns", ",".join(columns or ())).option("plan", parts).load()
+    return spark.read.format("coco").option("table", table).option("columns", ",".join(columns or ())).option("least", 4 * spark.sparkContext.defaultParallelism).option("plan", parts).load()
 
 
 def images(spark: SparkSession, path: str, planned: dict[str, list[Piece]] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from siltstone.operators import masks, packs, suppress, traces
+from siltstone.sources import coco_split
 
 
 def broadcasts(df) -> int:
@@ -91,3 +92,15 @@ def test_masks_are_shuffled_packed_and_once(spark, tmp_path):
     for df in (suppress.mask_overlaps(runs), masks.overlaps(runs, runs.withColumnRenamed("det_id", "gt_id"), "det_id", "gt_id"), masks.union_iou(runs, runs), masks.covered(runs, runs, "det_id")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert broadcasts(df) == 0 and len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_small_coco_pieces_share_tasks(spark, tmp_path):
+    images = spark.range(400).select(F.col("id").alias("image_id"), F.lit(5).alias("height"), F.lit(6).alias("width"))
+    ann = images.select("image_id", F.lit(1).cast("long").alias("ann_id"), F.lit(2).cast("long").alias("category_id"), F.lit(3.0).alias("area"))
+    folder = str(tmp_path / "coco")
+    coco_split.write_documents(images, ann, folder, 10)
+    planned = coco_split.plan(spark, folder, 64)
+    assert len(planned["annotations"]) > 200
+    found = coco_split.annotations(spark, folder, planned, ())
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    assert sorted(int(r.image_id) for r in found.collect()) == list(range(400))
