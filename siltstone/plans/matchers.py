@@ -85,7 +85,7 @@ def _(s, d):
 @query("minibatch_centre", "WITH l AS (SELECT unnest(feat) AS x, generate_subscripts(feat, 1) AS i FROM patches), m AS (SELECT i, avg(x) AS x FROM l GROUP BY 1) SELECT i::BIGINT AS i, round(x / ((SELECT sqrt(sum(x * x)) FROM m) + 1e-8), 6) AS x FROM m", "patches")
 def _(s, d):
     centre = reid.minibatch_kmeans(fx.patches(s, d), 1, epochs=1)  # steps of one centre over all batches end in the mean
-    rows = s.createDataFrame([(centre[0].tolist(),)], "c array<double>").select(F.posexplode("c").alias("i", "x"))
+    rows = s.createDataFrame([(c.tolist(),) for c in centre], "c array<double>").select(F.posexplode("c").alias("i", "x"))
     return rows.select((F.col("i") + 1).cast("long").alias("i"), r6("x", "x"))
 
 

@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from siltstone.operators import masks, packs, suppress, traces
+from siltstone.operators import masks, packs, reid, suppress, traces
+from siltstone.plans import catalog
 from siltstone.sources import coco_split
 
 
@@ -104,3 +106,29 @@ def test_small_coco_pieces_share_tasks(spark, tmp_path):
     found = coco_split.annotations(spark, folder, planned, ())
     assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
     assert sorted(int(r.image_id) for r in found.collect()) == list(range(400))
+
+
+def embeddings(spark, tmp_path, rows):
+    """A folder whose only table is ``rows`` vectors: grids of 100 cells, of which the last may lack some."""
+    rng = random.Random(4)
+    table = [(i, [rng.gauss(i % 7 == j, 0.5) for j in range(8)], i * 7 % 3) for i in range(rows)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(spark, name, folder):
+    """A query's rows, and its SQL's, over a folder of embeddings."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.SQL[name]})").fetchall()
+    plain = lambda rows: sorted(tuple(round(float(v), 6) for v in r) for r in rows)
+    return plain(df.collect()), plain(want)
+
+
+def test_tasks_without_rows_have_no_part_in_a_centre(spark, tmp_path):
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "patch_id long, feat array<double>").repartition(16)
+    assert len(reid.minibatch_kmeans(few, 1, epochs=1)) == 1
+    for rows in (5, 0):
+        got, want = by_sql(spark, "minibatch_centre", embeddings(spark, tmp_path / str(rows), rows))
+        assert got == want and len(got) == 8 * (rows > 0)
