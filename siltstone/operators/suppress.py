@@ -1,7 +1,7 @@
 """Suppression of repeated detections: hard, soft and directional, what is clipped, and fragments.
 
 Which detections overlap is found first, as a table of pairs: of boxes by tiles they share, of masks
-by runs they share (``box_overlaps``, ``mask_overlaps``). Greedy suppression is then a fold over an
+by runs they share (``box_pairs``, ``mask_pairs``). Greedy suppression is then a fold over an
 image's detections in order, each of which carries the ids of those before it that could rule it out.
 So a fold's length is the number of detections and overlaps of an image, not their product.
 ``merge_detections`` strings the rules together.
@@ -9,13 +9,15 @@ So a fold's length is the number of detections and overlaps of an image, not the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import masks, packs
-from .graph import components, written
+from .graph import components, sorted_side, written
 from .matching import tiled_overlaps
 
 _BOX = ["y0", "y1", "x0", "x1"]
@@ -23,57 +25,83 @@ _BOX = ["y0", "y1", "x0", "x1"]
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """image_id, det_id, other, inter, iou, containment, own of pairs (a, b, ..., area_a, area_b) that are there one way round."""
-    own = lambda area: (F.col("inter") / (F.col(area) + 1e-6)).alias("own")
-    ways = [F.struct(F.col(x).alias("det_id"), F.col(y).alias("other"), own(area)) for x, y, area in (("a", "b", "area_a"), ("b", "a", "area_b"))]
+    ways = [F.struct(F.col(x).alias("det_id"), F.col(y).alias("other"), _own(area).alias("own")) for x, y, area in (("a", "b", "area_a"), ("b", "a", "area_b"))]
     return pairs.select("image_id", "inter", "iou", "containment", F.explode(F.array(*ways)).alias("w")).select("image_id", "w.det_id", "w.other", "inter", "iou", "containment", "w.own")
 
 
-def box_overlaps(dets: DataFrame) -> DataFrame:
-    """image_id, det_id, other, inter, iou, containment, own (share of det_id's area) of overlapping boxes, both ways round.
-    A pair is joined and measured once."""
+def _own(area: str) -> Column:
+    return F.col("inter") / (F.col(area) + 1e-6)
+
+
+def box_pairs(dets: DataFrame) -> DataFrame:
+    """image_id, a, b (a < b), inter, area_a, area_b, iou, containment of overlapping boxes: a pair is joined and measured once."""
     a = dets.select("image_id", F.col("det_id").alias("a"), *_BOX)
     pairs = tiled_overlaps(a, a.withColumnRenamed("a", "b"), "a", "b").filter("a < b")
     x, y = g.box("l_"), g.box("r_")
     sized = pairs.select("image_id", "a", "b", g.intersection(x, y).alias("inter"), g.area(x).alias("area_a"), g.area(y).alias("area_b"))
     inter = F.col("inter")
-    return _both_ways(sized.select("*", g.ratio(inter, F.col("area_a") + F.col("area_b") - inter).alias("iou"), g.ratio(inter, F.least("area_a", "area_b")).alias("containment")))
+    return sized.select("*", g.ratio(inter, F.col("area_a") + F.col("area_b") - inter).alias("iou"), g.ratio(inter, F.least("area_a", "area_b")).alias("containment"))
+
+
+def mask_pairs(runs: DataFrame) -> DataFrame:
+    """As box_pairs, of masks given as runs (image_id, det_id, y, xs, xe)."""
+    return masks.self_overlaps(runs, "det_id")
+
+
+def box_overlaps(dets: DataFrame) -> DataFrame:
+    """image_id, det_id, other, inter, iou, containment, own (share of det_id's area) of overlapping boxes, both ways round."""
+    return _both_ways(box_pairs(dets))
 
 
 def mask_overlaps(runs: DataFrame) -> DataFrame:
     """As box_overlaps, of masks given as runs (image_id, det_id, y, xs, xe)."""
-    return _both_ways(masks.self_overlaps(runs, "det_id"))
+    return _both_ways(mask_pairs(runs))
+
+
+def _ordered(dets: DataFrame, pairs: DataFrame, hit: Callable[[Column], Column], what: Column, *more: Column) -> DataFrame:
+    """Per image its detections by falling score, then det_id (``d``), and ``near``: of each that is in pairs which ``hit`` (given det_id's own
+    share) lets through, ``what`` of all of them. A fold in that order knows of earlier ones only, so pairs need not be turned by rank.
+
+    Pairs (both ways round, or one way as of box_pairs) are shuffled once, by image and before they are turned round; lists are made where
+    an image's pairs have met."""
+    if "a" in pairs.columns:
+        own = pairs.select("image_id", "a", "b", hit(_own("area_a")).alias("ab"), hit(_own("area_b")).alias("ba"), *more).filter("ab OR ba").repartition("image_id")
+        ways = [F.struct(F.col(x).alias("det_id"), F.col(y).alias("other"), F.col(x + y).alias("hit")) for x, y in ("ab", "ba")]
+        own = own.withColumn("w", F.explode(F.array(*ways))).filter("w.hit").select("*", "w.det_id", "w.other")
+    else:
+        own = pairs.filter(hit(F.col("own"))).select("image_id", "det_id", "other", *more).repartition("image_id")
+    lists = own.groupBy("image_id", "det_id").agg(F.array_agg(what).alias("n"))
+    near = lists.groupBy("image_id").agg(F.map_from_entries(F.array_agg(F.struct("det_id", "n"))).alias("near"))
+    rows = dets.groupBy("image_id").agg(F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", "score"))).alias("d"))
+    return rows.join(sorted_side(near), "image_id", "left")
 
 
-def _ordered(dets: DataFrame, pairs: DataFrame, what: Column) -> DataFrame:
-    """Per image its detections by falling score, then det_id, each with ``n``: ``what`` of all in its pairs. A fold in that
-    order knows of earlier ones only, so pairs need not be turned by rank."""
-    near = pairs.groupBy("image_id", "det_id").agg(F.array_agg(what).alias("n"))
-    rows = F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", "score", "n")))
-    return dets.select("image_id", "det_id", "score").join(near, ["image_id", "det_id"], "left").groupBy("image_id").agg(rows.alias("d"))
+def _of(x: Column) -> Column:
+    return F.try_element_at("near", x["det_id"])
 
 
-def _greedy(dets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _greedy(dets: DataFrame, pairs: DataFrame, hit: Callable[[Column], Column]) -> DataFrame:
     """image_id, kept: det_ids of which no kept one is in a pair with an earlier kept one."""
     def step(kept: Column, x: Column) -> Column:
-        return F.when(F.coalesce(F.arrays_overlap(x["n"], kept), F.lit(False)), kept).otherwise(F.array_append(kept, x["det_id"]))
+        return F.when(F.coalesce(F.arrays_overlap(_of(x), kept), F.lit(False)), kept).otherwise(F.array_append(kept, x["det_id"]))
 
     none = F.slice(F.transform("d", lambda x: x["det_id"]), 1, 0)
-    return _ordered(dets, pairs, F.col("other")).select("image_id", F.aggregate("d", none, step).alias("kept"))
+    return _ordered(dets, pairs, hit, F.col("other")).select("image_id", F.aggregate("d", none, step).alias("kept"))
 
 
 def nms(dets: DataFrame, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
     """Kept detections (image_id, det_id): by falling score, then det_id, those that no kept one overlaps by
     at least ``iou``, or contains (or lies in) by at least ``contain`` of the smaller. 1 and 1 keep all but copies.
-    Overlaps are those of boxes unless ``pairs`` gives others."""
-    same = (box_overlaps(dets) if pairs is None else pairs).filter((F.col("iou") >= iou) | (F.col("containment") >= contain))
-    return _greedy(dets, same).select("image_id", F.explode("kept").alias("det_id"))
+    Overlaps are those of boxes unless ``pairs`` (one way round or both) gives others."""
+    same = (box_pairs(dets) if pairs is None else pairs).filter((F.col("iou") >= iou) | (F.col("containment") >= contain))
+    return _greedy(dets, same, lambda own: F.lit(True)).select("image_id", F.explode("kept").alias("det_id"))
 
 
 def suppress_directional(dets: DataFrame, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
     """As nms with strict bounds, containment by the detection's own area, and empty boxes dropped;
     ``rank`` is the place by score among the kept."""
-    same = (box_overlaps(dets) if pairs is None else pairs).filter((F.col("iou") > iou) | (F.col("own") > contain))
-    kept = _greedy(dets.filter(g.area(g.box()) > 0), same).select("image_id", F.posexplode("kept").alias("rank", "det_id"))
+    same = lambda own: (F.col("iou") > iou) | (own > contain)
+    kept = _greedy(dets.filter(g.area(g.box()) > 0), box_pairs(dets) if pairs is None else pairs, same).select("image_id", F.posexplode("kept").alias("rank", "det_id"))
     return kept.select("image_id", F.col("rank").cast("long").alias("rank"), "det_id")
 
 
@@ -83,15 +111,15 @@ def soft_nms(dets: DataFrame, sigma: float = 0.5, floor: float = 0.0, contain: f
     reach ``floor``. The order is that of the first scores."""
     o = F.greatest("iou", "containment")
     factor = F.when(F.col("containment") >= contain, 0.0).otherwise(F.exp(-(o * o) / max(sigma, 1e-9)))
-    near = (box_overlaps(dets) if pairs is None else pairs).withColumn("factor", factor)
 
     def step(kept: Column, x: Column) -> Column:
-        hit = F.filter(F.coalesce(x["n"], F.array()), lambda n: F.exists(kept, lambda k: k["det_id"] == n["other"]))
+        hit = F.filter(F.coalesce(_of(x), F.array()), lambda n: F.exists(kept, lambda k: k["det_id"] == n["other"]))
         s = F.aggregate(hit, x["score"].cast("double"), lambda a, n: a * n["factor"])
         return F.when(s >= floor, F.array_append(kept, F.struct(x["det_id"].alias("det_id"), s.alias("score")))).otherwise(kept)
 
     none = F.slice(F.transform("d", lambda x: F.struct(x["det_id"].alias("det_id"), x["score"].cast("double").alias("score"))), 1, 0)
-    kept = _ordered(dets, near, F.struct("other", "factor")).select("image_id", F.explode(F.aggregate("d", none, step)).alias("k"))
+    pairs = box_pairs(dets) if pairs is None else pairs
+    kept = _ordered(dets, pairs, lambda own: F.lit(True), F.struct("other", "factor"), factor.alias("factor")).select("image_id", F.explode(F.aggregate("d", none, step)).alias("k"))
     return kept.select("image_id", "k.det_id", "k.score")
 
 
@@ -205,7 +233,7 @@ def merge_chain(dets: DataFrame, rule: str = "nms", drop: bool = False, join: bo
         pairs = None if gt_runs is None or runs is None else masks.overlaps(runs, gt_runs, "det_id", "gt_id")
         left = oracle(dets, gt, pairs)
     else:
-        left = RULES[rule](dets, pairs=box_overlaps(dets) if runs is None else mask_overlaps(runs), **options)
+        left = RULES[rule](dets, pairs=box_pairs(dets) if runs is None else mask_pairs(runs), **options)
     if "score" in left.columns:
         dets = dets.drop("score")
     return dets.join(left, ["image_id", "det_id"]).select(*kept)

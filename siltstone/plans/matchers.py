@@ -24,12 +24,12 @@ _OVER_SHAPES = _OVER.format(runs="shapes")
 
 
 def _near(s, d):
-    return suppress.mask_overlaps(fx.shapes(s, d))
+    return suppress.mask_pairs(fx.shapes(s, d))
 
 
 @query("shape_overlaps", f"WITH {_OVER_SHAPES} SELECT image_id, det_id, other, inter::BIGINT AS inter, round(iou, 6) AS iou, round(con, 6) AS containment, round(own, 6) AS own FROM op WHERE iou >= 0.3", "shapes")
 def _(s, d):
-    return _near(s, d).filter("iou >= 0.3").select("image_id", "det_id", "other", "inter", *[r6(c, c) for c in ("iou", "containment", "own")])
+    return suppress.mask_overlaps(fx.shapes(s, d)).filter("iou >= 0.3").select("image_id", "det_id", "other", "inter", *[r6(c, c) for c in ("iou", "containment", "own")])
 
 
 @query("nms_shapes", f"WITH {_OVER_SHAPES}, {_FOLD.format(same='iou >= 0.5 OR con >= 0.8', dets='detections')} SELECT image_id, unnest(kept) AS det_id FROM f", "shapes", recursive=True)

@@ -137,3 +137,17 @@ def test_tasks_without_rows_have_no_part_in_a_centre(spark, tmp_path):
 def test_cells_that_a_grid_lacks_are_no_area(spark, tmp_path):
     got, want = by_sql(spark, "memory_matches", embeddings(spark, tmp_path, 356))
     assert got == want and {3.0} < {r[0] for r in got}
+
+
+def test_suppression_shuffles_pairs_once_and_one_way_round(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i % 3, i, y := rng.randrange(60), y + rng.randrange(5, 40), x := rng.randrange(60), x + rng.randrange(5, 40), float(rng.randrange(20))) for i in range(90)]
+    dets = stored(spark, tmp_path, spark.createDataFrame(rows, "image_id long, det_id long, y0 long, y1 long, x0 long, x1 long, score double"), "dets")
+    one, both = stored(spark, tmp_path, suppress.box_pairs(dets), "one"), stored(spark, tmp_path, suppress.box_overlaps(dets), "both")
+    assert 2 * one.count() == both.count()
+    for rule in (suppress.nms, suppress.suppress_directional, suppress.soft_nms):
+        found = [rule(dets, pairs=p) for p in (one, both, None)]
+        key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+        assert key(found[0]) == key(found[1]) == key(found[2])
+        plan = found[0]._jdf.queryExecution().executedPlan().toString()
+        assert broadcasts(found[0]) == 0 and len(re.findall(r"Exchange hashpartitioning", plan)) == 2
