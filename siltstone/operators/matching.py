@@ -44,24 +44,31 @@ def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 64, least: float = 0
     return pairs.filter(F.col("iou") >= least) if least > 0 else pairs
 
 
-def _in_order(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Per group, its detections by falling score, each with its candidates."""
-    own = pairs.groupBy(*by, "det_id", "score").agg(F.array_agg(F.struct("iou", "gt_id")).alias("c"))
-    return own.groupBy(*by).agg(F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", "c"))).alias("d"))
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Per image, its detections by falling score, each with its candidates. An image's pairs are shuffled once and listed where they meet."""
+    own = pairs.select("image_id", "det_id", "score", "gt_id", "iou").repartition("image_id").groupBy("image_id", "det_id", "score").agg(F.array_agg(F.struct("iou", "gt_id")).alias("c"))
+    return own.groupBy("image_id").agg(F.array_sort(F.array_agg(F.struct((-F.col("score")).alias("s"), "det_id", "score", "c"))).alias("d"))
 
 
-def greedy_match(pairs: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """One-to-one matches (by, det_id, gt_id, iou): detections by falling score, then det_id, take
-    the free ground truth of largest IoU (the last of equals) of at least the threshold."""
-    ordered = _in_order(pairs.filter(F.col("iou") >= threshold), list(by))
-    none = F.slice(F.transform("d", lambda d: F.struct(d["det_id"].alias("det_id"), d["c"][0]["gt_id"].alias("gt_id"), d["c"][0]["iou"].alias("iou"))), 1, 0)
+def matches_at(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """One-to-one matches (threshold, image_id, det_id, score, gt_id, iou) at each threshold: detections by falling score, then det_id,
+    take the free ground truth of largest IoU (the last of equals) of at least the threshold. The thresholds are folds over the same lists."""
+    ordered = _in_order(pairs.filter(F.col("iou") >= min(thresholds))).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    kept = lambda d, c: F.struct(d["det_id"].alias("det_id"), d["score"].alias("score"), c["gt_id"].alias("gt_id"), c["iou"].alias("iou"))
+    none = F.slice(F.transform("d", lambda d: kept(d, d["c"][0])), 1, 0)
 
     def take(done: Column, d: Column) -> Column:
-        best = F.array_max(F.filter(d["c"], lambda c: ~F.exists(done, lambda x: x["gt_id"] == c["gt_id"])))
-        return F.when(best.isNull(), done).otherwise(F.array_append(done, F.struct(d["det_id"].alias("det_id"), best["gt_id"].alias("gt_id"), best["iou"].alias("iou"))))
+        free = F.filter(d["c"], lambda c: (c["iou"] >= F.col("threshold")) & ~F.exists(done, lambda x: x["gt_id"] == c["gt_id"]))
+        best = F.array_max(free)
+        return F.when(best.isNull(), done).otherwise(F.array_append(done, kept(d, best)))
 
-    found = ordered.select(*by, F.explode(F.aggregate("d", none, take)).alias("m"))
-    return found.select(*by, "m.det_id", "m.gt_id", "m.iou")
+    found = ordered.select("threshold", "image_id", F.explode(F.aggregate("d", none, take)).alias("m"))
+    return found.select("threshold", "image_id", "m.det_id", "m.score", "m.gt_id", "m.iou")
+
+
+def greedy_match(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The matches (image_id, det_id, gt_id, iou) at one threshold, see matches_at."""
+    return matches_at(pairs, [threshold]).select("image_id", "det_id", "gt_id", "iou")
 
 
 def prediction_outcomes(dets: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,48 +13,54 @@ from .graph import written
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
-def by_ranges(df: DataFrame, column: str, name: str, parts: int | None = None) -> DataFrame:
+def by_ranges(df: DataFrame, column: str, name: str, parts: int | None = None, also: DataFrame | None = None, blank: Column | None = None) -> DataFrame:
     """Adds ``name``: the range of ``column`` that a row lies in, of about as many as there are
     shuffle partitions. Global ranks and running totals are then a range's own plus those
-    of the ranges before it, so no task sees all rows."""
+    of the ranges before it, so no task sees all rows. Rows of ``also``, which have a column more (``blank`` in those of
+    ``df``), are in the same ranges."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    if also is not None:
+        df = df.select("*", blank).unionByName(also)
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
     return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=column, outputCol=name).transform(df)
 
 
-def average_precision(scored: DataFrame, n_gt: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """101-point interpolated AP of detections (by, score, image_id, det_id, tp 0 or 1, and the range of
-    the score, see by_ranges) pooled over images; ``n_gt`` has one row, n_gt."""
-    per = scored.groupBy(*by, "range").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-    above = W.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
-    per = per.select(*by, "range", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("k0"))
-    order = W.partitionBy(*by, "range").orderBy(F.desc("score"), "image_id", "det_id")
-    ranked = scored.withColumn("t", F.sum("tp").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("k", F.row_number().over(order))
-    rises = ranked.filter("tp = 1").join(per, [*by, "range"]).select(*by, "range", (F.col("t") + F.col("tp0")).alias("t"), (F.col("k") + F.col("k0")).alias("k"))
+def average_precision(dets: DataFrame, won: DataFrame, n_gt: DataFrame) -> DataFrame:
+    """threshold, ap: 101-point interpolated AP of detections (score, image_id, det_id) pooled over images, of which ``won`` (threshold, score,
+    image_id, det_id) matched; ``n_gt`` has one row, n_gt. A detection's place by score is the same at all thresholds, so it is told
+    once: those that won at any threshold are counted in among all of their range of scores (see by_ranges)."""
+    none = F.lit(None).cast("double").alias("threshold")
+    rows = by_ranges(dets.select("score", "image_id", "det_id"), "score", "range", also=won.select("score", "image_id", "det_id", "threshold"), blank=none)
+    all_ = rows.filter("threshold IS NULL").groupBy("range").agg(F.count("*").alias("n"))
+    higher = W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    all_ = all_.select("range", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("k0"))
+    place = W.partitionBy("range").orderBy(F.desc("score"), "image_id", "det_id", F.asc_nulls_first("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = rows.withColumn("k", F.count_if(F.col("threshold").isNull()).over(place)).filter("threshold IS NOT NULL")
+    per = rows.filter("threshold IS NOT NULL").groupBy("threshold", "range").agg(F.count("*").alias("tp"))
+    above = W.partitionBy("threshold").orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
+    per = per.select("threshold", "range", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("t0")).join(F.broadcast(all_), "range")  # a row a threshold and range
+    t = F.row_number().over(W.partitionBy("threshold", "range").orderBy("k"))
+    rises = hits.withColumn("t", t).join(F.broadcast(per), ["threshold", "range"]).select("threshold", "range", (F.col("t") + F.col("t0")).alias("t"), (F.col("k") + F.col("k0")).alias("k"))
     # precision only matters where recall rises; its envelope is the maximum from there on
     rises = rises.withColumn("precision", F.col("t") / F.col("k"))
-    below = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    tops = rises.groupBy(*by, "range").agg(F.max("precision").alias("top")).select(*by, "range", F.max("top").over(below).alias("later"))
-    own = F.max("precision").over(W.partitionBy(*by, "range").orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    rises = rises.withColumn("own", own).join(tops, [*by, "range"]).withColumn("envelope", F.greatest("own", "later")).crossJoin(F.broadcast(n_gt))
+    below = W.partitionBy("threshold").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    tops = rises.groupBy("threshold", "range").agg(F.max("precision").alias("top")).select("threshold", "range", F.max("top").over(below).alias("later"))
+    own = F.max("precision").over(W.partitionBy("threshold", "range").orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rises = rises.withColumn("own", own).join(F.broadcast(tops), ["threshold", "range"]).withColumn("envelope", F.greatest("own", "later")).crossJoin(F.broadcast(n_gt))
     # of the levels 0, 0.01, ... 1, those that this rise is the first to reach
     reached = lambda t: F.floor(t * 100 / F.col("n_gt") + 1e-9)
     levels = F.when(F.col("t") == 1, reached(F.col("t")) + 1).otherwise(reached(F.col("t")) - reached(F.col("t") - 1))
-    return rises.groupBy(*by).agg((F.sum(levels * F.col("envelope")) / 101).alias("ap"))
+    return rises.groupBy("threshold").agg((F.sum(levels * F.col("envelope")) / 101).alias("ap"))
 
 
 def coco_ap(dets: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS, pairs: DataFrame | None = None) -> DataFrame:
     """threshold, ap. ``pairs`` (image_id, det_id, score, gt_id, iou) are those of boxes unless given."""
-    pairs = matching.tiled_pairs(dets, gt, least=min(thresholds)) if pairs is None else pairs.filter(F.col("iou") >= min(thresholds))
-    each = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
-    won = matching.greedy_match(each, min(thresholds), ("threshold", "image_id")).select("threshold", "image_id", "det_id", F.lit(1).alias("tp"))
-    ranged = by_ranges(dets.select("image_id", "det_id", "score"), "score", "range")  # before the matches, which are not computed for it
-    grid = ranged.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    scored = grid.join(won, ["threshold", "image_id", "det_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    found = average_precision(scored, gt.agg(F.count("*").alias("n_gt")), ("threshold",))
-    all_ = scored.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    pairs = matching.tiled_pairs(dets, gt, least=min(thresholds)) if pairs is None else pairs
+    won = written(matching.matches_at(pairs, thresholds).select("threshold", "score", "image_id", "det_id"), "won")  # read twice
+    found = average_precision(dets, won, gt.agg(F.count("*").alias("n_gt")))
+    all_ = dets.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
     return all_.join(found, "threshold", "left").na.fill(0.0, ["ap"])
 
 

@@ -6,7 +6,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from siltstone.operators import masks, packs, reid, suppress, traces
+from siltstone.operators import masks, metrics, packs, reid, suppress, traces
 from siltstone.plans import catalog
 from siltstone.sources import coco_split
 
@@ -147,7 +147,35 @@ def test_suppression_shuffles_pairs_once_and_one_way_round(spark, tmp_path):
     assert 2 * one.count() == both.count()
     for rule in (suppress.nms, suppress.suppress_directional, suppress.soft_nms):
         found = [rule(dets, pairs=p) for p in (one, both, None)]
-        key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
-        assert key(found[0]) == key(found[1]) == key(found[2])
         plan = found[0]._jdf.queryExecution().executedPlan().toString()
         assert broadcasts(found[0]) == 0 and len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+        key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+        assert key(found[0]) == key(found[1]) == key(found[2])
+
+
+def test_detections_are_ranked_once_for_all_thresholds(spark, tmp_path):
+    rng = random.Random(9)
+    box = lambda: (y := rng.randrange(50), y + rng.randrange(10, 40), x := rng.randrange(50), x + rng.randrange(10, 40))
+    gt = [(i % 4, i, *box()) for i in range(24)]
+    rows = [(i % 4, i, *(gt[i % 24][2:] if i % 3 == 0 else box()), float(rng.randrange(12))) for i in range(80)]
+    dets = stored(spark, tmp_path, spark.createDataFrame(rows, "image_id long, det_id long, y0 long, y1 long, x0 long, x1 long, score double"), "dets")
+    truth = stored(spark, tmp_path, spark.createDataFrame(gt, "image_id long, gt_id long, y0 long, y1 long, x0 long, x1 long"), "truth")
+    found = metrics.coco_ap(dets, truth, [0.5, 0.7])
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a detection and threshold
+    got = {r.threshold: r.ap for r in found.collect()}
+    size = lambda b: (b[1] - b[0]) * (b[3] - b[2])
+    for t in (0.5, 0.7):
+        taken, tp, points = set(), 0, []
+        for k, d in enumerate(sorted(rows, key=lambda r: (-r[6], r[0], r[1])), 1):
+            best = None
+            for q in gt:
+                inter = max(0, min(d[3], q[3]) - max(d[2], q[2])) * max(0, min(d[5], q[5]) - max(d[4], q[4]))
+                iou = inter / (size(d[2:6]) + size(q[2:]) - inter)
+                if d[0] == q[0] and q[1] not in taken and iou >= t and (best is None or (iou, q[1]) > best):
+                    best = iou, q[1]
+            if best:
+                taken.add(best[1])
+                tp += 1
+                points.append((tp / len(gt), tp / k))
+        want = sum(max((p for r, p in points if r >= level / 100 - 1e-9), default=0) for level in range(101)) / 101
+        assert abs(got[t] - want) < 1e-9 and want > 0.05
