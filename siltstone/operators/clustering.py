@@ -138,21 +138,31 @@ def peaks(x: np.ndarray, distance: int = 1) -> np.ndarray:
 
 
 def label_cells(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Components numbered from 1 in raster order."""
-    out, n = np.zeros(mask.shape, dtype=int), 0
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([] if connectivity == 4 else [(1, 1), (1, -1), (-1, 1), (-1, -1)])
-    for y, x in zip(*np.nonzero(mask)):
-        if out[y, x]:
-            continue
-        n += 1
-        stack, out[y, x] = [(y, x)], n
-        while stack:
-            a, b = stack.pop()
-            for dy, dx in steps:
-                v, u = a + dy, b + dx
-                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
-                    out[v, u] = n
-                    stack.append((v, u))
+    """Components numbered from 1 in raster order. A line's runs are joined with those of the line above that they touch."""
+    framed = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    framed[:, 1:-1] = mask
+    edge = framed[:, 1:] - framed[:, :-1]
+    (line, start), stop = (x.tolist() for x in np.nonzero(edge == 1)), np.nonzero(edge == -1)[1].tolist()
+    head, reach = list(range(len(line))), int(connectivity != 4)
+
+    def first(k: int) -> int:
+        while head[k] != k:
+            head[k] = k = head[head[k]]
+        return k
+
+    above = 0  # the first run that may touch those to come
+    for k, (y, a, b) in enumerate(zip(line, start, stop)):
+        while line[above] < y - 1 or line[above] == y - 1 and stop[above] + reach <= a:
+            above += 1
+        j = above
+        while line[j] == y - 1 and start[j] < b + reach:
+            p, q = first(j), first(k)
+            head[max(p, q)] = min(p, q)
+            j += 1
+    names: dict[int, int] = {}
+    number = [names.setdefault(first(k), len(names) + 1) for k in range(len(line))]
+    out = np.zeros(mask.shape, dtype=int)
+    out[mask.astype(bool)] = np.repeat(np.array(number, dtype=int), np.subtract(stop, start).astype(int))
     return out
 
 

@@ -179,3 +179,24 @@ def test_detections_are_ranked_once_for_all_thresholds(spark, tmp_path):
                 points.append((tp / len(gt), tp / k))
         want = sum(max((p for r, p in points if r >= level / 100 - 1e-9), default=0) for level in range(101)) / 101
         assert abs(got[t] - want) < 1e-9 and want > 0.05
+
+
+def test_an_image_is_drawn_once_for_all_its_regions(monkeypatch):
+    """What is seen of a region is the same as alone, but its image is drawn once for regions that follow each other."""
+    import numpy as np
+
+    from siltstone.operators import clustering
+    from siltstone.plans import cascade, strategies as st
+
+    rng, drawn, draw = random.Random(3), [], cascade.draw
+    monkeypatch.setattr(cascade, "draw", lambda *a: drawn.append(1) or draw(*a))
+    squares = [{"category_id": 1 + i % 2, "y0": (y := rng.randrange(50)), "y1": y + rng.randrange(3, 30), "x0": (x := rng.randrange(50)), "x1": x + rng.randrange(3, 30)} for i in range(9)]
+    row, settings = {"height": 70, "width": 64, "squares": squares}, st.Settings(extractor="oracle", stop="oracle")
+    see = cascade.see_squares(1, settings=settings)
+    for box in ((0, 70, 0, 64), (5, 12, 3, 60), (20, 61, 10, 31)):
+        _, found, labels = see(dict(row), box)
+        cell, label = st.cell_labels(labels[box[0] : box[1], box[2] : box[3]], (16, 16), "any")
+        assert [m.ravel().nonzero()[0].tolist() for m in found] == [cell[label == k].tolist() for k in np.unique(label)]
+        parts = clustering.label_cells(found[0] | found[-1], 4)
+        assert all(parts[y, x] == parts[y, x + 1] for y in range(16) for x in range(15) if parts[y, x] and parts[y, x + 1])
+    assert len(drawn) == 2
