@@ -1,12 +1,13 @@
 """Masks met in memory: the runs of a mask travel as one short row, and all masks of an image are measured where they come together.
 
 Joined as rows, each pair of masks is a row a line of pixels that both have, and all of them are shuffled. Here runs are packed before the
-only shuffle, by image, as differences from one run to the next (a few bytes each), and a task takes one image after the other, many
-in one go. What leaves it is a row a pair of masks that share a pixel, or a row an image. A task holds the masks of at least one image.
+only shuffle, by image, as differences from one run to the next, those of an image's masks in one compressed row (a few bytes a mask),
+and a task takes one image after the other, many in one go. What leaves it is a row a pair of masks that share a pixel, or a row an image. A task holds the masks of at least one image.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from ..session import ship
 
 #: Images are measured together up to so many bytes of packed runs, candidates and lines of pixels up to so many at a time.
 TOGETHER, CANDIDATES, LINES = 1 << 20, 1 << 20, 1 << 22
+#: Packed rows, each of which holds the runs of a batch at most, that are unpacked at a time.
+UNPACKED = 32
 
 
 def _changes(a: pa.Array) -> np.ndarray:
@@ -27,23 +30,48 @@ def _changes(a: pa.Array) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows next to each other that are runs of one mask, as one: its first run and the differences of the others. Masks whose runs
-    come apart are several rows."""
+    """Rows next to each other that are runs of one image's masks, as one: of each mask its first run, the number of its runs and the
+    differences of the others. Images and masks whose runs come apart are several rows and entries."""
     for b in batches:
         if not b.num_rows:
             continue
         image, side, key = b.column(0), b.column(1), b.column(2)
-        starts = np.flatnonzero(_changes(image) | _changes(side) | _changes(key))
+        own = _changes(image)
+        starts = np.flatnonzero(own | _changes(side) | _changes(key))
         runs = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)], axis=1).astype(np.int64)
         step = np.diff(runs, axis=0, prepend=runs[:1])
         step[starts] = 0
         most = max(-int(step.min()), int(step.max()))
         width = 1 if most < 1 << 7 else 4 if most < 1 << 31 else 8
-        ends = (np.r_[starts, len(runs)] * 3 * width).astype(np.int32)
-        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(step.astype(f"<i{width}").tobytes())])
-        at = pa.array(starts)
-        first = [pa.array(np.ascontiguousarray(runs[starts, i])) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([image.take(at), side.take(at), key.take(at), *first, pa.array(np.full(len(starts), width, np.int32)), data], ["image_id", "side", "id", "y", "xs", "xe", "width", "data"])
+        step, sides = step.astype(f"<i{width}"), side.to_numpy(zero_copy_only=False)[starts].astype("<i4")
+        count, first = np.diff(np.r_[starts, len(runs)]).astype("<i4"), runs[starts].astype("<i8")
+        heads = np.r_[np.flatnonzero(own[starts]), len(starts)]
+        at, data = np.r_[starts, len(runs)], []
+        for p, q in zip(heads[:-1].tolist(), heads[1:].tolist()):
+            parts = first[p:q].T, count[p:q], sides[p:q], step[at[p] : at[q]].T  # column by column, which compresses best
+            data.append(zlib.compress(b"".join([x.tobytes() for x in parts]), 1))
+        n = np.diff(heads).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), key.take(pa.array(starts)))
+        yield pa.RecordBatch.from_arrays([image.take(pa.array(starts[heads[:-1]])), pa.array(n), pa.array(np.full(len(n), width, np.int32)), ids, pa.array(data, pa.binary())], ["image_id", "n", "width", "ids", "data"])
+
+
+def _unpack(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Packed rows as a row a mask: image_id, side, id, its first run, the width of differences, and these."""
+    for start in range(0, b.num_rows, UNPACKED):
+        own = b.slice(start, UNPACKED)
+        n, width = own.column(1).to_numpy(), own.column(2).to_numpy()
+        first, count, sides, steps = [], [], [], []
+        for k, w, data in zip(n.tolist(), width.tolist(), own.column(4).to_pylist()):
+            raw = zlib.decompress(data)
+            first.append(np.frombuffer(raw, "<i8", 3 * k).reshape(3, k))
+            count.append(np.frombuffer(raw, "<i4", k, 24 * k).astype(np.int64) * 3 * w)
+            sides.append(np.frombuffer(raw, "<i4", k, 28 * k))
+            steps.append(np.frombuffer(raw, f"<i{w}", offset=32 * k).reshape(3, -1).T.tobytes())
+        ends = np.r_[0, np.cumsum(np.concatenate(count))].astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(steps))])
+        run = [pa.array(x) for x in np.concatenate(first, axis=1)]
+        image = own.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        yield pa.RecordBatch.from_arrays([image, pa.array(np.concatenate(sides)), own.column(3).flatten(), *run, pa.array(np.repeat(width, n)), data], ["image_id", "side", "id", "y", "xs", "xe", "width", "data"])
 
 
 class Masks:
@@ -203,10 +231,13 @@ def _unions(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _by_images(act: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
-    """``act`` on tables of whole images."""
+    """``act`` on tables of whole images, their masks in order."""
+    def ordered(t: pa.Table) -> pa.Table:
+        return t.take(pc.sort_indices(t, [(c, "ascending") for c in ("image_id", "side", "id", "y", "xs")])).combine_chunks()
+
     def run(batches):
         held, size, most = [], 0, TOGETHER
-        for b in batches:
+        for b in (u for packed in batches for u in _unpack(packed)):
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
@@ -214,12 +245,12 @@ def _by_images(act: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
                 t = pa.Table.from_batches(held)
                 cut = int(np.flatnonzero(_changes(t.column("image_id").combine_chunks()))[-1])
                 if cut:
-                    yield from act(t.slice(0, cut).combine_chunks())
+                    yield from act(ordered(t.slice(0, cut)))
                 held = t.slice(cut).combine_chunks().to_batches()
                 size = sum(h.nbytes for h in held)
                 most = max(TOGETHER, 2 * size)
         if held:
-            yield from act(pa.Table.from_batches(held).combine_chunks())
+            yield from act(ordered(pa.Table.from_batches(held)))
 
     return run
 
@@ -230,11 +261,10 @@ def _together(sides: list[tuple[DataFrame, str]]) -> tuple[DataFrame, str, str]:
     for i, (runs, key) in enumerate(sides):
         own = runs.select("image_id", F.lit(i).alias("side"), F.col(key).alias("id"), *[F.col(c).cast("long").alias(c) for c in ("y", "xs", "xe")]).dropna()
         types = dict(own.dtypes)
-        packed = own.mapInArrow(_pack, f"image_id {types['image_id']}, side int, id {types['id']}, y long, xs long, xe long, width int, data binary")
+        packed = own.mapInArrow(_pack, f"image_id {types['image_id']}, n int, width int, ids array<{types['id']}>, data binary")
         out = packed if out is None else out.unionByName(packed)
     ship(out.sparkSession)
-    types = dict(out.dtypes)
-    return out.repartition("image_id").sortWithinPartitions("image_id", "side", "id", "y", "xs"), types["image_id"], types["id"]
+    return out.repartition("image_id").sortWithinPartitions("image_id"), types["image_id"], types["id"]
 
 
 def overlapping(left: DataFrame, right: DataFrame | None, a: str, b: str = "", united: bool = False) -> DataFrame:

@@ -200,3 +200,14 @@ def test_an_image_is_drawn_once_for_all_its_regions(monkeypatch):
         parts = clustering.label_cells(found[0] | found[-1], 4)
         assert all(parts[y, x] == parts[y, x + 1] for y in range(16) for x in range(15) if parts[y, x] and parts[y, x + 1])
     assert len(drawn) == 2
+
+
+def test_an_images_masks_travel_in_a_few_bytes_each():
+    """Boxes of an image whose runs stand together are one packed row, of about as many bytes as their sides take."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(i, 0, k, y, x, x + n) for i in range(5) for k in range(40) for y0, x, n in [(rng.randrange(80), rng.randrange(80), rng.randrange(5, 60))] for y in range(y0, y0 + rng.randrange(5, 55))]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
+    packed = list(packs._pack(iter([pa.RecordBatch.from_arrays(cols, ["image_id", "side", "id", "y", "xs", "xe"])])))
+    assert sum(b.num_rows for b in packed) == 5 and sum(len(d) for b in packed for d in b.column("data").to_pylist()) < 200 * 14
