@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..session import ship
 
 #: Sides of a target's crops in units of its own longer side; 1 frames it.
 ZOOMS = [0.35, 0.45, 0.55, 0.7, 0.85, 1.0, 1.15, 1.3, 1.5, 1.75, 2.0, 2.5, 3.0]
@@ -66,3 +71,44 @@ def ladder_report(scores: DataFrame, anchor: float = 1.0, tol: float = 1e-9) ->
         F.count("*").alias("targets"), (F.sum("in_up") / F.sum("in_n")).alias("refine_rise"), (F.sum("out_down") / F.sum("out_n")).alias("overzoom_fall"), F.avg("rank").alias("anchor_rank"),
         F.avg("best").alias("best_zoom"), F.avg(F.col("one_peak").cast("double")).alias("one_peak"),
     )
+
+
+TOTALS = "scorer string, targets long, in_n long, in_up long, out_n long, out_down long, ranked long, ranks long, best double, one_peak long"
+
+
+def _totals(names: list[str], zooms: list[float], anchor: float, tol: float) -> Callable:
+    """Sums over targets, a row a scorer and batch, of crops' scores (a column a scorer), of which each target's come together, from the closest on."""
+    n, z = len(zooms), np.array(zooms)
+    inner, frames = z[:-1] >= anchor, np.flatnonzero(z == anchor)
+
+    def run(batches):
+        rest = np.empty((0, len(names)))
+        for b in batches:
+            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
+            whole = len(rows) // n * n
+            rest, found = rows[whole:], []
+            for name, own in zip(names, rows[:whole].T):
+                x = own.reshape(-1, n)
+                was, now = x[:, 1:], x[:, :-1]  # from the widest to the closest, one step each
+                step, up, fell = ~np.isnan(was), now > was + tol, now < was - tol
+                fallen = np.cumsum(fell[:, ::-1], axis=1)[:, ::-1] - fell > 0
+                rank = 1 + (x > x[:, frames[:1]]).sum(axis=1) if len(frames) else np.empty(0, int)
+                best = z[n - 1 - np.argmax(np.where(np.isnan(x), -np.inf, x)[:, ::-1], axis=1)]  # the widest of equals
+                found.append((name, len(x), step[:, inner].sum(), up[:, inner].sum(), step[:, ~inner].sum(), fell[:, ~inner].sum(), len(rank), rank.sum(), best.sum(), (~(up & fallen).any(axis=1)).sum()))
+            if whole:
+                kinds = [pa.string()] + [pa.float64() if k == 8 else pa.int64() for k in range(1, 10)]
+                yield pa.RecordBatch.from_arrays([pa.array([v if k == 0 else float(v) if k == 8 else int(v) for v in c], t) for k, (c, t) in enumerate(zip(zip(*found), kinds))], [f.split()[0] for f in TOTALS.split(", ")])
+
+    return run
+
+
+def report(targets: DataFrame, height: Column, width: Column, scorers: dict[str, str] = SCORERS, zooms: list[float] = ZOOMS, anchor: float = 1.0, tol: float = 1e-9) -> DataFrame:
+    """ladder_report of the ladders of targets (a row each), straight from them: a target's crops are made in one place and stay there, and only
+    sums leave a task. ``zooms`` rise."""
+    if sorted(zooms) != list(zooms):
+        raise ValueError("zooms must rise")
+    ship(targets.sparkSession)
+    crops = framing(ladder(targets, height, width, zooms)).select(*[F.round(F.expr(s).cast("double"), 12).alias(n) for n, s in scorers.items()])
+    per = crops.mapInArrow(_totals(list(scorers), list(zooms), anchor, tol), TOTALS).groupBy("scorer").agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in TOTALS.split(", ")[1:]])
+    share = lambda a, b, name: F.try_divide(F.col(a), F.col(b)).alias(name)
+    return per.select("scorer", "targets", share("in_up", "in_n", "refine_rise"), share("out_down", "out_n", "overzoom_fall"), share("ranks", "ranked", "anchor_rank"), share("best", "targets", "best_zoom"), share("one_peak", "targets", "one_peak"))

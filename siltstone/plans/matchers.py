@@ -145,8 +145,7 @@ t AS (SELECT scorer, image_id, gt_id, count(*) FILTER (was IS NOT NULL AND zoom
   max(CASE WHEN zoom = 1 THEN rk END) AS rk, arg_max(zoom, (g, zoom)) AS best, (count(*) FILTER (g > was + 1e-9 AND fallen = 1) = 0)::INT AS one FROM v GROUP BY ALL)
 SELECT scorer, count(*) AS targets, round(sum(in_up) / sum(in_n)::DOUBLE, 6) AS refine_rise, round(sum(out_down) / sum(out_n)::DOUBLE, 6) AS overzoom_fall, round(avg(rk), 6) AS anchor_rank, round(avg(best), 6) AS best_zoom, round(avg(one), 6) AS one_peak FROM t GROUP BY 1""", "gt")
 def _(s, d):
-    crops = study.framing(study.ladder(fx.ground_truth(s, d), F.lit(200), F.lit(200)))
-    out = study.ladder_report(study.scored(crops, study.SCORERS))
+    out = study.report(fx.ground_truth(s, d), F.lit(200), F.lit(200))
     return out.select("scorer", "targets", *[r6(c, c) for c in ("refine_rise", "overzoom_fall", "anchor_rank", "best_zoom", "one_peak")])
 
 

@@ -211,3 +211,18 @@ def test_an_images_masks_travel_in_a_few_bytes_each():
     cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
     packed = list(packs._pack(iter([pa.RecordBatch.from_arrays(cols, ["image_id", "side", "id", "y", "xs", "xe"])])))
     assert sum(b.num_rows for b in packed) == 5 and sum(len(d) for b in packed for d in b.column("data").to_pylist()) < 200 * 14
+
+
+def test_a_targets_ladder_is_never_shuffled(spark, tmp_path):
+    from siltstone.operators import study
+
+    rng = random.Random(7)
+    rows = [(i % 5, i, y := rng.randrange(150), y + rng.randrange(1, 60), x := rng.randrange(150), x + rng.randrange(1, 60)) for i in range(900)]
+    gt = stored(spark, tmp_path, spark.createDataFrame(rows, "image_id long, gt_id long, y0 long, y1 long, x0 long, x1 long"), "gt")
+    size = F.lit(200)
+    own = study.report(gt, size, size)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and len(re.findall(r"Exchange hashpartitioning", plan)) == 1  # of sums
+    key = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert key(own) == key(study.ladder_report(study.scored(study.framing(study.ladder(gt, size, size)), study.SCORERS)))
+    assert study.report(gt.limit(0), size, size).count() == 0
