@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .graph import sorted_side
 
 
 SIDES = ["y0", "y1", "x0", "x1"]
@@ -31,10 +32,9 @@ def tiled_overlaps(left: DataFrame, right: DataFrame, a: str, b: str, tile: int
     return both.filter(g.overlap(g.box("l_"), g.box("r_")) & first).drop("ty", "tx")
 
 
-def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 64, least: float = 0.0) -> DataFrame:
-    """image_id, det_id, score, gt_id, inter, iou of the overlapping boxes of an image whose IoU is ``least`` or more: no boxes are
-    paired that share no tile. A pair of which one box is too small for ``least`` is left out before its IoU is computed."""
-    both = tiled_overlaps(dets, gt, "det_id", "gt_id", tile, ("score",))
+def _pairs_of(both: DataFrame, least: float) -> DataFrame:
+    """image_id, det_id, score, gt_id, inter, iou of the boxes l_y0 ... and r_y0 ... that overlap, of those whose IoU is ``least`` or more. A pair of
+    which one box is too small for ``least`` is left out before its IoU is computed."""
     x, y = g.box("l_"), g.box("r_")
     sized = both.select("image_id", "det_id", "score", "gt_id", g.intersection(x, y).alias("inter"), (g.area(x) + g.area(y)).alias("both"))
     iou = F.col("inter").cast("double") / (F.col("both") - F.col("inter")).cast("double")
@@ -44,6 +44,23 @@ def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 64, least: float = 0
     return pairs.filter(F.col("iou") >= least) if least > 0 else pairs
 
 
+def tiled_pairs(dets: DataFrame, gt: DataFrame, tile: int = 64, least: float = 0.0) -> DataFrame:
+    """image_id, det_id, score, gt_id, inter, iou of the overlapping boxes of an image whose IoU is ``least`` or more: no boxes are
+    paired that share no tile."""
+    return _pairs_of(tiled_overlaps(dets, gt, "det_id", "gt_id", tile, ("score",)), least)
+
+
+def image_pairs(dets: DataFrame, gt: DataFrame, least: float = 0.0) -> DataFrame:
+    """What tiled_pairs gives, by a join on the image alone: a box is shuffled once and not once a tile, and not at all where its table lies
+    by image already, as behind a window that numbers an image's boxes. All boxes of an image are compared in one task, row by row."""
+    def own(df: DataFrame, *more: str) -> DataFrame:
+        side = "l" if "score" in more else "r"
+        return df.filter("y1 > y0 AND x1 > x0").select("image_id", *more, *[F.col(c).alias(f"{side}_{c}") for c in SIDES])
+
+    both = own(dets, "det_id", "score").join(sorted_side(own(gt, "gt_id")), "image_id")
+    return _pairs_of(both.filter(g.overlap(g.box("l_"), g.box("r_"))), least)
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     """Per image, its detections by falling score, each with its candidates. An image's pairs are shuffled once and listed where they meet."""
     own = pairs.select("image_id", "det_id", "score", "gt_id", "iou").repartition("image_id").groupBy("image_id", "det_id", "score").agg(F.array_agg(F.struct("iou", "gt_id")).alias("c"))

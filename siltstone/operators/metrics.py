@@ -69,32 +69,38 @@ def summarize(ap: DataFrame) -> DataFrame:
     return ap.agg(F.avg("ap").alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"))
 
 
-def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
-    """One row: tp, fp, fn, pq, sq, rq, count_abs, count_rel, recovery. A true positive counts with its
-    detection's largest IoU over all ground truths, not the matched one's."""
-    pairs = written(matching.tiled_pairs(dets, gt), "pairs") if pairs is None else pairs  # read three times
+def _quality(dets: DataFrame, gt: DataFrame, threshold: float, pairs: DataFrame) -> DataFrame:
+    """One row: tp, fp, fn, pq, sq, rq, count_abs, count_rel. A true positive counts with its detection's largest IoU over all ground truths,
+    not the matched one's; both reach the threshold, so pairs below it are not needed."""
     won = matching.greedy_match(pairs, threshold).select("image_id", "det_id")
     best = pairs.groupBy("image_id", "det_id").agg(F.max("iou").alias("best"))
     hits = won.join(best, ["image_id", "det_id"]).agg(F.count("*").alias("tp"), F.coalesce(F.sum("best"), F.lit(0.0)).alias("s"))
     per = dets.groupBy("image_id").agg(F.count("*").alias("p")).join(gt.groupBy("image_id").agg(F.count("*").alias("g")), "image_id", "full").na.fill(0)
     diff = F.abs(F.col("p") - F.col("g"))
     counts = per.agg(F.sum("p").alias("np"), F.sum("g").alias("ng"), F.avg(diff).alias("count_abs"), F.avg(diff / F.greatest(F.col("g"), F.lit(1))).alias("count_rel"))
+    all_ = hits.crossJoin(counts).withColumn("fp", F.col("np") - F.col("tp")).withColumn("fn", F.col("ng") - F.col("tp"))
+    whole = F.col("tp") + F.col("fp") / 2 + F.col("fn") / 2
+    return all_.select("tp", "fp", "fn", (F.col("s") / whole).alias("pq"), F.when(F.col("tp") > 0, F.col("s") / F.col("tp")).otherwise(0.0).alias("sq"), (F.col("tp") / whole).alias("rq"), "count_abs", "count_rel")
+
+
+def panoptic(dets: DataFrame, gt: DataFrame, threshold: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
+    """One row: tp, fp, fn, pq, sq, rq, count_abs, count_rel (see _quality), recovery."""
+    pairs = written(matching.tiled_pairs(dets, gt), "pairs") if pairs is None else pairs  # read three times
     found = pairs.groupBy("image_id", "gt_id").agg(F.max("iou").alias("m"))
     recovery = gt.join(found, ["image_id", "gt_id"], "left").agg(F.avg(F.coalesce("m", F.lit(0.0))).alias("recovery"))
-    all_ = hits.crossJoin(counts).crossJoin(recovery).withColumn("fp", F.col("np") - F.col("tp")).withColumn("fn", F.col("ng") - F.col("tp"))
-    whole = F.col("tp") + F.col("fp") / 2 + F.col("fn") / 2
-    return all_.select("tp", "fp", "fn", (F.col("s") / whole).alias("pq"), F.when(F.col("tp") > 0, F.col("s") / F.col("tp")).otherwise(0.0).alias("sq"), (F.col("tp") / whole).alias("rq"), "count_abs", "count_rel", "recovery")
+    return _quality(dets, gt, threshold, pairs).crossJoin(recovery)
 
 
 def evaluate(dets: DataFrame, gt: DataFrame, det_runs: DataFrame | None = None, gt_runs: DataFrame | None = None, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """One row of all metrics: box_ap, box_ap50, box_ap75, box_ap_<threshold>, pq, sq, rq, mean_iou, count_error, count_error_rel,
-    n_pred, n_gt, and with masks (runs by det_id and gt_id) ap, ap50, ap75 and ap_<threshold>; pq is of the masks where there are any."""
-    masked = None
+    n_pred, n_gt, and with masks (runs by det_id and gt_id) ap, ap50, ap75 and ap_<threshold>; pq is of the masks where there are any.
+    No metric of these looks at a pair below the lowest threshold, so none is kept."""
+    masked, least = None, min(0.5, *thresholds)
     if det_runs is not None:
         from . import masks
 
-        masked = written(masks.overlaps(det_runs, gt_runs, "det_id", "gt_id").join(dets.select("image_id", "det_id", "score"), ["image_id", "det_id"]), "pairs")
-    boxed = written(matching.tiled_pairs(dets, gt), "pairs")
+        masked = written(masks.overlaps(det_runs, gt_runs, "det_id", "gt_id").filter(F.col("iou") >= least).join(dets.select("image_id", "det_id", "score"), ["image_id", "det_id"]), "pairs")
+    boxed = written(matching.image_pairs(dets, gt, least), "pairs")
 
     def wide(prefix: str, pairs: DataFrame) -> DataFrame:
         per = coco_ap(dets, gt, thresholds, pairs)
@@ -103,7 +109,7 @@ def evaluate(dets: DataFrame, gt: DataFrame, det_runs: DataFrame | None = None,
         own += [a.alias(f"{prefix}ap{round(100 * t)}") for t, a in zip(thresholds, at) if t in (0.5, 0.75)]
         return per.agg(*own)
 
-    p = panoptic(dets, gt, 0.5, boxed if masked is None else masked)
+    p = _quality(dets, gt, 0.5, boxed if masked is None else masked)
     n = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
     out = p.select("pq", "sq", "rq", F.col("sq").alias("mean_iou"), F.col("count_abs").alias("count_error"), F.col("count_rel").alias("count_error_rel"), n[0].alias("n_pred"), n[1].alias("n_gt"))
     out = out.crossJoin(wide("box_", boxed))

@@ -6,7 +6,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from siltstone.operators import masks, metrics, packs, reid, suppress, traces
+from siltstone.operators import masks, matching, metrics, packs, reid, suppress, traces
 from siltstone.plans import catalog
 from siltstone.sources import coco_split
 
@@ -226,3 +226,39 @@ def test_a_targets_ladder_is_never_shuffled(spark, tmp_path):
     key = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert key(own) == key(study.ladder_report(study.scored(study.framing(study.ladder(gt, size, size)), study.SCORERS)))
     assert study.report(gt.limit(0), size, size).count() == 0
+
+
+def test_evaluation_keeps_no_pair_below_its_thresholds(spark, monkeypatch):
+    """Of boxes that overlap a little nearly everywhere only the close pairs are written, and the metrics are those of all pairs."""
+    rng = random.Random(7)
+    box = lambda: (lambda y, x: (y, y + rng.randrange(20, 60), x, x + rng.randrange(20, 60)))(rng.randrange(80), rng.randrange(80))
+    truth = [(i, k, *box()) for i in range(12) for k in range(6)] + [(99, 0, 0, 9, 0, 9)]
+    dets = [(i, k, float(rng.randrange(9)), *box()) for i in range(12) for k in range(20)] + [(i, 50 + k, 5.0, y0 + 2, y1, x0, x1) for i, k, y0, y1, x0, x1 in truth[:40]] + [(3, 99, 1.0, 5, 5, 0, 9)]
+    d = spark.createDataFrame(dets, "image_id long, det_id long, score double, y0 long, y1 long, x0 long, x1 long")
+    t = spark.createDataFrame(truth, "image_id long, gt_id long, y0 long, y1 long, x0 long, x1 long")
+    for least in (0.0, 0.5):
+        assert sorted(matching.image_pairs(d, t, least).collect()) == sorted(matching.tiled_pairs(d, t, least=least).collect())
+    all_ = matching.tiled_pairs(d, t)
+    want, ap = metrics.panoptic(d, t).first(), {r.threshold: r.ap for r in metrics.coco_ap(d, t, pairs=all_).collect()}
+    kept, written = [], metrics.written
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "pairs":
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(metrics, "written", seen)
+    got = metrics.evaluate(d, t).first()
+    assert len(kept) == 1 and 0 < kept[0].count() == all_.filter("iou >= 0.5").count() < all_.count() / 4
+    assert [round(got[c], 9) for c in ("pq", "sq", "rq", "count_error", "count_error_rel")] == [round(want[c], 9) for c in ("pq", "sq", "rq", "count_abs", "count_rel")]
+    assert {t: round(got[f"box_ap_{t:.2f}"], 9) for t in ap} == {t: round(v, 9) for t, v in ap.items()}
+
+
+def test_boxes_of_an_image_are_not_shuffled_again_for_their_pairs(spark, tmp_path):
+    for name, cols in (("lineitem", "id AS l_orderkey, id % 7 AS l_linenumber, id * 1.5D AS l_extendedprice, id % 80 AS l_partkey, id % 90 AS l_suppkey, 5L AS l_quantity"), ("orders", "id AS o_orderkey, id % 50 AS o_custkey")):
+        spark.range(40).selectExpr(*cols.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    dets, truth = catalog.fx.detections(spark, str(tmp_path)), catalog.fx.ground_truth(spark, str(tmp_path))
+    exchanges = lambda df: len(re.findall(r"Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString()))
+    pairs = matching.image_pairs(dets, truth, 0.5)
+    assert exchanges(pairs) == 2 and broadcasts(pairs) == 0
