@@ -232,6 +232,47 @@ def test_what_repeats_over_a_host_is_dropped(spark):
     assert boilerplate.extract(pages.limit(0)).count() == 0
 
 
+def test_a_large_host_is_decided_like_a_small_one(spark):
+    """However a host is dealt to groups, what repeats on its pages is the same, also if no group has it twice."""
+    rng = random.Random(4)
+    words_ = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    passage = " ".join(rng.choices(words_, k=60))
+    notes = [" ".join(rng.choices(words_, k=30)) for _ in range(12)]  # each on two pages only, in a place of such notes
+    rows = []
+    for i in range(24):
+        article = [" ".join(rng.choices(words_, k=rng.randint(20, 60))) for _ in range(4)] + ([passage] if i < 3 else [])
+        html = soup(i, article).replace("</body>", f"<div class=x4><p>{notes[i // 2]}</p></div></body>")
+        rows.append((i, f"http://{'h' if i < 20 else 'i'}.example/{i}", html))
+    rows += [(50, "http://h.example/marked", f"<article><p>{rows[0][2].split('<p>')[1].split('</p>')[0]}</p></article><p>b</p>"), (51, "http://h.example/none", ""), (52, "http://h.example/out", "<nav>n</nav>")]
+    rows += [(100 + i, f"http://h.example/copy{i}", rows[5][2]) for i in range(6)] + [(None, "http://h.example/null", rows[7][2])] * 3 + [(3, "http://h.example/3", rows[3][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    key = lambda df: sorted(((r.page_id or 0, r.url, r.text, r.n_chars, r.n_tokens, -1 if r.n_repeated is None else r.n_repeated, r.host, r.digest, r.kept) for r in df.collect()), key=str)
+    want = key(boilerplate.extract(pages))
+    assert len(want) == len(rows) and all("home" not in r[2] and "all rights" not in r[2] for r in want) and sum(passage in r[2] for r in want) == 3
+    assert not any(n in r[2] for n in notes for r in want if r[0] < 20 or r[0] > 52) and all(r[3] == len(r[2]) for r in want)
+    assert [r[5] for r in want if r[0] in (50, 51, 52)] == [-1] * 3
+    for size, few in ((1_000, 256), (1_000, 3), (9_000, 256)):
+        assert key(boilerplate.extract(pages, group_bytes=size, few_copies=few)) == want
+
+
+def test_suffixes_of_groups_together_are_those_of_all():
+    """Two groups that tell each other their suffixes cover what one group of all pages covers."""
+    rng = random.Random(8)
+    pages = [soup(i, [" ".join(rng.choices("abcd", k=40))]) for i in range(6)]
+
+    def group(some):
+        g = boilerplate.Group()
+        for p in some:
+            g.add(p)
+        return g
+
+    whole, parts = group(pages), [group(pages[:2]), group(pages[2:])]
+    rows = [{"host": ["h"], "salt": [i], "part": [0], "pages": [n.tobytes()], "data": [h.tobytes()]} for i, (h, n) in enumerate(g.suffixes() for g in parts)]
+    told = {s: np.frombuffer(d, "V16") for o in boilerplate._repeated(iter(rows)) for s, d in zip(o["salt"], o["data"])}
+    got = [c.tolist() for i, g in enumerate(parts) for c, _ in g.shares(told.get(i))[0]]
+    assert got == [c.tolist() for c, _ in whole.shares()[0]] != [c.tolist() for g in parts for c, _ in g.shares()[0]]
+
+
 def test_articles_of_all_pages(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables here")
