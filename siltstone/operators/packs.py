@@ -264,7 +264,8 @@ def _together(sides: list[tuple[DataFrame, str]]) -> tuple[DataFrame, str, str]:
         packed = own.mapInArrow(_pack, f"image_id {types['image_id']}, n int, width int, ids array<{types['id']}>, data binary")
         out = packed if out is None else out.unionByName(packed)
     ship(out.sparkSession)
-    return out.repartition("image_id").sortWithinPartitions("image_id"), types["image_id"], types["id"]
+    types = dict(out.dtypes)  # of both sides together, one of which may have narrower ids
+    return out.repartition("image_id").sortWithinPartitions("image_id"), types["image_id"], types["ids"].removeprefix("array<").removesuffix(">")
 
 
 def overlapping(left: DataFrame, right: DataFrame | None, a: str, b: str = "", united: bool = False) -> DataFrame:

@@ -69,6 +69,13 @@ def test_packed_masks_share_what_pixels_share(spark):
     assert got == {i: (len(union(i, 1)), len(union(i, 0)), len(union(i, 1) | union(i, 0))) for i in range(4)}
 
 
+def test_packed_masks_of_narrow_and_wide_ids(spark):
+    """Masks of which one side's ids are int and the other's long meet as long."""
+    long_, short = (spark.createDataFrame([(1, k, 0, 0, 9) for k in (3, 4)], f"image_id {t}, id {t}, y long, xs long, xe long") for t in ("long", "int"))
+    for a, b in ((long_, short), (short, long_), (short, short)):
+        assert sorted((r.p, r.q, r.iou) for r in masks.overlaps(a.withColumnRenamed("id", "p"), b.withColumnRenamed("id", "q"), "p", "q").collect()) == [(p, q, 1.0) for p in (3, 4) for q in (3, 4)]
+
+
 def test_packed_masks_in_small_pieces(monkeypatch):
     """Few images, candidates and lines at a time give the same as all at once."""
     import pyarrow as pa
