@@ -123,6 +123,21 @@ def test_chains(spark, scores, stop, kind, one_peak):
     assert (r.kind, r.is_unimodal) == (kind, one_peak)
 
 
+def test_report_is_of_segments_not_of_whole_paths(spark):
+    """1 - 2 (a fork) - 3 - 5 - 6 and 4; 8 and 9 under 7, which is not there."""
+    rows = [(1, None, "zoom", 0.4), (2, 1, "split", 0.6), (3, 2, "zoom", 0.3), (4, 2, "leaf", 0.1), (5, 3, "zoom", 0.5), (6, 5, "leaf", 0.4), (8, 7, "zoom", 0.2), (9, 8, "leaf", 0.3)]
+    t = spark.createDataFrame([(1, *r) for r in rows], "image_id long, node_id long, parent_id long, kind string, reid_score double")
+    got = traces.trajectory_report(t).collect()
+    lines = {r.head: (r.kind, r.first_depth, r.last_depth, r.stop, r.peak_depth, round(r.overshoot, 6), r.is_unimodal, r.scores) for r in got if r.head}
+    assert lines == {
+        1: ("rising", 0, 1, "split", 1, 0.0, True, [0.4, 0.6]), 3: ("overshoot", 2, 4, "leaf", 3, 0.1, True, [0.3, 0.5, 0.4]),
+        8: ("rising", 0, 1, "leaf", 1, 0.0, True, [0.2, 0.3]),
+    }
+    counts = {r.kind: (r.n, r.n_multi, r.n_unimodal, r.share) for r in got if not r.head and r.image_id == 1}
+    assert counts == {None: (4, 3, 3, 1.0), "rising": (2, 2, 2, 1.0), "overshoot": (1, 1, 1, 1.0), "single": (1, 0, 0, None)}
+    assert {r.kind: r.n for r in got if not r.head and r.image_id is None} == {k: v[0] for k, v in counts.items()}
+
+
 def test_a_flat_chain_peaks_at_its_end(spark):
     r = traces.summarize_chains(spark.createDataFrame([([0.5, 0.5, 0.5], "leaf")], "scores array<double>, stop string")).first()
     assert r.peak_index == 2 and r.overshoot == 0
