@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
@@ -102,6 +103,11 @@ class Masks:
             m, y, xs, xe = m[order], y[order], xs[order], xe[order]
         self.m, self.y, self.xs, self.xe = m, np.ascontiguousarray(y), np.ascontiguousarray(xs), np.ascontiguousarray(xe)
 
+    def boxes(self) -> tuple[np.ndarray, ...]:
+        """Where each mask's runs begin (and the last one's end), and its box."""
+        ptr = np.searchsorted(self.m, np.arange(len(self.row) + 1))
+        return ptr, self.y[ptr[:-1]], self.y[ptr[1:] - 1] + 1, np.minimum.reduceat(self.xs, ptr[:-1]), np.maximum.reduceat(self.xe, ptr[:-1])
+
     def unite(self, which: np.ndarray) -> None:
         """Makes the masks ``which`` of each image one, the first of them, of disjoint runs."""
         head = np.full(self.image[-1] + 1, len(self.row))
@@ -148,9 +154,7 @@ def _chunks(n: np.ndarray, most: int) -> Iterator[slice]:
 def shared_pixels(k: Masks, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """(p, q, inter) of the masks of an image that share a pixel; with ``both`` p is of side 0 and q of side 1, else p comes first."""
     n = len(k.row)
-    ptr = np.searchsorted(k.m, np.arange(n + 1))
-    y0, y1 = k.y[ptr[:-1]], k.y[ptr[1:] - 1] + 1
-    x0, x1 = np.minimum.reduceat(k.xs, ptr[:-1]), np.maximum.reduceat(k.xe, ptr[:-1])
+    ptr, y0, y1, x0, x1 = k.boxes()
     again = np.r_[False, (k.m[1:] == k.m[:-1]) & (k.y[1:] == k.y[:-1])]
     plain = (np.diff(ptr) == y1 - y0) & (np.bincount(k.m[again], minlength=n) == 0)  # one run a line, so that a line is found by its place
     low = y0.min()
@@ -230,11 +234,12 @@ def _unions(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([t.column("image_id").combine_chunks().take(first), *map(pa.array, size)], ["image_id", "size_a", "size_b", "size"])
 
 
+def _ordered(t: pa.Table) -> pa.Table:
+    return t.take(pc.sort_indices(t, [(c, "ascending") for c in ("image_id", "side", "id", "y", "xs")])).combine_chunks()
+
+
 def _by_images(act: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
     """``act`` on tables of whole images, their masks in order."""
-    def ordered(t: pa.Table) -> pa.Table:
-        return t.take(pc.sort_indices(t, [(c, "ascending") for c in ("image_id", "side", "id", "y", "xs")])).combine_chunks()
-
     def run(batches):
         held, size, most = [], 0, TOGETHER
         for b in (u for packed in batches for u in _unpack(packed)):
@@ -245,25 +250,29 @@ def _by_images(act: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
                 t = pa.Table.from_batches(held)
                 cut = int(np.flatnonzero(_changes(t.column("image_id").combine_chunks()))[-1])
                 if cut:
-                    yield from act(ordered(t.slice(0, cut)))
+                    yield from act(_ordered(t.slice(0, cut)))
                 held = t.slice(cut).combine_chunks().to_batches()
                 size = sum(h.nbytes for h in held)
                 most = max(TOGETHER, 2 * size)
         if held:
-            yield from act(ordered(pa.Table.from_batches(held)))
+            yield from act(_ordered(pa.Table.from_batches(held)))
 
     return run
 
 
+def _packed(runs: DataFrame, key: str, side: int = 0) -> DataFrame:
+    own = runs.select("image_id", F.lit(side).alias("side"), F.col(key).alias("id"), *[F.col(c).cast("long").alias(c) for c in ("y", "xs", "xe")]).dropna()
+    types = dict(own.dtypes)
+    ship(own.sparkSession)
+    return own.mapInArrow(_pack, f"image_id {types['image_id']}, n int, width int, ids array<{types['id']}>, data binary")
+
+
 def _together(sides: list[tuple[DataFrame, str]]) -> tuple[DataFrame, str, str]:
     """The packed runs of one or two tables of masks, an image's in one partition and in order; the types of image_id and id."""
     out = None
     for i, (runs, key) in enumerate(sides):
-        own = runs.select("image_id", F.lit(i).alias("side"), F.col(key).alias("id"), *[F.col(c).cast("long").alias(c) for c in ("y", "xs", "xe")]).dropna()
-        types = dict(own.dtypes)
-        packed = own.mapInArrow(_pack, f"image_id {types['image_id']}, n int, width int, ids array<{types['id']}>, data binary")
+        packed = _packed(runs, key, i)
         out = packed if out is None else out.unionByName(packed)
-    ship(out.sparkSession)
     types = dict(out.dtypes)  # of both sides together, one of which may have narrower ids
     return out.repartition("image_id").sortWithinPartitions("image_id"), types["image_id"], types["ids"].removeprefix("array<").removesuffix(">")
 
@@ -280,3 +289,144 @@ def union_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
     one = F.lit(0).alias("id")
     rows, image, _ = _together([(x.select("image_id", "y", "xs", "xe", one), "id") for x in (left, right)])
     return rows.mapInArrow(_by_images(_unions), f"image_id {image}, size_a long, size_b long, size long")
+
+
+# --- a row an image: what is decided about its masks meets them there, and only what stays goes on
+
+#: Masks of images' rows that are unpacked at a time.
+MASKS = 1 << 11
+
+
+def by_image(runs: DataFrame, key: str) -> DataFrame:
+    """image_id, packed: an image's masks (image_id, key, y, xs, xe), shuffled once and packed."""
+    return _packed(runs, key).groupBy("image_id").agg(F.array_agg(F.struct("n", "width", "ids", "data")).alias("packed"))
+
+
+def _opened(rows: pa.RecordBatch) -> pa.Table | None:
+    """The masks of images' rows, whose number stands for the image."""
+    packed = rows.column("packed")
+    own = pa.RecordBatch.from_arrays([pc.list_parent_indices(packed).cast(pa.int64()), *packed.flatten().flatten()], ["image_id", "n", "width", "ids", "data"])
+    return _ordered(pa.Table.from_batches(list(_unpack(own)))) if own.num_rows else None
+
+
+def _kept(t: pa.Table, names: dict) -> tuple[pa.Table, list]:
+    """The masks that are in ``names`` (by row and id), and what stands there."""
+    found = [names.get(x) for x in zip(t.column("image_id").to_pylist(), t.column("id").to_pylist())]
+    at = [i for i, x in enumerate(found) if x is not None]
+    return t.take(pa.array(at, pa.int64())).combine_chunks(), [found[i] for i in at]
+
+
+def _listed(row: np.ndarray, n: int, fields: dict[str, pa.Array]) -> pa.ListArray:
+    """A list of structs for each of n rows, from entries in order of ``row``."""
+    offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of so many images' rows that few masks are unpacked at a time."""
+    for b in batches:
+        packed, n = b.column("packed"), np.zeros(b.num_rows, np.int64)
+        np.add.at(n, pc.list_parent_indices(packed).to_numpy(), packed.flatten().flatten()[0].to_numpy())
+        for part in _chunks(n, MASKS):
+            yield b.slice(part.start, part.stop - part.start)
+
+
+def _entries(rows: pa.RecordBatch, column: str, *fields: str) -> list[tuple]:
+    """(row, *fields) of a column of lists of structs."""
+    of, own = pc.list_parent_indices(rows.column(column)), rows.column(column).flatten()
+    return list(zip(of.to_pylist(), *[pc.struct_field(own, f).to_pylist() for f in fields]))
+
+
+def _with(rows: DataFrame, column: str) -> StructType:
+    return StructType([*rows.schema.fields, *StructType.fromDDL(column).fields])
+
+
+def boxed(rows: DataFrame) -> DataFrame:
+    """Adds tight to rows with packed and own (structs with det_id): of each of own the box of its mask, NULL where it has none."""
+    def act(b: pa.RecordBatch) -> pa.RecordBatch:
+        own, t = _entries(b, "own", "det_id"), _opened(b)
+        box, at = [np.empty(0, np.int64)] * 4, {}
+        if t is not None:
+            k = Masks(t)
+            first = t.take(pa.array(k.row))
+            at = {x: i for i, x in enumerate(zip(first.column("image_id").to_pylist(), first.column("id").to_pylist()))}
+            box = k.boxes()[1:]
+        place = pa.array([at.get(x) for x in own], pa.int64())
+        inner = pa.StructArray.from_arrays([pa.array(x, pa.int64()).take(place) for x in box], ["y0", "y1", "x0", "x1"], mask=place.is_null())
+        offsets = np.r_[0, np.cumsum(np.bincount([r for r, _ in own], minlength=b.num_rows))].astype(np.int32)
+        return b.append_column("tight", pa.ListArray.from_arrays(pa.array(offsets), inner))
+
+    return rows.mapInArrow(lambda batches: map(act, _few(batches)), _with(rows, "tight array<struct<y0:bigint,y1:bigint,x0:bigint,x1:bigint>>"))
+
+
+def narrowed(rows: DataFrame, gap: int | None) -> DataFrame:
+    """Rows with the masks of those in own (structs with det_id and partial) only, and near: the pairs (a < b) of them with pixels within ``gap``
+    of each other in either direction, of which one at least is partial (none without a gap)."""
+    kind = rows.schema["packed"].dataType.elementType["ids"].dataType.elementType.simpleString()
+
+    def act(b: pa.RecordBatch) -> pa.RecordBatch:
+        t, pieces, pairs, ids = _opened(b), [], np.empty((0, 2), np.int64), None
+        if t is not None:
+            t, flags = _kept(t, {(r, i): bool(p) for r, i, p in _entries(b, "own", "det_id", "partial")})
+        if t is not None and t.num_rows:
+            k = Masks(t)
+            row, ids = t.column("image_id").to_numpy()[k.row], t.column("id").combine_chunks().take(pa.array(k.row))
+            runs = [pa.array(row[k.m]), pa.array(np.zeros(len(k.m), np.int32)), ids.take(pa.array(k.m)), pa.array(k.y), pa.array(k.xs), pa.array(k.xe)]
+            pieces = list(_pack(iter([pa.RecordBatch.from_arrays(runs, ["image_id", "side", "id", "y", "xs", "xe"])])))
+            if gap is not None:
+                pairs = near(k, np.array(flags)[k.row], gap)
+        entries = pa.Table.from_batches(pieces).combine_chunks() if pieces else None
+        fields = b.schema.field("packed").type.value_type
+        values = {f.name: entries.column(f.name).combine_chunks().cast(f.type) if pieces else pa.array([], f.type) for f in fields}
+        packed = _listed(entries.column("image_id").to_numpy() if pieces else np.empty(0, np.int64), b.num_rows, values)
+        ends = {c: pa.array([], fields.field("ids").type.value_type) if ids is None else ids.take(pa.array(pairs[:, i])) for i, c in enumerate("ab")}
+        met = _listed(row[pairs[:, 0]] if ids is not None else np.empty(0, np.int64), b.num_rows, ends)
+        i = b.schema.get_field_index("packed")
+        return b.set_column(i, "packed", packed).append_column("near", met)
+
+    return rows.mapInArrow(lambda batches: map(act, _few(batches)), _with(rows, f"near array<struct<a:{kind},b:{kind}>>"))
+
+
+def near(k: Masks, partial: np.ndarray, gap: int) -> np.ndarray:
+    """Pairs of masks (the first one first) with pixels within ``gap`` of each other in either direction, one of which at least is partial."""
+    own = np.flatnonzero(partial)
+    if not len(own):
+        return np.empty((0, 2), np.int64)
+    hit = np.flatnonzero(partial[k.m])
+    place, n = np.searchsorted(own, k.m[hit]), len(own)
+    steps = np.arange(-gap, gap + 1)
+    again = lambda x: np.repeat(x, len(steps))
+    m, y, xs, xe = again(place), (k.y[hit][:, None] + steps).ravel(), again(k.xs[hit] - gap), again(k.xe[hit] + gap)
+    order = np.lexsort((xs, y, m))
+    m, y, xs, xe = m[order], y[order], xs[order], xe[order]
+    begin, end, _ = swept(m, y, xs, xe)
+    new = np.flatnonzero(begin)
+    wide = Masks.__new__(Masks)  # the widened ones, then all
+    wide.row, wide.image, wide.side = np.r_[k.row[own], k.row], np.r_[k.image[own], k.image], np.r_[np.zeros(n, int), np.ones(len(k.row), int)]
+    wide.set_runs(np.r_[m[new], k.m + n], np.r_[y[new], k.y], np.r_[xs[new], k.xs], np.r_[np.maximum.reduceat(xe, new), k.xe])
+    found = [np.stack([own[p], q - n], axis=1) for p, q, _ in shared_pixels(wide, True)]
+    pairs = np.sort(np.concatenate(found), axis=1) if found else np.empty((0, 2), np.int64)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def loose(rows: DataFrame, key: str) -> DataFrame:
+    """The runs (image_id, key, y, xs, xe) of rows with packed and names (structs of det_id and head): masks of one head are one, their
+    union, under its name; others have their own."""
+    image, kind = rows.schema["image_id"].dataType.simpleString(), rows.schema["packed"].dataType.elementType["ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for own in _few(batches):
+            t = _opened(own)
+            if t is None:
+                continue
+            heads, ids = {(r, i): h for r, i, h in _entries(own, "names", "det_id", "head")}, t.column("id").to_pylist()
+            named = pa.array([heads.get(x, x[1]) for x in zip(t.column("image_id").to_pylist(), ids)], t.schema.field("id").type)
+            t = _ordered(t.set_column(t.schema.get_field_index("id"), "id", named))
+            k = Masks(t)
+            begin, end, _ = swept(k.m, k.y, k.xs, k.xe)
+            new = np.flatnonzero(begin)
+            first = pa.array(k.row[k.m[new]])
+            of = t.column("image_id").combine_chunks().take(first)
+            yield pa.RecordBatch.from_arrays([own.column("image_id").take(of), t.column("id").combine_chunks().take(first), pa.array(k.y[new]), pa.array(k.xs[new]), pa.array(np.maximum.reduceat(k.xe, new))], ["image_id", key, "y", "xs", "xe"])
+
+    return rows.select("image_id", "packed", "names").mapInArrow(run, f"image_id {image}, {key} {kind}, y long, xs long, xe long")

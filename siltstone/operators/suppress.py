@@ -159,11 +159,11 @@ def mask_fragment_pairs(runs: DataFrame, partial: DataFrame, gap: int) -> DataFr
     return near.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """One detection a group that ``pairs`` (image_id, a, b) join: the best one's det_id (the first of equals) and the largest score, and
-    the union's box, which is that of the masks where ``runs`` are given; others stay."""
-    groups = components(pairs).withColumnRenamed("node", "det_id")
-    own = dets.join(groups, ["image_id", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
+def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """One detection a group that ``pairs`` (image_id, a, b) join (``groups``: their components, if known): the best one's det_id (the first of
+    equals) and the largest score, and the union's box, which is that of the masks where ``runs`` are given; others stay."""
+    groups = (components(pairs) if groups is None else groups).withColumnRenamed("node", "det_id")
+    own = dets.join(sorted_side(groups), ["image_id", "det_id"], "left").withColumn("root", F.coalesce("root", "det_id"))
     if runs is not None:
         own = own.drop(*_BOX).join(masks.tight_boxes(runs, "det_id"), ["image_id", "det_id"])
     best = F.max_by("det_id", F.struct("score", -F.col("det_id")))
@@ -171,24 +171,35 @@ def merge_fragments(dets: DataFrame, pairs: DataFrame, runs: DataFrame | None =
     return own.groupBy("image_id", "root").agg(best.alias("det_id"), size, F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("score").alias("score")).drop("root")
 
 
-def joined_fragments(dets: DataFrame, gap: int = 1, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Detections with fragments made one, and their masks: those that reach an edge of their crop (``partial``, a column, or of masks
-    what they reach) and lie by another are pieces of one object. dets need crop, height and width where masks are given."""
-    if runs is None:
-        return merge_fragments(dets, fragment_pairs(dets, gap)), None
-    runs = runs.join(dets.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
-    pairs = written(mask_fragment_pairs(runs, mask_edges(runs, dets, False), gap), "fragment-pairs")
-    merged = written(merge_fragments(dets, pairs, runs), "merged")
-    roots = components(pairs).withColumnRenamed("node", "det_id")
-    heads = dets.join(roots, ["image_id", "det_id"]).groupBy("image_id", "root").agg(F.max_by("det_id", F.struct("score", -F.col("det_id"))).alias("head"))
-    named = runs.join(roots.join(heads, ["image_id", "root"]).select("image_id", "det_id", "head"), ["image_id", "det_id"], "left")
-    return merged, masks.union(named.select("image_id", F.coalesce("head", "det_id").alias("det_id"), "y", "xs", "xe"), "det_id")
+def joined_masks(dets: DataFrame, runs: DataFrame, drop: bool, gap: int | None) -> tuple[DataFrame, DataFrame]:
+    """Detections and their masks (runs) after what their edges say: with ``drop`` those clipped go, and with a ``gap`` those that reach an edge
+    of their crop and lie by another are pieces of one object and made one. An image's detections and packed masks meet in one row, so
+    each table is shuffled once, and what is done with masks later is done with those that stay. dets have crop, height and width."""
+    rows = dets.groupBy("image_id").agg(F.array_agg(F.struct(*[c for c in dets.columns if c != "image_id"])).alias("own"))
+    met = packs.boxed(rows.join(sorted_side(packs.by_image(runs, "det_id")), "image_id", "left").withColumn("packed", F.coalesce("packed", F.array())))
+    side = lambda x, c: tuple(x[c][n] for n in _BOX)
+    edges = lambda x: F.coalesce(g.touches(side(x, "tight"), side(x, "crop")), F.lit(False))
+    cut = lambda x: F.coalesce(g.clipped(side(x, "tight"), side(x, "crop"), x["height"], x["width"]), F.lit(False))
+    own = F.transform("own", lambda x, i: x.withField("tight", F.get("tight", i)))
+    own = F.filter(own, lambda x: ~cut(x)) if drop else own
+    own = F.transform(own, lambda x: x.withField("partial", edges(x)))
+    held = written(packs.narrowed(met.withColumn("own", own).drop("tight"), gap), "held")
+    whole = held.select("image_id", F.explode("own").alias("x"))
+    if gap is None:
+        none = F.array().cast(f"array<struct<det_id:{dict(dets.dtypes)['det_id']},head:{dict(dets.dtypes)['det_id']}>>")
+        return whole.select("image_id", *[f"x.{c}" for c in dets.columns if c != "image_id"]), packs.loose(held.withColumn("names", none), "det_id")
+    boxes = whole.filter("x.tight IS NOT NULL").select("image_id", "x.det_id", "x.score", "x.tight.*")
+    roots = components(held.select("image_id", F.explode("near").alias("p")).select("image_id", "p.a", "p.b"))
+    merged = written(merge_fragments(boxes, None, groups=roots), "merged")
+    pieces = boxes.select("image_id", "det_id", "score").join(sorted_side(roots.withColumnRenamed("node", "det_id")), ["image_id", "det_id"])
+    heads = pieces.groupBy("image_id", "root").agg(F.max_by("det_id", F.struct("score", -F.col("det_id"))).alias("head"), F.array_agg("det_id").alias("ids"))
+    names = heads.groupBy("image_id").agg(F.flatten(F.array_agg(F.transform("ids", lambda i: F.struct(i.alias("det_id"), F.col("head").alias("head"))))).alias("names"))
+    return merged, packs.loose(held.join(sorted_side(names), "image_id", "left").withColumn("names", F.coalesce("names", F.array())), "det_id")
 
 
 def fragments(dets: DataFrame, gap: int = 1, iou: float = 0.5, contain: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
     """Fragments (``partial``) made one, then nms."""
-    merged, _ = joined_fragments(dets, gap)
-    return nms(merged, iou, contain, pairs)
+    return nms(merge_fragments(dets, fragment_pairs(dets, gap)), iou, contain, pairs)
 
 
 def oracle(dets: DataFrame, gt: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
@@ -219,13 +230,16 @@ def merge_chain(dets: DataFrame, rule: str = "nms", drop: bool = False, join: bo
     kept = ["image_id", "det_id", *_BOX, "score"]
     if rule == "none":
         return dets.select(*kept)
-    if drop:
-        dets = written(drop_clipped(dets) if runs is None else drop_clipped_masks(dets, runs), "whole")
-    if join or rule == "fragments":
-        own = dets if runs is not None or "partial" in dets.columns else dets.withColumn("partial", g.touches(g.box(), g.box("crop.")))
-        dets, runs = joined_fragments(own, gap, runs)
+    joins = join or rule == "fragments"
+    if runs is not None and (drop or joins):
+        dets, runs = joined_masks(dets, runs, drop, gap if joins else None)
     elif runs is not None:
         runs = runs.join(dets.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+    else:
+        dets = written(drop_clipped(dets), "whole") if drop else dets
+        if joins:
+            own = dets if "partial" in dets.columns else dets.withColumn("partial", g.touches(g.box(), g.box("crop.")))
+            dets = merge_fragments(own, fragment_pairs(own, gap))
     rule = "nms" if rule == "fragments" else rule
     if rule == "nms" and min(options.get("iou", 0.5), options.get("contain", 0.8)) >= 1:
         return dets.select(*kept)

@@ -95,6 +95,40 @@ def test_packed_masks_in_small_pieces(monkeypatch):
     assert found(7) == want and len(want) > 10
 
 
+def test_the_merge_chain_shuffles_no_runs_as_rows(spark, monkeypatch):
+    """Masks that are dropped, are partial and lie near each other, in few images a batch; their runs are shuffled packed only."""
+    monkeypatch.setattr(packs, "MASKS", 5)
+    pixels, rows = scattered_masks(7)
+    runs = spark.createDataFrame(rows, "image_id long, det_id long, y long, xs long, xe long").repartition(3)
+    dets = spark.createDataFrame([(i, m, 0, 1, 0, 1, float(m % 5)) for i, m in pixels] + [(9, 1, 0, 1, 0, 1, 1.0)], "image_id long, det_id long, y0 long, y1 long, x0 long, x1 long, score double")
+    dets = dets.withColumns({"crop": F.expr("struct(0L AS y0, 300L AS y1, -100L AS x0, 250L AS x1)"), "height": F.lit(300), "width": F.lit(400)})
+    box = lambda p: (min(y for y, _ in p), max(y for y, _ in p) + 1, min(x for _, x in p), max(x for _, x in p) + 1)
+    left = {k: p for k, p in pixels.items() if box(p)[3] < 250}
+    partial = {k for k, p in left.items() if box(p)[0] <= 0 or box(p)[1] >= 300 or box(p)[2] <= -100}
+    wide = {k: {(y + a, x + b) for y, x in p for a in range(-2, 3) for b in range(-2, 3)} for k, p in left.items() if k in partial}
+    root = {k: k for k in left}
+    for _ in left:
+        for a in partial:
+            for b in left:
+                if a[0] == b[0] and wide[a] & left[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for k in left:
+        groups.setdefault(root[k], []).append(k)
+    want = {max(g, key=lambda k: (k[1] % 5, -k[1])): set().union(*[left[k] for k in g]) for g in groups.values()}
+    merged, own = suppress.joined_masks(dets, runs, True, 2)
+    got = {}
+    for r in own.collect():
+        assert not {(r.y, x) for x in range(r.xs, r.xe)} & got.setdefault((r.image_id, r.det_id), set())
+        got[r.image_id, r.det_id] |= {(r.y, x) for x in range(r.xs, r.xe)}
+    assert got == want and len(groups) < len(left) < len(pixels)
+    assert {(r.image_id, r.det_id): (r.y0, r.y1, r.x0, r.x1) for r in merged.collect()} == {k: box(p) for k, p in want.items()}
+    plan = suppress.merge_chain(dets, "nms", drop=True, join=True, gap=2, runs=runs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\by#", plan)
+    stays, own = suppress.joined_masks(dets, runs, True, None)
+    assert {(r.image_id, r.det_id) for r in stays.collect()} == {*left, (9, 1)} and {(r.image_id, r.det_id) for r in own.select("image_id", "det_id").distinct().collect()} == set(left)
+
+
 def test_masks_are_shuffled_packed_and_once(spark, tmp_path):
     boxes = spark.range(40).select((F.col("id") % 4).alias("image_id"), F.col("id").alias("det_id"), F.col("id").alias("y0"), (F.col("id") + 20).alias("y1"), F.lit(3).alias("x0"), F.lit(30).alias("x1"))
     runs = masks.box_runs(stored(spark, tmp_path, boxes, "boxes"), "det_id")
