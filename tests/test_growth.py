@@ -303,3 +303,57 @@ def test_boxes_of_an_image_are_not_shuffled_again_for_their_pairs(spark, tmp_pat
     exchanges = lambda df: len(re.findall(r"Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString()))
     pairs = matching.image_pairs(dets, truth, 0.5)
     assert exchanges(pairs) == 2 and broadcasts(pairs) == 0
+
+
+def test_regions_looked_at_together_are_as_each_alone():
+    """Regions of many images, of all sizes, with and without seeds: one call a batch of regions gives what ``look`` gives of each."""
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.plans import cascade, strategies as st
+
+    rng, names = random.Random(5), ["image_id", "height", "width", "squares"]
+    square = pa.struct([(c, pa.int64()) for c in ("ann_id", "category_id", "y0", "y1", "x0", "x1")])
+    schema = pa.schema([("image_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("squares", pa.list_(square)), ("region", pa.string()), *[(c, pa.int32()) for c in ("y0", "y1", "x0", "x1")], ("seed", pa.binary()), *[(f"p{i}", pa.int32()) for i in range(4)]])
+
+    def box(h, w):
+        y, x = rng.randrange(h), rng.randrange(w)
+        return y, rng.randrange(y + 1, h + 1), x, rng.randrange(x + 1, w + 1)
+
+    for settings in (st.Settings(extractor="oracle", stop="oracle"), st.Settings(extractor="oracle", stop="oracle", pad=0.1, dilate=0.5, fixed=0.5, min_side=20)):
+        see, rule, rows = cascade.see_squares(1, settings=settings), st.build_stop("oracle"), []
+        for image in range(40):
+            h, w = rng.choice([(128, 128), (40, 300), (9, 20), (500, 70)])
+            squares = [dict(zip(square.names, (a, rng.choice([1, 2]), *box(h + 30, w + 30)))) for a in range(rng.choice([0, 1, 3, 10, 20]))]
+            for r in range(rng.randrange(1, 6)):
+                seed, (a, b, c, d) = np.zeros((16, 16), bool), box(16, 16)
+                seed[a:b, c:d] = True
+                seed = cascade.packed(seed) if rng.random() < 0.7 else None
+                rows.append(dict(zip(schema.names, (image, h, w, squares, str(r), *box(h, w), seed, *(box(h, w) if seed else [None] * 4)))))
+        got = cascade.look_at_many(see.many, rule, pa.RecordBatch.from_pylist(rows, schema=schema), names, settings).to_pylist()
+        for r, g in zip(rows, got):
+            want = cascade.look(see, rule, {n: r[n] for n in names}, tuple(r[c] for c in ("y0", "y1", "x0", "x1")), r["seed"], r["seed"] and tuple(r[f"p{i}"] for i in range(4)), settings)
+            assert abs(g.pop("score") - want.pop("score")) < 1e-9
+            scores = [[k.pop("score") for k in x["child"]] for x in (g, want)]
+            assert np.allclose(*scores) and {k: g[k] for k in want} == want
+    none = cascade.look_at_many(see.many, rule, pa.RecordBatch.from_pylist([dict(rows[0], squares=[])], schema=schema), names, settings).to_pylist()
+    assert [(r["n"], r["score"], r["signal"], r["child"]) for r in none] == [(0, 0.0, 0.0, [])]
+    many = [dict(rows[0], squares=[dict(zip(square.names, (a, 1, a, a + 1, 0, 1))) for a in range(64)])]  # more labels than bits
+    assert cascade.look_at_many(see.many, rule, pa.RecordBatch.from_pylist(many, schema=schema), names, settings) is None
+
+
+def test_grids_of_several_shapes_and_parts_are_measured(spark):
+    import numpy as np
+
+    from siltstone.plans import cascade
+
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for i in range(30):
+        shape = [(16, 16), (3, 5), (7, 20)][i % 3]
+        parts = [rng.random(shape) < 0.3 for _ in range(1 + i % 4)]
+        box = (2, 2 + int(rng.integers(1, 90)), 5, 5 + int(rng.integers(1, 90)))
+        whole = np.logical_or.reduce(parts)
+        want[i] = (cascade.packed(whole), int(cascade.pixels(whole, box).sum()))
+        rows.append((i, "0", 0, 0, 0.5, *box, [bytearray(cascade.packed(p)) for p in parts]))
+    df = spark.createDataFrame(rows, "image_id long, region string, place int, depth int, score double, y0 int, y1 int, x0 int, x1 int, parts array<binary>")
+    assert {r.image_id: (bytes(r.cells), r.area) for r in cascade.measured(df).collect()} == want
